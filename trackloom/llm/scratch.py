@@ -17,13 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Later stages reread the files, so a lost executor costs no recomputation
-    of what came before and nothing lives on one machine only.
+    of what came before and nothing lives on one machine only.  ``by`` names a
+    column of few values to split the files by.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trackloom/{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
