@@ -1,12 +1,14 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled rows gives the examples.  Their vocabulary is the
-terms that stand in toxic examples more often than chance allows, judged on
-distinct contexts (neighbouring words), so a text that was copied many times
+terms (words and their beginnings) that stand in toxic examples more often than
+chance allows, judged on distinct contexts (neighbouring words), so a text that was copied many times
 counts once.  Document frequencies are counted over all documents.  Unit
 vectors of the examples form an inverted index in blocks with the largest
 weight of each term per block; a query visits blocks by falling upper bound
-until none can reach the k-th cosine, which keeps the result exact.  Votes are
+until none can reach the k-th cosine, which keeps the result exact.  All other words
+of a text are one background term, so that one such term in a long text is far
+from many of them.  Votes are
 weighted by distance and mapped to probabilities by isotonic regression on
 leave-one-out votes of the examples.
 """
@@ -26,13 +28,15 @@ from .scratch import written
 BLOCK = 128
 #: Distance at which a vote weighs half of one at distance 0.
 HALF = 0.1
+#: Beginnings of words, in bytes, that are terms besides the words: stems under many endings.
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 class BlockMaxIndex:
     """Unit TF-IDF vectors of labelled examples; exact top-k by cosine."""
 
     def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray):
-        self.idf = idf
+        self.idf = idf  # the last term is the background, whose counts are its weights
         # like vectors side by side make the bounds of a block tight; doc_id settles ties
         examples = sorted(examples, key=lambda x: (x[2].tobytes(), x[3].tobytes(), x[0]))
         self.ids = np.array([x[0] for x in examples], np.int64)
@@ -51,7 +55,7 @@ class BlockMaxIndex:
             self.blocks[int(t)] = (block, np.maximum.reduceat(self.weights[lo:hi], first), lo + np.r_[first, hi - lo])
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(counts)) * self.idf[terms]
+        weight = np.where(terms == len(self.idf) - 1, counts, (1 + np.log(counts)) * self.idf[terms])
         return weight / np.sqrt((weight * weight).sum())
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +113,7 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 20000, max_terms: int = 4096, k: int = 32, threshold: float = 0.3, modulus: int = 4, remainder: int = 2) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 20000, max_terms: int = 20000, purity: float = 0.85, k: int = 32, threshold: float = 0.3, modulus: int = 4, remainder: int = 2) -> DataFrame:
     """Score whole texts; one row per input row: doc_id, held_out, score, predicted, evidence.
 
     Examples are at most ``max_examples`` labelled rows (the first by hash of
@@ -125,30 +129,39 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
     column names do not matter, as only doc_id, text and ``label`` are read.
     """
     spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(~held_out(F.col("doc_id"), modulus, remainder)).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
     examples = written(texts.join(F.broadcast(known), "doc_id"))  # at most max_examples rows are broadcast
 
     def tokens(part):
+        """Terms with their rows and words, and the words with theirs; terms are all words, then the beginnings of longer ones."""
         found = W.words_of(part.column("text"), W.ALNUM_LOWER)
-        return found.hashes, np.repeat(np.arange(part.num_rows), np.diff(found.bounds))
+        row, word = np.repeat(np.arange(part.num_rows), np.diff(found.bounds)), np.arange(len(found.hashes))
+        terms, owners = [found.hashes], [word]
+        for length in PREFIXES:
+            long = word[found.ends - found.starts > length]
+            terms.append(W.prefix_hashes(found, long, length, W.ALNUM_LOWER))
+            owners.append(long)
+        owner = np.concatenate(owners)
+        return np.concatenate(terms), row[owner], owner, found.hashes, row
 
     def term_counts(batches):
         for batch in batches:
             for part in W.slices(batch):
-                term, row = tokens(part)
+                term, row, _, _, _ = tokens(part)
                 label = part.column("label").to_numpy()
                 pair = np.unique(np.stack([row.astype(np.uint64), term]), axis=1) if len(term) else np.zeros((2, 0), np.uint64)
                 toxic = label[pair[0].astype(np.int64)]
                 value, inverse = np.unique(pair[1], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(value))), pa.array(np.bincount(inverse, toxic, len(value)).astype(np.int64)), pa.array(np.full(len(value), len(term))), pa.array(np.full(len(value), int(label[row].sum())))], ["term", "n", "toxic", "words", "toxic_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(value))), pa.array(np.bincount(inverse, toxic, len(value)).astype(np.int64))], ["term", "n", "toxic"])
 
     n_examples, n_toxic = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (n_toxic + 0.5) / (n_examples + 5)
     share = n_toxic / n_examples if n_examples else 0.0
-    counted = examples.select("text", "label").mapInArrow(term_counts, "term long, n long, toxic long, words long, toxic_words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where("toxic >= 3")
+    counted = examples.select("text", "label").mapInArrow(term_counts, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where("toxic >= 3")
+    counted = written(counted)
     ratio = (F.col("toxic") / F.col("n")) / F.lit(max(share, 1e-9))
     candidates = counted.where(ratio > 1.5).orderBy((F.col("toxic") * F.log(ratio)).desc(), "term").limit(max_terms).collect()
     chosen = spark.sparkContext.broadcast(np.sort(np.array([r.term for r in candidates], np.int64).view(np.uint64)))
@@ -156,28 +169,28 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
     def contexts(batches):
         for batch in batches:
             for part in W.slices(batch):
-                term, row = tokens(part)
-                at = np.flatnonzero(np.isin(term, chosen.value))
-                edge = np.uint64(0)
-                left = np.where((at > 0) & (row[at - 1] == row[at]), term[at - 1], edge)
-                after = np.minimum(at + 1, max(0, len(term) - 1))
-                right = np.where((at + 1 < len(term)) & (row[after] == row[at]), term[after], edge)
+                term, _, owner, word, row = tokens(part)
+                keep = np.flatnonzero(np.isin(term, chosen.value))
+                at, edge = owner[keep], np.uint64(0)
+                left = np.where((at > 0) & (row[at - 1] == row[at]), word[at - 1], edge)
+                after = np.minimum(at + 1, max(0, len(word) - 1))
+                right = np.where((at + 1 < len(word)) & (row[after] == row[at]), word[after], edge)
                 label = part.column("label").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(term[at].view(np.int64)), pa.array(W.mix(left * np.uint64(3) + W.mix(right)).view(np.int64)), pa.array(label[row[at]].astype(np.int32))], ["term", "context", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(term[keep].view(np.int64)), pa.array(W.mix(left * np.uint64(3) + W.mix(right)).view(np.int64)), pa.array(label[row[at]].astype(np.int32))], ["term", "context", "label"])
 
     sizes = examples.select(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("n"), "label").agg(F.sum("n"), F.sum(F.col("n") * F.col("label"))).first()
     words_share = min(0.99, max(1e-6, (sizes[1] or 0) / max(1, sizes[0] or 1)))
     support = examples.select("text", "label").mapInArrow(contexts, "term long, context long, label int").distinct().groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).collect() if candidates else []
     g = surprise(np.array([r.toxic for r in support], float), np.array([r.n for r in support], float), words_share)
-    least = 2 * math.log(max(10, counted.where("toxic >= 3").count())) + 6
-    terms = spark.sparkContext.broadcast(np.sort(np.array([r.term for r, x in zip(support, g) if x >= least and r.toxic >= 3], np.int64).view(np.uint64)))
+    least = 2 * math.log(max(10, counted.count())) + 2
+    terms = spark.sparkContext.broadcast(np.sort(np.array([r.term for r, x in zip(support, g) if x >= least and r.toxic >= 3 and r.toxic >= purity * r.n], np.int64).view(np.uint64)))
 
     def vectors(batches):
         table = np.zeros(1 << 16, bool)  # drops most other words before the search
         table[(terms.value & np.uint64(0xFFFF)).astype(np.int64)] = True
         for batch in batches:
             for part in W.slices(batch):
-                term, row = tokens(part)
+                term, row, _, _, words = tokens(part)
                 keep = np.flatnonzero(table[(term & np.uint64(0xFFFF)).astype(np.int64)])
                 place = np.searchsorted(terms.value, term[keep])
                 same = place < len(terms.value)
@@ -185,19 +198,21 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
                 cell, count = np.unique(row[keep][same] * np.int64(len(terms.value) + 1) + place[same], return_counts=True)
                 own, cell = np.divmod(cell, len(terms.value) + 1)
                 edges = np.searchsorted(own, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges), pa.array(cell.astype(np.int32))), pa.ListArray.from_arrays(pa.array(edges), pa.array(count.astype(np.int32)))], ["doc_id", "terms", "counts"])
+                background = np.floor(np.log2(1 + np.diff(np.searchsorted(words, np.arange(part.num_rows + 1)))))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges), pa.array(cell.astype(np.int32))), pa.ListArray.from_arrays(pa.array(edges), pa.array(count.astype(np.int32))), pa.array(background.astype(np.int32))], ["doc_id", "terms", "counts", "background"])
 
-    made = written(texts.mapInArrow(vectors, "doc_id long, terms array<int>, counts array<int>"))
+    made = written(texts.mapInArrow(vectors, "doc_id long, terms array<int>, counts array<int>, background int"))
     total = made.count()
-    idf = np.full(len(terms.value), math.log(total + 1) + 1)
+    idf = np.full(len(terms.value) + 1, math.log(total + 1) + 1)
     for term, n in made.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # at most max_terms rows
         idf[term] = math.log((total + 1) / (n + 1)) + 1
     sample = made.join(F.broadcast(known), "doc_id").collect()  # at most max_examples documents
     bare = [r.label for r in sample if not r.terms]
-    index = BlockMaxIndex([(r.doc_id, r.label, np.array(r.terms, np.int64), np.array(r.counts, np.int64)) for r in sample if r.terms], idf)
+    full = [(r.doc_id, r.label, np.array(r.terms + [len(idf) - 1], np.int64), np.array(r.counts + [r.background], np.int64)) for r in sample if r.terms]
+    index = BlockMaxIndex(full, idf)
     empty = (sum(bare) + prior) / (len(bare) + 1)
     place = {int(x): i for i, x in enumerate(index.ids)}
-    left_out = [(index.vote(*index.nearest(np.array(r.terms), np.array(r.counts), k, place[r.doc_id]), prior), r.label) for r in sample if r.terms]
+    left_out = [(index.vote(*index.nearest(x[2], x[3], k, place[x[0]]), prior), x[1]) for x in full]
     knots = isotonic(np.array([x for x, _ in left_out]), np.array([float(y) for _, y in left_out]))
     model = spark.sparkContext.broadcast((index, knots, empty, prior))
 
@@ -206,11 +221,11 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
         seen: dict[bytes, tuple] = {}  # equal vectors get equal answers
         for batch in batches:
             scores, evidence = [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
+            for terms, counts, background in zip(*(batch.column(c).to_pylist() for c in ("terms", "counts", "background"))):
                 if not terms:
                     scores.append(empty), evidence.append([])
                     continue
-                terms, counts = np.array(terms, np.int64), np.array(counts, np.int64)
+                terms, counts = np.array(terms + [len(index.idf) - 1], np.int64), np.array(counts + [background], np.int64)
                 key = terms.tobytes() + counts.tobytes()
                 if key not in seen:
                     if len(seen) > 50_000:

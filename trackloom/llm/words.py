@@ -123,3 +123,12 @@ def rolling(hashes: np.ndarray, bounds: np.ndarray, size: int, seed: int) -> tup
     whole = np.repeat(bounds[1:], np.diff(bounds))[: n - size + 1]
     at = at[at + size <= whole]
     return mix((sums[at + size] - sums[at]) * powers(n, True)[at]), at
+
+
+def prefix_hashes(found: Words, which: np.ndarray, length: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Hashes of the first ``length`` bytes of some words, each of at least that length."""
+    total = np.zeros(len(which), np.uint64)
+    starts, mapping = found.starts[which], table[1]
+    for i in range(length):
+        total += (mapping[found.data[starts + i]].astype(np.uint64) + np.uint64(1)) * powers(length)[i]
+    return mix(total ^ mix(np.uint64([length])))
