@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,10 +192,10 @@ def repeated_windows(documents: DataFrame, size: int = 50, gram: int = 8, width_
         if not len(table):
             return
         table = table.combine_chunks()
-        sizes = pa.compute.list_value_length(table.column("at")).to_numpy()
+        sizes = pc.list_value_length(table.column("at")).to_numpy()
         row = np.repeat(np.arange(len(table)), sizes)
-        at = pa.compute.list_flatten(table.column("at")).to_numpy()
-        window = pa.compute.list_flatten(table.column("window")).to_numpy()
+        at = pc.list_flatten(table.column("at")).to_numpy()
+        window = pc.list_flatten(table.column("window")).to_numpy()
         low, ids = table.column("anchor").to_numpy()[row], table.column("doc_id").to_numpy()[row]
         order = np.lexsort((ids, low, window))
         new = np.ones(len(order), bool)
@@ -215,22 +216,25 @@ def repeated_windows(documents: DataFrame, size: int = 50, gram: int = 8, width_
     return there.unionByName(elsewhere).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("runs")).select("doc_id", "key", F.col("runs.first").alias("firsts"), F.col("runs.last").alias("lasts"))
 
 
-def substring_dedup(documents: DataFrame, size: int = 50, keep_text: bool = False, width_bits: int = 26, separator: str = " ") -> DataFrame:
+def substring_dedup(documents: DataFrame, size: int = 50, keep: tuple[str, ...] = (), keep_text: bool = False, width_bits: int = 26) -> DataFrame:
     """Remove every word covered by a window that also starts in a document with a smaller id.
 
     Words are maximal runs of bytes other than ASCII white space, unchanged; a
     window is ``size`` consecutive words of one document, judged on the input.
-    Returns one row per input row: doc_id, n_words, n_removed, kept_sha256 (of
-    the kept words joined by one space), and ``text`` with ``keep_text``.
+    Returns one row per input row: doc_id, n_words, n_removed, kept_sha256 (of the
+    kept words joined by one space), the ``keep`` columns, and with
+    ``keep_text`` the ``text`` that is left (as it was if nothing went).
 
     Null and empty texts have no words.  A row without doc_id keeps its words
     and removes none elsewhere.  Rows with one doc_id are one document as far
     as "smaller" goes, so they never remove from each other.  Other columns are
     ignored.  An empty table gives an empty result.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    others = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others).withColumn("key", F.xxhash64("text"))
     found = repeated_windows(texts, size, width_bits=width_bits)
-    joined = texts.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "firsts", "lasts")
+    carried = [f"keep_{i}" for i in range(len(keep))]
+    joined = texts.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "firsts", "lasts", *carried)
 
     def cut(batches):
         for batch in batches:
@@ -253,6 +257,8 @@ def substring_dedup(documents: DataFrame, size: int = 50, keep_text: bool = Fals
                     if keep_text:
                         out[3].append(body.decode() if len(kept) < hi - lo else part.column("text")[i].as_py())
                 columns = [part.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(out[3], pa.string())] * keep_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text)
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(out[3], pa.string())] * keep_text + [part.column(c) for c in carried], ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text + carried)
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
+    fields = "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in carried)
+    result = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text + fields)
+    return result.withColumnsRenamed(dict(zip(carried, keep)))
