@@ -42,11 +42,11 @@ def write_flat(obs: DataFrame, path: str, n_frames: int, n_points: int, n_cams:
     """The wide layout, every frame a line, ``%.6f`` and NaN."""
     spark = obs.sparkSession
     keys = [f"pt{p}_cam{c}" for p in range(1, n_points + 1) for c in range(1, n_cams + 1)]
-    number = lambda c: F.coalesce(F.format_string("%.6f", c), F.lit("NaN"))
+    number = lambda c: F.when(c.isNotNull(), F.format_string("%.6f", c)).otherwise("NaN")
     named = obs.where("u IS NOT NULL AND v IS NOT NULL").select("frame", F.format_string("pt%d_cam%d", "point", "cam").alias("k"), "u", "v")
     wide = named.groupBy("frame").pivot("k", keys).agg(F.first("u").alias("X"), F.first("v").alias("Y"))
     frames = spark.range(1, n_frames + 1).select(F.col("id").cast("int").alias("frame"))
-    out = frames.join(wide, "frame", "left").orderBy("frame").select(*[number(F.when(F.col(f"{k}_{a}").isNotNull(), F.col(f"{k}_{a}"))).alias(f"{k}_{a}") for k in keys for a in ("X", "Y")])
+    out = frames.join(wide, "frame", "left").orderBy("frame").select(*[number(F.col(f"{k}_{a}")).alias(f"{k}_{a}") for k in keys for a in ("X", "Y")])
     out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
