@@ -163,7 +163,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, keep: tuple[
     def encode(batches):
         encoder = encoder_of(key, ranks.value, pattern)
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, size=W.SMALL_SLICE):
                 texts = [text or "" for text in part.column("text").to_pylist()]
                 found = encoder.encode_all(texts)
                 columns = [part.column(c) for c in (*keep, "doc_id")]

@@ -124,7 +124,7 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
 
     def sign(batches):
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, size=W.SMALL_SLICE):
                 found = W.words_of(part.column("text"))
                 shingles, bounds = shingles_of(found)
                 labels = occurrence_labels(shingles, np.repeat(np.arange(part.num_rows), np.diff(bounds)))

@@ -115,7 +115,7 @@ def pack(documents: DataFrame, path: str, pattern: str, length: int = 2048, end_
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
         pack_id, held, size = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, size=W.SMALL_SLICE):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = np.array([*encoding.encode_ordinary(text or ""), end_id], "<u2")
                     held.append((doc_id, ids))

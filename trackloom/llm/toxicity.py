@@ -149,7 +149,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
 
     def term_counts(batches):
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, size=W.SMALL_SLICE):
                 term, row, _, _, _ = tokens(part)
                 label = part.column("label").to_numpy()
                 pair = np.unique(np.stack([row.astype(np.uint64), term]), axis=1) if len(term) else np.zeros((2, 0), np.uint64)
@@ -168,7 +168,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
 
     def contexts(batches):
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, size=W.SMALL_SLICE):
                 term, _, owner, word, row = tokens(part)
                 keep = np.flatnonzero(np.isin(term, chosen.value))
                 at, edge = owner[keep], np.uint64(0)
@@ -189,7 +189,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
         table = np.zeros(1 << 16, bool)  # drops most other words before the search
         table[(terms.value & np.uint64(0xFFFF)).astype(np.int64)] = True
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, size=W.SMALL_SLICE):
                 term, row, _, _, words = tokens(part)
                 keep = np.flatnonzero(table[(term & np.uint64(0xFFFF)).astype(np.int64)])
                 place = np.searchsorted(terms.value, term[keep])

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+#: For tasks with many numbers per word.
+SMALL_SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -52,7 +54,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "base"
     have = _powers.get(key)
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES), _UNBASE if inverse else _BASE, np.uint64)
+        steps = np.full(max(n, SMALL_SLICE), _UNBASE if inverse else _BASE, np.uint64)
         steps[0] = 1
         have = _powers[key] = np.multiply.accumulate(steps)
     return have[:n]
@@ -99,12 +101,12 @@ def words_of(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = SPACED) ->
     return Words(hashes, np.searchsorted(starts, offsets), starts, ends, raw)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch between rows so that a slice holds about SLICE_BYTES of text; a longer row stands alone."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch between rows so that a slice holds about ``size`` bytes of text; a longer row stands alone."""
     if not batch.num_rows:
         return
     lengths = pc.binary_length(batch.column(column).cast(pa.large_binary()).fill_null(b"")).to_numpy(zero_copy_only=False)
-    part = np.cumsum(lengths) // SLICE_BYTES
+    part = np.cumsum(lengths) // size
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for lo, hi in zip(edges, edges[1:]):
         if hi > lo:
