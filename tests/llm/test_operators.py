@@ -90,6 +90,30 @@ def test_near_dedup(spark):
         assert r.group_id == (None if r.doc_id is None else find(r.doc_id)) and r.kept == (r.doc_id is None or r.group_id == r.doc_id)
 
 
+def test_near_dedup_follows_drift(spark):
+    rng = random.Random(11)
+    words = [f"d{i}" for i in range(520)]
+    rows = [(100 - i, " ".join(words[8 * i : 8 * i + 150])) for i in range(45)]  # each text resembles its neighbours only
+    rng.shuffle(rows)
+    assert {r.group_id for r in near_dedup.near_dedup(docs(spark, rows)).collect()} == {56}
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_texts_in_different_groups_meet(spark, block):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        cells = np.bincount(np.arange(size := rng.choice([60, 100, 104])) % 128, minlength=128).astype("<i4").tobytes()
+        rows.append((i, size, [rng.randrange(4) for _ in range(6)], cells))
+    homes = {i: i % 5 if i < 30 else i for i in range(40)}
+    classes = spark.createDataFrame(rows, "class_id long, size long, keys array<long>, cells binary")
+    groups = spark.createDataFrame([(i, h) for i, h in homes.items() if i < 30], "node long, component long")
+    got = [tuple(r) for r in near_dedup.still_apart(classes, groups, 0.8, 2, block).collect()]
+    pairs = itertools.combinations(rows, 2)
+    expected = {(y[0], x[0]) for x, y in pairs if homes[x[0]] != homes[y[0]] and min(x[1], y[1]) >= 0.8 * max(x[1], y[1]) and sum(a == b for a, b in zip(x[2], y[2])) >= 2}
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_banded_lcs_is_exact():
     rng = random.Random(4)
 

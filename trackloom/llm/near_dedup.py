@@ -8,9 +8,12 @@ follows edit similarity.  Texts that agree in at least ``agree`` sketches are
 aligned, and linked if matched / (m + n - matched) >= ``threshold`` where
 matched is the longest common subsequence of their m and n shingles.
 
-Buckets are never expanded into pairs: each text meets the first text of each
-of its buckets, and of each pair of neighbouring buckets, and groups are the
-connected components of what verifies.
+Each text first meets the first text of each of its buckets, and of each pair
+of neighbouring buckets.  What verifies forms groups.  Only texts that share a
+bucket and are still in different groups meet then, so a bucket of thousands of
+near copies costs as many alignments as it has texts, and yet no pair that
+agrees in ``agree`` sketches is left out.  Groups are the connected components
+of all links.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .components import components
 from .scratch import written
 
 SHINGLE = 5
+#: Cells of the histogram of a text's labelled shingles.
+CELLS = 128
 
 
 def occurrence_labels(shingles: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -108,6 +113,39 @@ def shingles_of(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return shingles, np.searchsorted(row, np.arange(len(found.bounds)))
 
 
+def still_apart(classes: DataFrame, groups: DataFrame, threshold: float, agree: int, block: int = 512) -> DataFrame:
+    """Pairs (class_id, first) of texts in different groups that agree in ``agree`` sketches and whose lengths allow ``threshold``.
+
+    Buckets within one group are passed over.  The others are cut into blocks
+    of about ``block`` texts and every two blocks meet in a cell of their own,
+    so no task holds a bucket.  Histograms of the labelled shingles bound what
+    two texts can share from above; pairs below the threshold by that bound
+    are never aligned, and their texts never meet.
+    """
+    homes = classes.join(groups, F.col("class_id") == F.col("node"), "left").select("class_id", "size", F.coalesce("component", "class_id").alias("home"), "keys")
+    spots = homes.select("class_id", "size", "home", F.posexplode("keys").alias("band", "key")).select("class_id", "size", "home", F.xxhash64("band", "key").alias("bucket"))
+    mixed = spots.groupBy("bucket").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count("*").alias("n")).where("low < high")
+    blocks = F.ceil(F.col("n") / block)
+    members = spots.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    cells = written(members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "class_id", "size", "home"))
+    x, y = cells.alias("x"), cells.alias("y")
+    sizes = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")
+    meet = (F.col("x.class_id") > F.col("y.class_id")) & (F.col("x.home") != F.col("y.home")) & sizes & ((F.col("x.block") != F.col("y.block")) | (F.col("x.low") == F.col("x.high")))
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    shared = x.join(y, same & meet).groupBy(F.col("x.class_id").alias("class_id"), F.col("y.class_id").alias("first")).agg(F.count("*").alias("n"))
+    pairs = shared.where(F.col("n") >= agree).select("class_id", "first")
+
+    def within_reach(batches):
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, CELLS) for c in ("cells", "first_cells"))
+            most, total = np.minimum(one, other).sum(axis=1), one.sum(axis=1) + other.sum(axis=1)
+            yield batch.select(["class_id", "first"]).filter(pa.array(most * (1 + threshold) >= threshold * total - 1e-6))
+
+    one, other = classes.select("class_id", "cells"), classes.select(F.col("class_id").alias("first"), F.col("cells").alias("first_cells"))
+    return pairs.join(one, "class_id").join(other, "first").select("class_id", "first", "cells", "first_cells").mapInArrow(within_reach, "class_id long, first long")
+
+
 def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24, picks: int = 4, agree: int = 2, seed: int = 42) -> DataFrame:
     """One row per input row: doc_id, class_id, group_id, kept.
 
@@ -128,23 +166,24 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
                 found = W.words_of(part.column("text"))
                 shingles, bounds = shingles_of(found)
                 labels = occurrence_labels(shingles, np.repeat(np.arange(part.num_rows), np.diff(bounds)))
-                a, b, keys = [], [], []
+                a, b, keys, cells, sizes = [], [], [], [], np.diff(bounds)
                 place = W.mix(np.arange(int(np.diff(found.bounds).max(initial=0)), dtype=np.uint64) + np.uint64(99))
                 for i in range(part.num_rows):
                     own = found.hashes[found.bounds[i] : found.bounds[i + 1]]
                     if not len(own):
-                        a.append(None), b.append(None), keys.append(None)
+                        a.append(None), b.append(None), keys.append(None), cells.append(None)
                         continue
                     sums = W.mix(own + place[: len(own)]), W.mix(own ^ place[: len(own)])
                     a.append(int(np.add.reduce(sums[0]).astype(np.int64)))
                     b.append(int(np.add.reduce(sums[1]).astype(np.int64)))
                     keys.append(order_sketches(labels[bounds[i] : bounds[i + 1]], factors, picks).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "a", "b", "keys"])
+                    cells.append(np.bincount((labels[bounds[i] : bounds[i + 1]] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.binary())], ["doc_id", "a", "b", "size", "keys", "cells"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(texts.mapInArrow(sign, "doc_id long, a long, b long, keys array<long>"))
+    signed = written(texts.mapInArrow(sign, "doc_id long, a long, b long, size long, keys array<long>, cells binary"))
     full = signed.where("a is not null and doc_id is not null")
-    classes = written(full.groupBy("a", "b").agg(F.min("doc_id").alias("class_id"), F.min("keys").alias("keys")))
+    classes = written(full.groupBy("a", "b").agg(F.min("doc_id").alias("class_id"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.min("cells").alias("cells")))
 
     spots = classes.select("class_id", "keys", F.posexplode("keys").alias("band", "key")).select(
         "class_id", F.explode(F.array(F.xxhash64("band", "key"), F.xxhash64("band", "key", F.get("keys", (F.col("band") + 1) % sketches)))).alias("bucket"))
@@ -168,9 +207,15 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     ids = texts.where("doc_id is not null")
-    aligned = pairs.join(ids.select(F.col("doc_id").alias("class_id"), "text"), "class_id").join(ids.select(F.col("doc_id").alias("first"), F.col("text").alias("first_text")), "first")
-    links = aligned.select(F.col("class_id").alias("a"), F.col("first").alias("b"), "text", "first_text").mapInArrow(verify, "a long, b long")
-    groups = components(links)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, other = ids.select(F.col("doc_id").alias("class_id"), "text"), ids.select(F.col("doc_id").alias("first"), F.col("text").alias("first_text"))
+        aligned = pairs.join(one, "class_id").join(other, "first")
+        return written(aligned.select(F.col("class_id").alias("a"), F.col("first").alias("b"), "text", "first_text").mapInArrow(verify, "a long, b long"))
+
+    links = verified(pairs)
+    apart = written(still_apart(classes, components(links), threshold, agree))
+    groups = components(links.unionByName(verified(apart)))
     named = classes.select("a", "b", "class_id").join(groups, F.col("class_id") == F.col("node"), "left").select("a", "b", "class_id", F.coalesce("component", "class_id").alias("group_id"))
     out = signed.select("doc_id", "a", "b").join(named, ["a", "b"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id"))
