@@ -28,8 +28,6 @@ from .components import components
 from .scratch import written
 
 SHINGLE = 5
-#: Cells of the histogram of a text's labelled shingles.
-CELLS = 128
 
 
 def occurrence_labels(shingles: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -113,37 +111,58 @@ def shingles_of(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return shingles, np.searchsorted(row, np.arange(len(found.bounds)))
 
 
-def still_apart(classes: DataFrame, groups: DataFrame, threshold: float, agree: int, block: int = 512) -> DataFrame:
-    """Pairs (class_id, first) of texts in different groups that agree in ``agree`` sketches and whose lengths allow ``threshold``.
+def still_apart(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, agree: int, block: int = 512) -> DataFrame:
+    """Pairs (class_id, first) of texts in different groups that agree in ``agree`` sketches and may reach ``threshold``.
 
     Buckets within one group are passed over.  The others are cut into blocks
     of about ``block`` texts and every two blocks meet in a cell of their own,
-    so no task holds a bucket.  Histograms of the labelled shingles bound what
-    two texts can share from above; pairs below the threshold by that bound
-    are never aligned, and their texts never meet.
+    so no task holds a bucket.  A cell compares sketches, lengths and then the
+    sets of labelled shingles, which bound what two texts can share from above;
+    only pairs that the bound lets through leave the cell, each from the cell of
+    its first common sketch, and their texts are aligned.
     """
     homes = classes.join(groups, F.col("class_id") == F.col("node"), "left").select("class_id", "size", F.coalesce("component", "class_id").alias("home"), "keys")
-    spots = homes.select("class_id", "size", "home", F.posexplode("keys").alias("band", "key")).select("class_id", "size", "home", F.xxhash64("band", "key").alias("bucket"))
-    mixed = spots.groupBy("bucket").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count("*").alias("n")).where("low < high")
+    spots = homes.select("class_id", "home", F.posexplode("keys").alias("band", "key")).select("class_id", "home", "band", F.xxhash64("band", "key").alias("bucket"))
+    mixed = spots.groupBy("bucket").agg(F.min("home").alias("least"), F.max("home").alias("most"), F.count("*").alias("n")).where("least < most")
     blocks = F.ceil(F.col("n") / block)
     members = spots.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
     cells = written(members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "class_id", "size", "home"))
-    x, y = cells.alias("x"), cells.alias("y")
-    sizes = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")
-    meet = (F.col("x.class_id") > F.col("y.class_id")) & (F.col("x.home") != F.col("y.home")) & sizes & ((F.col("x.block") != F.col("y.block")) | (F.col("x.low") == F.col("x.high")))
-    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    shared = x.join(y, same & meet).groupBy(F.col("x.class_id").alias("class_id"), F.col("y.class_id").alias("first")).agg(F.count("*").alias("n"))
-    pairs = shared.where(F.col("n") >= agree).select("class_id", "first")
-
-    def within_reach(batches):
-        for batch in batches:
-            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, CELLS) for c in ("cells", "first_cells"))
-            most, total = np.minimum(one, other).sum(axis=1), one.sum(axis=1) + other.sum(axis=1)
-            yield batch.select(["class_id", "first"]).filter(pa.array(most * (1 + threshold) >= threshold * total - 1e-6))
+        "bucket", "band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "class_id"))
 
-    one, other = classes.select("class_id", "cells"), classes.select(F.col("class_id").alias("first"), F.col("cells").alias("first_cells"))
-    return pairs.join(one, "class_id").join(other, "first").select("class_id", "first", "cells", "first_cells").mapInArrow(within_reach, "class_id long, first long")
+    def bags(batches):
+        for batch in batches:
+            for part in W.slices(batch, size=W.SMALL_SLICE):
+                shingles, bounds = shingles_of(W.words_of(part.column("text")))
+                labels = (occurrence_labels(shingles, np.repeat(np.arange(part.num_rows), np.diff(bounds))) >> np.uint64(32)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([part.column("class_id"), pa.array([np.unique(labels[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])], pa.binary())], ["class_id", "bag"])
+
+    wanted = cells.select("class_id").distinct()
+    bagged = written(texts.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id").select("class_id", "text").mapInArrow(bags, "class_id long, bag binary"))
+
+    def meet(cell: pa.Table) -> pa.Table:
+        ids, homes, sizes, block = (cell.column(c).to_numpy() for c in ("class_id", "home", "size", "block"))
+        low, high, band = (cell.column(c)[0].as_py() for c in ("low", "high", "band"))
+        keys = cell.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        bag = [np.frombuffer(x, "<u4") for x in cell.column("bag").to_pylist()]
+        right, pairs = np.flatnonzero(block == high), []
+        for i in np.flatnonzero(block == low):
+            same = keys[right] == keys[i]
+            lengths = np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i])
+            fits = lengths & (same.sum(axis=1) >= agree) & (same.argmax(axis=1) == band) & (homes[right] != homes[i])
+            near = right[fits & (ids[right] < ids[i])] if low == high else right[fits]
+            if not len(near):
+                continue
+            theirs = np.concatenate([bag[j] for j in near])
+            at = np.minimum(np.searchsorted(bag[i], theirs), len(bag[i]) - 1)
+            starts = np.cumsum([0, *(len(bag[j]) for j in near[:-1])])
+            # labels of one text that fall on one number count as shared
+            most = np.add.reduceat((bag[i][at] == theirs).astype(np.int64), starts) + sizes[i] - len(bag[i])
+            pairs.append(np.stack(np.broadcast_arrays(ids[i], ids[near[most * (1 + threshold) >= threshold * (sizes[i] + sizes[near]) - 1e-6]])))
+        found = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
+        return pa.table({"class_id": found.max(axis=0), "first": found.min(axis=0)})
+
+    full = cells.join(homes, "class_id").join(bagged, "class_id").select("bucket", "band", "low", "high", "block", "class_id", "home", "size", "keys", "bag")
+    return full.groupBy("bucket", "band", "low", "high").applyInArrow(meet, "class_id long, first long").distinct()
 
 
 def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24, picks: int = 4, agree: int = 2, seed: int = 42) -> DataFrame:
@@ -166,24 +185,23 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
                 found = W.words_of(part.column("text"))
                 shingles, bounds = shingles_of(found)
                 labels = occurrence_labels(shingles, np.repeat(np.arange(part.num_rows), np.diff(bounds)))
-                a, b, keys, cells, sizes = [], [], [], [], np.diff(bounds)
+                a, b, keys, sizes = [], [], [], np.diff(bounds)
                 place = W.mix(np.arange(int(np.diff(found.bounds).max(initial=0)), dtype=np.uint64) + np.uint64(99))
                 for i in range(part.num_rows):
                     own = found.hashes[found.bounds[i] : found.bounds[i + 1]]
                     if not len(own):
-                        a.append(None), b.append(None), keys.append(None), cells.append(None)
+                        a.append(None), b.append(None), keys.append(None)
                         continue
                     sums = W.mix(own + place[: len(own)]), W.mix(own ^ place[: len(own)])
                     a.append(int(np.add.reduce(sums[0]).astype(np.int64)))
                     b.append(int(np.add.reduce(sums[1]).astype(np.int64)))
                     keys.append(order_sketches(labels[bounds[i] : bounds[i + 1]], factors, picks).view(np.int64))
-                    cells.append(np.bincount((labels[bounds[i] : bounds[i + 1]] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.binary())], ["doc_id", "a", "b", "size", "keys", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "a", "b", "size", "keys"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(texts.mapInArrow(sign, "doc_id long, a long, b long, size long, keys array<long>, cells binary"))
+    signed = written(texts.mapInArrow(sign, "doc_id long, a long, b long, size long, keys array<long>"))
     full = signed.where("a is not null and doc_id is not null")
-    classes = written(full.groupBy("a", "b").agg(F.min("doc_id").alias("class_id"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.min("cells").alias("cells")))
+    classes = written(full.groupBy("a", "b").agg(F.min("doc_id").alias("class_id"), F.min("size").alias("size"), F.min("keys").alias("keys")))
 
     spots = classes.select("class_id", "keys", F.posexplode("keys").alias("band", "key")).select(
         "class_id", F.explode(F.array(F.xxhash64("band", "key"), F.xxhash64("band", "key", F.get("keys", (F.col("band") + 1) % sketches)))).alias("bucket"))
@@ -214,7 +232,7 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
         return written(aligned.select(F.col("class_id").alias("a"), F.col("first").alias("b"), "text", "first_text").mapInArrow(verify, "a long, b long"))
 
     links = verified(pairs)
-    apart = written(still_apart(classes, components(links), threshold, agree))
+    apart = written(still_apart(ids, classes, components(links), threshold, agree))
     groups = components(links.unionByName(verified(apart)))
     named = classes.select("a", "b", "class_id").join(groups, F.col("class_id") == F.col("node"), "left").select("a", "b", "class_id", F.coalesce("component", "class_id").alias("group_id"))
     out = signed.select("doc_id", "a", "b").join(named, ["a", "b"], "left")
