@@ -111,58 +111,74 @@ def shingles_of(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return shingles, np.searchsorted(row, np.arange(len(found.bounds)))
 
 
-def still_apart(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, agree: int, block: int = 512) -> DataFrame:
-    """Pairs (class_id, first) of texts in different groups that agree in ``agree`` sketches and may reach ``threshold``.
+def still_apart(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, agree: int, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Pairs (class_id, first), and their texts (doc_id, text), of texts in different groups that agree in ``agree`` sketches and may reach ``threshold``.
 
     Buckets within one group are passed over.  The others are cut into blocks
     of about ``block`` texts and every two blocks meet in a cell of their own,
-    so no task holds a bucket.  A cell compares sketches, lengths and then the
-    sets of labelled shingles, which bound what two texts can share from above;
-    only pairs that the bound lets through leave the cell, each from the cell of
-    its first common sketch, and their texts are aligned.
+    so no task holds a bucket.  A cell first compares sketches and lengths and
+    keeps the texts with a partner; only these are given their sets of labelled
+    shingles, which bound what two texts can share from above.  Only pairs that
+    the bound lets through leave the cell, each from the cell of its first
+    common sketch, and their texts are aligned.
     """
     homes = classes.join(groups, F.col("class_id") == F.col("node"), "left").select("class_id", "size", F.coalesce("component", "class_id").alias("home"), "keys")
     spots = homes.select("class_id", "home", F.posexplode("keys").alias("band", "key")).select("class_id", "home", "band", F.xxhash64("band", "key").alias("bucket"))
     mixed = spots.groupBy("bucket").agg(F.min("home").alias("least"), F.max("home").alias("most"), F.count("*").alias("n")).where("least < most")
     blocks = F.ceil(F.col("n") / block)
     members = spots.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
-    cells = written(members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "bucket", "band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "class_id"))
+    cells = members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "bucket", "band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "class_id")
 
-    def bags(batches):
-        for batch in batches:
-            for part in W.slices(batch, size=W.SMALL_SLICE):
-                shingles, bounds = shingles_of(W.words_of(part.column("text")))
-                labels = (occurrence_labels(shingles, np.repeat(np.arange(part.num_rows), np.diff(bounds))) >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([part.column("class_id"), pa.array([np.unique(labels[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])], pa.binary())], ["class_id", "bag"])
-
-    wanted = cells.select("class_id").distinct()
-    bagged = written(texts.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id").select("class_id", "text").mapInArrow(bags, "class_id long, bag binary"))
-
-    def meet(cell: pa.Table) -> pa.Table:
+    def partners(cell):
+        """(i, those that row i may be linked with) for the rows of the lower block."""
         ids, homes, sizes, block = (cell.column(c).to_numpy() for c in ("class_id", "home", "size", "block"))
         low, high, band = (cell.column(c)[0].as_py() for c in ("low", "high", "band"))
         keys = cell.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        bag = [np.frombuffer(x, "<u4") for x in cell.column("bag").to_pylist()]
-        right, pairs = np.flatnonzero(block == high), []
+        right = np.flatnonzero(block == high)
         for i in np.flatnonzero(block == low):
             same = keys[right] == keys[i]
             lengths = np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i])
             fits = lengths & (same.sum(axis=1) >= agree) & (same.argmax(axis=1) == band) & (homes[right] != homes[i])
             near = right[fits & (ids[right] < ids[i])] if low == high else right[fits]
-            if not len(near):
-                continue
+            if len(near):
+                yield i, near
+
+    def with_partners(cell: pa.Table) -> pa.Table:
+        has = np.zeros(cell.num_rows, bool)
+        for i, near in partners(cell):
+            has[i] = has[near] = True
+        return cell.filter(pa.array(has))
+
+    columns = "bucket long, band int, low long, high long, block long, class_id long, size long, home long, keys array<long>"
+    cell = ("bucket", "band", "low", "high")
+    close = cells.join(homes, "class_id").select(*cell, "block", "class_id", "size", "home", "keys").groupBy(*cell).applyInArrow(with_partners, columns)
+    close = written(close)
+    chosen = written(texts.join(close.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"))
+
+    def bags(batches):
+        for batch in batches:
+            for part in W.slices(batch, size=W.SMALL_SLICE):
+                shingles, bounds = shingles_of(W.words_of(part.column("text")))
+                labels = (occurrence_labels(shingles, np.repeat(np.arange(part.num_rows), np.diff(bounds))) >> np.uint64(32)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([np.unique(labels[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])], pa.binary())], ["class_id", "bag"])
+
+    def meet(cell: pa.Table) -> pa.Table:
+        ids, sizes = cell.column("class_id").to_numpy(), cell.column("size").to_numpy()
+        bag = [np.frombuffer(x, "<u4") for x in cell.column("bag").to_pylist()]
+        pairs = [np.empty((2, 0), np.int64)]
+        for i, near in partners(cell):
             theirs = np.concatenate([bag[j] for j in near])
             at = np.minimum(np.searchsorted(bag[i], theirs), len(bag[i]) - 1)
             starts = np.cumsum([0, *(len(bag[j]) for j in near[:-1])])
             # labels of one text that fall on one number count as shared
             most = np.add.reduceat((bag[i][at] == theirs).astype(np.int64), starts) + sizes[i] - len(bag[i])
             pairs.append(np.stack(np.broadcast_arrays(ids[i], ids[near[most * (1 + threshold) >= threshold * (sizes[i] + sizes[near]) - 1e-6]])))
-        found = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
+        found = np.concatenate(pairs, axis=1)
         return pa.table({"class_id": found.max(axis=0), "first": found.min(axis=0)})
 
-    full = cells.join(homes, "class_id").join(bagged, "class_id").select("bucket", "band", "low", "high", "block", "class_id", "home", "size", "keys", "bag")
-    return full.groupBy("bucket", "band", "low", "high").applyInArrow(meet, "class_id long, first long").distinct()
+    bagged = chosen.mapInArrow(bags, "class_id long, bag binary")
+    return close.join(bagged, "class_id").groupBy(*cell).applyInArrow(meet, "class_id long, first long").distinct(), chosen
 
 
 def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24, picks: int = 4, agree: int = 2, seed: int = 42) -> DataFrame:
@@ -226,14 +242,14 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
 
     ids = texts.where("doc_id is not null")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, other = ids.select(F.col("doc_id").alias("class_id"), "text"), ids.select(F.col("doc_id").alias("first"), F.col("text").alias("first_text"))
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        one, other = texts.select(F.col("doc_id").alias("class_id"), "text"), texts.select(F.col("doc_id").alias("first"), F.col("text").alias("first_text"))
         aligned = pairs.join(one, "class_id").join(other, "first")
         return written(aligned.select(F.col("class_id").alias("a"), F.col("first").alias("b"), "text", "first_text").mapInArrow(verify, "a long, b long"))
 
-    links = verified(pairs)
-    apart = written(still_apart(ids, classes, components(links), threshold, agree))
-    groups = components(links.unionByName(verified(apart)))
+    links = verified(pairs, ids)
+    apart, near_texts = still_apart(ids, classes, components(links), threshold, agree)
+    groups = components(links.unionByName(verified(written(apart), near_texts)))
     named = classes.select("a", "b", "class_id").join(groups, F.col("class_id") == F.col("node"), "left").select("a", "b", "class_id", F.coalesce("component", "class_id").alias("group_id"))
     out = signed.select("doc_id", "a", "b").join(named, ["a", "b"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id"))
