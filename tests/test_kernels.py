@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import calibrate, edits, kernels, solve, tables, timeseries, uncertainty
 from trackloom.plans import fixtures as X
+from trackloom.plans import queries
 from trackloom.sources import files, video
 from trackloom.streaming import tracker
 
@@ -102,6 +103,11 @@ def test_bootstrap_follows_noise(spark):
     assert ci.count() == 81 and 0 < ci.agg(F.avg("sd")).first()[0] < 0.1
 
 
+def test_registered_intervals_take_all_replicates(spark):
+    plan = queries.confidence_intervals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "Range (0, 250," in plan
+
+
 def test_edits_are_inverse(spark):
     obs = spark.createDataFrame([("t", f, p, c, float(f), float(p)) for f in range(3) for p in (1, 2, 3) for c in (1, 2)], edits_schema())
     twice = edits.swap_points(edits.swap_points(obs, 1, 3, 0, 1), 1, 3, 0, 1)

@@ -393,7 +393,7 @@ def calibration_left_out(spark, sf):
 @query()
 def confidence_intervals(spark, sf):
     obs = X.observations(spark, sf)
-    return uncertainty.bootstrap(obs, X.cameras(spark), replicates=20)
+    return uncertainty.bootstrap(obs, X.cameras(spark))
 
 
 @query()
