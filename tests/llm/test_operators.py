@@ -220,6 +220,19 @@ def test_toxicity_held_out(spark):
     assert len(none) == 5 and len({r.score for r in none}) == 1
 
 
+def test_toxicity_finds_copies_without_a_lexicon_term(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"plain{rng.randrange(400)}" for _ in range(30))
+    rows = [(i, text() + (" vile hateful" if i % 6 == 0 else "")) for i in range(600)]
+    labels = [(i, int(i % 6 == 0)) for i in range(600)]
+    rare = next(i for i in range(600, 700) if zlib.crc32(str(i).encode()) % 4 != 2)  # toxic by words of its own
+    rows += [(rare, "grimble snark wozzle fnord " + text()), (1000, text())]
+    rows.append((1001, rows[-2][1]))
+    got = {r.doc_id: r for r in toxicity.toxicity(docs(spark, rows), spark.createDataFrame([*labels, (rare, 1)], "doc_id long, toxic int")).where("doc_id >= 1000").collect()}
+    assert got[1001].evidence[0].doc_id == rare and got[1001].evidence[0].cosine == pytest.approx(1) and got[1001].predicted == 1
+    assert got[1000].evidence and got[1000].predicted == 0
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(5)
     idf = np.append(rng.random(30) + 0.5, 1.0)

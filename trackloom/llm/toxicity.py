@@ -1,90 +1,125 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows gives the examples.  Their vocabulary is the
-terms (words and their beginnings) that stand in toxic examples more often than
+A bounded sample of labelled rows gives the examples.  All their words are
+terms, so every text that shares a word with an example meets its nearest ones;
+words outside the examples are no terms.  A lexicon weighs extra: the terms
+(words and their beginnings) that stand in toxic examples more often than
 chance allows, judged on distinct contexts (neighbouring words), so a text that was copied many times
-counts once.  Document frequencies are counted over all documents.  Unit
-vectors of the examples form an inverted index in blocks with the largest
-weight of each term per block; a query visits blocks by falling upper bound
-until none can reach the k-th cosine, which keeps the result exact.  All other words
-of a text are one background term, so that one such term in a long text is far
-from many of them.  Votes are
+counts once.  Document frequencies are counted over all documents.  The plain
+words' part of a vector has the length of the logarithm of the text's words,
+so that one lexicon term in a long text is far from many of them.  Every
+example is scored, which keeps the search exact.  Votes are
 weighted by distance and mapped to probabilities by isotonic regression on
 leave-one-out votes of the examples.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .scratch import written
 
-BLOCK = 128
-#: Distance at which a vote weighs half of one at distance 0.
+#: Queries scored together, and the most terms that have a dense row.
+TOGETHER, DENSE = 64, 1024
+#: More than single precision can err on a cosine.
+SLACK = 1e-4
+#: Distance at which a vote weighs a quarter of one at distance 0.
 HALF = 0.1
 #: Beginnings of words, in bytes, that are terms besides the words: stems under many endings.
 PREFIXES = (4, 5, 6, 7, 8)
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of labelled examples; exact top-k by cosine."""
+    """Unit TF-IDF vectors of labelled examples; exact top-k by cosine.
 
-    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray):
-        self.idf = idf  # the last term is the background, whose counts are its weights
-        # like vectors side by side make the bounds of a block tight; doc_id settles ties
-        examples = sorted(examples, key=lambda x: (x[2].tobytes(), x[3].tobytes(), x[0]))
+    Terms below ``lexicon`` are the lexicon, the last one is the background and
+    those between are plain words.  A search scores every example: frequent
+    terms by a dense single-precision product, others by posting lists, and
+    what is within ``SLACK`` of the k-th is scored again in double precision.
+    """
+
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, lexicon: int | None = None):
+        self.idf, self.lexicon = idf, len(idf) - 1 if lexicon is None else lexicon
+        examples = sorted(examples, key=lambda x: x[0])  # doc_id settles ties
         self.ids = np.array([x[0] for x in examples], np.int64)
         self.labels = np.array([x[1] for x in examples], np.float64)
-        vectors = [self.unit(x[2], x[3]) for x in examples]
-        row = np.repeat(np.arange(len(examples)), [len(x[2]) for x in examples])
-        term = np.concatenate([x[2] for x in examples]) if examples else np.zeros(0, np.int64)
-        weight = np.concatenate(vectors) if examples else np.zeros(0)
-        order = np.lexsort((row, term))
-        self.rows, self.weights = row[order], weight[order]
-        self.heads = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.blocks = {}
-        for t in np.unique(term):
-            lo, hi = self.heads[t], self.heads[t + 1]
-            block, first = np.unique(self.rows[lo:hi] // BLOCK, return_index=True)
-            self.blocks[int(t)] = (block, np.maximum.reduceat(self.weights[lo:hi], first), lo + np.r_[first, hi - lo])
+        self.bounds = np.r_[0, np.cumsum([len(x[2]) for x in examples], dtype=np.int64)]
+        self.terms = np.concatenate([x[2] for x in examples]).astype(np.int32) if examples else np.zeros(0, np.int32)
+        self.weights = np.concatenate([self.unit(x[2], x[3]) for x in examples]) if examples else np.zeros(0)
+        self.heads = None
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = np.where(terms == len(self.idf) - 1, counts, (1 + np.log(counts)) * self.idf[terms])
+        """The background's count is the length of the plain words' part; without plain words it is a term of its own."""
+        last = terms == len(self.idf) - 1
+        weight = np.where(last, counts, (1 + np.log(np.maximum(counts, 1))) * self.idf[terms])
+        plain = (terms >= self.lexicon) & ~last
+        if plain.any():
+            weight[plain] *= weight[last].sum() / np.sqrt((weight[plain] ** 2).sum())
+            weight[last] = 0
         return weight / np.sqrt((weight * weight).sum())
 
+    def prepare(self) -> None:
+        """Posting lists and the dense part; made where the search runs, so broadcasts stay small."""
+        n, size = len(self.ids), len(self.idf)
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.bounds))
+        often = np.bincount(self.terms, minlength=size)
+        frequent = np.argsort(-often, kind="stable")[:DENSE]
+        frequent = frequent[often[frequent] > n / 40]
+        self.column = np.full(size, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), n), np.float32)
+        own = self.column[self.terms] >= 0
+        self.dense[self.column[self.terms[own]], row[own]] = self.weights[own]
+        order = np.argsort(self.terms[~own], kind="stable")
+        self.rows, self.light = row[~own][order], self.weights[~own][order].astype(np.float32)
+        self.query = np.zeros(size)
+        self.heads = np.searchsorted(self.terms[~own][order], np.arange(size + 1))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k nearest of every query (terms, counts), ties to the smaller index; only cosines above 0."""
+        if self.heads is None:
+            self.prepare()
+        n, units = len(self.ids), [self.unit(t, c) for t, c in queries]
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        heavy = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, ((terms, _), w) in enumerate(zip(queries, units)):
+            own = self.column[terms] >= 0
+            heavy[i, self.column[terms[own]]] = w[own]
+        score, out = heavy @ self.dense, []
+        for i, ((terms, _), w) in enumerate(zip(queries, units)):
+            lo, many = self.heads[terms], self.heads[terms + 1] - self.heads[terms]
+            total = int(many.sum())
+            if total:
+                at = np.arange(total) + np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many)
+                score[i] += np.bincount(self.rows[at], self.light[at] * np.repeat(w, many), n)
+            if without is not None and without[i] >= 0:
+                score[i, without[i]] = 0
+            least = np.partition(score[i], n - k)[n - k] if n > k else 0.0
+            found = np.flatnonzero((score[i] >= least - SLACK) & (score[i] > 0))
+            self.query[terms] = w
+            many = self.bounds[found + 1] - self.bounds[found]
+            first = np.r_[0, np.cumsum(many)]
+            at = np.arange(first[-1]) + np.repeat(self.bounds[found] - first[:-1], many)
+            cosines = np.add.reduceat(self.weights[at] * self.query[self.terms[at]], first[:-1]) if len(found) else np.zeros(0)
+            self.query[terms] = 0
+            best = np.lexsort((found, -np.round(cosines, 9)))[:k]
+            out.append((found[best], np.minimum(cosines[best], 1.0)))
+        return out
+
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, ties to the smaller index; only cosines above 0."""
-        query = [(self.blocks[int(t)], w) for t, w in zip(terms, self.unit(terms, counts)) if int(t) in self.blocks]
-        if not query:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(len(self.ids) // BLOCK + 1)
-        for (block, most, _), w in query:
-            bound[block] += w * most
-        at, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.lexsort((np.arange(len(bound)), -bound)):
-            if bound[block] <= 0 or len(at) == k and bound[block] + 1e-9 < cosines[-1]:
-                break
-            score = np.zeros(BLOCK)
-            for (blocks, _, cut), w in query:
-                i = np.searchsorted(blocks, block)
-                if i < len(blocks) and blocks[i] == block:
-                    own = slice(cut[i], cut[i + 1])
-                    score[self.rows[own] - block * BLOCK] += w * self.weights[own]
-            found = np.flatnonzero(score > 0)
-            score, found = score[found], found + block * BLOCK
-            at, cosines = np.r_[at, found[found != without]], np.r_[cosines, score[found != without]]
-            best = np.lexsort((at, -np.round(cosines, 9)))[:k]
-            at, cosines = at[best], cosines[best]
-        return at, np.minimum(cosines, 1.0)
+        return self.search([(terms, counts)], k, [without])[0]
 
     def vote(self, at: np.ndarray, cosines: np.ndarray, prior: float) -> float:
-        weight = HALF / (HALF + 1 - cosines)
+        weight = (HALF / (HALF + 1 - cosines)) ** 2
         return float(((weight * self.labels[at]).sum() + prior) / (weight.sum() + 1))
 
 
@@ -122,7 +157,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
     the nearest examples (doc_id, cosine, label).  doc_id, label, language and
     source of a document are no input of its score.
 
-    Null and empty texts, and texts without any term of the vocabulary, get
+    Null and empty texts, and texts without any word of the examples, get
     the label rate of such examples.  Labels other than 0 and 1 are ignored, a
     doc_id with several labels takes the largest.  Without labels every score
     is the smoothed prior.  Repeated rows and null doc_id pass through; clashing
@@ -185,57 +220,93 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
     least = 2 * math.log(max(10, counted.count())) + 2
     terms = spark.sparkContext.broadcast(np.sort(np.array([r.term for r, x in zip(support, g) if x >= least and r.toxic >= 3 and r.toxic >= purity * r.n], np.int64).view(np.uint64)))
 
+    def distinct_words(batches):
+        for batch in batches:
+            for part in W.slices(batch, size=W.SMALL_SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(W.words_of(part.column("text"), W.ALNUM_LOWER).hashes).view(np.int64))], ["word"])
+
+    # the words of at most max_examples documents
+    plain = examples.select("text").mapInArrow(distinct_words, "word long").distinct().toArrow().column("word").to_numpy().view(np.uint64)
+    plain = np.sort(np.setdiff1d(plain, terms.value))
+    lexicon, size = len(terms.value), len(terms.value) + len(plain) + 1
+    plain = spark.sparkContext.broadcast(plain)
+
+    def place_in(known, hashes):
+        place = np.searchsorted(known, hashes)
+        same = place < len(known)
+        same[same] = known[place[same]] == hashes[same]
+        return place, same
+
     def vectors(batches):
-        table = np.zeros(1 << 16, bool)  # drops most other words before the search
+        table = np.zeros(1 << 16, bool)  # drops most terms before the search of the lexicon
         table[(terms.value & np.uint64(0xFFFF)).astype(np.int64)] = True
         for batch in batches:
             for part in W.slices(batch, size=W.SMALL_SLICE):
-                term, row, _, _, words = tokens(part)
+                term, row, _, hashes, words = tokens(part)
                 keep = np.flatnonzero(table[(term & np.uint64(0xFFFF)).astype(np.int64)])
-                place = np.searchsorted(terms.value, term[keep])
-                same = place < len(terms.value)
-                same[same] = terms.value[place[same]] == term[keep][same]
-                cell, count = np.unique(row[keep][same] * np.int64(len(terms.value) + 1) + place[same], return_counts=True)
-                own, cell = np.divmod(cell, len(terms.value) + 1)
+                place, same = place_in(terms.value, term[keep])
+                word, inverse = np.unique(hashes, return_inverse=True)
+                at, known = place_in(plain.value, word)
+                at, known = at[inverse], known[inverse]
+                cells = np.r_[row[keep][same] * np.int64(size) + place[same], words[known] * np.int64(size) + lexicon + at[known]]
+                cell, count = np.unique(cells, return_counts=True)
+                own, cell = np.divmod(cell, size)
                 edges = np.searchsorted(own, np.arange(part.num_rows + 1)).astype(np.int32)
                 background = np.floor(np.log2(1 + np.diff(np.searchsorted(words, np.arange(part.num_rows + 1)))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges), pa.array(cell.astype(np.int32))), pa.ListArray.from_arrays(pa.array(edges), pa.array(count.astype(np.int32))), pa.array(background.astype(np.int32))], ["doc_id", "terms", "counts", "background"])
 
     made = written(texts.mapInArrow(vectors, "doc_id long, terms array<int>, counts array<int>, background int"))
     total = made.count()
-    idf = np.full(len(terms.value) + 1, math.log(total + 1) + 1)
-    for term, n in made.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # at most max_terms rows
-        idf[term] = math.log((total + 1) / (n + 1)) + 1
-    sample = made.join(F.broadcast(known), "doc_id").collect()  # at most max_examples documents
-    bare = [r.label for r in sample if not r.terms]
-    full = [(r.doc_id, r.label, np.array(r.terms + [len(idf) - 1], np.int64), np.array(r.counts + [r.background], np.int64)) for r in sample if r.terms]
-    index = BlockMaxIndex(full, idf)
+    idf = np.full(size, math.log(total + 1) + 1)
+    often = made.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()  # a row per term of the examples
+    idf[often.column("term").to_numpy()] = np.log((total + 1) / (often.column("count").to_numpy() + 1)) + 1
+
+    def rows_of(batch):
+        """(terms, counts) of every row, with the background as the last term; None without terms."""
+        bounds = np.r_[0, np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))]
+        flat, counts = pc.list_flatten(batch.column("terms")).to_numpy(), pc.list_flatten(batch.column("counts")).to_numpy()
+        for lo, hi, background in zip(bounds, bounds[1:], batch.column("background").to_pylist()):
+            yield (np.append(flat[lo:hi], size - 1).astype(np.int64), np.append(counts[lo:hi], background).astype(np.int64)) if hi > lo else None
+
+    sampled = written(made.join(F.broadcast(known), "doc_id"))  # at most max_examples documents
+    sample = sampled.toArrow()
+    rows = list(zip(sample.column("doc_id").to_pylist(), sample.column("label").to_pylist(), rows_of(sample)))
+    bare = [label for _, label, x in rows if x is None]
+    index = spark.sparkContext.broadcast(BlockMaxIndex([(i, label, *x) for i, label, x in rows if x is not None], idf, lexicon))
+    del sample, rows
     empty = (sum(bare) + prior) / (len(bare) + 1)
-    place = {int(x): i for i, x in enumerate(index.ids)}
-    left_out = [(index.vote(*index.nearest(x[2], x[3], k, place[x[0]]), prior), x[1]) for x in full]
-    knots = isotonic(np.array([x for x, _ in left_out]), np.array([float(y) for _, y in left_out]))
-    model = spark.sparkContext.broadcast((index, knots, empty, prior))
+
+    def leave_one_out(batches):
+        for batch in batches:
+            found = [(i, label, x) for i, label, x in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), rows_of(batch)) if x is not None]
+            for lo in range(0, len(found), TOGETHER):
+                some = found[lo : lo + TOGETHER]
+                answers = index.value.search([x for _, _, x in some], k, [int(np.searchsorted(index.value.ids, i)) for i, _, _ in some])
+                yield pa.RecordBatch.from_arrays([pa.array([index.value.vote(*a, prior) for a in answers], pa.float64()), pa.array([float(label) for _, label, _ in some], pa.float64())], ["vote", "label"])
+
+    left_out = sampled.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(leave_one_out, "vote double, label double").orderBy("vote", "label").toArrow()
+    knots = isotonic(left_out.column("vote").to_numpy(), left_out.column("label").to_numpy())
 
     def score(batches):
-        index, (x, y), empty, prior = model.value
+        x, y = knots
         seen: dict[bytes, tuple] = {}  # equal vectors get equal answers
         for batch in batches:
-            scores, evidence = [], []
-            for terms, counts, background in zip(*(batch.column(c).to_pylist() for c in ("terms", "counts", "background"))):
-                if not terms:
-                    scores.append(empty), evidence.append([])
-                    continue
-                terms, counts = np.array(terms + [len(index.idf) - 1], np.int64), np.array(counts + [background], np.int64)
-                key = terms.tobytes() + counts.tobytes()
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    at, cosines = index.nearest(terms, counts, k)
-                    raw = index.vote(at, cosines, prior)
-                    seen[key] = (float(np.interp(raw, x, y)) if len(x) else raw, [{"doc_id": int(index.ids[i]), "cosine": float(c), "label": int(index.labels[i])} for i, c in zip(at, cosines)])
-                scores.append(seen[key][0]), evidence.append(seen[key][1])
+            keys, fresh = [], {}
+            if len(seen) > 20_000:
+                seen.clear()
+            for row in rows_of(batch):
+                keys.append(None if row is None else hashlib.blake2b(row[0].tobytes() + row[1].tobytes(), digest_size=16).digest())
+                if row is not None and keys[-1] not in seen:
+                    fresh[keys[-1]] = row
+            todo = list(fresh.items())
+            for lo in range(0, len(todo), TOGETHER):
+                some = todo[lo : lo + TOGETHER]
+                for (key, _), (at, cosines) in zip(some, index.value.search([row for _, row in some], k)):
+                    raw = index.value.vote(at, cosines, prior)
+                    seen[key] = (float(np.interp(raw, x, y)) if len(x) else raw, [{"doc_id": int(index.value.ids[i]), "cosine": float(c), "label": int(index.value.labels[i])} for i, c in zip(at, cosines)])
+            answers = [(empty, []) if key is None else seen[key] for key in keys]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a for a, _ in answers], pa.float64()), pa.array([e for _, e in answers], kind)], ["doc_id", "score", "evidence"])
 
     scored = made.mapInArrow(score, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
     return scored.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
