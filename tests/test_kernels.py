@@ -71,6 +71,22 @@ def test_splines():
     assert abs(((kernels.smooth(t, y, np.ones(40), tol) - y) ** 2).sum() - tol) < 0.1
 
 
+def test_banded_solve_is_exact():
+    rng = np.random.default_rng(6)
+    for n in (5, 64, 513, 700):
+        band = rng.random((4, n)) - 0.5
+        band[0] += 4
+        full = np.diag(band[0]) + sum(np.diag(band[o, : n - o], s) for o in (1, 2, 3) for s in (o, -o))
+        r = rng.random(n)
+        assert np.allclose(kernels.solve_banded(band, r), np.linalg.solve(full, r))
+
+
+def test_registered_smoothing_keeps_late_frames(spark, monkeypatch):
+    track = spark.createDataFrame([("a", i, math.sin(i)) for i in range(1, 601)], "track string, frame int, u double")
+    monkeypatch.setattr(X, "series", lambda *_: track)
+    assert queries.smoothed(spark, "").where("smooth IS NOT NULL").agg(F.count("*"), F.max("frame")).first() == (600, 600)
+
+
 def test_predictors_and_ladder(spark):
     assert kernels.kalman_next(np.full(11, 5.0)) == pytest.approx(5.0)
     assert kernels.kalman_next(np.array([1.0, np.nan, 3.0])) == 3.0 and math.isnan(kernels.kalman_next(np.full(4, np.nan)))
