@@ -101,17 +101,63 @@ def test_near_dedup_follows_drift(spark):
 @pytest.mark.parametrize("block", [2, 512])
 def test_texts_in_different_groups_meet(spark, block):
     rng = random.Random(12)
-    rows = []
+    base = [f"b{i}" for i in range(90)]
+    rows, spots = [], []
     for i in range(40):
-        cells = np.bincount(np.arange(size := rng.choice([60, 100, 104])) % 128, minlength=128).astype("<i4").tobytes()
-        rows.append((i, size, [rng.randrange(4) for _ in range(6)], cells))
-    homes = {i: i % 5 if i < 30 else i for i in range(40)}
-    classes = spark.createDataFrame(rows, "class_id long, size long, keys array<long>, cells binary")
-    groups = spark.createDataFrame([(i, h) for i, h in homes.items() if i < 30], "node long, component long")
-    got = [tuple(r) for r in near_dedup.still_apart(classes, groups, 0.8, 2, block).collect()]
-    pairs = itertools.combinations(rows, 2)
-    expected = {(y[0], x[0]) for x, y in pairs if homes[x[0]] != homes[y[0]] and min(x[1], y[1]) >= 0.8 * max(x[1], y[1]) and sum(a == b for a, b in zip(x[2], y[2])) >= 2}
-    assert len(got) == len(set(got)) and set(got) == expected
+        words = list(base) if i % 2 else [f"c{j}" for j in range(90)]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(90)] = f"x{rng.random()}"
+        words = words[: rng.choice([60, 88, 90])]
+        rows.append((i, " ".join(words)))
+        home = i % 5 if i < 30 else i
+        spots += [(bucket, i, home, len(words) - 4) for bucket in sorted({rng.randrange(3) for _ in range(2)})]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    apart = near_dedup.Apart(spark.createDataFrame(spots, "bucket long, class_id long, home long, size long"), texts, 0.8, block)
+    bags = {i: (lambda w: Counter(tuple(w[p : p + 5]) for p in range(len(w) - 4)))(t.split()) for i, t in rows}
+    of = {i: (b, h, n) for b, i, h, n in spots}
+    expected = {}
+    for (b, i, h, n), (c, j, k, m) in itertools.combinations(spots, 2):
+        most = sum((bags[i] & bags[j]).values())
+        if b == c and h != k and i != j and most >= 0.8 * (n + m - most):
+            expected.setdefault((min(h, k), max(h, k)), set()).add((max(i, j), min(i, j)))
+    best = apart.best().collect()
+    assert {(r.low, r.high) for r in best} >= set(expected) and len(best) == len({(r.low, r.high) for r in best})
+    others = {(r.class_id, r.first) for r in apart.others(apart.best()).collect()}
+    assert others >= {p for ps in expected.values() for p in ps} and all(of[i][1] != of[j][1] for i, j in others)
+
+
+def test_short_near_copies_all_link(spark):
+    rng = random.Random(21)
+    rows, links = [], []
+    for i in range(150):  # texts of 8 to 28 words and a copy at similarity 0.8 or just above
+        n = rng.randrange(8, 29)
+        words = [f"s{rng.randrange(5000)}" for _ in range(n)]
+        more = [f"t{rng.randrange(5000)}" for _ in range(int((n - 4) / 0.8 + 1e-9) - (n - 4))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(more + words if i % 2 else words + more))]
+    rows += [(900, "one two"), (901, "one two three"), (902, "one two")]
+    got = {r.doc_id: r for r in near_dedup.near_dedup(docs(spark, rows)).collect()}
+    assert all(got[2 * i + 1].group_id == 2 * i for i in range(150))
+    assert got[902].class_id == 900 and got[901].group_id == 901
+
+
+def thue_morse(steps=10):
+    """Two words of 1,024 letters that a polynomial hash with wrap-around cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    one, other = thue_morse()
+    rows = [(1, " ".join([one] * 50)), (2, " ".join([other] * 50)), (3, " ".join([one] * 50))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+    assert {r.doc_id: r.group_id for r in near_dedup.near_dedup(docs(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+    held = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learnt = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 10)
+    known = {r.doc_id: r.n_known for r in maxent_lm.score_texts(docs(spark, [(learnt, one), (held, other)]), rounds=1).collect()}
+    assert known == {learnt: 2, held: 1}
 
 
 def test_banded_lcs_is_exact():

@@ -2,18 +2,24 @@
 
 Texts are sequences of five-word shingles.  Order MinHash labels equal
 shingles of a text by occurrence, takes for each of ``sketches`` hash functions
-the ``picks`` smallest, and hashes them in text order: two texts agree in a
-sketch only if they hold the same shingles in the same order, so the sketch
-follows edit similarity.  Texts that agree in at least ``agree`` sketches are
-aligned, and linked if matched / (m + n - matched) >= ``threshold`` where
-matched is the longest common subsequence of their m and n shingles.
-
-Each text first meets the first text of each of its buckets, and of each pair
-of neighbouring buckets.  What verifies forms groups.  Only texts that share a
-bucket and are still in different groups meet then, so a bucket of thousands of
-near copies costs as many alignments as it has texts, and yet no pair that
-agrees in ``agree`` sketches is left out.  Groups are the connected components
-of all links.
+the ``picks`` smallest, and hashes them in text order: two texts share a sketch
+only if they hold the same shingles in the same order, so the sketch follows
+edit similarity.  Texts that share a sketch are aligned, and linked if
+matched / (m + n - matched) >= ``threshold`` where matched is the longest common
+subsequence of their m and n shingles.
+
+Short texts have too few shingles to sample.  A pair with one of at most
+``brief`` shingles meets by an exact prefix filter instead: labels in order of
+their frequency among short texts, of which a text of n shingles shares one of
+its first n - ceil(threshold n) + 1 with every text that it can be linked with.
+
+Sketches and prefix labels are buckets.  In each round every text meets one
+text, the least of the firsts of its buckets in an order of the round's own, if
+that is not in its group yet; what verifies joins groups, so a bucket of
+thousands of near copies costs about as many alignments as it has texts.  At
+last all texts that share a bucket and are still in different groups meet in
+blocks, so no pair that shares a bucket is left out.  Groups are the connected
+components of all links.
 """
 
 from __future__ import annotations
@@ -43,14 +49,10 @@ def occurrence_labels(shingles: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def order_sketches(labels: np.ndarray, factors: np.ndarray, picks: int) -> np.ndarray:
-    """One key per factor: the ``picks`` smallest labels in text order."""
-    n = len(labels)
-    if n <= picks:
-        at = np.repeat(np.arange(n)[:, None], len(factors), axis=1)
-    else:
-        at = np.sort(np.argpartition(labels[:, None] * factors[None, :], picks - 1, axis=0)[:picks], axis=0)
+    """One key per factor: the ``picks`` smallest of at least as many labels, in text order."""
+    at = np.sort(np.argpartition(labels[:, None] * factors[None, :], picks - 1, axis=0)[:picks], axis=0)
     key = factors.copy()
-    for i in range(at.shape[0]):
+    for i in range(picks):
         key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + labels[at[i]])
     return key
 
@@ -102,114 +104,155 @@ def shingles_of(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, row bounds); a row of one to four words is one shingle."""
     shingles, at = W.rolling(found.hashes, found.bounds, SHINGLE, 5)
     row = np.searchsorted(found.bounds, at, side="right") - 1
-    short = np.flatnonzero((np.diff(found.bounds) > 0) & (np.diff(found.bounds) < SHINGLE))
+    sizes = np.diff(found.bounds)
+    short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
     if len(short):
-        lone = np.array([np.bitwise_xor.reduce(W.mix(found.hashes[found.bounds[i] : found.bounds[i + 1]] + np.arange(found.bounds[i + 1] - found.bounds[i]).astype(np.uint64))) for i in short], np.uint64)
-        row, shingles = np.r_[row, short], np.r_[shingles, lone]
+        lone, row = [shingles], np.r_[row, short]
+        for i in short:
+            whole = found.hashes[found.bounds[i] : found.bounds[i + 1]]
+            lone.append(W.rolling(whole, np.array([0, len(whole)]), len(whole), 6)[0])
         order = np.argsort(row, kind="stable")
-        row, shingles = row[order], shingles[order]
+        row, shingles = row[order], np.concatenate(lone)[order]
     return shingles, np.searchsorted(row, np.arange(len(found.bounds)))
 
 
-def still_apart(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, agree: int, block: int = 512) -> DataFrame:
-    """Pairs (class_id, first) of texts in different groups that agree in ``agree`` sketches and may reach ``threshold``.
+def labels_of(column: pa.Array) -> tuple[W.Words, np.ndarray, np.ndarray]:
+    """(words, occurrence-labelled shingles, row bounds) of a text column."""
+    found = W.words_of(column)
+    shingles, bounds = shingles_of(found)
+    return found, occurrence_labels(shingles, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))), bounds
 
-    Buckets within one group are passed over.  The others are cut into blocks
-    of about ``block`` texts and every two blocks meet in a cell of their own,
-    so no task holds a bucket.  A cell compares sketches, lengths and then the
-    sets of labelled shingles, which bound what two texts can share from above;
-    only pairs that the bound lets through leave the cell, each from the cell of
-    its first common sketch, and their texts are aligned.
+
+def first_parts(classes: DataFrame, threshold: float) -> DataFrame:
+    """(class_id, size, bucket): the prefix labels of short texts, rarest first; labels of one text only are no buckets."""
+    labels = classes.where("labels is not null").select("class_id", "size", F.explode("labels").alias("label"))
+    common = labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
+    held = labels.join(common, "label").groupBy("class_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "label"))).alias("held"))
+    # unshared labels come first, as the rarest; at most ``brief`` / ``threshold`` labels a text are collected
+    prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("held"))
+    return held.select("class_id", "size", F.explode(F.slice("held.label", F.lit(1), F.greatest(F.lit(0), prefix.cast("int")))).alias("bucket"))
+
+
+class Apart:
+    """Texts that share a bucket and are in different groups, compared in blocks without moving their texts again.
+
+    ``spots`` has bucket, class_id, home (the group) and size.  Buckets within
+    one group are passed over.  In the others the texts outside the largest
+    group meet all texts of the bucket; both sides are cut into blocks and
+    every two blocks meet in a cell of their own, so no task holds a bucket.
+    A cell compares lengths and then the sets of labelled shingles, which bound
+    what two texts can share from above.
     """
-    homes = classes.join(groups, F.col("class_id") == F.col("node"), "left").select("class_id", "size", F.coalesce("component", "class_id").alias("home"), "keys")
-    spots = homes.select("class_id", "home", F.posexplode("keys").alias("band", "key")).select("class_id", "home", "band", F.xxhash64("band", "key").alias("bucket"))
-    mixed = spots.groupBy("bucket").agg(F.min("home").alias("least"), F.max("home").alias("most"), F.count("*").alias("n")).where("least < most")
-    blocks = F.ceil(F.col("n") / block)
-    members = spots.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
-    cells = written(members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "bucket", "band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "class_id"))
-
-    def bags(batches):
+
+    def __init__(self, spots: DataFrame, texts: DataFrame, threshold: float, block: int = 512, weight: int = 1 << 20):
+        self.threshold, self.block, self.weight = threshold, block, weight
+        self.members = written(self.mixed(spots))
+        wanted = self.members.select("class_id").distinct()
+        self.bags = written(texts.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id").groupBy("class_id").agg(F.max("text").alias("text")).mapInArrow(self.bag, "class_id long, bag binary"))
+
+    def mixed(self, spots: DataFrame) -> DataFrame:
+        """``spots`` of buckets with several groups, with the numbers of blocks and whether a text is outside the largest group."""
+        groups = spots.groupBy("bucket", "home").agg(F.count("*").alias("n"), F.sum("size").alias("long"))
+        buckets = groups.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("long").alias("long"), F.max(F.struct("n", "long", "home")).alias("main")).where("n > main.n")
+        cuts = lambda n, long: F.ceil(F.greatest(n / self.block, long / self.weight))
+        buckets = buckets.select("bucket", F.col("main.home").alias("main"), cuts(F.col("n"), F.col("long")).alias("wide"), cuts(F.col("n") - F.col("main.n"), F.col("long") - F.col("main.long")).alias("narrow"))
+        return spots.join(buckets, "bucket").select("bucket", "class_id", "home", "size", "wide", "narrow", (F.col("home") != F.col("main")).alias("minor"))
+
+    @staticmethod
+    def bag(batches):
         for batch in batches:
             for part in W.slices(batch, size=W.SMALL_SLICE):
-                shingles, bounds = shingles_of(W.words_of(part.column("text")))
-                labels = (occurrence_labels(shingles, np.repeat(np.arange(part.num_rows), np.diff(bounds))) >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([part.column("class_id"), pa.array([np.unique(labels[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])], pa.binary())], ["class_id", "bag"])
-
-    wanted = cells.select("class_id").distinct()
-    bagged = written(texts.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id").select("class_id", "text").mapInArrow(bags, "class_id long, bag binary"))
-
-    def meet(cell: pa.Table) -> pa.Table:
-        ids, homes, sizes, block = (cell.column(c).to_numpy() for c in ("class_id", "home", "size", "block"))
-        low, high, band = (cell.column(c)[0].as_py() for c in ("low", "high", "band"))
-        keys = cell.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        bag = [np.frombuffer(x, "<u4") for x in cell.column("bag").to_pylist()]
-        right, pairs = np.flatnonzero(block == high), []
-        for i in np.flatnonzero(block == low):
-            same = keys[right] == keys[i]
-            lengths = np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i])
-            fits = lengths & (same.sum(axis=1) >= agree) & (same.argmax(axis=1) == band) & (homes[right] != homes[i])
-            near = right[fits & (ids[right] < ids[i])] if low == high else right[fits]
-            if not len(near):
-                continue
-            theirs = np.concatenate([bag[j] for j in near])
-            at = np.minimum(np.searchsorted(bag[i], theirs), len(bag[i]) - 1)
-            starts = np.cumsum([0, *(len(bag[j]) for j in near[:-1])])
-            # labels of one text that fall on one number count as shared
-            most = np.add.reduceat((bag[i][at] == theirs).astype(np.int64), starts) + sizes[i] - len(bag[i])
-            pairs.append(np.stack(np.broadcast_arrays(ids[i], ids[near[most * (1 + threshold) >= threshold * (sizes[i] + sizes[near]) - 1e-6]])))
-        found = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
-        return pa.table({"class_id": found.max(axis=0), "first": found.min(axis=0)})
-
-    full = cells.join(homes, "class_id").join(bagged, "class_id").select("bucket", "band", "low", "high", "block", "class_id", "home", "size", "keys", "bag")
-    return full.groupBy("bucket", "band", "low", "high").applyInArrow(meet, "class_id long, first long").distinct()
-
-
-def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24, picks: int = 4, agree: int = 2, seed: int = 42) -> DataFrame:
+                _, labels, bounds = labels_of(part.column("text"))
+                short = (labels >> np.uint64(32)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([part.column("class_id"), pa.array([np.unique(short[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])], pa.binary())], ["class_id", "bag"])
+
+    def pairs(self, members: DataFrame, best: bool) -> DataFrame:
+        """Pairs (class_id, first) that may reach the threshold; with ``best`` only the most similar one of two groups."""
+        threshold = self.threshold
+
+        def meet(cell: pa.Table) -> pa.Table:
+            ids, homes, sizes, asks = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("class_id", "home", "size", "asks"))
+            bag = [np.frombuffer(x, "<u4") for x in cell.column("bag").to_pylist()]
+            right, rows = np.flatnonzero(~asks), []
+            theirs = np.concatenate([bag[j] for j in right]) if len(right) else np.zeros(0, "<u4")
+            order = np.argsort(theirs, kind="stable")
+            theirs, owner = theirs[order], np.repeat(np.arange(len(right)), [len(bag[j]) for j in right])[order]
+            for i in np.flatnonzero(asks):
+                lo, hi = np.searchsorted(theirs, bag[i]), np.searchsorted(theirs, bag[i], side="right")
+                at = np.arange((hi - lo).sum()) + np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo)
+                # labels of one text that fall on one number count as shared
+                shared = np.bincount(owner[at], minlength=len(right)) + sizes[i] - len(bag[i])
+                close = (np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i])) & (homes[right] != homes[i])
+                near, most = right[close], shared[close]
+                bound = most / np.maximum(1, sizes[i] + sizes[near] - most)
+                fits = np.flatnonzero((bound >= threshold - 1e-6) | (2 * most >= sizes[i] + sizes[near]))
+                if best:  # the most similar text of each group
+                    fits = fits[np.lexsort((-bound[fits], homes[near[fits]]))]
+                    fits = fits[np.r_[True, np.diff(homes[near[fits]]) != 0]] if len(fits) else fits
+                rows.append(np.stack([np.full(len(fits), ids[i]), ids[near[fits]], np.full(len(fits), homes[i]), homes[near[fits]], (bound[fits] * 1e6).astype(np.int64)]))
+            found = np.concatenate([np.empty((5, 0), np.int64), *rows], axis=1)
+            return pa.table({"class_id": found[:2].max(axis=0), "first": found[:2].min(axis=0), "low": found[2:4].min(axis=0), "high": found[2:4].max(axis=0), "bound": found[4]})
+
+        full = members.join(self.bags, "class_id")
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        part = lambda n: F.pmod(F.xxhash64("class_id"), n)
+        there = full.select("bucket", F.explode(upto(F.col("narrow"))).alias("u"), part(F.col("wide")).alias("v"), F.lit(False).alias("asks"), "class_id", "home", "size", "bag")
+        here = full.where("minor").select("bucket", part(F.col("narrow")).alias("u"), F.explode(upto(F.col("wide"))).alias("v"), F.lit(True).alias("asks"), "class_id", "home", "size", "bag")
+        # a number of partitions is given, as these tasks are slow and not large: Spark is not to merge them
+        cells = there.unionByName(here).repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "u", "v")
+        found = cells.groupBy("bucket", "u", "v").applyInArrow(meet, "class_id long, first long, low long, high long, bound long")
+        if not best:
+            return found.select("class_id", "first", "low", "high").distinct()
+        return found.groupBy("low", "high").agg(F.max(F.struct("bound", "class_id", "first")).alias("pair")).select("pair.class_id", "pair.first", "low", "high")
+
+    def best(self) -> DataFrame:
+        """For every two groups that may be linked, the pair with the highest bound: class_id, first, low, high (the groups)."""
+        return self.pairs(self.members, True)
+
+    def others(self, failed: DataFrame) -> DataFrame:
+        """All pairs of the groups (low, high) in ``failed``, whose best pair is no link."""
+        homes = failed.select(F.explode(F.array("low", "high")).alias("home")).distinct()
+        return self.pairs(self.members.join(homes, "home"), False).join(failed.select("low", "high"), ["low", "high"])
+
+
+def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24, picks: int = 5, brief: int = 24, rounds: int = 2, seed: int = 42) -> DataFrame:
     """One row per input row: doc_id, class_id, group_id, kept.
 
-    class_id is the smallest doc_id with the same words in the same order,
-    group_id the smallest doc_id of the connected component under links of
-    similarity >= ``threshold``, kept whether the row is that document.
+    class_id is the smallest doc_id with the same words in the same order (told
+    apart by 128 bits), group_id the smallest doc_id of the connected component
+    under links of similarity >= ``threshold``, kept whether the row is that
+    document.
 
     Null and empty texts link with nothing (class_id = group_id = doc_id).
     A null doc_id gives null class_id and group_id and is kept.  Rows with one
-    doc_id count as one document; whole texts are compared, of any length.
-    Other columns are ignored; an empty table gives an empty result.
+    doc_id count as one document, of whose texts the greatest is aligned; whole
+    texts are compared, of any length.  Other columns are ignored; an empty
+    table gives an empty result.
     """
     factors = np.random.default_rng(seed).integers(0, 1 << 63, sketches, np.uint64) * np.uint64(2) + np.uint64(1)
+    bands = W.mix(np.arange(1, sketches + 1, dtype=np.uint64))
+    reach = int(brief / threshold + 1e-9)  # the longest text that one of ``brief`` shingles can be linked with
 
     def sign(batches):
         for batch in batches:
             for part in W.slices(batch, size=W.SMALL_SLICE):
-                found = W.words_of(part.column("text"))
-                shingles, bounds = shingles_of(found)
-                labels = occurrence_labels(shingles, np.repeat(np.arange(part.num_rows), np.diff(bounds)))
-                a, b, keys, sizes = [], [], [], np.diff(bounds)
-                place = W.mix(np.arange(int(np.diff(found.bounds).max(initial=0)), dtype=np.uint64) + np.uint64(99))
-                for i in range(part.num_rows):
-                    own = found.hashes[found.bounds[i] : found.bounds[i + 1]]
-                    if not len(own):
-                        a.append(None), b.append(None), keys.append(None)
-                        continue
-                    sums = W.mix(own + place[: len(own)]), W.mix(own ^ place[: len(own)])
-                    a.append(int(np.add.reduce(sums[0]).astype(np.int64)))
-                    b.append(int(np.add.reduce(sums[1]).astype(np.int64)))
-                    keys.append(order_sketches(labels[bounds[i] : bounds[i + 1]], factors, picks).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "a", "b", "size", "keys"])
+                found, labels, bounds = labels_of(part.column("text"))
+                sizes = np.diff(bounds)
+                place = W.mix(np.arange(len(found.hashes), dtype=np.uint64) - np.repeat(found.bounds[:-1], np.diff(found.bounds)).astype(np.uint64) + np.uint64(99))
+                sums = [np.r_[np.uint64(0), np.cumsum(W.mix(h + place), dtype=np.uint64)] for h in (found.hashes, found.second)]
+                a, b = ((s[found.bounds[1:]] - s[found.bounds[:-1]]).view(np.int64) for s in sums)
+                keys = [W.mix(order_sketches(labels[lo:hi], factors, picks) + bands).view(np.int64) if hi - lo > brief else None for lo, hi in zip(bounds, bounds[1:])]
+                short = [labels[lo:hi].view(np.int64) if 0 < hi - lo <= reach else None for lo, hi in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, mask=sizes == 0), pa.array(b, mask=sizes == 0), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64()))], ["doc_id", "a", "b", "size", "keys", "labels"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(texts.mapInArrow(sign, "doc_id long, a long, b long, size long, keys array<long>"))
+    signed = written(texts.mapInArrow(sign, "doc_id long, a long, b long, size long, keys array<long>, labels array<long>"))
     full = signed.where("a is not null and doc_id is not null")
-    classes = written(full.groupBy("a", "b").agg(F.min("doc_id").alias("class_id"), F.min("size").alias("size"), F.min("keys").alias("keys")))
-
-    spots = classes.select("class_id", "keys", F.posexplode("keys").alias("band", "key")).select(
-        "class_id", F.explode(F.array(F.xxhash64("band", "key"), F.xxhash64("band", "key", F.get("keys", (F.col("band") + 1) % sketches)))).alias("bucket"))
-    firsts = spots.groupBy("bucket").agg(F.min("class_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = spots.join(firsts, "bucket").where("class_id > first").select("class_id", "first").distinct()
-    left, right = classes.select("class_id", "keys"), classes.select(F.col("class_id").alias("first"), F.col("keys").alias("first_keys"))
-    agreeing = F.size(F.filter(F.zip_with("keys", "first_keys", lambda x, y: x == y), lambda x: x))
-    pairs = written(pairs.join(left, "class_id").join(right, "first").where(agreeing >= agree).select("class_id", "first"))
+    classes = written(full.groupBy("a", "b").agg(F.min("doc_id").alias("class_id"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.min("labels").alias("labels")))
+    spots = classes.select("class_id", "size", F.explode("keys").alias("bucket")).unionByName(first_parts(classes, threshold))
+    shared = spots.groupBy("bucket").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most").select("bucket")
+    spots = written(spots.join(shared, "bucket"))
+    ids = texts.where("doc_id is not null")
 
     def verify(batches):
         for batch in batches:
@@ -224,16 +267,36 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
                 linked = [similarity(x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]], threshold) >= threshold for i in range(part.num_rows)]
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    ids = texts.where("doc_id is not null")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        one, other = ids.select(F.col("doc_id").alias("class_id"), "text"), ids.select(F.col("doc_id").alias("first"), F.col("text").alias("first_text"))
-        aligned = pairs.join(one, "class_id").join(other, "first")
-        return written(aligned.select(F.col("class_id").alias("a"), F.col("first").alias("b"), "text", "first_text").mapInArrow(verify, "a long, b long"))
-
-    links = verified(pairs)
-    apart = written(still_apart(ids, classes, components(links), threshold, agree))
-    groups = components(links.unionByName(verified(apart)))
+        """Links (a, b) among pairs (class_id, first), each side's text sent once per pair."""
+        sides = pairs.select("class_id", "first", F.explode(F.array("class_id", "first")).alias("doc_id")).join(ids, "doc_id")
+        aligned = sides.groupBy(F.col("class_id").alias("a"), F.col("first").alias("b")).agg(*[F.max(F.when(F.col("doc_id") == F.col(c), F.col("text"))).alias(t) for c, t in (("class_id", "text"), ("first", "first_text"))])
+        return written(aligned.mapInArrow(verify, "a long, b long"))
+
+    def homed(spots: DataFrame, links: DataFrame | None) -> DataFrame:
+        """``spots`` with their texts' groups."""
+        if links is None:
+            return spots.withColumn("home", F.col("class_id"))
+        return spots.join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left").select("bucket", "class_id", "size", F.coalesce("component", "class_id").alias("home"))
+
+    links = None
+    for mask in np.random.default_rng(seed + 1).integers(0, 1 << 62, max(1, rounds)).tolist():
+        own = homed(spots, links).withColumn("order", F.col("class_id").bitwiseXOR(F.lit(mask)))
+        own = own if links is None else written(own)
+        firsts = own.groupBy("bucket").agg(F.min("order").alias("first"), F.min("home").alias("least"), F.max("home").alias("most")).where("least < most").select("bucket", F.col("first").alias("order"))
+        heads = own.join(firsts, ["bucket", "order"]).select("bucket", "order", F.col("home").alias("far"), F.col("size").alias("long"))
+        near = own.drop("order").join(heads, "bucket").where((F.col("home") != F.col("far")) & (F.least("size", "long") >= threshold * F.greatest("size", "long")))
+        often = near.groupBy("class_id", "order").agg(F.count("*").alias("n"))
+        pairs = written(often.groupBy("class_id").agg(F.max(F.struct("n", (-F.col("order")).alias("order"))).alias("best")).select("class_id", (-F.col("best.order")).bitwiseXOR(F.lit(mask)).alias("first")))
+        found = verified(pairs)
+        links = found if links is None else links.unionByName(found)
+
+    apart = Apart(homed(spots, links), ids, threshold)
+    best = written(apart.best())
+    found = verified(best)
+    failed = written(best.join(found.select(F.col("a").alias("class_id"), F.col("b").alias("first")), ["class_id", "first"], "left_anti"))
+    links = links.unionByName(found).unionByName(verified(apart.others(failed)))
+    groups = components(links)
     named = classes.select("a", "b", "class_id").join(groups, F.col("class_id") == F.col("node"), "left").select("a", "b", "class_id", F.coalesce("component", "class_id").alias("group_id"))
     out = signed.select("doc_id", "a", "b").join(named, ["a", "b"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id"))

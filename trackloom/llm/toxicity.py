@@ -177,7 +177,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_
         terms, owners = [found.hashes], [word]
         for length in PREFIXES:
             long = word[found.ends - found.starts > length]
-            terms.append(W.prefix_hashes(found, long, length, W.ALNUM_LOWER))
+            terms.append(W.prefix_hashes(found, long, length))
             owners.append(long)
         owner = np.concatenate(owners)
         return np.concatenate(terms), row[owner], owner, found.hashes, row

@@ -1,13 +1,17 @@
 """Vectorised word hashing over Arrow text columns.
 
 Tasks that need every word of every text work on the bytes of a whole slice
-of rows at once: a lookup table marks word bytes, word starts and ends follow
-from it, and one polynomial hash per word comes from a segmented sum.  Texts
-are never cut; a slice only bounds how many bytes are in memory together.
+of rows at once: a lookup table marks word bytes, and word starts and ends
+follow from it.  A word is hashed eight bytes at a time, each step through a
+non-linear finaliser; words beyond 64 bytes take BLAKE2b.  ``second`` is an
+independent hash of the same words, so that both together tell words apart by
+128 bits.  Runs of words are hashed as trees over the hashes of their words.
+Texts are never cut; a slice only bounds how many bytes are in memory together.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,9 +22,10 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 #: For tasks with many numbers per word.
 SMALL_SLICE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Odd multipliers and seeds of the two independent hashes.
+_ODD, _SEEDS = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0x243F6A8885A308D3), np.uint64(0xA4093822299F31D0))
+#: Words of more bytes are hashed one at a time.
+STEPPED = 64
 
 
 def byte_table(separators: bytes, lower: bool = False, invert: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -50,25 +55,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    key = "inverse" if inverse else "base"
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, SMALL_SLICE), _UNBASE if inverse else _BASE, np.uint64)
-        steps[0] = 1
-        have = _powers[key] = np.multiply.accumulate(steps)
-    return have[:n]
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: int = 0) -> np.ndarray:
+    """64-bit hashes of ``data[starts[i]:ends[i]]``; ``side`` 0 and 1 are independent."""
+    lengths = ends - starts
+    hashes = mix(lengths.astype(np.uint64) * _ODD + _SEEDS[side])
+    if not len(starts):
+        return hashes
+    loads = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    which = np.flatnonzero(lengths <= STEPPED)
+    for at in range(0, min(STEPPED, int(lengths.max())), 8):
+        which = which[lengths[which] > at]
+        spare = np.maximum(0, at + 8 - lengths[which]).astype(np.uint64) * np.uint64(8)
+        chunk = loads[starts[which] + at] << spare  # bytes behind the end fall out
+        hashes[which] = mix((hashes[which] ^ mix(chunk + _SEEDS[side])) * _ODD + _SEEDS[1 - side])
+    for i in np.flatnonzero(lengths > STEPPED).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        hashes[i] = np.frombuffer(digest, "<u8")[side]
+    return hashes
 
 
 @dataclass
 class Words:
-    """Words of consecutive rows: ``hashes[bounds[i]:bounds[i + 1]]`` is row i."""
+    """Words of consecutive rows: ``hashes[bounds[i]:bounds[i + 1]]`` is row i; ``data`` is as given, ``mapped`` as hashed."""
 
     hashes: np.ndarray
     bounds: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     data: np.ndarray
+    mapped: np.ndarray
+
+    @property
+    def second(self) -> np.ndarray:
+        """An independent hash of every word."""
+        return hash_spans(self.mapped, self.starts, self.ends, 1)
 
 
 def words_of(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = SPACED) -> Words:
@@ -91,14 +111,7 @@ def words_of(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = SPACED) ->
     closes = offsets[1:][offsets[1:] > 0] - 1
     finishes[closes] = inside[closes] if len(raw) else False
     ends = np.flatnonzero(finishes) + 1
-    if len(starts):
-        weighted = (data.astype(np.uint64) + np.uint64(1)) * powers(len(raw))
-        weighted[~inside] = 0
-        hashes = np.add.reduceat(weighted, starts) * powers(len(raw), True)[starts]
-        hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    else:
-        hashes = np.zeros(0, np.uint64)
-    return Words(hashes, np.searchsorted(starts, offsets), starts, ends, raw)
+    return Words(hash_spans(data, starts, ends), np.searchsorted(starts, offsets), starts, ends, raw, data)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -113,24 +126,30 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
             yield batch.slice(lo, hi - lo)
 
 
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of two runs, one behind the other, from theirs."""
+    return mix(left * _ODD + mix(right))
+
+
 def rolling(hashes: np.ndarray, bounds: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of every run of ``size`` words inside one row, and the index of their first word."""
     n = len(hashes)
     if n < size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    own = mix(hashes + np.uint64((seed * 0x9E3779B97F4A7C15) % (1 << 64)))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(own * powers(n), out=sums[1:])
+    power, width, total, done = hashes ^ np.uint64((seed * int(_ODD)) % (1 << 64)), 1, None, 0
+    while True:  # runs of 1, 2, 4, ... words; those of the binary digits of ``size`` make up the run
+        if size & width:
+            part = power[done : done + n - size + 1]
+            total, done = part if total is None else joined(total, part), done + width
+        if 2 * width > size:
+            break
+        power, width = joined(power[:-width], power[width:]), 2 * width
     at = np.arange(n - size + 1)
     whole = np.repeat(bounds[1:], np.diff(bounds))[: n - size + 1]
     at = at[at + size <= whole]
-    return mix((sums[at + size] - sums[at]) * powers(n, True)[at]), at
+    return mix(total[at] + np.uint64(size)), at
 
 
-def prefix_hashes(found: Words, which: np.ndarray, length: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Hashes of the first ``length`` bytes of some words, each of at least that length."""
-    total = np.zeros(len(which), np.uint64)
-    starts, mapping = found.starts[which], table[1]
-    for i in range(length):
-        total += (mapping[found.data[starts + i]].astype(np.uint64) + np.uint64(1)) * powers(length)[i]
-    return mix(total ^ mix(np.uint64([length])))
+def prefix_hashes(found: Words, which: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the first ``length`` bytes of some words, each longer than that."""
+    return mix(hash_spans(found.mapped, found.starts[which], found.starts[which] + length, 1))
