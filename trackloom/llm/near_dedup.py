@@ -148,7 +148,7 @@ class Apart:
         self.threshold, self.block, self.weight = threshold, block, weight
         self.members = written(self.mixed(spots))
         wanted = self.members.select("class_id").distinct()
-        self.bags = written(texts.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id").groupBy("class_id").agg(F.max("text").alias("text")).mapInArrow(self.bag, "class_id long, bag binary"))
+        self.bags = written(texts.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id").select("class_id", "text").mapInArrow(self.bag, "class_id long, bag binary"))
 
     def mixed(self, spots: DataFrame) -> DataFrame:
         """``spots`` of buckets with several groups, with the numbers of blocks and whether a text is outside the largest group."""
@@ -252,7 +252,9 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
     spots = classes.select("class_id", "size", F.explode("keys").alias("bucket")).unionByName(first_parts(classes, threshold))
     shared = spots.groupBy("bucket").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most").select("bucket")
     spots = written(spots.join(shared, "bucket"))
-    ids = texts.where("doc_id is not null")
+    # the texts that share a bucket; the others are not read again
+    sharing = spots.select(F.col("class_id").alias("doc_id")).distinct()
+    bodies = written(texts.join(sharing, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")))
 
     def verify(batches):
         for batch in batches:
@@ -269,7 +271,7 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links (a, b) among pairs (class_id, first), each side's text sent once per pair."""
-        sides = pairs.select("class_id", "first", F.explode(F.array("class_id", "first")).alias("doc_id")).join(ids, "doc_id")
+        sides = pairs.select("class_id", "first", F.explode(F.array("class_id", "first")).alias("doc_id")).join(bodies, "doc_id")
         aligned = sides.groupBy(F.col("class_id").alias("a"), F.col("first").alias("b")).agg(*[F.max(F.when(F.col("doc_id") == F.col(c), F.col("text"))).alias(t) for c, t in (("class_id", "text"), ("first", "first_text"))])
         return written(aligned.mapInArrow(verify, "a long, b long"))
 
@@ -291,7 +293,7 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
         found = verified(pairs)
         links = found if links is None else links.unionByName(found)
 
-    apart = Apart(homed(spots, links), ids, threshold)
+    apart = Apart(homed(spots, links), bodies, threshold)
     best = written(apart.best())
     found = verified(best)
     failed = written(best.join(found.select(F.col("a").alias("class_id"), F.col("b").alias("first")), ["class_id", "first"], "left_anti"))
