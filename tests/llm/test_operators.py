@@ -279,22 +279,59 @@ def test_toxicity_finds_copies_without_a_lexicon_term(spark):
     assert got[1000].evidence and got[1000].predicted == 0
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("block", [4, 64])
+def test_block_max_search_is_exact(block):
     rng = np.random.default_rng(5)
-    idf = np.append(rng.random(30) + 0.5, 1.0)
-    examples = []
-    for i in range(700):
-        terms = np.sort(rng.choice(30, rng.integers(1, 4), replace=False))
-        examples.append((i, int(rng.random() < 0.4), np.append(terms, 30), np.append(rng.integers(1, 4, len(terms)), rng.integers(3, 9))))
-    index = toxicity.BlockMaxIndex(examples, idf)
-    dense = np.zeros((700, 31))
-    for i, x in enumerate(sorted(examples, key=lambda x: (x[2].tobytes(), x[3].tobytes(), x[0]))):
-        dense[i, x[2]] = index.unit(x[2], x[3])
-    for x in examples[::50]:
-        at, cosines = index.nearest(x[2], x[3], 20)
-        q = np.zeros(31)
-        q[x[2]] = index.unit(x[2], x[3])
-        assert np.allclose(cosines, np.sort(dense @ q)[::-1][:20])
+    idf, rows, sizes = rng.random(90) + 0.5, [], []
+    for i in range(700):  # frequent and rare terms, ties and rows of lexicon terms only
+        common, rare = rng.choice(20, rng.integers(0, 4), replace=False), 20 + rng.choice(70, rng.integers(1, 4), replace=False)
+        rows.append(np.sort(np.r_[common, rare]) if i % 9 else np.array([1, 4]))
+        sizes.append(len(rows[-1]))
+    terms = np.concatenate(rows).astype(np.int32)
+    vectors = toxicity.Vectors(np.r_[0, np.cumsum(sizes)], terms, rng.integers(1, 4, len(terms)).astype(np.int32), rng.integers(1, 9, 700).astype(float))
+    ids = rng.permutation(700).astype(np.int64)
+    index = toxicity.BlockMaxIndex(ids, rng.integers(0, 2, 700), vectors, idf, 8, block)
+    dense = np.zeros((700, 90))
+    dense[np.repeat(np.arange(700), sizes), terms] = vectors.unit(idf, 8)
+    dense = dense[np.argsort(ids)]  # by doc_id
+    some = np.arange(0, 700, 3)
+    places = np.argsort(index.ids)[ids[some]]
+    for without in (None, places):
+        for i, (at, cosines) in zip(ids[some], index.search(vectors.take(some), 20, without)):
+            true = np.minimum(dense @ dense[i], 1)
+            if without is not None:
+                true[i] = 0
+            best = np.lexsort((np.arange(700), -np.round(true, 9)))[:20]
+            best = best[true[best] > 0]
+            assert np.allclose(cosines, true[best]) and index.ids[at].tolist() == best.tolist()
+
+
+def test_toxicity_against_brute_force(spark):
+    """The whole query again, from its learnt parts, by all cosines."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(f"b{rng.randrange(60)}" for _ in range(rng.randrange(1, 30))) + (" foul" if i % 5 == 0 else "")) for i in range(150)]
+    rows += [(200, rows[0][1]), (201, "word " * 30_000 + "foul"), (202, "b1 unknown"), (203, "unknown")]
+    labels = [(i, int(i % 5 == 0)) for i in range(150)]
+    got = toxicity.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), k=7).collect()
+    fold = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    split = {i: re.findall(r"[a-z0-9]+", t) for i, t in rows}
+    plain = {w for i in fold for w in split[i]}
+    lexicon = {"foul"} if any(e.cosine > 0 and e.label for r in got if r.doc_id == 201 for e in r.evidence) else set()
+    df = Counter(w for ws in split.values() for w in set(ws) & plain)
+    idf = lambda w: math.log((len(rows) + 1) / (df[w] + 1)) + 1
+
+    def unit(ws):
+        own = {w: (1 + math.log(c)) * idf(w) for w, c in Counter(ws).items() if w in plain}
+        length = math.sqrt(sum(x * x for w, x in own.items() if w not in lexicon))
+        own = {w: x if w in lexicon else x * math.floor(math.log2(1 + len(ws))) / length for w, x in own.items()}
+        whole = math.sqrt(sum(x * x for x in own.values()))
+        return {w: x / whole for w, x in own.items()}
+
+    units = {i: unit(split[i]) for i in split}
+    for r in got:
+        true = {j: min(1.0, sum(x * units[j].get(w, 0) for w, x in units[r.doc_id].items())) for j in fold}
+        best = sorted((j for j in fold if true[j] > 0), key=lambda j: (-round(true[j], 9), j))[:7]
+        assert [e.doc_id for e in r.evidence] == best and np.allclose([e.cosine for e in r.evidence], [true[j] for j in best])
 
 
 def test_language_model(spark):
