@@ -8,12 +8,14 @@ of an anchor is never below the count of a window that it stands for.
    partition sketches are summed on the executors and only one bit per counter
    (two or more) comes back, ``depth`` x 2^``width_bits`` bits in all.
 2. The same is done for whole windows, but only those whose anchor may repeat.
-3. Windows that may repeat are grouped exactly, by a 128-bit key.  A task
+3. Windows that may repeat are grouped exactly, by anchor and a 64-bit hash independent of it.  A task
    settles first what its own rows decide (a smaller document with the same
    window in the same slice) and ships one row per distinct window otherwise,
    so a passage in a third of all documents never meets in one task.
 
-The sketches only overestimate: a full sketch costs time, never a window.
+The sketches only overestimate: a full sketch costs time, never a window.  They
+have a counter for every ``SPARSE`` bytes of text, up to 2^``MOST_BITS``; beyond
+some 8 GB of text they fill up slowly and more windows go to the exact step.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from . import words as W
 from .scratch import written
 
 CHUNK_BITS = 16
+#: Bytes of text to a counter (an anchor stands for about 130), and the widest sketch that is sent to every task.
+SPARSE, MOST_BITS = 16, 29
 _MULTIPLIERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
@@ -100,13 +104,18 @@ def runs_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.r_[0, cut + 1]] if len(at) else at, at[np.r_[cut, len(at) - 1]] if len(at) else at
 
 
-def repeated_windows(documents: DataFrame, size: int = 50, gram: int = 8, width_bits: int = 26, depth: int = 2) -> DataFrame:
+def repeated_windows(documents: DataFrame, size: int = 50, gram: int = 8, width_bits: int | None = None, depth: int = 2) -> DataFrame:
     """Per text key, the runs of windows that also start in a document with a smaller id.
 
     ``documents`` has doc_id, key (64-bit text hash) and text.  Returns doc_id,
-    key, firsts and lasts (arrays of word positions of window starts).
+    key, firsts and lasts (arrays of word positions of window starts).  Windows
+    are equal if they share an anchor and a 64-bit hash of their words that is
+    independent of it.
     """
     spark, gram = documents.sparkSession, min(gram, size)
+    if width_bits is None:
+        volume = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        width_bits = min(MOST_BITS, max(CHUNK_BITS, (int(volume) // SPARSE).bit_length()))
 
     def sliced(batches):
         for batch in batches:
@@ -132,7 +141,7 @@ def repeated_windows(documents: DataFrame, size: int = 50, gram: int = 8, width_
         low, at = low[keep], at[keep]
         if not len(at):
             return low, low, at
-        every, starts = W.rolling(found.hashes, found.bounds, size, 11)
+        every, _ = W.rolling(found.second, found.bounds, size, 11)
         return low, every[keep], at
 
     def count_windows(batches):
@@ -216,7 +225,7 @@ def repeated_windows(documents: DataFrame, size: int = 50, gram: int = 8, width_
     return there.unionByName(elsewhere).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("runs")).select("doc_id", "key", F.col("runs.first").alias("firsts"), F.col("runs.last").alias("lasts"))
 
 
-def substring_dedup(documents: DataFrame, size: int = 50, keep: tuple[str, ...] = (), keep_text: bool = False, width_bits: int = 26) -> DataFrame:
+def substring_dedup(documents: DataFrame, size: int = 50, keep: tuple[str, ...] = (), keep_text: bool = False, width_bits: int | None = None) -> DataFrame:
     """Remove every word covered by a window that also starts in a document with a smaller id.
 
     Words are maximal runs of bytes other than ASCII white space, unchanged; a
