@@ -1,11 +1,13 @@
 """License scan: phrases in place, and templates by an exact set-similarity join.
 
-A text block (a line) holds a template if at least ``threshold`` of the
-template's distinct words stand in it.  Words are ordered by how often they
-occur in all documents, rarest first.  A block can reach the overlap only if it
-has one of the first |T| - overlap + 1 words of the template (prefix), at least
-``overlap`` template words at all (length), and enough words left behind the
-first common one in both orders (position); what passes is counted exactly.
+A text block is any run of as many words as a template of n words may be spread
+over, n / ``threshold``; line ends do not matter.  It holds the template if at
+least ``threshold`` of the template's distinct words stand in it.  Words are
+ordered by how often they occur in all documents, rarest first.  A block that
+reaches the overlap has one of the first |T| - overlap + 1 words of the template
+(prefix), so only the places of such words are joined with templates; around
+each there must be ``overlap`` template words (length) that do not come before
+it in that order (position), and what passes is counted exactly in every block.
 """
 
 from __future__ import annotations
@@ -49,25 +51,24 @@ def scan(documents: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templat
     separated by commas.  score is 1 with a phrase, else the largest share of a
     template in a block that reaches ``threshold``, else 0.
 
-    Phrases and templates are parameters of a few rows.  Null and empty texts
-    have no words and empty labels.  Repeated rows, null doc_id and clashing
-    columns do no harm: rows are told apart by doc_id and a hash of the text.
-    An empty table gives an empty result.
+    Phrases and templates are parameters of a few rows, or of none.  Null and
+    empty texts have no words and empty labels.  Repeated rows, null doc_id and
+    clashing columns do no harm: rows are told apart by doc_id and a hash of the
+    text.  An empty table gives an empty result.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias("text"))
     split = texts.select("doc_id", F.xxhash64("text").alias("key"), "text", words_in(F.col("text")).alias("words"))
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
+    sets = [(label, sorted(set(text.split())), math.ceil(len(text.split()) / threshold - 1e-9)) for label, text in templates]
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
 
     # how often the templates' words occur in all documents decides their order
     counts = dict(split.select(F.explode(F.filter("words", lambda w: w.isin(vocabulary))).alias("word")).groupBy("word").count().collect())  # a row per template word
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     plans = []
-    for number, (label, ws) in enumerate(sets):
+    for number, (label, ws, length) in enumerate(sets):
         ranks, need = sorted(order[w] for w in ws), max(1, math.ceil(threshold * len(ws) - 1e-9))
-        plans += [(number, label, rank, place, len(ranks), need, ranks) for place, rank in enumerate(ranks[: len(ranks) - need + 1])]
-    fewest = min(p[5] for p in plans)
+        plans += [(number, label, rank, len(ranks), need, length, ranks) for rank in ranks[: len(ranks) - need + 1]]
     prefix = sorted({w for w in vocabulary for p in plans if order[w] == p[2]})
 
     def places(phrase: str) -> Column:
@@ -78,21 +79,25 @@ def scan(documents: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templat
             likely = likely & F.col("text").contains(word)
         return F.when(likely, F.filter(F.transform("words", here), lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
 
-    number_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, order[w])])
-    block = lambda line: F.array_sort(F.transform(F.array_distinct(F.filter(F.split(line, SEPARATORS), lambda w: w.isin(vocabulary))), lambda w: number_of[w]))
-    blocks = F.when(F.exists("words", lambda w: w.isin(prefix)), F.filter(F.transform(F.split("text", "\n"), block), lambda b: F.size(b) >= fewest)).otherwise(F.array().cast("array<array<int>>"))
-    digests = written(split.select("doc_id", "key", F.size("words").alias("n_words"), *[places(p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)], blocks.alias("blocks")))
-
-    found = digests.select("doc_id", "key", F.posexplode(F.array_distinct("blocks")).alias("block", "ranks"))
-    tokens = found.select("*", F.posexplode(F.slice("ranks", F.lit(1), F.greatest(F.lit(0), F.size("ranks") - fewest + 1))).alias("at", "rank"))
-    plan = spark.createDataFrame(plans, "template int, label string, rank int, place int, size int, need int, of array<int>")
-    near = tokens.join(F.broadcast(plan), "rank").where((F.size("ranks") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("place"), F.size("ranks") - F.col("at")) - 1 >= F.col("need")))
-    overlap = F.size(F.array_intersect("ranks", "of"))
+    # places and ranks of template words, in texts with one of a prefix
+    hits = F.array().cast("array<struct<at: int, rank: int>>")
+    if vocabulary:
+        number_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, order[w])])
+        ranked = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), F.when(w.isin(vocabulary), number_of[w]).alias("rank"))), lambda h: h["rank"].isNotNull())
+        hits = F.when(F.exists("words", lambda w: w.isin(prefix)), ranked).otherwise(hits)
+    digests = written(split.select("doc_id", "key", F.size("words").alias("n_words"), *[places(p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)], hits.alias("hits")))
+
+    plan = spark.createDataFrame(plans, "template int, label string, rank int, size int, need int, length int, of array<int>")
+    found = digests.where(F.size("hits") > 0).select("doc_id", "key", "hits", F.explode("hits").alias("hit")).select("doc_id", "key", "hits", F.col("hit.at").alias("at"), F.col("hit.rank").alias("rank"))
+    around = F.filter("hits", lambda h: (h["at"] > F.col("at") - F.col("length")) & (h["at"] < F.col("at") + F.col("length")) & (h["rank"] >= F.col("rank")) & F.array_contains("of", h["rank"]))
+    near = found.join(F.broadcast(plan), "rank").select("doc_id", "key", "label", "at", "size", "need", "length", around.alias("around")).where(F.size(F.array_distinct("around.rank")) >= F.col("need"))
+    inside = lambda start: F.size(F.array_distinct(F.transform(F.filter("around", lambda h: (h["at"] >= start["at"]) & (h["at"] < start["at"] + F.col("length"))), lambda h: h["rank"])))
+    overlap = F.array_max(F.transform(F.filter("around", lambda h: h["at"] <= F.col("at")), inside))
     held = near.withColumn("overlap", overlap).where("overlap >= need").groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("share"))
 
     joined = digests.alias("d").join(held.alias("h"), F.expr("d.doc_id <=> h.doc_id AND d.key = h.key"), "left").select("d.*", "h.more", "h.share")
-    starts = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))])
-    base = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]))
+    starts = F.concat(F.array().cast("array<int>"), *[F.col(f"p{i}") for i in range(len(phrases))])
+    base = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]))
     return joined.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
@@ -109,17 +114,17 @@ def oracle_sql(phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[s
     """The same rows by plain containment in DuckDB SQL."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrase_rows = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in phrases)
-    template_rows = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))})" for label, t in templates)
+    template_rows = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))}, {math.ceil(len(t.split()) / threshold - 1e-9)})" for label, t in templates)
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{pattern}') AS ws FROM d),
 p(label, pw) AS (VALUES {phrase_rows}),
-m(label, tw) AS (VALUES {template_rows}),
+m(label, tw, n) AS (VALUES {template_rows}),
 places AS (SELECT r, label, i FROM (SELECT r, ws, unnest(range(0, len(ws))) AS i FROM w) x, p WHERE ws[i + 1 : i + len(pw)] = pw),
 b AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi FROM places GROUP BY r),
-lines AS (SELECT r, list_distinct(regexp_extract_all(l, '{pattern}')) AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM w) x),
-held AS (SELECT r, label, len(list_intersect(lw, tw)) / len(tw)::DOUBLE AS share FROM lines, m WHERE len(list_intersect(lw, tw)) >= ceil({threshold} * len(tw) - 1e-9)),
+blocks AS (SELECT r, label, tw, ws[i : i + n - 1] AS bw FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) x, m WHERE list_contains(tw, ws[i])),
+held AS (SELECT r, label, max(len(list_intersect(bw, tw)) / len(tw)::DOUBLE) AS share FROM blocks WHERE len(list_intersect(bw, tw)) >= ceil({threshold} * len(tw) - 1e-9) GROUP BY r, label),
 bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT r, label FROM places) x GROUP BY r),
 al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT r, label FROM places UNION SELECT r, label FROM held) x GROUP BY r),
 sh AS (SELECT r, max(share) AS s FROM held GROUP BY r)
