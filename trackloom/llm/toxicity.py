@@ -31,7 +31,7 @@ from . import words as W
 from .scratch import written
 
 #: Examples of a block, queries scored together, and the most terms that have a dense row.
-BLOCK, TOGETHER, DENSE = 64, 128, 1024
+BLOCK, TOGETHER, DENSE = 256, 128, 1024
 #: More than single precision can err on a cosine.
 SLACK = 1e-4
 #: Distance at which a vote weighs a quarter of one at distance 0.
@@ -69,6 +69,12 @@ class Vectors:
         weight[plain] *= scale[row[plain]]
         return weight / np.sqrt(np.maximum(np.bincount(row, weight**2, len(self)), 1e-300))[row]
 
+    def units(self, idf: np.ndarray, lexicon: int, rows: int = 2048):
+        """(rows, terms, weights) by parts of some rows, so that little is in memory besides the result."""
+        for lo in range(0, len(self), rows):
+            part = self.take(np.arange(lo, min(len(self), lo + rows)))
+            yield lo + np.repeat(np.arange(len(part)), np.diff(part.bounds)), part.terms, part.unit(idf, lexicon)
+
 
 class BlockMaxIndex:
     """Unit TF-IDF vectors of labelled examples; exact top-k by cosine."""
@@ -85,11 +91,11 @@ class BlockMaxIndex:
         top = np.argsort(-np.bincount(vectors.terms, minlength=len(idf)), kind="stable")[:256]
         column = np.full(len(idf), -1, np.int32)
         column[top] = np.arange(len(top))
-        weight, row, at = vectors.unit(idf, lexicon), np.repeat(np.arange(n), np.diff(vectors.bounds)), column[vectors.terms]
-        dense = np.zeros((n, len(top)), np.float32)
-        dense[row[at >= 0], at[at >= 0]] = weight[at >= 0]
-        first = np.full(n, lexicon, np.int64)
-        np.minimum.at(first, row, np.minimum(vectors.terms, lexicon))
+        dense, first = np.zeros((n, len(top)), np.float32), np.full(n, lexicon, np.int64)
+        for row, terms, weight in vectors.units(idf, lexicon):
+            at = column[terms]
+            dense[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+            np.minimum.at(first, row, np.minimum(terms, lexicon))
         centers = dense[np.linspace(0, max(0, n - 1), min(n, 128)).astype(int)]
         return np.lexsort((np.argmax(dense @ centers.T, axis=1) if n else first, first))
 
@@ -98,7 +104,7 @@ class BlockMaxIndex:
         n, size, terms = len(self.ids), len(self.idf), self.vectors.terms
         blocks = -(-n // self.block)
         row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.vectors.bounds))
-        weight = self.vectors.unit(self.idf, self.lexicon)
+        weight = np.concatenate([w for _, _, w in self.vectors.units(self.idf, self.lexicon)])
         often = np.bincount(terms, minlength=size)
         frequent = np.argsort(-often, kind="stable")[:DENSE]
         frequent = frequent[often[frequent] > n / 40]
@@ -110,11 +116,11 @@ class BlockMaxIndex:
         self.dense = np.zeros((len(frequent), blocks * self.block), np.float32)
         self.dense[self.part_terms, row[own]] = self.part_weights
         self.dense_most = self.dense.reshape(len(frequent), blocks, self.block).max(axis=2)
-        order = np.argsort(terms[~own], kind="stable")
-        self.rows, self.light = row[~own][order], weight[~own][order]
-        self.heads = np.searchsorted(terms[~own][order], np.arange(size + 1))
+        order = np.flatnonzero(~own)[np.argsort(terms[~own], kind="stable")]
+        self.rows, self.light, sorted_terms = row[order], weight[order], terms[order]
+        self.heads = np.searchsorted(sorted_terms, np.arange(size + 1))
         # a term's largest weight in each block that holds it; rows rise within a term, so its blocks are runs
-        cut = np.flatnonzero(np.r_[True, (np.diff(terms[~own][order]) != 0) | (np.diff(self.rows // self.block) != 0)]) if len(order) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.r_[True, (np.diff(sorted_terms) != 0) | (np.diff(self.rows // self.block) != 0)]) if len(order) else order
         self.most = np.maximum.reduceat(self.light, cut) if len(cut) else self.light
         self.where = self.rows[cut] // self.block
         self.most_heads = np.searchsorted(cut, self.heads)
@@ -155,16 +161,17 @@ class BlockMaxIndex:
                     probe[np.argmax(probe)] = 0  # no other is nearer than the example itself
                 least[j] = max(self.kth(probe, k) - SLACK, 1e-12)
             alive = np.flatnonzero((bound[some] >= least[:, None] - SLACK).any(axis=0))
-            columns = spans(alive * self.block, np.full(len(alive), self.block))
-            whole = len(alive) == blocks
-            score = (rare if whole else rare[:, columns]) + single[some] @ (self.dense if whole else self.dense[:, columns])
+            score = np.zeros(rare.shape, np.float32)
+            for run in np.split(alive, np.flatnonzero(np.diff(alive) > 1) + 1):  # neighbouring blocks together, without copies
+                own = slice(run[0] * self.block, (run[-1] + 1) * self.block)
+                np.matmul(single[some], self.dense[:, own], out=score[:, own])
+                np.add(score[:, own], rare[:, own], out=score[:, own], casting="same_kind")
             for j, i in enumerate(some):
                 near = np.flatnonzero(score[j] >= least[j])
                 if without is not None and without[i] >= 0:
-                    near = near[columns[near] != without[i]]
+                    near = near[near != without[i]]
                 if len(near) > k:
                     near = near[score[j, near] >= self.kth(score[j, near], k) - SLACK]
-                near = columns[near]
                 many = self.parts[near + 1] - self.parts[near]
                 at = spans(self.parts[near], many)
                 cosines = rare[j, near] + np.bincount(np.repeat(np.arange(len(near)), many), self.part_weights[at] * heavy[i][self.part_terms[at]], len(near))
