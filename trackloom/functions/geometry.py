@@ -42,22 +42,6 @@ def epipolar_line(c1: Column, c2: Column, u: Column, v: Column, reach: float = 5
     return slope, v1 - slope * u1
 
 
-def undistort(u: Column, v: Column, f1: Column, f2: Column, cx: Column, cy: Column, k: list[Column], rounds: int = 3) -> tuple[Column, Column]:
-    """Pixel without lens distortion by fixed-point rounds; k = (k1, k2, p1, p2, k3)."""
-    f = (f1 + f2) / 2
-    seen = F.array((u - cx) / f, (v - cy) / f)
-
-    def again(s: Column) -> Column:
-        # the state is bound to a lambda variable: written out, three rounds would repeat it a thousandfold
-        radial, dx, dy = lens_terms(s[0], s[1], k)
-        return F.array(ratio((u - cx) / f - dx, radial), ratio((v - cy) / f - dy, radial))
-
-    flat = seen
-    for _ in range(rounds):
-        flat = F.transform(F.array(flat), again)[0]
-    return flat[0] * f + cx, flat[1] * f + cy
-
-
 def distort(u: Column, v: Column, f1: Column, f2: Column, cx: Column, cy: Column, k: list[Column]) -> tuple[Column, Column]:
     """The forward lens model in closed form: where an undistorted pixel is seen."""
     f = (f1 + f2) / 2
@@ -72,12 +56,6 @@ def lens_terms(x: Column, y: Column, k: list[Column]) -> tuple[Column, Column, C
     return radial, 2 * k[2] * x * y + k[3] * (r2 + 2 * x * x), k[2] * (r2 + 2 * y * y) + 2 * k[3] * x * y
 
 
-def where_complete(pair: tuple[Column, Column], u: Column, v: Column) -> tuple[Column, Column]:
-    """A transform on rows with both coordinates; others pass as they are."""
-    both = u.isNotNull() & v.isNotNull()
-    return F.when(both, pair[0]).otherwise(u), F.when(both, pair[1]).otherwise(v)
-
-
 def norm(*parts: Column) -> Column:
     return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
 

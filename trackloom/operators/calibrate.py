@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import few
+
 COEFFICIENTS = "cam int, c array<double>, rmse double, n_points int"
 
 
@@ -87,7 +89,7 @@ def calibrate(cal_obs: DataFrame, cal_object: DataFrame, method: str = "space")
     """
     axes = ["x", "y"] if method == "plane" else ["x", "y", "z"]
     least = 4 if method == "plane" else 6
-    rows = cal_obs.join(F.broadcast(cal_object), "pt").select("cam", "pt", "u", "v", *axes).dropna()
+    rows = cal_obs.join(few(cal_object), "pt").select("cam", "pt", "u", "v", *axes).dropna()
     solve = fit_modified if method == "modified" else fit
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +108,7 @@ def leave_one_out(cal_obs: DataFrame, cal_object: DataFrame, method: str = "spac
     Every (camera, left-out point) is a group of its own, so the fits spread over the cluster.
     """
     axes = ["x", "y"] if method == "plane" else ["x", "y", "z"]
-    rows = cal_obs.join(F.broadcast(cal_object), "pt").select("cam", "pt", "u", "v", *axes)
+    rows = cal_obs.join(few(cal_object), "pt").select("cam", "pt", "u", "v", *axes)
     left = rows.select("cam", F.col("pt").alias("without"), F.col("u").isNotNull().alias("clicked"))
     others = left.join(rows.dropna(), "cam").where("pt <> without")
     solve = fit_modified if method == "modified" else fit

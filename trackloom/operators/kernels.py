@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import few
+
 
 def by_track(series: DataFrame, kernel, schema: str) -> DataFrame:
     return series.select("track", "frame", "u").groupBy("track").applyInPandas(lambda g: kernel(g.sort_values("frame", kind="stable").reset_index(drop=True)), schema)
@@ -18,15 +20,24 @@ def by_track(series: DataFrame, kernel, schema: str) -> DataFrame:
 # interpolation and smoothing
 
 def cubic_coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Second derivatives of the not-a-knot cubic spline."""
+    """Second derivatives of the not-a-knot cubic spline, by tridiagonal elimination in linear time."""
     n, h = len(x), np.diff(x)
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    return np.linalg.solve(a, b)
+    below, own, above = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()  # rows of the inner knots
+    right = 6 * np.diff(np.diff(y) / h)
+    # the first and last second derivatives lie on the line through their two neighbours
+    near, far = h[0] / h[1], h[-1] / h[-2]
+    own[0], above[0] = own[0] + below[0] * (1 + near), above[0] - below[0] * near
+    own[-1], below[-1] = own[-1] + above[-1] * (1 + far), below[-1] - above[-1] * far
+    for i in range(1, n - 2):
+        step = below[i] / own[i - 1]
+        own[i] -= step * above[i - 1]
+        right[i] -= step * right[i - 1]
+    m = np.zeros(n)
+    m[n - 2] = right[-1] / own[-1]
+    for i in range(n - 4, -1, -1):
+        m[i + 1] = (right[i] - above[i] * m[i + 2]) / own[i]
+    m[0], m[-1] = m[1] * (1 + near) - m[2] * near, m[-2] * (1 + far) - m[-3] * far
+    return m
 
 
 def spline_at(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -122,22 +133,28 @@ def smooth(x: np.ndarray, y: np.ndarray, w: np.ndarray, tol: float, order: int =
         for o in range(4 - j):
             energy[o, j : j + n - 3] += span * d[:, j] * d[:, j + o]
 
+    scale = w.max() / energy[0].max()  # lambda relative to the weights, so that no sum loses its small part
+
     def fit(p: float) -> np.ndarray:
-        band = 10.0**p * energy
+        band = 10.0**p * scale * energy
         band[0] += w
         return solve_banded(band, w * y)
 
+    def parabola() -> np.ndarray:
+        """The limit of no energy: the weighted quadratic."""
+        t = (x - x[0]) / (x[-1] - x[0])
+        basis, root = np.vander(t, 3), np.sqrt(w)
+        return basis @ np.linalg.lstsq(basis * root[:, None], y * root, rcond=None)[0]
+
     miss = lambda f: float((w * (y - f) ** 2).sum())
     if tol <= 0:
         f = y.astype(float)
-    else:
-        lo, hi = -12.0, 12.0
-        f = fit(hi)
-        if miss(f) > tol:
-            for _ in range(60):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if miss(fit(mid)) <= tol else (lo, mid)
-            f = fit(lo)
+    elif miss(f := parabola()) > tol:
+        lo, hi = -12.0, 9.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if miss(fit(mid)) <= tol else (lo, mid)
+        f = fit(lo)
     for _ in range(order):
         f = np.gradient(f, x)
     return f
@@ -170,7 +187,7 @@ def kalman_next(values: np.ndarray) -> float:
     gaps = np.isnan(z)
     if gaps.any():
         z[gaps] = spline_at(ok - ok[0], values[ok], np.flatnonzero(gaps).astype(float))
-    # position takes twice the acceleration and no velocity: fixed by the data format being matched
+    # position takes twice the acceleration and no velocity: a fixed value: the model matrix to be matched
     step = np.array([[1.0, 0, 2], [0, 1, 1], [0, 0, 1]])
     state, cov = np.array([z[0], z[1] - z[0], z[2] - 2 * z[1] + z[0]]), 0.01 * np.eye(3)
     for x in z:
@@ -371,4 +388,4 @@ def pick_stores(draws: DataFrame, stores: DataFrame, seed: int) -> DataFrame:
     upto = F.sum("n_frames").over(Window.orderBy("store"))
     shares = stores.select("store", ((upto - F.col("n_frames")) / total).alias("lo"), (upto / total).alias("hi"))
     drawn = draws.withColumn("r", F.rand(seed))
-    return drawn.join(F.broadcast(shares), (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).drop("r", "lo", "hi")
+    return drawn.join(few(shares), (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).drop("r", "lo", "hi")

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import project, ratio, undistort, where_complete
+from ..functions.geometry import lens_terms, project, ratio
+from .sizes import few
 
 KEY = ["trial", "frame", "point"]
+COMPLETE = "u IS NOT NULL AND v IS NOT NULL"
 
 
 def det3(m: list[list[Column]]) -> Column:
@@ -25,22 +27,30 @@ def cramer3(m: list[list[Column]], r: list[Column]) -> list[Column]:
     return [ratio(det3([[r[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]), det) for k in range(3)]
 
 
-def undistorted(obs: DataFrame, lens: DataFrame | None) -> DataFrame:
-    """Left join with the lenses (cam, f1, f2, cx, cy, k1..k5); a camera without one passes."""
+def undistorted(obs: DataFrame, lens: DataFrame | None, rounds: int = 3) -> DataFrame:
+    """Without lens distortion, by fixed-point rounds; a camera without a lens (cam, f1, f2, cx, cy, k1..k5) passes.
+
+    Each round is a select of its own, so it is computed once and stays in
+    whole-stage code.  Filter ``obs`` before and not the result: Spark would
+    push the filter through the rounds and repeat their expressions in it.
+    """
     if lens is None:
         return obs
-    joined = obs.join(F.broadcast(lens), "cam", "left")
-    moved = where_complete(undistort(F.col("u"), F.col("v"), F.col("f1"), F.col("f2"), F.col("cx"), F.col("cy"), [F.col(f"k{i}") for i in range(1, 6)]), F.col("u"), F.col("v"))
-    known = F.col("f1").isNotNull()
-    # new names first: inside a lambda an alias "u" of the same select would stand in for the column
-    kept = [c for c in obs.columns if c not in ("u", "v")]
-    out = joined.select(*kept, F.when(known, moved[0]).otherwise(F.col("u")).alias("flat_u"), F.when(known, moved[1]).otherwise(F.col("v")).alias("flat_v"))
-    return out.withColumnsRenamed({"flat_u": "u", "flat_v": "v"})
+    kept = [F.col(c) for c in obs.columns]
+    model = lens.select("cam", ((F.col("f1") + F.col("f2")) / 2).alias("_f"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), *[F.col(f"k{i}").alias(f"_k{i}") for i in range(1, 6)])
+    seen_x, seen_y, k = (F.col("u") - F.col("_cx")) / F.col("_f"), (F.col("v") - F.col("_cy")) / F.col("_f"), [F.col(f"_k{i}") for i in range(1, 6)]
+    state = obs.join(few(model), "cam", "left").select(*kept, "_f", "_cx", "_cy", *k, seen_x.alias("_x"), seen_y.alias("_y"))
+    for _ in range(rounds):
+        radial, dx, dy = lens_terms(F.col("_x"), F.col("_y"), k)
+        state = state.select(*kept, "_f", "_cx", "_cy", *k, ratio(seen_x - dx, radial).alias("_x"), ratio(seen_y - dy, radial).alias("_y"))
+    moved = F.col("_f").isNotNull() & F.col("u").isNotNull() & F.col("v").isNotNull()
+    flat = {"u": F.when(moved, F.col("_x") * F.col("_f") + F.col("_cx")).otherwise(F.col("u")), "v": F.when(moved, F.col("_y") * F.col("_f") + F.col("_cy")).otherwise(F.col("v"))}
+    return state.select(*[flat.get(c, F.col(c)).alias(c) for c in obs.columns])
 
 
 def equations(obs: DataFrame, camera: DataFrame) -> DataFrame:
-    """Two rows of the linear system (a1, a2, a3 | b) per complete observation."""
-    j = obs.where("u IS NOT NULL AND v IS NOT NULL").join(F.broadcast(camera.where(F.size("c") == 11)), "cam")
+    """Two rows of the linear system (a1, a2, a3 | b) per observation, which has to be complete."""
+    j = obs.join(few(camera.where(F.size("c") == 11)), "cam")
     c, u, v = F.col("c"), F.col("u"), F.col("v")
     one = F.struct(*[(u * c[8 + i] - c[i]).alias(f"a{i}") for i in range(3)], (c[3] - u).alias("b"))
     two = F.struct(*[(v * c[8 + i] - c[4 + i]).alias(f"a{i}") for i in range(3)], (c[7] - v).alias("b"))
@@ -49,9 +59,9 @@ def equations(obs: DataFrame, camera: DataFrame) -> DataFrame:
 
 def triangulate(obs: DataFrame, camera: DataFrame, lens: DataFrame | None = None) -> DataFrame:
     """Points seen by two cameras or more: trial, frame, point, x, y, z, n_cams, algebraic_rmse."""
-    eq = equations(undistorted(obs, lens), camera)
+    eq = equations(undistorted(obs.where(COMPLETE), lens), camera)
     a, b = [F.col(f"a{i}") for i in range(3)], F.col("b")
-    sums = {f"s{i}{j}": F.sum(a[i] * a[j]) for i in range(3) for j in range(i, 3)} | {f"r{i}": F.sum(a[i] * b) for i in range(3)} | {"bb": F.sum(b * b), "rows": F.count("*")}
+    sums = {f"s{i}{j}": F.sum(a[i] * a[j]) for i in range(3) for j in range(i, 3)} | {f"r{i}": F.sum(a[i] * b) for i in range(3)} | {"bb": F.sum(b * b), "rows": F.count("b")}
     g = eq.groupBy(*KEY).agg(*[s.alias(n) for n, s in sums.items()]).where("rows >= 4")
     s = lambda i, j: F.col(f"s{min(i, j)}{max(i, j)}")
     x = cramer3([[s(i, j) for j in range(3)] for i in range(3)], [F.col(f"r{i}") for i in range(3)])
@@ -63,7 +73,7 @@ def triangulate(obs: DataFrame, camera: DataFrame, lens: DataFrame | None = None
 
 def reprojection_rmse(obs: DataFrame, xyz: DataFrame, camera: DataFrame, compat: bool = False) -> DataFrame:
     """sqrt(sum of squared pixel errors / (coordinates - 3)) per point of ``xyz``; 0 instead of NULL with ``compat``."""
-    j = obs.where("u IS NOT NULL AND v IS NOT NULL").join(F.broadcast(camera), "cam").join(xyz.select(*KEY, "x", "y", "z"), KEY)
+    j = obs.where(COMPLETE).join(few(camera), "cam").join(xyz.select(*KEY, "x", "y", "z"), KEY)
     u, v = project(F.col("c"), F.col("x"), F.col("y"), F.col("z"))
     g = j.groupBy(*KEY).agg(F.sum((u - F.col("u")) ** 2 + (v - F.col("v")) ** 2).alias("ss"), F.count("*").alias("n"))
     out = xyz.join(g, KEY, "left")
@@ -71,33 +81,41 @@ def reprojection_rmse(obs: DataFrame, xyz: DataFrame, camera: DataFrame, compat:
     return out.withColumn("rmse", F.coalesce(rmse, F.lit(0.0)) if compat else rmse).drop("ss", "n")
 
 
-def reconstruct(obs: DataFrame, camera: DataFrame, lens: DataFrame | None = None) -> DataFrame:
-    """Triangulation with reprojection residual in one shuffle of the observations.
+def sightings(obs: DataFrame, camera: DataFrame) -> DataFrame:
+    """Triangulation with the observations next to the point: trial, frame, point, seen (cam, u, v), x, y, z, n_cams, rmse.
 
-    Each group keeps the observations of its few cameras next to the sums, so
-    the residual needs no second pass over ``obs``.
+    One shuffle of (cam, u, v) and partial sums; the few cameras are looked up
+    in a broadcast map for the reprojection residual, which thus needs no second
+    pass over ``obs``, which has to be complete.
     """
-    good = undistorted(obs, lens).where("u IS NOT NULL AND v IS NOT NULL").join(F.broadcast(camera.where(F.size("c") == 11)), "cam")
+    usable = camera.where(F.size("c") == 11)
+    good = obs.join(few(usable), "cam")
     c, u, v = F.col("c"), F.col("u"), F.col("v")
     one, two = [u * c[8 + i] - c[i] for i in range(3)], [v * c[8 + i] - c[4 + i] for i in range(3)]
     b1, b2 = c[3] - u, c[7] - v
     sums = [F.sum(one[i] * one[j] + two[i] * two[j]).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)]
     sums += [F.sum(one[i] * b1 + two[i] * b2).alias(f"r{i}") for i in range(3)]
-    g = good.groupBy(*KEY).agg(*sums, F.collect_list(F.struct("u", "v", "c")).alias("seen")).where(F.size("seen") >= 2)
+    g = good.groupBy(*KEY).agg(*sums, F.collect_list(F.when(u.isNotNull() & v.isNotNull(), F.struct("cam", "u", "v"))).alias("seen")).where(F.size("seen") >= 2)
     s = lambda i, j: F.col(f"s{min(i, j)}{max(i, j)}")
     g = g.select(*KEY, "seen", *[p.alias(n) for p, n in zip(cramer3([[s(i, j) for j in range(3)] for i in range(3)], [F.col(f"r{i}") for i in range(3)]), "xyz")])
+    known = usable.agg(F.map_from_entries(F.collect_list(F.struct("cam", "c"))).alias("cams"))  # one row
 
     def error(acc, o):
-        pu, pv = project(o["c"], F.col("x"), F.col("y"), F.col("z"))
+        pu, pv = project(F.element_at("cams", o["cam"]), F.col("x"), F.col("y"), F.col("z"))
         return acc + (pu - o["u"]) * (pu - o["u"]) + (pv - o["v"]) * (pv - o["v"])
 
     n = F.size("seen")
-    return g.select(*KEY, "x", "y", "z", n.alias("n_cams"), F.sqrt(F.aggregate("seen", F.lit(0.0), error) / (2 * n - 3)).alias("rmse"))
+    return g.crossJoin(few(known)).select(*KEY, "seen", "x", "y", "z", n.alias("n_cams"), F.sqrt(F.aggregate("seen", F.lit(0.0), error) / (2 * n - 3)).alias("rmse"))
+
+
+def reconstruct(obs: DataFrame, camera: DataFrame, lens: DataFrame | None = None) -> DataFrame:
+    """Triangulation with reprojection residual in one shuffle: trial, frame, point, x, y, z, n_cams, rmse."""
+    return sightings(undistorted(obs.where(COMPLETE), lens), camera).drop("seen")
 
 
 def reconstruct_plane(obs: DataFrame, camera: DataFrame) -> DataFrame:
     """Planar points from one camera or more: trial, frame, point, x, y, z = 0, n_cams, rmse (NULL from one camera)."""
-    j = obs.where("u IS NOT NULL AND v IS NOT NULL").join(F.broadcast(camera.where(F.size("c") == 8)), "cam")
+    j = obs.where(COMPLETE).join(few(camera.where(F.size("c") == 8)), "cam")
     c, u, v = F.col("c"), F.col("u"), F.col("v")
     a1, a2, p = u * c[6] - c[0], u * c[7] - c[1], c[2] - u
     d1, d2, q = v * c[6] - c[3], v * c[7] - c[4], c[5] - v
@@ -140,4 +158,4 @@ def flip_vertical(camera: DataFrame, heights: DataFrame) -> DataFrame:
     """Coefficients for images turned upside down: v becomes height - v.  ``heights`` has cam, height."""
     c, h = F.col("c"), F.col("height")
     flipped = [h * c[8 + i] - c[4 + i] for i in range(3)] + [h - c[7]]
-    return camera.join(F.broadcast(heights), "cam").select("cam", F.array(*[c[i] for i in range(4)], *flipped, *[c[i] for i in range(8, 11)]).alias("c"))
+    return camera.join(few(heights), "cam").select("cam", F.array(*[c[i] for i in range(4)], *flipped, *[c[i] for i in range(8, 11)]).alias("c"))

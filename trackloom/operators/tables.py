@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import epipolar_line, project, video_frame
+from .sizes import few
 
 
 def zero_is_missing(value: Column) -> Column:
@@ -29,7 +30,7 @@ def nan_std(value: Column) -> Column:
 def project_all(xyz: DataFrame, camera: DataFrame) -> DataFrame:
     """Every point in every camera; the cameras are a few broadcast rows."""
     u, v = project(F.col("c"), F.col("x"), F.col("y"), F.col("z"))
-    return xyz.crossJoin(F.broadcast(camera)).select("trial", "frame", "point", "cam", u.alias("u"), v.alias("v"))
+    return xyz.crossJoin(few(camera)).select("trial", "frame", "point", "cam", u.alias("u"), v.alias("v"))
 
 
 def epipolar_lines(obs: DataFrame, camera: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def epipolar_lines(obs: DataFrame, camera: DataFrame) -> DataFrame:
     one = good.groupBy("trial", "frame", "point").agg(F.count("*").alias("n"), F.first("cam").alias("cam"), F.first("u").alias("u"), F.first("v").alias("v")).where("n = 1")
     own = camera.select("cam", F.col("c").alias("c1"))
     other = camera.select(F.col("cam").alias("other"), F.col("c").alias("c2"))
-    j = one.join(F.broadcast(own), "cam").join(F.broadcast(other), F.col("cam") != F.col("other"))
+    j = one.join(few(own), "cam").join(few(other), F.col("cam") != F.col("other"))
     slope, intercept = epipolar_line(F.col("c1"), F.col("c2"), F.col("u"), F.col("v"))
     return j.select("trial", "frame", "point", "cam", "other", slope.alias("slope"), intercept.alias("intercept"))
 
@@ -46,7 +47,7 @@ def epipolar_lines(obs: DataFrame, camera: DataFrame) -> DataFrame:
 def synchronised(frames: DataFrame, video: DataFrame, offsets: DataFrame) -> DataFrame:
     """Own frame of each camera at every master frame (NULL outside its video)."""
     first = video.groupBy().agg(F.min_by("frame_rate", "cam").alias("first_rate"))
-    j = frames.crossJoin(F.broadcast(video)).crossJoin(F.broadcast(first)).join(offsets, ["frame", "cam"], "left")
+    j = frames.crossJoin(few(video)).crossJoin(few(first)).join(offsets, ["frame", "cam"], "left")
     return j.select("frame", "cam", video_frame(F.col("frame"), F.col("frame_rate"), F.col("first_rate"), F.col("offset"), F.col("n_frames")).alias("video_frame"))
 
 

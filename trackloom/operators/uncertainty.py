@@ -1,29 +1,66 @@
-"""Bootstrap confidence intervals of triangulated points, as plain aggregations."""
+"""Bootstrap confidence intervals of triangulated points, without a row per replicate."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .solve import KEY, reconstruct, undistorted
+from .sizes import few
+from .solve import COMPLETE, KEY, sightings, undistorted
+
+#: Replicated coordinates in memory together.
+CELLS = 1 << 20
+
+
+def spread(u: np.ndarray, v: np.ndarray, c: np.ndarray, noise: np.ndarray, replicates: int, rng: np.random.Generator) -> np.ndarray:
+    """(points, 3) sample deviations of triangulations of ``u``, ``v`` (points, cameras) moved by N(0, noise)."""
+    shape = (len(u), replicates, u.shape[1])
+    moved = [x[:, None, :] + rng.standard_normal(shape) * noise[:, None, None] for x in (u, v)]
+    rows = [np.stack([m * c[:, None, :, 8 + i] - c[:, None, :, 4 * k + i] for i in range(3)], axis=-1) for k, m in enumerate(moved)]
+    right = [c[:, None, :, 4 * k + 3] - m for k, m in enumerate(moved)]
+    a, b = np.concatenate(rows, axis=2), np.concatenate(right, axis=2)
+    left = np.einsum("prki,prkj->prij", a, a)
+    solvable = np.abs(np.linalg.det(left)) > 0
+    left[~solvable] = np.nan
+    xyz = np.linalg.solve(left, np.einsum("prki,prk->pri", a, b)[..., None])[..., 0]
+    return np.nanstd(xyz, axis=1, ddof=1) if replicates > 1 else np.full((len(u), 3), np.nan)
 
 
 def bootstrap(obs: DataFrame, camera: DataFrame, lens: DataFrame | None = None, least_error: float = 1.5, replicates: int = 250, seed: int = 1) -> DataFrame:
     """sd and 1.96 sd per trial, frame, point and axis over perturbed triangulations.
 
-    Every observation is moved by N(0, 1) x rmse x sqrt(2) / cameras; rmse is at
-    least ``least_error`` and, for two cameras, the track's mean of such points.
-    Replicates are rows, so they spread over the cluster and each point's
-    replicates are summed by the same partial aggregation as any other.
+    Every observation is moved by N(0, 1) x rmse x sqrt(2) / cameras.  rmse is
+    first raised to ``least_error``; two cameras then take the track's mean of
+    such points.  A point's replicates are arrays inside its row, so nothing is
+    shuffled for them; the random numbers follow from ``seed`` and the point.
     """
-    flat = undistorted(obs, lens)
-    base = reconstruct(flat, camera)
+    seen = sightings(undistorted(obs.where(COMPLETE), lens), camera).where("rmse IS NOT NULL")
+    raised = seen.withColumn("rmse", F.greatest("rmse", F.lit(float(least_error))))
     pairs = F.avg(F.when(F.col("n_cams") == 2, F.col("rmse"))).over(Window.partitionBy("trial", "point"))
-    error = base.select(*KEY, "n_cams", F.greatest(F.when(F.col("n_cams") == 2, pairs).otherwise(F.col("rmse")), F.lit(least_error)).alias("rmse"))
-    noise = F.col("rmse") * (2**0.5) / F.col("n_cams")
-    moved = flat.where("u IS NOT NULL AND v IS NOT NULL").join(error, KEY).crossJoin(F.broadcast(flat.sparkSession.range(replicates).withColumnRenamed("id", "replicate")))
-    moved = moved.select("trial", F.col("frame"), F.struct("point", "replicate").alias("point"), "cam", (F.col("u") + F.randn(seed) * noise).alias("u"), (F.col("v") + F.randn(seed + 1) * noise).alias("v"))
-    points = reconstruct(moved, camera).select("trial", "frame", F.col("point.point").alias("point"), "x", "y", "z")
-    sd = points.groupBy("trial", "frame", "point").agg(*[F.stddev_samp(a).alias(a) for a in "xyz"])
-    long = sd.select("trial", "frame", "point", F.explode(F.map_from_arrays(F.array(*[F.lit(a) for a in "xyz"]), F.array("x", "y", "z"))).alias("axis", "sd"))
+    rmse = F.when(F.col("n_cams") == 2, pairs).otherwise(F.col("rmse"))
+    known = camera.where(F.size("c") == 11).agg(F.map_from_entries(F.collect_list(F.struct("cam", "c"))).alias("cams"))  # one row
+    rows = raised.withColumn("noise", rmse * (2**0.5) / F.col("n_cams")).crossJoin(few(known))
+    flat = rows.select(*KEY, "n_cams", "noise", F.hash(F.lit(seed), *KEY).alias("draw"), F.col("seen.u").alias("u"), F.col("seen.v").alias("v"), F.flatten(F.transform("seen.cam", lambda x: F.element_at("cams", x))).alias("c"))
+
+    def kernel(batches):
+        for batch in batches:
+            many = batch.column("n_cams").to_numpy()
+            out = np.full((batch.num_rows, 3), np.nan)
+            for n in np.unique(many).tolist():
+                which = np.flatnonzero(many == n)
+                for lo in range(0, len(which), step := max(1, CELLS // (replicates * n * 6))):
+                    at = which[lo : lo + step]
+                    part = batch.take(pa.array(at))
+                    u, v = (part.column(x).flatten().to_numpy().reshape(-1, n) for x in "uv")
+                    c = part.column("c").flatten().to_numpy().reshape(-1, n, 11)
+                    rng = np.random.default_rng(part.column("draw").to_numpy().view(np.uint32).tolist())
+                    out[at] = spread(u, v, c, part.column("noise").to_numpy(), replicates, rng)
+            axes = [pa.array(x, mask=np.isnan(x)) for x in out.T]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), *axes], [*KEY, *"xyz"])
+
+    kinds = ", ".join(f"{k} {flat.schema[k].dataType.simpleString()}" for k in KEY)
+    sd = flat.mapInArrow(kernel, f"{kinds}, x double, y double, z double")
+    long = sd.select(*KEY, F.explode(F.map_from_arrays(F.array(*[F.lit(a) for a in "xyz"]), F.array("x", "y", "z"))).alias("axis", "sd"))
     return long.withColumn("ci", F.col("sd") * 1.96)

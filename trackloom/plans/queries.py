@@ -56,17 +56,17 @@ def reconstruct_points(spark, sf):
     return rounded(solve.reconstruct(X.observations(spark, sf), X.cameras(spark)), "x", "y", "z", "rmse")
 
 
-@query(f"{SOLVE} SELECT trial, frame, point, round(x,5)+0.0 AS x, round(y,5)+0.0 AS y, round(z,5)+0.0 AS z, (n/2)::INT AS n_cams FROM xyz")
+@query(f"{SOLVE} SELECT trial, frame, point, round(x,5)+0.0 AS x, round(y,5)+0.0 AS y, round(z,5)+0.0 AS z, (n/2)::INT AS n_cams, round(sqrt(greatest(0.0, yy-x*ay-y*y2-z*dy)/(n-3)),3)+0.0 AS algebraic_rmse FROM xyz")
 def triangulate_points(spark, sf):
-    return rounded(solve.triangulate(X.observations(spark, sf), X.cameras(spark)), "x", "y", "z").drop("algebraic_rmse")
+    return rounded(rounded(solve.triangulate(X.observations(spark, sf), X.cameras(spark)), "x", "y", "z"), "algebraic_rmse", digits=3)
 
 
-@query(f"WITH {X.PLANE_SQL}, {X.WORLD_SQL}, o AS (SELECT trial, frame, point, c, (x*c[1]+y*c[2]+c[3])/(x*c[7]+y*c[8]+1)+sin(e) AS u, (x*c[4]+y*c[5]+c[6])/(x*c[7]+y*c[8]+1)+cos(e) AS v FROM world, plane WHERE (frame+cam)%4<>0), q AS (SELECT trial, frame, point, u*c[7]-c[1] a, u*c[8]-c[2] b, c[3]-u p, v*c[7]-c[4] d, v*c[8]-c[5] f, c[6]-v q FROM o), g AS (SELECT trial, frame, point, sum(a*a+d*d) s11, sum(a*b+d*f) s12, sum(b*b+f*f) s22, sum(a*p+d*q) r1, sum(b*p+f*q) r2, sum(p*p+q*q) bb, count(*) n FROM q GROUP BY ALL), h AS (SELECT *, (r1*s22-s12*r2)/(s11*s22-s12*s12) x, (s11*r2-r1*s12)/(s11*s22-s12*s12) y FROM g) SELECT trial, frame, point, round(x,5)+0.0 AS x, round(y,5)+0.0 AS y, 0.0::DOUBLE AS z, n::INT AS n_cams FROM h")
+@query(f"WITH {X.PLANE_SQL}, {X.WORLD_SQL}, o AS (SELECT trial, frame, point, c, (x*c[1]+y*c[2]+c[3])/(x*c[7]+y*c[8]+1)+sin(e) AS u, (x*c[4]+y*c[5]+c[6])/(x*c[7]+y*c[8]+1)+cos(e) AS v FROM world, plane WHERE (frame+cam)%4<>0), q AS (SELECT trial, frame, point, u*c[7]-c[1] a, u*c[8]-c[2] b, c[3]-u p, v*c[7]-c[4] d, v*c[8]-c[5] f, c[6]-v q FROM o), g AS (SELECT trial, frame, point, sum(a*a+d*d) s11, sum(a*b+d*f) s12, sum(b*b+f*f) s22, sum(a*p+d*q) r1, sum(b*p+f*q) r2, sum(p*p+q*q) bb, count(*) n FROM q GROUP BY ALL), h AS (SELECT *, (r1*s22-s12*r2)/(s11*s22-s12*s12) x, (s11*r2-r1*s12)/(s11*s22-s12*s12) y FROM g) SELECT trial, frame, point, round(x,5)+0.0 AS x, round(y,5)+0.0 AS y, 0.0::DOUBLE AS z, n::INT AS n_cams, CASE WHEN n>1 THEN round(sqrt(greatest(0.0, bb-x*r1-y*r2)/(2*n-2)),3)+0.0 END AS rmse FROM h")
 def reconstruct_planar(spark, sf):
     w = X.world(spark, sf).crossJoin(F.broadcast(X.plane_cameras(spark))).where(F.pmod(F.col("frame") + F.col("cam"), F.lit(4)) != 0)
     u, v = G.project_plane(F.col("c"), F.col("x"), F.col("y"))
     obs = w.select("trial", "frame", "point", "cam", (u + F.sin("e")).alias("u"), (v + F.cos("e")).alias("v"))
-    return rounded(solve.reconstruct_plane(obs, X.plane_cameras(spark)), "x", "y").drop("rmse")
+    return rounded(rounded(solve.reconstruct_plane(obs, X.plane_cameras(spark)), "x", "y"), "rmse", digits=3)
 
 
 def _lens_sql(rounds: int) -> str:
@@ -95,9 +95,11 @@ def _ray(z: str) -> str:
 _o = X.sql_project("x", "y", "z", "c2")
 
 
-@query(f"{X.TRACKS_SQL}, one AS (SELECT frame, point, any_value(cam) FILTER (u IS NOT NULL) cam, any_value(u) u, any_value(v) v FROM obs WHERE (frame+point)%3=0 AND cam<>1 AND u IS NOT NULL AND v IS NOT NULL GROUP BY frame, point HAVING count(*)=1), ends AS (SELECT frame, point, o.cam, other, c2, z, {_ray('z')} FROM one o JOIN camera USING (cam) JOIN (SELECT cam AS other, c AS c2 FROM camera) q ON other<>o.cam, (VALUES (500.0::DOUBLE), (-500.0::DOUBLE)) zz(z)), pts AS (SELECT *, (p*e-b*q)/(a*e-b*d) x, (a*q-p*d)/(a*e-b*d) y FROM ends), im AS (SELECT frame, point, cam, other, z, {_o[0]} u, {_o[1]} v FROM pts), l AS (SELECT x.frame, x.point, x.cam, x.other, (y.v-x.v)/(y.u-x.u) m, x.u, x.v FROM im x JOIN im y ON x.frame=y.frame AND x.point=y.point AND x.other=y.other AND x.z=500 AND y.z=-500) SELECT frame, point, cam, other, round(m,5)+0.0 AS slope, round(v-m*u,3)+0.0 AS intercept FROM l")
+@query(f"{X.TRACKS_SQL}, one AS (SELECT frame, point, cam, u, v FROM obs WHERE cam=(frame+point)%3+1 AND u IS NOT NULL AND v IS NOT NULL), ends AS (SELECT frame, point, o.cam, other, c2, z, {_ray('z')} FROM one o JOIN camera USING (cam) JOIN (SELECT cam AS other, c AS c2 FROM camera) q ON other<>o.cam, (VALUES (500.0::DOUBLE), (-500.0::DOUBLE)) zz(z)), pts AS (SELECT *, (p*e-b*q)/(a*e-b*d) x, (a*q-p*d)/(a*e-b*d) y FROM ends), im AS (SELECT frame, point, cam, other, z, {_o[0]} u, {_o[1]} v FROM pts), l AS (SELECT x.frame, x.point, x.cam, x.other, (y.v-x.v)/(y.u-x.u) m, x.u, x.v FROM im x JOIN im y ON x.frame=y.frame AND x.point=y.point AND x.other=y.other AND x.z=500 AND y.z=-500) SELECT frame, point, cam, other, round(m,5)+0.0 AS slope, round(v-m*u,3)+0.0 AS intercept FROM l")
 def epipolar(spark, sf):
-    obs = X.observations(spark, sf).where((F.pmod(F.col("frame") + F.col("point"), F.lit(3)) == 0) & (F.col("cam") != 1))
+    # every point of every frame, seen by one of its cameras only
+    alone = F.col("cam") == F.pmod(F.col("frame") + F.col("point"), F.lit(3)) + 1
+    obs = X.observations(spark, sf).withColumns({c: F.when(alone, F.col(c)) for c in ("u", "v")})
     lines = tables.epipolar_lines(obs, X.cameras(spark))
     return lines.select("frame", "point", "cam", "other", r("slope").alias("slope"), r("intercept", 3).alias("intercept"))
 
@@ -112,15 +114,30 @@ def rotations(spark, sf):
     return w.select("frame", "point", r(bx).alias("bx"), r(by).alias("bv"), r(bz).alias("bz"), r(ax).alias("ax"), r(ay).alias("ay"), r(G.norm(*p)).alias("n"))
 
 
-@query()
+def _det3(*m: str) -> str:
+    a, b, c, d, e, f, g, h, i = m
+    return f"({a}*({e}*{i}-{f}*{h})-{b}*({d}*{i}-{f}*{g})+{c}*({d}*{h}-{e}*{g}))"
+
+
+_M = [f"c[{i}]" for i in (1, 2, 3, 5, 6, 7, 9, 10, 11)]
+_center = [_det3(*[("(-c[4])", "(-c[8])", "(-1.0)")[i // 3] if i % 3 == k else m for i, m in enumerate(_M)]) + "/" + _det3(*_M) for k in range(3)]
+_dot = lambda i, j: "+".join(f"c[{i + k}]*c[{j + k}]" for k in range(3))
+_turn = [f"(uo*c[{9 + i}]-c[{1 + i}])*d/fu" for i in range(3)] + [f"(vo*c[{9 + i}]-c[{5 + i}])*d/fv" for i in range(3)] + [f"c[{9 + i}]*d" for i in range(3)]
+_T = [f"t{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
+POSE_SQL = f"""WITH {X.CAMERA_SQL}, k AS (SELECT cam, c::DOUBLE[] AS c FROM camera), a AS (SELECT cam, c, {_center[0]} cx, {_center[1]} cy, {_center[2]} cz, 1/({_dot(9, 9)}) d2 FROM k), b AS (SELECT *, ({_dot(1, 9)})*d2 uo, ({_dot(5, 9)})*d2 vo, sqrt(d2) d FROM a), e AS (SELECT *, sqrt(greatest(0.0, d2*({_dot(1, 1)})-uo*uo)) fu, sqrt(greatest(0.0, d2*({_dot(5, 5)})-vo*vo)) fv FROM b), t AS (SELECT cam, cx, cy, cz, uo, vo, fu, fv, {', '.join(f'{x} {n}' for x, n in zip(_turn, _T))} FROM e), s AS (SELECT * REPLACE ({', '.join(f'{n}*CASE WHEN {_det3(*_T)}<0 THEN -1 ELSE 1 END AS {n}' for n in _T)}) FROM t), p AS (SELECT *, degrees(atan2(t21, t11)) yaw, degrees(asin(greatest(-1.0, least(1.0, -t31)))) pitch, degrees(atan2(t32, t33)) roll FROM s) SELECT cam, {', '.join(f'round({n},5)+0.0 AS {n}' for n in ('cx', 'cy', 'cz', 'uo', 'vo', 'fu', 'fv', *_T, 'yaw', 'pitch', 'roll'))} FROM p"""
+
+
+@query(POSE_SQL)
 def camera_poses(spark, sf):
-    return solve.camera_pose(X.cameras(spark))
+    pose = solve.camera_pose(X.cameras(spark))
+    return rounded(pose, *[c for c in pose.columns if c != "cam"])
 
 
-@query()
+@query(f"WITH {X.CAMERA_SQL} SELECT cam, [round(x,5)+0.0 for x in c[1:4]::DOUBLE[] || [1024.0*c[9]-c[5], 1024.0*c[10]-c[6], 1024.0*c[11]-c[7], 1024.0-c[8]] || c[9:11]::DOUBLE[]]::VARCHAR AS c FROM camera")
 def cameras_flipped(spark, sf):
     heights = spark.createDataFrame([(i, 1024.0) for i in (1, 2, 3)], "cam int, height double")
-    return solve.flip_vertical(X.cameras(spark), heights)
+    flipped = solve.flip_vertical(X.cameras(spark), heights)
+    return flipped.select("cam", F.transform("c", lambda x: F.round(x, 5) + 0.0).cast("string").alias("c"))
 
 
 # aggregates, filters, joins
@@ -233,7 +250,11 @@ def edit_set(spark, sf):
     return _shown(edits.set_points(obs, clicks))
 
 
-@query()
+_lu, _lv = (f"CASE WHEN f1 IS NULL OR u IS NULL OR v IS NULL THEN {w} ELSE {a}*((f1+f2)/2)+{c} END" for w, a, c in (("u", "x", "cx"), ("v", "y", "cy")))
+RECOMPUTE_SQL = f"{X.TRACKS_SQL}, {X.LENS_SQL}, raw AS (SELECT * FROM obs), {_lens_sql(3).replace('FROM obs LEFT', 'FROM (SELECT trial, frame, CASE WHEN point>3 THEN point-1 ELSE point END AS point, cam, u, v FROM raw WHERE point<>3) o LEFT')}, flat AS (SELECT trial, frame, point, cam, {_lu} AS u, {_lv} AS v FROM s3), {SEEN.replace('FROM obs', 'FROM flat')}, {ROWS}, {SUMS}, {DET}, {XYZ}"
+
+
+@query(f"{RECOMPUTE_SQL} SELECT p.trial, p.frame, p.point, round(any_value(p.x),5)+0.0 AS x, round(any_value(p.y),5)+0.0 AS y, round(any_value(p.z),5)+0.0 AS z, count(*)::INT AS n_cams, round(sqrt(sum(({_u}-s.u)**2+({_v}-s.v)**2)/(2*count(*)-3)),5)+0.0 AS rmse FROM xyz p JOIN seen s USING (trial, frame, point) GROUP BY p.trial, p.frame, p.point")
 def recompute_all(spark, sf):
     return rounded(solve.reconstruct(edits.delete_point(X.observations(spark, sf), 3), X.cameras(spark), X.lenses(spark)), "x", "y", "z", "rmse")
 
@@ -295,9 +316,10 @@ def poses_carried(spark, sf):
     return timeseries.carry_forward(X.series(spark, sf)).drop("u")
 
 
-@query()
+@query(f"WITH {X.SERIES_SQL}, w AS (SELECT track, frame, array_agg(u) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS b FROM series) SELECT track, frame, array_to_string([coalesce(round(x, 4)::DECIMAL(12,4)::VARCHAR, 'none') for x in list_reverse(b)], ' ') AS buffer FROM w")
 def ring_buffers(spark, sf):
-    return timeseries.ring_buffer(X.series(spark, sf))
+    shown = lambda x: F.when(F.isnan(x), "none").otherwise(F.round(x, 4).cast("decimal(12,4)").cast("string"))
+    return timeseries.ring_buffer(X.series(spark, sf)).select("track", "frame", F.array_join(F.transform("buffer", shown), " ").alias("buffer"))
 
 
 @query(f"WITH {X.SERIES_SQL}, d AS (SELECT track, frame, round(t-lag(t) OVER (PARTITION BY track ORDER BY frame),5) dt FROM (SELECT track, frame, frame*0.01+CASE WHEN frame=3 AND track::INT%2=0 THEN 0.004 ELSE 0 END AS t FROM series) q) SELECT track, count(DISTINCT CASE WHEN frame<=5 THEN dt END)>1 AS variable_timing, abs(arg_max(dt, frame)-0.01)<=0.0005 AS good_tail, count(*) AS n_frames FROM d GROUP BY track")
