@@ -347,9 +347,17 @@ def test_language_model(spark):
     assert real[0] > real[1]
 
 
-def test_class_softmax_sums_to_one():
-    weights = np.random.default_rng(1).normal(size=(1 + maxent_lm.PREVIOUS + maxent_lm.SKIPS + maxent_lm.JOINT, maxent_lm.CLASSES))
-    assert np.allclose(np.exp(maxent_lm.log_softmax(weights, np.array([0, 5]), np.array([3, 0]))).sum(axis=1), 1)
+@pytest.mark.parametrize("previous", [256, 1024])
+def test_class_softmax_sums_to_one(previous):
+    shape = maxent_lm.Shape(previous)
+    weights = np.random.default_rng(1).normal(size=(shape.size, maxent_lm.CLASSES))
+    assert np.allclose(np.exp(maxent_lm.log_softmax(weights, np.array([0, 5]), np.array([3, 0]), shape)).sum(axis=1), 1)
+    assert maxent_lm.features(np.array([previous - 1]), np.array([maxent_lm.SKIPS - 1]), shape).max() < shape.size
+
+
+def test_language_model_tables_grow():
+    sizes = [maxent_lm.Shape.of(v).previous for v in (0, 1 << 29, 1 << 30, 1 << 32, 30 << 30, 100 << 40)]
+    assert sizes == sorted(sizes) and sizes[0] == sizes[1] == 256 and sizes[-1] > sizes[-2] > 256
 
 
 def test_vectors(spark):
