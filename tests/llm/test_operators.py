@@ -422,6 +422,7 @@ def test_tool_calls(spark):
         (1, "z"): ("orphan", None, ""), (2, "p"): ("unanswered", None, "cycle,missing:w"), (2, "q"): ("unanswered", None, "bad_json,cycle"), (3, "r"): ("unanswered", 0, "unknown_tool"),
     }
     assert got[(1, "a")].json == '{"arguments":{"x":{"a":[1,2],"b":2},"y":1},"content":"ok","id":"a","name":"f"}' and got[(1, "a")].n_results == 2
+    assert got[(1, "z")].json == '{"content":null,"id":"z","name":null}' and got[(1, "c")].json == '{"arguments_text":"nope","id":"c","name":"g"}'
     talk = spark.read.parquet(f"{SF}/conversations.parquet")
     linked = tool_calls.link(*tool_calls.from_conversations(talk), schemas)
     turns = {(r.conv_id, r.turn): r for r in talk.collect()}
@@ -431,6 +432,39 @@ def test_tool_calls(spark):
         assert body["arguments"] == {"prompt": said.text, "turn": said.turn} and body.get("content") == (answer.text if answer and answer.role == "assistant" else None)
 
 
+def test_tool_calls_against_brute_force(spark):
+    rng = random.Random(17)
+    rows, answers = [], []
+    for conv in range(25):
+        ids = [f"c{i}" for i in range(rng.randrange(1, 9))]
+        for i, name in enumerate(ids):
+            before = rng.sample(ids, rng.randrange(min(3, len(ids)))) + ["elsewhere"] * rng.randrange(2)
+            rows.append((conv, name, 2 * i, "f", json.dumps({"x": "y" * rng.choice([1, 50_000])}), before, "clash"))
+            if rng.random() < 0.8:
+                answers.append((conv, name, rng.choice([2 * i + 1, 2 * i + 1, max(0, 2 * i - 1)]), "z" * rng.choice([0, 9, 50_000]), 7))
+    calls = spark.createDataFrame(rows, tool_calls.CALLS + ", content string").withColumn("stage", F.lit("clash"))
+    results = spark.createDataFrame(answers, tool_calls.RESULTS + ", n_results int").withColumn("tool", F.lit("clash"))
+    schemas = spark.createDataFrame([("f", "x", "string", True)], tool_calls.SCHEMAS)
+    got = {(r.conv_id, r.call_id): r for r in tool_calls.link(calls, results, schemas).collect()}
+    assert len(got) == len(rows)
+    by_id = {(c, i): (t, before) for c, i, t, _, _, before, _ in rows}
+    for conv in range(25):
+        own = {i: (t, [b for b in before if (conv, b) in by_id]) for (c, i), (t, before) in by_id.items() if c == conv}
+
+        def reaches(start, goal, seen=()):
+            return any(b == goal or b not in seen and reaches(b, goal, (*seen, b)) for b in own[start][1])
+
+        cyclic = {i for i in own if reaches(i, i)}
+        stuck = {i for i in own if i in cyclic or any(reaches(i, c) for c in cyclic)}
+        assert {i for i in own if got[(conv, i)].stage is None} == stuck
+        place = {i: n for n, i in enumerate(sorted(set(own) - stuck, key=lambda i: (got[(conv, i)].stage, own[i][0], i)))}
+        assert all(place[b] < place[i] for i in place for b in own[i][1])
+    turn = {(c, i): t for c, i, t, _, _ in answers}
+    for key, r in got.items():
+        assert r.status == ("linked" if key in turn else "unanswered")
+        assert ("early_result" in r.errors) == (key in turn and turn[key] < by_id[key][0]) and ("cycle" in r.errors) == (r.stage is None)
+
+
 def test_empty_tables(spark):
     none = docs(spark, odd_rows()).limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int")

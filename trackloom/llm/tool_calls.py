@@ -67,7 +67,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     missing:P and type:P for the tool's parameters, extra:P for others,
     unknown_tool without a schema, early_result if the result comes before the
     call, cycle.  Rows without conv_id or call_id are left out; null arguments
-    are bad_json, null content is kept.  Empty tables give what the other side
+    are bad_json (and null in ``arguments_text``), null content is written as null,
+    a call without a result has no content.  Empty tables give what the other side
     has.  Other columns are ignored.
     """
     first = lambda df, *names: df.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *names)).alias("x"), F.count("*").alias("n"))
@@ -86,19 +87,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     both = parsed.join(results, ["conv_id", "call_id"], "full")
     called, answered = F.col("called").isNotNull(), F.col("n_results").isNotNull()
     early = F.when(called & answered & (F.col("result_turn") < F.col("turn")), F.array(F.lit("early_result"))).otherwise(none)
-    body = F.struct(
-        F.when(F.col("object"), F.col("value")).alias("arguments"),
-        F.when(called & ~F.col("object"), F.col("arguments")).alias("arguments_text"),
-        F.col("content"),
-        F.col("call_id").alias("id"),
-        F.col("tool").alias("name"),
-    )
+
+    def body(*parts: Column) -> Column:
+        """Canonical JSON of some fields in their order; nulls are written."""
+        return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+
+    said, names = F.col("content"), (F.col("call_id").alias("id"), F.col("tool").alias("name"))
+    given, raw = F.col("value").alias("arguments"), F.col("arguments").alias("arguments_text")
+    json = F.when(~called, body(said, *names)).when(F.col("object") & answered, body(given, said, *names)).when(F.col("object"), body(given, *names))
+    json = json.when(answered, body(raw, said, *names)).otherwise(body(raw, *names))
     return both.select(
         "conv_id", "call_id", "tool", F.coalesce("turn", "result_turn").alias("turn"), "stage",
         F.when(called & answered, "linked").when(called, "unanswered").otherwise("orphan").alias("status"),
         F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce("own", none), early))), ",").alias("errors"),
-        F.to_json(body).alias("json"),
+        json.alias("json"),
     )
 
 
