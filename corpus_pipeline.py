@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark leaks, token ids."""
+"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark leaks, token ids.
+
+Every stage takes all rows that the one before kept.  A row with a null doc_id
+or a null or empty text stays; rows that repeat a doc_id share the decision on
+it; columns beyond those of ``documents`` pass through, whatever their names;
+an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -21,26 +27,33 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose toxicity score reaches the operator's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return without(docs, toxicity(docs, labels).where("predicted = 1").select("doc_id"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each near-duplicate group."""
     return without(docs, near_dedup(docs).where(~F.col("kept")).select("doc_id"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word windows of smaller doc_ids; ``n_chars``, where it is there, is counted again."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = substring_dedup(docs, keep=tuple(others), keep_text=True)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, leaks(docs, benchmark).select("doc_id"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbers of tokens and digests of ids and of decoded bytes, a row per document."""
     return encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
@@ -52,7 +65,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: Learned scores, sketches and byte-level merges are beyond SQL; tests hold the stages against brute force.
+#: Learned scores, sketches and byte-level merges are beyond SQL; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
