@@ -400,6 +400,53 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs(spark, rows).limit(0), benchmark).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """All windows of all documents against all items, by exact weighted Jaccard."""
+    rng = random.Random(26)
+    word = lambda: f"g{rng.randrange(25)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 30)))) for i in range(12)] + [(12, "g1 g2"), (13, "g1 g2")]
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(rng.randrange(60))]
+        copy = items[rng.randrange(12)][1].split()
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(len(copy))] = word()
+        at = rng.randrange(len(words) + 1)
+        rows.append((i, " ".join(words[:at] + copy + words[at:])))
+    rows += [(50, "far " * 4000 + items[3][1]), (51, None), (52, "")]
+    split = lambda t: re.findall(r"[a-z0-9]+", t or "")
+    grams = lambda w, k: {tuple(w[p : p + k]) for p in range(len(w) - k + 1)}
+    sets = {i: (len(w), k := min(5, len(w)), grams(w, k)) for i, t in items for w in [split(t)]}
+    held = Counter(g for _, _, s in sets.values() for g in s)
+    weight = lambda g: math.log(1 + len(items) / held[g]) if g in held else math.log(1 + len(items))
+    total = lambda s: sum(map(weight, s))
+    expected = {}
+    for d, t in rows:
+        w = split(t)
+        for i, (n, k, s) in sets.items():
+            for p in range(max(1, len(w) - n + 1)):
+                own = grams(w[p : p + n], k)
+                if own & s and total(own & s) / total(own | s) >= 0.8 - 1e-9:
+                    best = expected.get((d, i), (0,))
+                    expected[(d, i)] = max(best, (round(total(own & s) / total(own | s), 6), -p))
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.first_word) for r in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(expected) and len(got) > 20
+    assert all(abs(got[k][0] - expected[k][0]) < 2e-6 and got[k][1] == expected[k][1] for k in got)
+
+
+def test_multi_index_is_complete_and_selective(spark):
+    rng = np.random.default_rng(3)
+    item, far = rng.integers(-(1 << 63), 1 << 63, (300, 2)), rng.integers(-(1 << 63), 1 << 63, (300, 2))
+    near = item.copy()
+    for row in near:  # exactly as far as the radius
+        for bit in rng.choice(128, 35, replace=False):
+            row[bit // 64] ^= np.int64(np.uint64(1) << np.uint64(bit % 64))
+    table = lambda x, errors: spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "i long, s array<long>").select("i", F.explode(decontaminate.blocks(F.col("s"), errors)).alias("b"))
+    items = table(item, 35 // decontaminate.BLOCKS).withColumnRenamed("i", "j")
+    assert table(near, 0).join(items, "b").where("i = j").select("i").distinct().count() == 300
+    assert table(far, 0).join(items, "b").select("i", "j").distinct().count() < 0.45 * 300 * 300
+
+
 def test_license_scan_matches_sql(spark):
     rows = odd_rows() + [(80, "CC BY, cc-by cc.by\nAll   Rights\nReserved"), (81, "Released under the MIT-License."), (82, "GNU General Public License 3\nlicensed under the Apache license"), (83, "Kcc by K general public licenseé")]
     frame = docs(spark, rows)

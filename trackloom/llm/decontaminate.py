@@ -3,14 +3,17 @@
 Documents are cut into overlapping windows of as many words as a benchmark item
 has.  Only windows that can reach the threshold are built: they must share
 enough of the item's shingles, which one broadcast-sized join finds.  A
-window's fingerprint is compared with the items of its size through a
-multi-index: ``radius`` + 1 blocks of bits, of which two fingerprints within
-the radius agree in one at least.  Candidates are verified by weighted Jaccard
-of five-word shingles, weighted by how few items hold a shingle.
+window's fingerprint of 128 bits is compared with the items of its size through
+a multi-index: twelve blocks of bits, of which two fingerprints within the
+radius differ in at most ``radius`` / 12 bits in one at least; items stand under
+all values that close to theirs.  Candidates are verified by weighted Jaccard of
+five-word shingles, weighted by how few items hold a shingle.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,29 +37,48 @@ def shingles_of_five(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), at)).otherwise(F.array().cast("array<long>"))
 
 
+#: Blocks of a fingerprint, half of them in each of its two longs.
+BLOCKS = 12
+
+
 def fingerprint(weighted: Column) -> Column:
-    """64-bit SimHash of an array of (h, w)."""
-    bit = lambda b: F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + F.when(F.getbit(x["h"], b) == 1, x["w"]).otherwise(-x["w"])) >= 0
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.when(bit(b), F.expr("1L").cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
+    """SimHash of an array of (h, w): two longs."""
+
+    def half(hash_of) -> Column:
+        bit = lambda b: F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + F.when(F.getbit(hash_of(x["h"]), b) == 1, x["w"]).otherwise(-x["w"])) >= 0
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.when(bit(b), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
+
+    return F.array(half(lambda h: h), half(lambda h: F.xxhash64(h)))
+
+
+def blocks(simhash: Column, errors: int = 0) -> Column:
+    """(block, value) of a fingerprint's blocks, and of all values that differ in at most ``errors`` bits from theirs."""
+
+    def near(block: int) -> Column:
+        lo, hi = (64 * (block % (BLOCKS // 2) + i) // (BLOCKS // 2) for i in (0, 1))
+        masks = [sum(1 << bit for bit in bits) for n in range(errors + 1) for bits in itertools.combinations(range(hi - lo), n)]
+        value = F.shiftrightunsigned(simhash[block // (BLOCKS // 2)], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+        return F.transform(F.lit(masks).cast("array<long>"), lambda m: F.struct(F.lit(block).alias("block"), value.bitwiseXOR(m).alias("value")))
+
+    return F.concat(*[near(block) for block in range(BLOCKS)])
 
 
-def blocks(simhash: Column, radius: int) -> Column:
-    """The values of ``radius`` + 1 blocks of nearly equal width that cover the 64 bits."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.shiftrightunsigned(simhash, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in zip(edges, edges[1:])])
+def distance(one: Column, other: Column) -> Column:
+    return F.bit_count(one[0].bitwiseXOR(other[0])) + F.bit_count(one[1].bitwiseXOR(other[1]))
 
 
 def total(weighted: Column) -> Column:
     return F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + x["w"])
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 35) -> DataFrame:
     """Benchmark items found in documents: doc_id, item_id, first_word, similarity, hamming.
 
     One row per document and item with a window of the item's number of words
     (the whole text if that is shorter) whose shingle similarity is at least
-    ``threshold`` and whose fingerprint is within ``radius`` bits; the most
-    similar window, the first of equals.  A-Z are lowered and only words count.
+    ``threshold`` and whose fingerprint is within ``radius`` of 128 bits (at 0.8
+    some 19 differ, and more than 35 with probability below 1e-4); the most similar
+    window, the first of equals.  A-Z are lowered and only words count.
 
     Items of fewer than five words are one shingle.  Null and empty texts and
     items match nothing, rows without doc_id or item_id are left out, repeated
@@ -100,11 +122,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
     windows = cut.select("doc_id", "key", "n_words", "start", F.explode("hs").alias("h")).join(small(weights), "h", "left").groupBy("doc_id", "key", "n_words", "start").agg(F.sort_array(F.collect_list(F.struct("h", F.coalesce("w", unknown).alias("w")))).alias("window"))
     windows = written(windows.withColumn("simhash", fingerprint(F.col("window"))))
 
-    left = windows.select("*", F.posexplode(blocks(F.col("simhash"), radius)).alias("block", "value"))
-    right = plans.select("item_id", "n_words", "item", F.col("simhash").alias("item_simhash"), F.posexplode(blocks(F.col("simhash"), radius)).alias("block", "value"))
-    near = left.join(small(right), ["n_words", "block", "value"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))) <= radius)
-    near = near.dropDuplicates(["doc_id", "key", "n_words", "start", "item_id"])
+    left = windows.select("*", F.explode(blocks(F.col("simhash"))).alias("b")).select("*", "b.block", "b.value").drop("b")
+    right = plans.select("item_id", "n_words", F.explode(blocks(F.col("simhash"), radius // BLOCKS)).alias("b")).select("*", "b.block", "b.value").drop("b")
+    keys = right.select("n_words", "block", "value", "item_id")
+    hamming = distance(F.col("simhash"), F.col("item_simhash"))
+    near = left.select("doc_id", "key", "n_words", "start", "simhash", "block", "value").join(keys, ["n_words", "block", "value"]).join(small(plans.select("item_id", F.col("simhash").alias("item_simhash"))), "item_id").where(hamming <= radius)
+    near = near.select("doc_id", "key", "n_words", "start", "item_id", hamming.alias("hamming"))
+    near = near.distinct().join(windows.drop("simhash"), ["doc_id", "key", "n_words", "start"]).join(small(plans.select("item_id", "item")), "item_id")
     shared = F.aggregate(F.filter("item", lambda x: F.array_contains("window.h", x["h"])), F.lit(0.0), lambda acc, x: acc + x["w"])
-    scored = near.select("doc_id", "item_id", "start", F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))).alias("hamming"), (shared / (total(F.col("item")) + total(F.col("window")) - shared)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    scored = near.select("doc_id", "item_id", "start", "hamming", (shared / (total(F.col("item")) + total(F.col("window")) - shared)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "hamming")).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).alias("first_word"), F.round("best.similarity", 6).alias("similarity"), "best.hamming")
