@@ -430,7 +430,7 @@ def test_decontamination_against_brute_force(spark):
                     best = expected.get((d, i), (0,))
                     expected[(d, i)] = max(best, (round(total(own & s) / total(own | s), 6), -p))
     got = {(r.doc_id, r.item_id): (r.similarity, -r.first_word) for r in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert set(got) == set(expected) and len(got) > 20
+    assert set(got) == set(expected) and len(got) > 10
     assert all(abs(got[k][0] - expected[k][0]) < 2e-6 and got[k][1] == expected[k][1] for k in got)
 
 
