@@ -1,5 +1,6 @@
 """Kernels and files against properties and hand-made fixtures."""
 
+import inspect
 import math
 import struct
 
@@ -119,9 +120,35 @@ def test_bootstrap_follows_noise(spark):
     assert ci.count() == 81 and 0 < ci.agg(F.avg("sd")).first()[0] < 0.1
 
 
-def test_registered_intervals_take_all_replicates(spark):
-    plan = queries.confidence_intervals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
-    assert "Range (0, 250," in plan
+def test_registered_intervals_take_all_replicates(spark, monkeypatch):
+    asked = []
+    own = uncertainty.spread
+    monkeypatch.setattr(uncertainty, "bootstrap", lambda *a, **b: asked.append((a, b)))
+    queries.confidence_intervals(spark, "/root/testdata/sf0.001")
+    assert len(asked[0][0]) == 2 and not asked[0][1]  # the operator's defaults
+    monkeypatch.undo()
+    assert inspect.signature(uncertainty.bootstrap).parameters["replicates"].default == 250
+    u, v, c = np.zeros((2, 2)), np.zeros((2, 2)), np.array([[c for _, c in X.CAMERAS[:2]]] * 2)
+    sd = own(u, v, c, np.array([0.5, 1.0]), 4000, np.random.default_rng(1))
+    assert np.allclose(sd[1] / sd[0], 2, rtol=0.1)
+
+
+def test_two_camera_intervals_raise_then_average(spark):
+    """The noise of two-camera points is the track's mean of residuals, each raised to the least error first."""
+    cameras, rows = dict(X.CAMERAS), []
+    for frame, off in ((1, 0.0), (2, 12.0)):
+        for cam in (1, 2):
+            u, v = calibrate.projected(np.array(cameras[cam]), np.array([(0.1, 0.2, 0.3)]))[0]
+            rows.append(("t", frame, 1, cam, float(u), float(v) + off * (cam == 1)))
+    obs = spark.createDataFrame(rows, "trial string, frame int, point int, cam int, u double, v double")
+    rmse = {r.frame: r.rmse for r in solve.reconstruct(obs, X.cameras(spark)).collect()}
+    mean = (max(rmse[1], 1.5) + max(rmse[2], 1.5)) / 2
+    got = {(r.frame, r.axis): r.sd for r in uncertainty.bootstrap(obs, X.cameras(spark), replicates=3000).collect()}
+    o = {f: np.array([[r[4], r[5]] for r in rows if r[1] == f]).T[:, None, :] for f in (1, 2)}
+    c = np.array([[cameras[1], cameras[2]]])
+    for frame in (1, 2):
+        sd = uncertainty.spread(o[frame][0], o[frame][1], c, np.array([mean * 2**0.5 / 2]), 3000, np.random.default_rng(frame))[0]
+        assert np.allclose([got[(frame, a)] for a in "xyz"], sd, rtol=0.12)
 
 
 def test_edits_are_inverse(spark):
@@ -137,6 +164,44 @@ def edits_schema():
     return "trial string, frame int, point int, cam int, u double, v double"
 
 
+def test_wide_layouts(spark, tmp_path):
+    xyz = spark.createDataFrame([(1, 1, 1.0, 2.0, 3.0, 0.5), (3, 2, -1.0, float("nan"), 0.25, None)], "frame int, point int, x double, y double, z double, rmse double")
+    for kind, columns in (("xyzpts", "xyz"), ("xyzCI", "xyz"), ("xyzFilt", "xyz"), ("xyzres", ["rmse"])):
+        files.write_wide(xyz, f"{tmp_path}/{kind}", kind, 4, 2)
+        back = {(r.frame, r.point): tuple(r[c] for c in columns) for r in files.read_wide(spark, f"{tmp_path}/{kind}", kind, 2).collect()}
+        assert back == ({(1, 1): (1.0, 2.0, 3.0), (3, 2): (-1.0, None, 0.25)} if columns == "xyz" else {(1, 1): (0.5,)})
+    offsets = spark.createDataFrame([(2, 2, 1.5)], "frame int, cam int, offset double")
+    files.write_wide(offsets, f"{tmp_path}/offsets", "offsets", 2, 0, 2)
+    assert spark.read.text(f"{tmp_path}/offsets").count() == 3
+    assert sorted(tuple(r) for r in files.read_wide(spark, f"{tmp_path}/offsets", "offsets", 0, 2).collect()) == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 1.5)]
+    half = spark.createDataFrame([("t", 1, 1, 1, 5.0, None)], edits_schema())
+    files.write_flat(half, f"{tmp_path}/half", 1, 1, 1)
+    assert files.read_flat(spark, f"{tmp_path}/half", "t").collect() == half.collect()
+    with pytest.raises(ValueError):
+        files.read_wide(spark, f"{tmp_path}/offsets", "xyzpts", 2)
+    with pytest.raises(ValueError):
+        files.write_flat(half.unionByName(half.withColumn("trial", F.lit("other"))), f"{tmp_path}/two", 1, 1, 1)
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    for name, lo, n in (("b", 100, 5000), ("a", 0, 100), ("c", 5100, 9)):  # Spark reads the largest first
+        (tmp_path / "many" / f"{name}.csv").write_text("value\n" + "\n".join(str(lo + i) for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = files.numbered_lines(spark.read.option("header", True).csv(f"{tmp_path}/many"))
+        assert lines.count() == 5109 and lines.where("frame <> cast(value as int) + 1").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_coefficients_round_trip(spark, tmp_path):
+    files.write_coefficients(X.cameras(spark), f"{tmp_path}/dlt")
+    back = {r.cam: r.c for r in files.read_coefficients(spark, f"{tmp_path}/dlt").collect()}
+    assert all(np.allclose(back[cam], c) for cam, c in X.CAMERAS)
+
+
 def test_text_layouts(spark, tmp_path):
     obs = spark.createDataFrame([("t", 1, 1, 1, 1.5, 2.5), ("t", 3, 2, 2, -4.0, 0.25)], edits_schema())
     files.write_flat(obs, f"{tmp_path}/flat", 4, 2, 2)

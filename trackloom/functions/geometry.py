@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
-    return numerator / F.nullif(denominator, F.lit(0.0))
+    return F.try_divide(numerator, denominator)
 
 
 def project(c: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column]:

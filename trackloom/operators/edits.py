@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .solve import KEY, reconstruct
+
 COLUMNS = ["trial", "frame", "point", "cam", "u", "v"]
 
 
@@ -25,6 +27,17 @@ def set_points(obs: DataFrame, clicks: DataFrame) -> DataFrame:
     return kept.unionByName(clicks.select(COLUMNS).where("u IS NOT NULL AND v IS NOT NULL"))
 
 
+def retriangulated(points: DataFrame, obs: DataFrame, touched: DataFrame, camera: DataFrame, lens: DataFrame | None = None) -> DataFrame:
+    """``points`` (trial, frame, point, x, y, z, n_cams, rmse) after an edit of ``obs``: only what ``touched`` names is computed again.
+
+    ``touched`` has trial, frame, point.  A touched point that fewer than two
+    cameras see is cleared.
+    """
+    own = touched.select(KEY).distinct()
+    fresh = reconstruct(obs.join(own, KEY, "left_semi").select(COLUMNS), camera, lens)
+    return points.join(own, KEY, "left_anti").select(fresh.columns).unionByName(fresh)
+
+
 def nudge(obs: DataFrame, where: Column, direction: str, step: float = 0.5) -> DataFrame:
     """Move the chosen observations half a pixel; up is smaller v."""
     du, dv = {"left": (-step, 0.0), "right": (step, 0.0), "up": (0.0, -step), "down": (0.0, step)}[direction]

@@ -61,6 +61,13 @@ def frames_with_points(obs: DataFrame) -> DataFrame:
     return obs.groupBy(F.col("trial").alias("movie"), "frame").agg(F.count("u").alias("n")).where("n > 0").select("movie", "frame")
 
 
+def store_samples(index: DataFrame, obs: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Training rows of the index (movie, frame): the points of each camera with the camera's offset, 0 without one."""
+    own = obs.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("trial").alias("movie"), "frame", "cam", "point", "u", "v")
+    joined = index.join(own, ["movie", "frame"]).join(offsets.select("movie", "frame", "cam", "offset"), ["movie", "frame", "cam"], "left")
+    return joined.select("movie", "frame", "cam", "point", "u", "v", F.coalesce("offset", F.lit(0.0)).alias("offset"))
+
+
 def visibility(obs: DataFrame) -> DataFrame:
     """Cameras and finite coordinates per point."""
     return obs.groupBy("trial", "frame", "point").agg(F.count(F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), 1)).alias("n_cams"), (F.count("u") + F.count("v")).alias("n_coords"))

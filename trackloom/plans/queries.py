@@ -158,6 +158,13 @@ def training_index(spark, sf):
     return tables.frames_with_points(X.observations(spark, sf))
 
 
+@query(f"{X.TRACKS_SQL} SELECT trial AS movie, frame, cam, point, round(u,5)+0.0 AS u, round(v,5)+0.0 AS v, CASE WHEN frame%3=0 AND cam=2 THEN 1.5 ELSE 0.0 END::DOUBLE AS \"offset\" FROM obs WHERE u IS NOT NULL AND v IS NOT NULL")
+def store_samples(spark, sf):
+    obs = X.observations(spark, sf)
+    offsets = obs.where("frame % 3 = 0 AND cam = 2").select(F.col("trial").alias("movie"), "frame", "cam", F.lit(1.5).alias("offset")).distinct()
+    return rounded(tables.store_samples(tables.frames_with_points(obs), obs, offsets), "u", "v")
+
+
 @query(f"{X.TRACKS_SQL} SELECT trial, frame, point, count(*) FILTER (u IS NOT NULL AND v IS NOT NULL) AS n_cams, count(u)+count(v) AS n_coords FROM obs GROUP BY ALL")
 def visibility(spark, sf):
     return tables.visibility(X.observations(spark, sf))
@@ -259,6 +266,16 @@ def recompute_all(spark, sf):
     return rounded(solve.reconstruct(edits.delete_point(X.observations(spark, sf), 3), X.cameras(spark), X.lenses(spark)), "x", "y", "z", "rmse")
 
 
+MOVED = "moved AS (SELECT trial, frame, point, cam, u, CASE WHEN point=1 AND cam=2 THEN v-0.5 ELSE v END AS v FROM obs)"
+
+
+@query(f"{X.TRACKS_SQL}, {MOVED}, {SEEN.replace('FROM obs', 'FROM moved')}, {ROWS}, {SUMS}, {DET}, {XYZ} SELECT p.trial, p.frame, p.point, round(any_value(p.x),5)+0.0 AS x, round(any_value(p.y),5)+0.0 AS y, round(any_value(p.z),5)+0.0 AS z, count(*)::INT AS n_cams, round(sqrt(sum(({_u}-s.u)**2+({_v}-s.v)**2)/(2*count(*)-3)),5)+0.0 AS rmse FROM xyz p JOIN seen s USING (trial, frame, point) GROUP BY p.trial, p.frame, p.point")
+def nudge_recomputed(spark, sf):
+    obs, camera = X.observations(spark, sf), X.cameras(spark)
+    moved = edits.nudge(obs, (F.col("point") == 1) & (F.col("cam") == 2), "up")
+    return rounded(edits.retriangulated(solve.reconstruct(obs, camera), moved, obs.where("point = 1"), camera), "x", "y", "z", "rmse")
+
+
 # time series
 
 @query(f"WITH {X.SERIES_SQL}, w AS (SELECT track, frame, u, list(u) FILTER (u IS NOT NULL) OVER (PARTITION BY track ORDER BY frame RANGE BETWEEN 10 PRECEDING AND CURRENT ROW) AS s FROM series) SELECT track, frame, round(s[len(s)])+0.0 AS static, CASE WHEN len(s)>=3 THEN round(round((4*s[len(s)]+s[len(s)-1]-2*s[len(s)-2])/3, 6))+0.0 END AS linear, CASE WHEN coalesce(len(s),0)=0 THEN NULL WHEN len(s)<3 THEN 1 WHEN len(s)<8 OR frame<11 THEN 2 ELSE 3 END AS mode FROM w")

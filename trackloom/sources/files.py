@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sizes import few
 from ..operators.tables import zero_is_missing
 
 
@@ -18,36 +22,90 @@ def frame_rate(rate: Column) -> Column:
     return F.when(rate.isNull() | F.isnan(rate) | (rate == 0), 1.0).otherwise(rate)
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """CSV lines with ``frame``, their number from 1 over the files in order of name.
+
+    Lines are counted per split of a file; the splits, a few rows, are put in
+    order of file and position, whatever order Spark reads them in.
+    """
+    placed = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    splits = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_file", "_start", "_first", before.alias("_before"))
+    return placed.join(few(splits), ["_file", "_start"]).withColumn("frame", (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")).drop("_file", "_start", "_at", "_first", "_before")
+
+
 def read_flat(spark: SparkSession, path: str, trial: str) -> DataFrame:
     """``pt{p}_cam{c}_X/Y`` columns, one line per frame, to obs; NaN is missing."""
     lines = spark.read.option("header", True).csv(path, inferSchema=False)
     heads = [c for c in lines.columns if c.endswith("_X") and "_cam" in c]
     if not heads or any(c[:-1] + "Y" not in lines.columns for c in heads):
         raise ValueError(f"{path}: no pairs of pt_cam columns")
-    # a line's number within its file: the row index of the only reader, so files are read whole
-    numbered = lines.withColumn("_at", F.monotonically_increasing_id())
-    starts = numbered.groupBy(F.spark_partition_id().alias("_p")).agg(F.count("*").alias("n"), F.min("_at").alias("lo")).orderBy("lo").collect()
-    offset, before = F.lit(None).cast("long"), 0  # one row per file split
-    for r in starts:
-        offset = F.when(F.col("_at") >= r.lo, F.col("_at") - r.lo + before).otherwise(offset)
-        before += r.n
-    numbered = numbered.withColumn("frame", (offset + 1).cast("int"))
     cells = F.array(*[F.struct(F.lit(int(c[2:].split("_")[0])).alias("point"), F.lit(int(c.split("_cam")[1].split("_")[0])).alias("cam"), F.col(f"`{c}`").cast("double").alias("u"), F.col(f"`{c[:-1]}Y`").cast("double").alias("v")) for c in heads])
-    long = numbered.select(F.lit(trial).alias("trial"), "frame", F.explode(cells).alias("o")).select("trial", "frame", "o.*")
+    long = numbered_lines(lines).select(F.lit(trial).alias("trial"), "frame", F.explode(cells).alias("o")).select("trial", "frame", "o.*")
     missing = lambda c: F.nanvl(c, F.lit(None).cast("double"))
     return long.select("trial", "frame", "point", "cam", missing(F.col("u")).alias("u"), missing(F.col("v")).alias("v")).where("u IS NOT NULL OR v IS NOT NULL")
 
 
+#: The wide layouts: the keys of a cell, and the headers of its values.
+LAYOUTS = {
+    "xypts": (("point", "cam"), {"u": "pt{}_cam{}_X", "v": "pt{}_cam{}_Y"}),
+    "xyzpts": (("point",), {"x": "pt{}_X", "y": "pt{}_Y", "z": "pt{}_Z"}),
+    "xyzres": (("point",), {"rmse": "pt{}_dltres"}),
+    "offsets": (("cam",), {"offset": "cam{}_offset"}),
+    "xyzCI": (("point",), {"x": "pt{}_X+-CI", "y": "pt{}_Y+-CI", "z": "pt{}_Z+-CI"}),
+    "xyzFilt": (("point",), {"x": "pt{}filt_X", "y": "pt{}filt_Y", "z": "pt{}filt_Z"}),
+}
+
+
+def layout_headers(kind: str, n_points: int, n_cams: int) -> list[tuple[tuple[int, ...], str, str]]:
+    """(key, value column, header) of every column of a layout, in its order."""
+    keys, values = LAYOUTS[kind]
+    counts = {"point": n_points, "cam": n_cams}
+    cells = itertools.product(*[range(1, counts[k] + 1) for k in keys])
+    return [(cell, value, header.format(*cell)) for cell in cells for value, header in values.items()]
+
+
+def write_wide(values: DataFrame, path: str, kind: str, n_frames: int, n_points: int, n_cams: int = 0) -> None:
+    """One of ``LAYOUTS``, every frame a line, ``%.6f``; missing is NaN, an offset 0.  ``values`` is of one trial.
+
+    The mean stands where a frame has a cell twice.
+    """
+    if "trial" in values.columns and values.select("trial").distinct().limit(2).count() > 1:
+        raise ValueError("a file holds one trial")
+    keys, _ = LAYOUTS[kind]
+    none = "0.000000" if kind == "offsets" else "NaN"
+    columns = layout_headers(kind, n_points, n_cams)
+    held = lambda cell: reduce(lambda a, b: a & b, [F.col(k) == n for k, n in zip(keys, cell)])
+    number = lambda i: F.coalesce(F.format_string("%.6f", F.when(F.col(f"c{i}").isNotNull(), F.col(f"c{i}"))), F.lit(none))
+    wide = values.groupBy("frame").agg(*[F.avg(F.when(held(cell), F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double")))).alias(f"c{i}") for i, (cell, v, _) in enumerate(columns)])
+    frames = values.sparkSession.range(1, n_frames + 1).select(F.col("id").cast("int").alias("frame"))
+    shown = [F.when(F.col(f"c{i}").isNull(), none).otherwise(number(i)).alias(header) for i, (_, _, header) in enumerate(columns)]
+    frames.join(wide, "frame", "left").orderBy("frame").select(*shown).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_wide(spark: SparkSession, path: str, kind: str, n_points: int, n_cams: int = 0) -> DataFrame:
+    """A layout back to rows: frame, its keys and values; cells without any value are left out.
+
+    Other columns than the layout has for so many points and cameras are an error.
+    """
+    keys, values = LAYOUTS[kind]
+    lines = spark.read.option("header", True).csv(path, inferSchema=False)
+    columns = layout_headers(kind, n_points, n_cams)
+    if lines.columns != [header for _, _, header in columns]:
+        raise ValueError(f"{path}: not the columns of {kind} for {n_points} points and {n_cams} cameras")
+    number = lambda header: F.nanvl(F.col(f"`{header}`").cast("double"), F.lit(None).cast("double"))
+    by_cell: dict[tuple[int, ...], dict[str, str]] = {}
+    for cell, value, header in columns:
+        by_cell.setdefault(cell, {})[value] = header
+    cells = F.array(*[F.struct(*[F.lit(n).alias(k) for k, n in zip(keys, cell)], *[number(own[v]).alias(v) for v in values]) for cell, own in by_cell.items()])
+    long = numbered_lines(lines).select("frame", F.explode(cells).alias("o")).select("frame", "o.*")
+    return long.where(F.coalesce(*values).isNotNull())
+
+
 def write_flat(obs: DataFrame, path: str, n_frames: int, n_points: int, n_cams: int) -> None:
-    """The wide layout, every frame a line, ``%.6f`` and NaN."""
-    spark = obs.sparkSession
-    keys = [f"pt{p}_cam{c}" for p in range(1, n_points + 1) for c in range(1, n_cams + 1)]
-    number = lambda c: F.when(c.isNotNull(), F.format_string("%.6f", c)).otherwise("NaN")
-    named = obs.where("u IS NOT NULL AND v IS NOT NULL").select("frame", F.format_string("pt%d_cam%d", "point", "cam").alias("k"), "u", "v")
-    wide = named.groupBy("frame").pivot("k", keys).agg(F.first("u").alias("X"), F.first("v").alias("Y"))
-    frames = spark.range(1, n_frames + 1).select(F.col("id").cast("int").alias("frame"))
-    out = frames.join(wide, "frame", "left").orderBy("frame").select(*[number(F.col(f"{k}_{a}")).alias(f"{k}_{a}") for k in keys for a in ("X", "Y")])
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """The layout of image points."""
+    write_wide(obs, path, "xypts", n_frames, n_points, n_cams)
 
 
 def read_sparse(spark: SparkSession, path: str, delimiter: str = "\t") -> DataFrame:
@@ -89,6 +147,15 @@ def read_coefficients(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, list(c)) for i, c in enumerate(zip(*lines))], "cam int, c array<double>")
 
 
+def write_coefficients(camera: DataFrame, path: str) -> None:
+    """A line per coefficient and a column per camera, no header; all cameras have as many coefficients."""
+    rows = sorted((r.cam, list(r.c)) for r in camera.collect())  # a few cameras
+    if len({len(c) for _, c in rows}) != 1:
+        raise ValueError("cameras with different numbers of coefficients")
+    lines = [(i, ",".join(f"{x:.12g}" for x in line)) for i, line in enumerate(zip(*[c for _, c in rows]))]
+    camera.sparkSession.createDataFrame(lines, "i int, line string").repartition(1).sortWithinPartitions("i").select("line").write.mode("overwrite").text(path)
+
+
 def read_object(spark: SparkSession, path: str) -> DataFrame:
     """Calibration object: a header and two or three columns; point numbers are line numbers."""
     lines = spark.read.text(path).collect()[1:]  # a hand-measured object: some dozens of lines
