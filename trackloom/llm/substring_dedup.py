@@ -232,7 +232,8 @@ def substring_dedup(documents: DataFrame, size: int = 50, keep: tuple[str, ...]
     window is ``size`` consecutive words of one document, judged on the input.
     Returns one row per input row: doc_id, n_words, n_removed, kept_sha256 (of the
     kept words joined by one space), the ``keep`` columns, and with
-    ``keep_text`` the ``text`` that is left (as it was if nothing went).
+    ``keep_text`` the ``text`` that is left (as it was if nothing went).  A
+    ``keep`` column takes the place of one of the others of the same name.
 
     Null and empty texts have no words.  A row without doc_id keeps its words
     and removes none elsewhere.  Rows with one doc_id are one document as far
@@ -270,4 +271,5 @@ def substring_dedup(documents: DataFrame, size: int = 50, keep: tuple[str, ...]
 
     fields = "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in carried)
     result = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text + fields)
-    return result.withColumnsRenamed(dict(zip(carried, keep)))
+    own = [c for c in result.columns if c not in carried and c not in keep]
+    return result.select(*own, *[F.col(c).alias(name) for c, name in zip(carried, keep)])

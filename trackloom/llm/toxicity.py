@@ -131,11 +131,12 @@ class BlockMaxIndex:
 
         ``without`` gives the position of an example to leave out of a query's answer, or -1.
         """
-        if not self.ready:
-            self.prepare()
-        n, unit, out = len(self.ids), queries.unit(self.idf, self.lexicon), [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        n, out = len(self.ids), [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         if not n or not len(queries):
             return out
+        if not self.ready:
+            self.prepare()
+        unit = queries.unit(self.idf, self.lexicon)
         heavy = np.zeros((len(queries), len(self.dense)))
         row, at = np.repeat(np.arange(len(queries)), np.diff(queries.bounds)), self.column[queries.terms]
         heavy[row[at >= 0], at[at >= 0]] = unit[at >= 0]
