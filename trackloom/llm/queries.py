@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, tool_calls
+from . import filter_audit, license_scan, merkle, tool_calls
 from .byte_bpe import encode_documents
 from .decontaminate import leaks
 from .maxent_lm import score_texts
 from .near_dedup import near_dedup
 from .packing import pack
+from .personal import find_personal
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 from .vector_dedup import near_vectors
@@ -71,6 +72,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_tool_calls": op2_tool_calls,
@@ -82,9 +95,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle": op12_merkle,
+    "op13_personal_data": op13_personal_data,
 }
 
 #: Learned models, sketches, packing and token ids are beyond SQL; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op10_license_scan": license_scan.oracle_sql(),
+    "op11_filter_audit": filter_audit.oracle_sql(),
+    "op12_merkle": merkle.oracle_sql(),
 }
