@@ -8,6 +8,8 @@ reaches the overlap has one of the first |T| - overlap + 1 words of the template
 (prefix), so only the places of such words are joined with templates; around
 each there must be ``overlap`` template words (length) that do not come before
 it in that order (position), and what passes is counted exactly in every block.
+A place carries only the template words within reach of it, so that the work is
+linear in a text.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Hits of a text that are looked at together.
+STRETCH = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (phrase, label): labels wherever the words stand one after the other.
@@ -88,7 +92,15 @@ def scan(documents: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templat
     digests = written(split.select("doc_id", "key", F.size("words").alias("n_words"), *[places(p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)], hits.alias("hits")))
 
     plan = spark.createDataFrame(plans, "template int, label string, rank int, size int, need int, length int, of array<int>")
-    found = digests.where(F.size("hits") > 0).select("doc_id", "key", "hits", F.explode("hits").alias("hit")).select("doc_id", "key", "hits", F.col("hit.at").alias("at"), F.col("hit.rank").alias("rank"))
+    # long texts are cut into stretches of hits that overlap by the longest block; each place in a prefix keeps only the hits near it
+    reach = max([length for _, _, length in sets], default=1) - 1
+    lead = lambda j: F.least(F.lit(reach), j * STRETCH)
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size("hits") - 1) / STRETCH).cast("int")), lambda j: F.struct(lead(j).alias("lead"), F.slice("hits", j * STRETCH - lead(j) + 1, lead(j) + STRETCH + reach).alias("part")))
+    cut = digests.where(F.size("hits") > 0).select("doc_id", "key", F.explode(stretches).alias("s")).select("doc_id", "key", F.col("s.lead").alias("lead"), F.col("s.part").alias("part"))
+    low = [i for i, w in enumerate(sorted(order, key=order.get)) if w in prefix]
+    own = lambda h, i: (i >= F.col("lead")) & (i < F.col("lead") + STRETCH) & h["rank"].isin(low)
+    placed = F.transform("part", lambda h, i: F.when(own(h, i), F.struct(h["at"].alias("at"), h["rank"].alias("rank"), F.slice("part", F.greatest(i - reach + 1, F.lit(1)), 2 * reach + 1).alias("hits"))))
+    found = cut.select("doc_id", "key", F.explode(F.array_compact(placed)).alias("hit")).select("doc_id", "key", F.col("hit.hits").alias("hits"), F.col("hit.at").alias("at"), F.col("hit.rank").alias("rank"))
     around = F.filter("hits", lambda h: (h["at"] > F.col("at") - F.col("length")) & (h["at"] < F.col("at") + F.col("length")) & (h["rank"] >= F.col("rank")) & F.array_contains("of", h["rank"]))
     near = found.join(F.broadcast(plan), "rank").select("doc_id", "key", "label", "at", "size", "need", "length", around.alias("around")).where(F.size(F.array_distinct("around.rank")) >= F.col("need"))
     inside = lambda start: F.size(F.array_distinct(F.transform(F.filter("around", lambda h: (h["at"] >= start["at"]) & (h["at"] < start["at"] + F.col("length"))), lambda h: h["rank"])))
