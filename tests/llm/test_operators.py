@@ -520,3 +520,94 @@ def test_empty_tables(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     empty = lambda s: spark.createDataFrame([], s)
     assert tool_calls.link(empty(tool_calls.CALLS), empty(tool_calls.RESULTS), empty(tool_calls.SCHEMAS)).count() == 0
+
+
+def unmix(x):
+    """The inverse of ``words.mix``."""
+    back = lambda y, s: y ^ (y >> s) ^ (y >> 2 * s) if 3 * s >= 64 else None
+    x = back(x, 31) * pow(0x94D049BB133111EB, -1, 1 << 64) % (1 << 64)
+    x = back(x, 27) * pow(0xBF58476D1CE4E5B9, -1, 1 << 64) % (1 << 64)
+    return back(x, 30)
+
+
+def chained(side):
+    """Two words of 16 bytes that meet in the unkeyed hash of a side, by solving its last step."""
+    from trackloom.llm import words as W
+
+    full, odd, (seed, step) = 1 << 64, int(W._ODD), (int(W._SEEDS[side]), int(W._SEEDS[1 - side]))
+    mix = lambda x: int(W.mix(np.array([x % full], np.uint64))[0])
+    head = mix(16 * odd + seed)
+    state = lambda first: mix((head ^ mix(first + seed)) * odd + step)
+    one, ok = b"abcdefghijklmnop", set(range(33, 127))
+    load = lambda b: int.from_bytes(b, "little")
+    goal = state(load(one[:8])) ^ mix(load(one[8:]) + seed)
+    rng = random.Random(side)
+    while True:
+        first = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+        last = ((unmix(goal ^ state(load(first))) - seed) % full).to_bytes(8, "little")
+        if set(last) <= ok and not any(65 <= b <= 90 for b in last):
+            return one.decode(), (first + last).decode()
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_words_that_solve_the_chained_hash(spark, side):
+    from trackloom.llm import words as W
+
+    one, other = chained(side)
+    raw = np.frombuffer((one + other).encode(), np.uint8)
+    plain = W.hash_spans(raw, np.array([0, 16]), np.array([16, 32]), side)
+    assert plain[0] == plain[1] and one != other
+    held = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learnt = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 10)
+    known = {r.doc_id: r.n_known for r in maxent_lm.score_texts(docs(spark, [(learnt, one), (held, other)]), rounds=1).collect()}
+    assert known == {learnt: 2, held: 1}
+    rng = random.Random(side)
+    rows, at = [], 1
+    for _ in range(12):
+        text = [f"u{rng.randrange(10**6)}" for _ in range(50)]
+        place = rng.randrange(50)
+        rows += [(at, " ".join([*text[:place], one, *text[place + 1 :]])), (at + 1, " ".join([*text[:place], other, *text[place + 1 :]]))]
+        at += 2
+    assert {r.n_removed for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()} == {0}
+
+
+def test_keyed_words_equal_the_words():
+    import pyarrow as pa
+
+    from trackloom.llm import words as W
+
+    texts = ["a b a", None, "", "é  B\n" + "x" * 100, " a"]
+    found = W.words_of(pa.array(texts).slice(0), W.SPACED_LOWER, b"k")
+    words = [w.lower() if w.isascii() else w for t in texts for w in WORD.findall(t or "")]
+    assert len(found.hashes) == len(words) and found.bounds.tolist() == [0, 3, 3, 3, 6, 7]
+    expected = [hashlib.blake2b(w.encode(), digest_size=16, key=b"k").digest() for w in words]
+    assert [int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little") for a, b in zip(found.hashes, found.second)] == expected
+    assert len(W.words_of(pa.array([None, ""]), W.SPACED, b"k").hashes) == 0
+
+
+def test_license_scan_of_very_long_texts(spark):
+    template = license_scan.TEMPLATES[1][1]
+    vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice(vocabulary) if rng.random() < 0.2 else f"x{rng.randrange(5000)}" for _ in range(n))
+    dense = " ".join(rng.choice(vocabulary) for _ in range(200_000))
+    rows = [(1, prose(200_000) + " " + template), (2, template + " " + prose(1000)), (3, prose(300) + "\n" + template.replace(" ", "\n") + " " + prose(700)), (4, dense), (5, prose(600))]
+    found = {r.doc_id: (r.n_words, r.labels, r.score) for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert found[1] == (200_000 + len(template.split()), found[1][1], 1.0) and "bsd" in found[1][1].split(",")
+    assert found[2][2] == found[3][2] == 1.0 and "bsd" in found[2][1] and "bsd" in found[3][1]
+    assert found[4][0] == 200_000 and found[5][2] == 0.0
+
+
+def test_license_scan_across_stretches_matches_sql(spark, monkeypatch):
+    vocabulary = [w for _, t in license_scan.TEMPLATES for w in t.split()]
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice(license_scan.TEMPLATES)[1] if rng.random() < 0.08 else rng.choice(vocabulary) if rng.random() < 0.7 else "other" for _ in range(rng.randrange(120)))
+    documents = docs(spark, [(i, text()) for i in range(60)])
+    con = duckdb.connect()
+    con.register("documents", documents.select("doc_id", "text").toPandas())
+    expected = sorted(con.sql(license_scan.oracle_sql()).fetchall())
+    assert any(r[-1] for r in expected)
+    for stretch in (1, 7, 256):
+        monkeypatch.setattr(license_scan, "STRETCH", stretch)
+        found = license_scan.scan(documents)
+        assert sorted(map(tuple, found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect())) == expected

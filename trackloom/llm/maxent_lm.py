@@ -29,6 +29,8 @@ from .scratch import written
 from .toxicity import held_out
 
 END_HASH = np.uint64(0xE4D0E4D0E4D0E4D1)
+#: Key of the words' digests: fixed, as features are drawn from them and scores have to repeat.
+KEY = b"trackloom"
 CLASSES, SKIPS = 64, 16
 END_CLASS = CLASSES - 1
 SMOOTH = 0.1
@@ -116,7 +118,8 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
 
     A-Z are lowered; the tokens of a text are its words between ASCII white
     space and one end token.  The model learns from rows whose crc32(doc_id)
-    mod ``modulus`` is not ``remainder``.  Words are told apart by 64-bit hash.
+    mod ``modulus`` is not ``remainder``.  Words are told apart as they are
+    within a block and by 128 bits of BLAKE2b between blocks.
     Returns one row per input row: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
@@ -130,15 +133,15 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shape = Shape.of(volume)
     ranges = ranges or int(256 * max(1.0, (volume / SMALL) ** 0.5))  # a range's group grows with the root of the volume
-    names = ["kind", "block", "range", "doc_id", "held_out", "ids", "hashes", "counts", "classes"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    names = ["kind", "block", "range", "doc_id", "held_out", "ids", "hashes", "counts", "classes", "seconds"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
 
     def encode(batches):
         block = TaskContext.get().partitionId() << 24
         seen = np.zeros(shape.previous * SKIPS * CLASSES, np.int64)
         for batch in batches:
             for part in W.slices(batch):
-                found = W.words_of(part.column("text"), W.SPACED_LOWER)
+                found = W.words_of(part.column("text"), W.SPACED_LOWER, KEY)
                 n = part.num_rows
                 ends = found.bounds[1:] + np.arange(n)  # where the end tokens go
                 total = len(found.hashes) + n
@@ -152,23 +155,30 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
                 firsts = np.r_[0, ends[:-1] + 1]
                 previous, skip = histories(hashes, classes, firsts, shape.previous)
                 seen += np.bincount(((previous * SKIPS + skip) * CLASSES + classes)[training], minlength=len(seen))
-                words, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
-                counts, kind = np.bincount(ids, training, len(words)).astype(np.int64), classes[at].astype(np.uint8)
+                words, seconds = (np.r_[found.digests[:, side], end] for side, end in ((0, END_HASH), (1, END_HASH)))
+                order = np.lexsort((seconds, words))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                ids = np.full(total, rank[-1])
+                ids[body] = rank[found.codes]
+                words, seconds, kind = words[order], seconds[order], np.empty(len(order), np.uint8)
+                kind[ids] = classes
+                counts = np.bincount(ids, training, len(words)).astype(np.int64)
                 edges = np.r_[0, ends + 1].astype(np.int32)
                 none = lambda i, k: pa.nulls(k, types[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), none(2, n), part.column("doc_id"), part.column("held_out"), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.astype(np.int32))), none(6, n), none(7, n), none(8, n)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), none(2, n), part.column("doc_id"), part.column("held_out"), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.astype(np.int32))), none(6, n), none(7, n), none(8, n), none(9, n)], names)
                 cut = np.searchsorted(words, (np.arange(ranges + 1, dtype=np.float64) * (2.0**64 / ranges)).clip(max=2.0**64 - 2048).astype(np.uint64))
                 cut[-1] = len(words)
                 full = np.flatnonzero(np.diff(cut) > 0)
                 k, edges = len(full), pa.array(np.r_[cut[full], len(words)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, block)), pa.array(full.astype(np.int32)), none(3, k), none(4, k), none(5, k), pa.ListArray.from_arrays(edges, pa.array(words.view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(counts)), pa.array([kind[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, block)), pa.array(full.astype(np.int32)), none(3, k), none(4, k), none(5, k), pa.ListArray.from_arrays(edges, pa.array(words.view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(counts)), pa.array([kind[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(seconds.view(np.int64)))], names)
                 block += 1
         cells = seen.reshape(-1, CLASSES)
         used = np.flatnonzero(cells.sum(axis=1))
         none = lambda i: pa.nulls(len(used), types[i])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), 2, np.int32)), none(1), pa.array(used.astype(np.int32)), none(3), none(4), none(5), none(6), pa.array(list(cells[used]), pa.list_(pa.int64())), none(8)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), 2, np.int32)), none(1), pa.array(used.astype(np.int32)), none(3), none(4), none(5), none(6), pa.array(list(cells[used]), pa.list_(pa.int64())), none(8), none(9)], names)
 
-    encoded = written(texts.mapInArrow(encode, "kind int, block long, range int, doc_id long, held_out boolean, ids array<int>, hashes array<long>, counts array<long>, classes binary"), by="kind")
+    encoded = written(texts.mapInArrow(encode, "kind int, block long, range int, doc_id long, held_out boolean, ids array<int>, hashes array<long>, counts array<long>, classes binary, seconds array<long>"), by="kind")
 
     cells = encoded.where("kind = 2").groupBy(F.col("range").alias("history")).agg(*[F.sum(F.col("counts")[c]).cast("double").alias(f"c{c}") for c in range(CLASSES)])
     statistics = written(cells.select("history", F.array(*[f"c{c}" for c in range(CLASSES)]).alias("counts")))
@@ -180,14 +190,18 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
         hashes = pc.list_flatten(table.column("hashes")).to_numpy()
         counts = pc.list_flatten(table.column("counts")).to_numpy()
         classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), np.uint8)
-        words, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
-        total = np.bincount(ids, counts, len(words)).astype(np.int64)
+        seconds = pc.list_flatten(table.column("seconds")).to_numpy()
+        order = np.lexsort((seconds, hashes))
+        new = np.r_[True, (np.diff(hashes[order]) != 0) | (np.diff(seconds[order]) != 0)][: len(order)]
+        at, ids = order[new], np.empty(len(order), np.int64)
+        ids[order] = np.cumsum(new) - 1
+        total = np.bincount(ids, counts, len(at)).astype(np.int64)
         own = np.stack([np.bincount(classes[at], total, CLASSES), np.bincount(classes[at], total > 0, CLASSES)]).astype(np.int64).ravel()
         edges = np.r_[0, np.cumsum(sizes)].astype(np.int32)
         back = pa.ListArray.from_arrays(pa.array(edges), pa.array(total[ids]))
         return pa.table({"block": pa.concat_arrays([table.column("block").combine_chunks(), pa.nulls(1, pa.int64())]), "range": pa.concat_arrays([table.column("range").combine_chunks(), pa.nulls(1, pa.int32())]), "counts": pa.concat_arrays([back, pa.array([own], pa.list_(pa.int64()))])})
 
-    dictionaries = encoded.where("kind = 1").select("block", "range", "hashes", "counts", "classes")
+    dictionaries = encoded.where("kind = 1").select("block", "range", "hashes", "seconds", "counts", "classes")
     summed = written(dictionaries.groupBy("range").applyInArrow(merge, "block long, range int, counts array<long>"))
     by_class = np.zeros((2, CLASSES))
     for (row,) in summed.where("block is null").select("counts").collect():  # one row per range
