@@ -15,8 +15,10 @@ OUT = "cam int, point int, frame int, u double, v double, fit double"
 
 
 def predicted(history: list[float]) -> float:
-    """Static, linear or filtered continuation, by how much history there is."""
+    """Static, linear or filtered continuation, by how much history there is; NaN without any."""
     seen = [x for x in history if x == x]
+    if not seen:
+        return float("nan")
     if len(seen) < 3:
         return round(seen[-1])
     if len(seen) < 8:
@@ -28,6 +30,8 @@ def follow(image: np.ndarray, template: np.ndarray, us: list[float], vs: list[fl
     """Match one frame near the prediction; (nan, nan, fit) below ``least_fit``.  Pixels count from 1."""
     h, w = image.shape
     u, v = predicted(us), predicted(vs)
+    if u != u or v != v:
+        return float("nan"), float("nan"), -1.0
     u = u if 1 <= u <= w else round([x for x in us if x == x][-1])
     v = v if 1 <= v <= h else round([x for x in vs if x == x][-1])
     top, left = max(0, v - 1 - reach), max(0, u - 1 - reach)
