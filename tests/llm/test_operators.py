@@ -611,3 +611,22 @@ def test_license_scan_across_stretches_matches_sql(spark, monkeypatch):
         monkeypatch.setattr(license_scan, "STRETCH", stretch)
         found = license_scan.scan(documents)
         assert sorted(map(tuple, found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect())) == expected
+
+
+def test_words_under_a_secret():
+    import pyarrow as pa
+
+    from trackloom.llm import words as W
+
+    words = ["a", "aa", "a\0", "\0", "\0\0", "abcdefgh", "abcdefgh\0", "abcdefgi", "é" * 30, "x" * 64, "x" * 65, "x" * 66, *[f"w{i}" for i in range(20_000)]]
+    sides = {}
+    for secret in (b"1" * 16, b"2" * 16):
+        found = W.words_of(pa.array([" ".join(words), " ".join(reversed(words))]), W.SPACED, secret=secret)
+        n = len(words)
+        for side, hashes in enumerate((found.hashes, found.second)):
+            assert len(set(hashes[:n].tolist())) == n and (hashes[:n] == hashes[n:][::-1]).all()
+            sides[secret, side] = hashes[:n]
+    assert all(not np.isin(x, y).any() for (a, x), (b, y) in itertools.combinations(sides.items(), 2))
+    for x in sides.values():  # every bit is set about as often as not
+        share = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0)
+        assert abs(share - 0.5).max() < 0.03

@@ -111,10 +111,10 @@ def repeated_windows(documents: DataFrame, size: int = 50, gram: int = 8, width_
     ``documents`` has doc_id, key (64-bit text hash) and text.  Returns doc_id,
     key, firsts and lasts (arrays of word positions of window starts).  Windows
     are equal if they share an anchor and a 64-bit hash of their words that is
-    independent of it; both rest on digests of words under a key that is drawn
+    independent of it; both rest on hashes of words under a secret that is drawn
     for the call, so no text can be made to collide.
     """
-    spark, gram, key = documents.sparkSession, min(gram, size), secrets.token_bytes(16)
+    spark, gram, secret = documents.sparkSession, min(gram, size), secrets.token_bytes(16)
     if width_bits is None:
         volume = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         width_bits = min(MOST_BITS, max(CHUNK_BITS, (int(volume) // SPARSE).bit_length()))
@@ -122,7 +122,7 @@ def repeated_windows(documents: DataFrame, size: int = 50, gram: int = 8, width_
     def sliced(batches):
         for batch in batches:
             for part in W.slices(batch):
-                yield part, W.words_of(part.column("text"), key=key)
+                yield part, W.words_of(part.column("text"), secret=secret)
 
     def count_anchors(batches):
         keys = []

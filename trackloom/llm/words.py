@@ -5,10 +5,11 @@ of rows at once: a lookup table marks word bytes, and word starts and ends
 follow from it.  A word is hashed eight bytes at a time, each step through a
 non-linear finaliser; words beyond 64 bytes take BLAKE2b.  ``second`` is an
 independent hash of the same words.  Operators whose results rest on which
-words are equal give a ``key``: then equal words of a slice meet as they are and
-every different one takes 128 bits of BLAKE2b under that key, which ``hashes``
-and ``second`` halve.  Nobody can make two words meet whose key they do not know,
-nor, by the hash's own strength, under a known one.  Runs of words are hashed as trees over the hashes of their words.
+words are equal give a ``key``, which may be known: then equal words of a slice
+meet as they are and every different one takes 128 bits of BLAKE2b, which
+``hashes`` and ``second`` halve.  Or they draw a ``secret``: then both are
+multilinear hashes under numbers that come from it, for which two different
+words meet with a chance of 2^-64 each, whoever chose them.  Runs of words are hashed as trees over the hashes of their words.
 Texts are never cut; a slice only bounds how many bytes are in memory together.
 """
 
@@ -90,12 +91,15 @@ class Words:
     #: With a key: the number of each word among the different ones, and two halves of the digest of each of those.
     codes: np.ndarray | None = None
     digests: np.ndarray | None = None
+    secret: bytes | None = None
 
     @property
     def second(self) -> np.ndarray:
         """An independent hash of every word."""
         if self.digests is not None:
             return self.digests[self.codes, 1]
+        if self.secret is not None:
+            return hash_secret(self.mapped, self.starts, self.ends, self.secret, 1)
         return hash_spans(self.mapped, self.starts, self.ends, 1)
 
 
@@ -121,8 +125,40 @@ def digests_of(words: list[bytes], key: bytes) -> np.ndarray:
     return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 
-def words_of(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = SPACED, key: bytes | None = None) -> Words:
-    """Hash the words of a string column, under ``key`` if there is one; null is an empty text."""
+def hash_secret(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, secret: bytes, side: int) -> np.ndarray:
+    """64 bits from two multilinear hashes over 32-bit parts of ``data[starts[i]:ends[i]]`` and its length.
+
+    Each is the upper half of k0 + k1 x1 + k2 x2 + ... modulo 2^64, with random k.
+    """
+    raw = hashlib.shake_256(secret + bytes([side])).digest(2 * 8 * (STEPPED // 4 + 2))
+    keys = np.frombuffer(raw, "<u8").reshape(2, -1)
+    lengths = ends - starts
+    sums = [k[0] + k[1] * lengths.astype(np.uint64) for k in keys]
+    if not len(starts):
+        return sums[0]
+    loads = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    which = np.arange(len(starts))
+    for at in range(0, min(STEPPED, int(lengths.max())), 8):
+        if at:
+            which = which[lengths[which] > at]
+        spare = np.maximum(0, at + 8 - lengths[which]).astype(np.uint64) * np.uint64(8)
+        chunk = loads[starts[which] + at] << spare  # bytes behind the end fall out
+        low, high = chunk & np.uint64(0xFFFFFFFF), chunk >> np.uint64(32)
+        for total, k in zip(sums, keys):
+            part = k[2 + at // 4] * low + k[3 + at // 4] * high
+            if at:
+                total[which] += part
+            else:
+                total += part
+    hashes = (sums[0] & np.uint64(0xFFFFFFFF00000000)) | sums[1] >> np.uint64(32)
+    for i in np.flatnonzero(lengths > STEPPED).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16, key=secret).digest()
+        hashes[i] = np.frombuffer(digest, "<u8")[side]
+    return hashes
+
+
+def words_of(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = SPACED, key: bytes | None = None, secret: bytes | None = None) -> Words:
+    """Hash the words of a string column, under ``key`` or ``secret`` if there is one; null is an empty text."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     first, last = int(offsets[0]) if len(offsets) else 0, int(offsets[-1]) if len(offsets) else 0
@@ -142,6 +178,8 @@ def words_of(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = SPACED, ke
     finishes[closes] = inside[closes] if len(raw) else False
     ends = np.flatnonzero(finishes) + 1
     bounds = np.searchsorted(starts, offsets)
+    if secret is not None:
+        return Words(hash_secret(data, starts, ends, secret, 0), bounds, starts, ends, raw, data, secret=secret)
     if key is None:
         return Words(hash_spans(data, starts, ends), bounds, starts, ends, raw, data)
     edges = np.r_[0, np.cumsum(ends - starts)]
