@@ -5,6 +5,8 @@ A group is one track, camera or image pair, so its size is that of a recording.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -271,14 +273,20 @@ def correlate(template: np.ndarray, scene: np.ndarray, gamma: float = 1.0) -> tu
     return r, c, fit
 
 
+@functools.lru_cache(8)
+def fine_spline(reach: int, fine: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places between -reach and reach, and the weights of the samples at whole numbers in the spline there."""
+    x, at = np.arange(-reach, reach + 1.0), np.linspace(-reach, reach, 2 * reach * fine + 1)
+    return at, np.array([spline_at(x, unit, at) for unit in np.eye(len(x))]).T
+
+
 def sub_pixel(surface: np.ndarray, row: int, col: int, reach: int = 2, fine: int = 100) -> tuple[float, float]:
     """Peak of a separable spline through the 5 x 5 around an integer peak; the integer peak near an edge."""
     if row < reach or col < reach or row + reach >= surface.shape[0] or col + reach >= surface.shape[1]:
         return float(row), float(col)
-    patch, x = surface[row - reach : row + reach + 1, col - reach : col + reach + 1], np.arange(-reach, reach + 1.0)
-    at = np.linspace(-reach, reach, 2 * reach * fine + 1)
-    rows = np.array([spline_at(x, patch[:, j], at) for j in range(patch.shape[1])]).T
-    best = np.array([spline_at(x, r, at) for r in rows])
+    patch = surface[row - reach : row + reach + 1, col - reach : col + reach + 1]
+    at, weights = fine_spline(reach, fine)
+    best = weights @ patch @ weights.T
     i, j = np.unravel_index(int(np.argmax(best)), best.shape)
     return row + float(at[i]), col + float(at[j])
 
