@@ -630,3 +630,14 @@ def test_words_under_a_secret():
     for x in sides.values():  # every bit is set about as often as not
         share = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0)
         assert abs(share - 0.5).max() < 0.03
+
+
+def test_word_numbers_in_few_bytes():
+    import pyarrow as pa
+
+    for words in (3, 1 << 16, (1 << 16) + 1, 1 << 24, (1 << 24) + 1):
+        ids = np.array([0, words - 1, 1, words // 2, 2], np.int64)
+        packed = maxent_lm.bytes_of(ids, np.array([0, 2, 2, 5], np.int32), words)
+        back, sizes = maxent_lm.numbers_of(pa.chunked_array([packed]), words)
+        assert back.tolist() == ids.tolist() and sizes.tolist() == [2, 0, 3]
+        assert len(packed[0].as_py()) == 2 * maxent_lm.id_bytes(words)

@@ -40,6 +40,27 @@ PENALTY = 20.0
 SMALL = 1 << 30
 
 
+def id_bytes(words: int) -> int:
+    """Bytes of a word's number among so many."""
+    return 2 if words <= 1 << 16 else 3 if words <= 1 << 24 else 4
+
+
+def bytes_of(ids: np.ndarray, edges: np.ndarray, words: int) -> pa.Array:
+    """Rows of word numbers, ``ids[edges[i]:edges[i + 1]]``, in as few bytes as ``words`` numbers need."""
+    width = id_bytes(words)
+    body = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges.astype(np.int64) * width).astype(np.int32)), pa.py_buffer(body)])
+
+
+def numbers_of(column: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all word numbers, how many in each row) back from ``bytes_of``."""
+    width = id_bytes(words)
+    body = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    whole = np.zeros((len(body), 4), np.uint8)
+    whole[:, :width] = body
+    return whole.view("<u4").ravel().astype(np.int64), pc.binary_length(column).to_numpy() // width
+
+
 class Shape:
     """Sizes of the hashed tables; ``previous`` is a power of two, the joint table four times that."""
 
@@ -134,7 +155,7 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
     shape = Shape.of(volume)
     ranges = ranges or int(256 * max(1.0, (volume / SMALL) ** 0.5))  # a range's group grows with the root of the volume
     names = ["kind", "block", "range", "doc_id", "held_out", "ids", "hashes", "counts", "classes", "seconds"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
 
     def encode(batches):
         block = TaskContext.get().partitionId() << 24
@@ -166,7 +187,7 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
                 counts = np.bincount(ids, training, len(words)).astype(np.int64)
                 edges = np.r_[0, ends + 1].astype(np.int32)
                 none = lambda i, k: pa.nulls(k, types[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), none(2, n), part.column("doc_id"), part.column("held_out"), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.astype(np.int32))), none(6, n), none(7, n), none(8, n), none(9, n)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), none(2, n), part.column("doc_id"), part.column("held_out"), bytes_of(ids, edges, len(words)), none(6, n), none(7, n), none(8, n), none(9, n)], names)
                 cut = np.searchsorted(words, (np.arange(ranges + 1, dtype=np.float64) * (2.0**64 / ranges)).clip(max=2.0**64 - 2048).astype(np.uint64))
                 cut[-1] = len(words)
                 full = np.flatnonzero(np.diff(cut) > 0)
@@ -178,7 +199,7 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
         none = lambda i: pa.nulls(len(used), types[i])
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), 2, np.int32)), none(1), pa.array(used.astype(np.int32)), none(3), none(4), none(5), none(6), pa.array(list(cells[used]), pa.list_(pa.int64())), none(8), none(9)], names)
 
-    encoded = written(texts.mapInArrow(encode, "kind int, block long, range int, doc_id long, held_out boolean, ids array<int>, hashes array<long>, counts array<long>, classes binary, seconds array<long>"), by="kind")
+    encoded = written(texts.mapInArrow(encode, "kind int, block long, range int, doc_id long, held_out boolean, ids binary, hashes array<long>, counts array<long>, classes binary, seconds array<long>"), by="kind")
 
     cells = encoded.where("kind = 2").groupBy(F.col("range").alias("history")).agg(*[F.sum(F.col("counts")[c]).cast("double").alias(f"c{c}") for c in range(CLASSES)])
     statistics = written(cells.select("history", F.array(*[f"c{c}" for c in range(CLASSES)]).alias("counts")))
@@ -218,8 +239,7 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
         hashes = pc.list_flatten(words.column("hashes")).to_numpy().view(np.uint64)
         classes = np.frombuffer(b"".join(words.column("classes").to_pylist()), np.uint8).astype(np.int64)
         counts = pc.list_flatten(sums.column("counts")).to_numpy().astype(float)
-        ids = pc.list_flatten(docs.column("ids")).to_numpy()
-        sizes = pc.list_value_length(docs.column("ids")).to_numpy()
+        ids, sizes = numbers_of(docs.column("ids"), len(hashes))
         firsts = np.r_[0, np.cumsum(sizes)[:-1]]
         base = np.log10((counts + SMOOTH) / (n_train + SMOOTH * (n_distinct + 1)))
         within = np.log10((counts + SMOOTH) / (by_class[0] + SMOOTH * (by_class[1] + 1))[classes])
@@ -229,5 +249,5 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": sizes.astype(np.int64), "n_known": add((counts[ids] > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), n_train), "base_score": add(base[ids]), "score": add(token)})
 
     parts = encoded.where("kind < 2").select("block", "kind", "range", "doc_id", "held_out", "ids", "hashes", F.lit(None).cast("array<long>").alias("counts"), "classes")
-    back = summed.where("block is not null").select("block", F.lit(3).alias("kind"), "range", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("array<long>").alias("hashes"), "counts", F.lit(None).cast("binary").alias("classes"))
+    back = summed.where("block is not null").select("block", F.lit(3).alias("kind"), "range", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<long>").alias("hashes"), "counts", F.lit(None).cast("binary").alias("classes"))
     return parts.unionByName(back).groupBy("block").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
