@@ -9,7 +9,7 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sizes import few
@@ -200,20 +200,19 @@ def kalman_next(values: np.ndarray) -> float:
 
 
 def double_exponential(values: np.ndarray, alpha: float | None = None) -> tuple[float, float]:
-    """(next value, alpha) of double exponential smoothing; alpha minimises the one-step error."""
-    if np.isnan(values).any() or len(values) < 2:
+    """(next value, alpha) of double exponential smoothing, which the first two samples begin; alpha minimises the one-step error."""
+    if np.isnan(values).any() or len(values) < 3:
         return float("nan"), float("nan")
 
     def run(a):
-        s = b = values[0]
-        error = []
-        for i, x in enumerate(values):
+        s, b, error = values[0], values[1], []
+        for i, x in enumerate(values[2:], 2):
             s = a * x + (1 - a) * s
             b = a * s + (1 - a) * b
             p = (2 + a / (1 - a)) * s - (1 + a / (1 - a)) * b
             if i + 1 < len(values):
                 error.append((p - values[i + 1]) ** 2)
-        return p, float(np.mean(error))
+        return p, float(np.mean(error)) if error else 0.0
 
     if alpha is None:
         lo, hi, golden = 0.01, 0.99, (5**0.5 - 1) / 2
@@ -232,7 +231,10 @@ def predict_next(series: DataFrame, method: str = "kalman", window: int = 11) ->
         p = kalman_next(values) if method == "kalman" else double_exponential(values)[0]
         return pd.DataFrame({"track": [g["track"].iloc[0]], "frame": [int(g["frame"].iloc[-1]) + 1], "predicted": [np.round(p)]})
 
-    return by_track(series, kernel, "track string, frame int, predicted double")
+    # no task needs more of a track than its last samples, and Spark drops the others before the shuffle
+    last = F.row_number().over(Window.partitionBy("track").orderBy(F.col("frame").desc()))
+    recent = series.select("track", "frame", "u").withColumn("_n", last).where(F.col("_n") <= window)
+    return by_track(recent, kernel, "track string, frame int, predicted double")
 
 
 # image kernels
@@ -390,8 +392,6 @@ def sampled(index: DataFrame, n: int, seed: int) -> DataFrame:
 
 def pick_stores(draws: DataFrame, stores: DataFrame, seed: int) -> DataFrame:
     """One store per draw with probability in proportion to its frames (store, n_frames: few rows, broadcast)."""
-    from pyspark.sql import Window
-
     total = F.sum("n_frames").over(Window.partitionBy())
     upto = F.sum("n_frames").over(Window.orderBy("store"))
     shares = stores.select("store", ((upto - F.col("n_frames")) / total).alias("lo"), (upto / total).alias("hi"))
