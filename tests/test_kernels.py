@@ -62,24 +62,6 @@ def test_splines():
     for curve in (kernels.spline_at, kernels.monotone_at):
         assert np.allclose(curve(x, 3 * x + 1, at), 3 * at + 1)
     assert np.allclose(kernels.spline_at(x, x**3 - x, at), at**3 - at)
-    noise = np.sin(np.arange(40.0) * 1.7)
-    t = np.arange(40.0)
-    y = 0.01 * t**2 - t + noise
-    assert np.allclose(kernels.smooth(t, y, np.ones(40), 0.0), y)
-    rough = kernels.smooth(t, y, np.ones(40), 1e9)
-    assert np.allclose(rough, np.polyval(np.polyfit(t, y, 2), t), atol=1e-2)
-    tol = 10.0
-    assert abs(((kernels.smooth(t, y, np.ones(40), tol) - y) ** 2).sum() - tol) < 0.1
-
-
-def test_banded_solve_is_exact():
-    rng = np.random.default_rng(6)
-    for n in (5, 64, 513, 700):
-        band = rng.random((4, n)) - 0.5
-        band[0] += 4
-        full = np.diag(band[0]) + sum(np.diag(band[o, : n - o], s) for o in (1, 2, 3) for s in (o, -o))
-        r = rng.random(n)
-        assert np.allclose(kernels.solve_banded(band, r), np.linalg.solve(full, r))
 
 
 def test_registered_smoothing_keeps_late_frames(spark, monkeypatch):

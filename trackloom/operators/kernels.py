@@ -19,7 +19,7 @@ def by_track(series: DataFrame, kernel, schema: str) -> DataFrame:
     return series.select("track", "frame", "u").groupBy("track").applyInPandas(lambda g: kernel(g.sort_values("frame", kind="stable").reset_index(drop=True)), schema)
 
 
-# interpolation and smoothing
+# interpolation
 
 def cubic_coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Second derivatives of the not-a-knot cubic spline, by tridiagonal elimination in linear time."""
@@ -88,94 +88,6 @@ def fill_spline(series: DataFrame, method: str = "spline", least: int = 5, extra
     return by_track(series, kernel, "track string, frame int, u double, filled double, fitted int")
 
 
-def solve_banded(band: np.ndarray, r: np.ndarray, block: int = 64, whole: int = 512) -> np.ndarray:
-    """Solve a symmetric positive system of bandwidth 3 (``band[o, i]`` couples i and i + o) by blocks, in linear time."""
-    n = len(r)
-    size = n if n <= whole else block
-    count = -(-n // size)
-    band, r = np.pad(band, ((0, 0), (0, count * size - n))), np.pad(r, (0, count * size - n)).reshape(count, size)
-    band[0, n:] = 1.0
-    for o in range(1, 4):
-        band[o, n - o :] = 0  # nothing is behind the last sample
-    firsts, links = [], np.zeros((count, size, size))  # links: a block's rows, the next one's columns
-    rhs = np.zeros((count, size))
-    for k in range(count):
-        own = band[:, k * size : (k + 1) * size]
-        a = np.diag(own[0])
-        for o in range(1, min(4, size)):
-            i = np.arange(size - o)
-            a[i, i + o] = a[i + o, i] = own[o, : size - o]
-            if k + 1 < count:
-                links[k, np.arange(size - o, size), np.arange(o)] = own[o, size - o :]
-        b = r[k].copy()
-        if k:
-            a -= links[k - 1].T @ firsts[-1]
-            b -= links[k - 1].T @ rhs[k - 1]
-        both = np.linalg.solve(a, np.column_stack([b, links[k]]))
-        rhs[k] = both[:, 0]
-        firsts.append(both[:, 1:])
-    for k in range(count - 2, -1, -1):
-        rhs[k] -= firsts[k] @ rhs[k + 1]
-    return rhs.ravel()[:n]
-
-
-def smooth(x: np.ndarray, y: np.ndarray, w: np.ndarray, tol: float, order: int = 0) -> np.ndarray:
-    """Values (or a derivative) of the curve with the least third-difference energy and sum w (y - f)^2 <= tol.
-
-    The curve lives on the samples: minimise the weighted misfit plus lambda
-    times the energy of third divided differences, lambda by bisection.
-    """
-    n = len(x)
-    d = np.ones((n, 1))
-    for k in range(1, 4):  # third divided differences, scaled to derivatives; row i holds columns i to i + k
-        d = (np.pad(d[1:], ((0, 0), (1, 0))) - np.pad(d[:-1], ((0, 0), (0, 1)))) / (x[k:] - x[:-k])[:, None] * k
-    span = (x[3:] - x[:-3]) / 3
-    energy = np.zeros((4, n))  # energy[o, i] couples samples i and i + o
-    for j in range(4):
-        for o in range(4 - j):
-            energy[o, j : j + n - 3] += span * d[:, j] * d[:, j + o]
-
-    scale = w.max() / energy[0].max()  # lambda relative to the weights, so that no sum loses its small part
-
-    def fit(p: float) -> np.ndarray:
-        band = 10.0**p * scale * energy
-        band[0] += w
-        return solve_banded(band, w * y)
-
-    def parabola() -> np.ndarray:
-        """The limit of no energy: the weighted quadratic."""
-        t = (x - x[0]) / (x[-1] - x[0])
-        basis, root = np.vander(t, 3), np.sqrt(w)
-        return basis @ np.linalg.lstsq(basis * root[:, None], y * root, rcond=None)[0]
-
-    miss = lambda f: float((w * (y - f) ** 2).sum())
-    if tol <= 0:
-        f = y.astype(float)
-    elif miss(f := parabola()) > tol:
-        lo, hi = -12.0, 9.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if miss(fit(mid)) <= tol else (lo, mid)
-        f = fit(lo)
-    for _ in range(order):
-        f = np.gradient(f, x)
-    return f
-
-
-def smoothing_spline(series: DataFrame, order: int = 0, least: int = 6) -> DataFrame:
-    """Smooth tracks with columns weight and tol; zero weights are missing, short tracks give NULL."""
-
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("frame")
-        ok = (g["u"].notna() & (g["weight"].fillna(0) != 0)).to_numpy()
-        out = np.full(len(g), np.nan)
-        if ok.sum() >= least:
-            out[ok] = smooth(g["frame"].to_numpy(float)[ok], g["u"].to_numpy(float)[ok], g["weight"].to_numpy(float)[ok], float(g["tol"].iloc[0]), order)
-        return pd.DataFrame({"track": g["track"], "frame": g["frame"], "smooth": out})
-
-    return series.select("track", "frame", "u", "weight", "tol").groupBy("track").applyInPandas(kernel, "track string, frame int, smooth double")
-
-
 # predictors
 
 def kalman_next(values: np.ndarray) -> float:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import calibrate, edits, images, kernels, solve, tables, timeseries, uncertainty
+from ..operators import calibrate, edits, images, kernels, solve, splines, tables, timeseries, uncertainty
 from ..sources.files import frame_rate, media_kind
 from . import fixtures as X
 
@@ -458,7 +458,7 @@ def gaps_cubic(spark, sf):
 @query()
 def smoothed(spark, sf):
     s = X.series(spark, sf)
-    return kernels.smoothing_spline(s.withColumns({"weight": F.lit(1.0), "tol": F.lit(500.0)}))
+    return splines.smoothing_splines(s.withColumns({"weight": F.lit(1.0), "tol": F.lit(500.0)}))
 
 
 @query()
