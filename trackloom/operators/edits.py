@@ -1,7 +1,7 @@
 """Track edits as pure functions from one observation table to the next.
 
-``obs`` has trial, frame, point, cam, u, v.  Undo is the table before: keep the
-DataFrame, or its written version.
+``obs`` has trial, frame, point, cam, u, v.  ``journal`` keeps what edits change
+and takes them back.
 """
 
 from __future__ import annotations

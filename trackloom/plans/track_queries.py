@@ -1,10 +1,10 @@
-"""Registered queries along tracks: filters as parallel scans."""
+"""Registered queries along tracks and over their edits: filters as parallel scans, versions of tables, training batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import recurrences
+from ..operators import edits, journal, recurrences, training
 from . import fixtures as X
 from .queries import query, rounded
 
@@ -37,3 +37,46 @@ def poses_predicted(spark, sf):
 @query()
 def smoothing_alphas(spark, sf):
     return recurrences.best_alpha(X.series(spark, sf), rounds=2).select("track", F.round("alpha", 6).alias("alpha"), F.round("error", 6).alias("error"))
+
+
+KEYS = ["trial", "frame", "point", "cam"]
+#: A short session of editing: half a pixel up, two tracks exchanged, a point deleted.
+SESSION = [
+    ("nudge", lambda t: edits.nudge(t, (F.col("point") == 1) & (F.col("cam") == 2), "up")),
+    ("swap", lambda t: edits.swap_points(t, 1, 4, 100, 5000)),
+    ("delete", lambda t: edits.delete_point(t, 3)),
+]
+SESSION_SQL = f"""{X.TRACKS_SQL}, e0 AS (SELECT trial, frame, point, cam, u, v FROM obs),
+e1 AS (SELECT * REPLACE (CASE WHEN point=1 AND cam=2 THEN v-0.5 ELSE v END AS v) FROM e0),
+e2 AS (SELECT * REPLACE (CASE WHEN frame BETWEEN 100 AND 5000 AND point IN (1, 4) THEN 5-point ELSE point END AS point) FROM e1),
+e3 AS (SELECT * REPLACE (CASE WHEN point>3 THEN point-1 ELSE point END AS point) FROM e2 WHERE point<>3)"""
+
+
+@query(f"""{SESSION_SQL}, al AS ({" UNION ALL ".join(f"SELECT {n} AS version, * FROM e{k}" for n, k in enumerate((0, 1, 2, 3, 2)))})
+SELECT version, point, cam, count(*) AS n, count(u) AS seen, round(avg(u), 4)+0.0 AS u, round(avg(v), 4)+0.0 AS v FROM al GROUP BY ALL""")
+def edit_versions(spark, sf):
+    base = X.observations(spark, sf)
+    log = journal.edited(base, KEYS, SESSION)
+    log = log.unionByName(journal.undo(log, KEYS, 3, 4))
+    tables = [journal.as_of(base, log, KEYS, version).select(F.lit(version).alias("version"), *base.columns) for version in range(5)]
+    every = tables[0]
+    for one in tables[1:]:
+        every = every.unionByName(one)
+    found = every.groupBy("version", "point", "cam").agg(F.count("*").alias("n"), F.count("u").alias("seen"), F.avg("u").alias("u"), F.avg("v").alias("v"))
+    return rounded(found, "u", "v", digits=4)
+
+
+@query(f"""{SESSION_SQL}, ch AS ({" UNION ALL ".join(f"SELECT {k} AS version, '{o}' AS operation, b.frame IS NOT NULL AS was, a.frame IS NOT NULL AS now, b.u IS DISTINCT FROM a.u OR b.v IS DISTINCT FROM a.v AS other FROM e{k - 1} b FULL JOIN e{k} a ON a.frame=b.frame AND a.point=b.point AND a.cam=b.cam" for k, (o, _) in enumerate(SESSION, 1))})
+SELECT version, operation, count(*) FILTER (NOT was) AS added, count(*) FILTER (was AND now) AS changed, count(*) FILTER (NOT now) AS removed FROM ch WHERE NOT was OR NOT now OR other GROUP BY ALL""")
+def edit_history(spark, sf):
+    return journal.history(journal.edited(X.observations(spark, sf), KEYS, SESSION))
+
+
+@query()
+def training_pictures(spark, sf):
+    im = X.images(spark, sf).select(F.col("label").cast("string").alias("movie"), F.col("id").cast("int").alias("frame"), *[F.lit(n).alias(c) for c, n in (("height", 8), ("width", 8), ("channels", 1))], F.transform("pix", lambda x: (x + 1) * 127).alias("pix"))
+    obs = im.select("movie", "frame", F.explode(F.array(*[F.struct(F.lit(k).alias("point"), (F.col("frame") % a + 2.0).alias("u"), (F.col("frame") % b + 2.0).alias("v")) for k, a, b in ((1, 5, 4), (2, 4, 5))])).alias("o")).select("movie", "frame", "o.*")
+    sample = training.exact_sample(training.labelled(obs, [1, 2]), 200, 7)
+    made = training.training_batch(sample, im, "whole", side=16, seed=7)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 2)
+    return made.select("movie", "frame", "draw", "height", "width", "channels", "maps", total("input").alias("input"), total("response").alias("response"))
