@@ -216,22 +216,6 @@ def test_raw_video(spark, tmp_path):
         video.frame_of(body, {**head.asDict()}, 3)
 
 
-def test_tracker_recovers_motion(spark):
-    rng = np.random.default_rng(5)
-    patch, rows = rng.random((13, 13)), []
-    for _ in range(2):
-        patch = sum(np.roll(patch, (i, j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1)) / 9
-    patch = (patch - patch.min()) / (patch.max() - patch.min())
-    for f in range(1, 9):
-        image = rng.random((60, 80)) * 0.05
-        image[18 + 2 * f - 6 : 18 + 2 * f + 7, 20 + 3 * f - 6 : 20 + 3 * f + 7] = patch
-        rows.append((1, f, 60, 80, image.ravel().tolist()))
-    frames = spark.createDataFrame(rows, "cam int, frame int, height int, width int, pix array<double>")
-    starts = spark.createDataFrame([(1, 1, 1, 24.0, 21.0)], "cam int, point int, frame int, u double, v double")
-    got = tracker.track(frames, starts).orderBy("frame").collect()
-    assert len(got) == 8 and all(abs(r.u - (21 + 3 * r.frame)) < 1 and abs(r.v - (19 + 2 * r.frame)) < 1 for r in got)
-
-
 def test_streaming_predictions(spark, tmp_path):
     spark.createDataFrame([("a", i, float(i)) for i in range(1, 7)], "track string, frame int, u double").write.parquet(f"{tmp_path}/in")
     stream = tracker.track_stream(spark.readStream.schema("track string, frame int, u double").parquet(f"{tmp_path}/in"))

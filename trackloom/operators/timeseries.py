@@ -112,14 +112,16 @@ def timing(frames: DataFrame, rate: float, head: int = 5) -> DataFrame:
 def background(images: DataFrame, low: int = 3, high: int = 6, best: int = 3) -> DataFrame:
     """Each image minus the cached one ``low`` to ``high`` frames before, nearest to ``best``; without one as it is.
 
-    ``images`` has track, frame, pix (array<double>).  The lags become equi-keys,
-    so the join is hashed and never a range scan.
+    ``images`` has track, frame, pix (array<double>).  Which image it is follows
+    from the frames alone, by equi-keys; images are then joined once.
     """
-    cached = images.select("track", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"), F.col("frame").alias("then"), F.col("pix").alias("old"))
-    cached = cached.select("track", (F.col("then") + F.col("lag")).alias("frame"), F.abs(F.col("lag") - best).alias("far"), "lag", "old")
-    chosen = cached.groupBy("track", "frame").agg(F.min(F.struct("far", "lag", "old")).alias("b"))
-    j = images.join(chosen, ["track", "frame"], "left")
-    return j.select("track", "frame", F.col("b.lag").alias("lag"), F.when(F.col("b").isNull(), F.col("pix")).otherwise(F.zip_with("pix", "b.old", lambda a, b: a - b)).alias("pix"))
+    frames = images.select("track", "frame")
+    cached = frames.select("track", F.explode(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda lag: F.struct((F.col("frame") + lag).alias("frame"), F.abs(lag - best).alias("far"), lag.alias("lag")))).alias("c"))
+    chosen = cached.groupBy("track", "c.frame").agg(F.min(F.struct("c.far", "c.lag")).alias("b")).select("track", "frame", F.col("b.lag").alias("lag"))
+    wanted = frames.join(chosen, ["track", "frame"]).select("track", "frame", "lag", (F.col("frame") - F.col("lag")).alias("then"))  # numbers only
+    old = images.select("track", F.col("frame").alias("then"), F.col("pix").alias("old")).join(wanted, ["track", "then"]).select("track", "frame", "lag", "old")
+    j = images.join(old, ["track", "frame"], "left")
+    return j.select("track", "frame", "lag", F.when(F.col("old").isNull(), F.col("pix")).otherwise(F.zip_with("pix", "old", lambda a, b: a - b)).alias("pix"))
 
 
 def clamp_prediction(u: Column, previous: Column, size: Column) -> Column:

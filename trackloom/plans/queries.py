@@ -88,14 +88,18 @@ def distort_observations(spark, sf):
     return j.select("frame", "point", "cam", r(u).alias("u"), r(v).alias("v"))
 
 
-def _ray(z: str) -> str:
-    return f"(u*c[9]-c[1]) a, (u*c[10]-c[2]) b, (c[4]-u-(u*c[11]-c[3])*({z})) p, (v*c[9]-c[5]) d, (v*c[10]-c[6]) e, (c[8]-v-(v*c[11]-c[7])*({z})) q"
-
-
-_o = X.sql_project("x", "y", "z", "c2")
-
-
-@query(f"{X.TRACKS_SQL}, one AS (SELECT frame, point, cam, u, v FROM obs WHERE cam=(frame+point)%3+1 AND u IS NOT NULL AND v IS NOT NULL), ends AS (SELECT frame, point, o.cam, other, c2, z, {_ray('z')} FROM one o JOIN camera USING (cam) JOIN (SELECT cam AS other, c AS c2 FROM camera) q ON other<>o.cam, (VALUES (500.0::DOUBLE), (-500.0::DOUBLE)) zz(z)), pts AS (SELECT *, (p*e-b*q)/(a*e-b*d) x, (a*q-p*d)/(a*e-b*d) y FROM ends), im AS (SELECT frame, point, cam, other, z, {_o[0]} u, {_o[1]} v FROM pts), l AS (SELECT x.frame, x.point, x.cam, x.other, (y.v-x.v)/(y.u-x.u) m, x.u, x.v FROM im x JOIN im y ON x.frame=y.frame AND x.point=y.point AND x.other=y.other AND x.z=500 AND y.z=-500) SELECT frame, point, cam, other, round(m,5)+0.0 AS slope, round(v-m*u,3)+0.0 AS intercept FROM l")
+_ends = [X.sql_project(f"x{i}", f"y{i}", z, "c2") for i, z in ((1, "500.0"), (2, "-500.0"))]
+#: The ray of one camera's pixel at two heights, both ends in one row.
+EPIPOLAR_SQL = f"""{X.TRACKS_SQL}, one AS (SELECT frame, point, cam, u, v FROM obs WHERE cam=(frame+point)%3+1 AND u IS NOT NULL AND v IS NOT NULL),
+pairs AS (SELECT a.cam, a.c, b.cam AS other, b.c AS c2 FROM camera a, camera b WHERE a.cam<>b.cam),
+ray AS (SELECT frame, point, cam, other, c2, u*c[9]-c[1] AS a, u*c[10]-c[2] AS b, v*c[9]-c[5] AS d, v*c[10]-c[6] AS e, c[4]-u AS p, u*c[11]-c[3] AS pz, c[8]-v AS q, v*c[11]-c[7] AS qz FROM one JOIN pairs USING (cam)),
+ends AS (SELECT *, ((p-500.0*pz)*e-b*(q-500.0*qz))/(a*e-b*d) AS x1, (a*(q-500.0*qz)-(p-500.0*pz)*d)/(a*e-b*d) AS y1, ((p+500.0*pz)*e-b*(q+500.0*qz))/(a*e-b*d) AS x2, (a*(q+500.0*qz)-(p+500.0*pz)*d)/(a*e-b*d) AS y2 FROM ray),
+im AS (SELECT frame, point, cam, other, {_ends[0][0]} AS u1, {_ends[0][1]} AS v1, {_ends[1][0]} AS u2, {_ends[1][1]} AS v2 FROM ends),
+li AS (SELECT *, (v2-v1)/(u2-u1) AS m FROM im)
+SELECT frame, point, cam, other, round(m,5)+0.0 AS slope, round(v1-m*u1,3)+0.0 AS intercept FROM li"""
+
+
+@query(EPIPOLAR_SQL)
 def epipolar(spark, sf):
     # every point of every frame, seen by one of its cameras only
     alone = F.col("cam") == F.pmod(F.col("frame") + F.col("point"), F.lit(3)) + 1

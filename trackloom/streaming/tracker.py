@@ -1,75 +1,14 @@
-"""The auto-tracker as a scan over ordered frames, batch and streaming."""
+"""Streaming predictions of tracks; ``autotrack`` follows points through images."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.kernels import correlate, kalman_next
-
-OUT = "cam int, point int, frame int, u double, v double, fit double"
-
-
-def predicted(history: list[float]) -> float:
-    """Static, linear or filtered continuation, by how much history there is; NaN without any."""
-    seen = [x for x in history if x == x]
-    if not seen:
-        return float("nan")
-    if len(seen) < 3:
-        return round(seen[-1])
-    if len(seen) < 8:
-        return round((4 * seen[-1] + seen[-2] - 2 * seen[-3]) / 3)
-    return round(kalman_next(np.array(history)))
-
-
-def follow(image: np.ndarray, template: np.ndarray, us: list[float], vs: list[float], reach: int, least_fit: float) -> tuple[float, float, float]:
-    """Match one frame near the prediction; (nan, nan, fit) below ``least_fit``.  Pixels count from 1."""
-    h, w = image.shape
-    u, v = predicted(us), predicted(vs)
-    if u != u or v != v:
-        return float("nan"), float("nan"), -1.0
-    u = u if 1 <= u <= w else round([x for x in us if x == x][-1])
-    v = v if 1 <= v <= h else round([x for x in vs if x == x][-1])
-    top, left = max(0, v - 1 - reach), max(0, u - 1 - reach)
-    row, col, fit = correlate(template, image[top : v + reach, left : u + reach])
-    return (left + col + 1, top + row + 1, fit) if fit >= least_fit else (float("nan"), float("nan"), fit)
-
-
-def cut(image: np.ndarray, u: float, v: float, half: int) -> np.ndarray:
-    r, c = round(v) - 1, round(u) - 1
-    return image[max(0, r - half) : r + half + 1, max(0, c - half) : c + half + 1]
-
-
-def track(frames: DataFrame, starts: DataFrame, half: int = 6, reach: int = 12, least_fit: float = 2.0, gap: int = 0, window: int = 11) -> DataFrame:
-    """Track every start (cam, point, frame, u, v) through its camera's frames (cam, frame, height, width, pix).
-
-    A point in a camera is one sequential scan; more than ``gap`` failures in a
-    row end it.  The template is that of the start frame throughout.
-    """
-    def scan(key, g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        g = g.sort_values("frame")
-        images = {int(r.frame): np.asarray(r.pix, float).reshape(r.height, r.width) for r in g.itertuples()}
-        for r in s.sort_values("point").itertuples():
-            if r.frame not in images:
-                continue
-            template, us, vs, failed = cut(images[r.frame], r.u, r.v, half), [r.u], [r.v], 0
-            out.append((r.cam, r.point, r.frame, r.u, r.v, 0.0))
-            for n in sorted(f for f in images if f > r.frame):
-                u, v, fit = follow(images[n], template, us[-window:], vs[-window:], reach, least_fit)
-                us.append(u), vs.append(v)
-                failed = failed + 1 if u != u else 0
-                if failed > gap:
-                    break
-                if u == u:
-                    out.append((r.cam, r.point, n, u, v, fit))
-        return pd.DataFrame(out, columns=["cam", "point", "frame", "u", "v", "fit"])
-
-    return frames.groupBy("cam").cogroup(starts.groupBy("cam")).applyInPandas(scan, OUT)
+from .autotrack import predicted
 
 
 def track_stream(samples: DataFrame, window: int = 11) -> DataFrame:
