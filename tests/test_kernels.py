@@ -33,6 +33,28 @@ def test_calibration_round_trip_and_left_out(spark):
     assert min(left, key=left.get) == 5 and left[5] < 1e-6
     with pytest.raises(Exception, match="calibration points"):
         calibrate.calibrate(clicks(spark, {p: CUBE[p] for p in range(1, 6)}), obj).collect()
+    few = calibrate.calibrate(clicks(spark, {p: CUBE[p] for p in range(1, 6)}), obj, strict=False).collect()
+    assert [(r.c, r.rmse, r.n_points) for r in few] == [(None, None, 5)] * 3
+
+
+def test_many_rigs_are_calibrated_apart(spark):
+    rng = np.random.default_rng(2)
+    points = {rig: rng.random((12, 3)) * 2 - 1 for rig in range(5)}
+    rows, made = [], {}
+    for rig, p in points.items():
+        for cam, c in X.CAMERAS:
+            uv = calibrate.projected(np.array(c), p) + rng.normal(size=(12, 2)) * 0.1
+            made[rig, cam] = uv
+            rows += [(rig, cam, i, float(u) if i else None, float(v)) for i, (u, v) in enumerate(uv)]
+    obj = spark.createDataFrame([(rig, i, *map(float, x)) for rig, p in points.items() for i, x in enumerate(p)], "rig int, pt int, x double, y double, z double")
+    seen = spark.createDataFrame(rows, "rig int, cam int, pt int, u double, v double")
+    for r in calibrate.calibrate(seen, obj).collect():
+        a, b = calibrate.design(points[r.rig][1:], made[r.rig, r.cam][1:])
+        assert r.n_points == 11 and np.allclose(r.c, np.linalg.solve(a.T @ a, a.T @ b), rtol=1e-5)  # the normal equations
+    left = {(r.rig, r.cam, r.pt): r.rmse for r in calibrate.leave_one_out(seen, obj).collect()}
+    assert len(left) == 180 and left[0, 1, 0] is None
+    keep = [i for i in range(1, 12) if i != 4]
+    assert left[3, 2, 4] == pytest.approx(calibrate.fit(points[3][keep], made[3, 2][keep])[1])
 
 
 def test_triangulation_edges(spark):
@@ -48,6 +70,8 @@ def test_triangulation_edges(spark):
 
 
 def test_camera_pose_and_flip(spark):
+    for r in solve.camera_pose(X.supplier_cameras(spark, "/root/testdata/sf0.001")).collect():
+        assert r.cx == pytest.approx(12 + r.cam % 9) and r.cy == pytest.approx(-10 + r.cam * 7 % 21) and r.fv == pytest.approx(X.FOCAL)
     for r in solve.camera_pose(X.cameras(spark)).collect():
         assert np.allclose((r.cx, r.cy, r.cz), X.PLACES[r.cam - 1]) and math.isclose(r.fu, X.FOCAL) and math.isclose(r.uo, X.CENTER)
     heights = spark.createDataFrame([(i, 1024.0) for i in (1, 2, 3)], "cam int, height double")

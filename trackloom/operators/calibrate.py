@@ -5,12 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .sizes import few
 
-COEFFICIENTS = "cam int, c array<double>, rmse double, n_points int"
-
 
 def design(p: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linear system of the projection: two rows per point; p has 3 (space) or 2 (plane) columns."""
@@ -81,41 +78,63 @@ def fit_modified(p: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, float]:
     return best, residual(best, p, uv)
 
 
-def calibrate(cal_obs: DataFrame, cal_object: DataFrame, method: str = "space") -> DataFrame:
+def meeting(cal_obs: DataFrame, cal_object: DataFrame, axes: list[str]) -> tuple[DataFrame, list[str]]:
+    """Clicks beside their object points, and the columns that name a camera: all but pt, u and v.
+
+    An object with columns of these names (a rig, say) is one of many.
+    """
+    keys = [c for c in cal_obs.columns if c not in ("pt", "u", "v")]
+    own = [c for c in keys if c in cal_object.columns]
+    return cal_obs.join(few(cal_object), [*own, "pt"]).select(*keys, "pt", "u", "v", *axes), keys
+
+
+def typed(df: DataFrame, keys: list[str], rest: str) -> str:
+    return "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys) + rest
+
+
+def calibrate(cal_obs: DataFrame, cal_object: DataFrame, method: str = "space", strict: bool = True) -> DataFrame:
     """Coefficients per camera: ``space`` (11), ``modified`` (11, constrained) or ``plane`` (8).
 
-    Clicks meet the object by point; incomplete rows are left out.  A camera
-    with fewer than six points (four in a plane) raises an error.
+    Clicks (cam, pt, u, v and columns that tell rigs apart) meet the object by
+    point; incomplete rows are left out.  A camera with fewer than six points
+    (four in a plane) raises an error, or has NULL coefficients unless ``strict``.
     """
     axes = ["x", "y"] if method == "plane" else ["x", "y", "z"]
     least = 4 if method == "plane" else 6
-    rows = cal_obs.join(few(cal_object), "pt").select("cam", "pt", "u", "v", *axes).dropna()
+    rows, keys = meeting(cal_obs, cal_object, axes)
     solve = fit_modified if method == "modified" else fit
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
+        key = {k: [g[k].iloc[0]] for k in keys}
         if len(g) < least:
-            raise ValueError(f"camera {g['cam'].iloc[0]}: {len(g)} calibration points, {least} are needed")
+            if strict:
+                raise ValueError(f"camera {g['cam'].iloc[0]}: {len(g)} calibration points, {least} are needed")
+            return pd.DataFrame({**key, "c": [None], "rmse": pd.Series([None], dtype=float), "n_points": [len(g)]})
         g = g.sort_values("pt")
         c, rmse = solve(g[axes].to_numpy(float), g[["u", "v"]].to_numpy(float))
-        return pd.DataFrame({"cam": [g["cam"].iloc[0]], "c": [c], "rmse": [rmse], "n_points": [len(g)]})
+        return pd.DataFrame({**key, "c": [c], "rmse": [rmse], "n_points": [len(g)]})
 
-    return rows.groupBy("cam").applyInPandas(kernel, COEFFICIENTS)
+    return rows.dropna(subset=["u", "v", *axes]).groupBy(*keys).applyInPandas(kernel, typed(rows, keys, "c array<double>, rmse double, n_points int"))
 
 
 def leave_one_out(cal_obs: DataFrame, cal_object: DataFrame, method: str = "space") -> DataFrame:
-    """Residual of each camera's fit without each point; NULL for points that were not clicked.
+    """Residual of each camera's fit without each point; NULL for points that were not clicked, or if too few are left.
 
-    Every (camera, left-out point) is a group of its own, so the fits spread over the cluster.
+    A camera is a group and its points, an object's, are left out in turn.
     """
     axes = ["x", "y"] if method == "plane" else ["x", "y", "z"]
-    rows = cal_obs.join(few(cal_object), "pt").select("cam", "pt", "u", "v", *axes)
-    left = rows.select("cam", F.col("pt").alias("without"), F.col("u").isNotNull().alias("clicked"))
-    others = left.join(rows.dropna(), "cam").where("pt <> without")
+    least = 4 if method == "plane" else 6
+    rows, keys = meeting(cal_obs, cal_object, axes)
     solve = fit_modified if method == "modified" else fit
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pt")
-        rmse = solve(g[axes].to_numpy(float), g[["u", "v"]].to_numpy(float))[1] if bool(g["clicked"].iloc[0]) else None
-        return pd.DataFrame({"cam": [g["cam"].iloc[0]], "pt": [g["without"].iloc[0]], "rmse": pd.Series([rmse], dtype=float)})
-
-    return others.groupBy("cam", "without").applyInPandas(kernel, "cam int, pt int, rmse double")
+        p, uv, clicked = g[axes].to_numpy(float), g[["u", "v"]].to_numpy(float), g["u"].notna().to_numpy()
+        whole = clicked & ~np.isnan(np.c_[p, uv]).any(axis=1)
+        out = []
+        for i in range(len(g)):
+            others = whole & (np.arange(len(g)) != i)
+            out.append(solve(p[others], uv[others])[1] if clicked[i] and others.sum() >= least else None)
+        return pd.DataFrame({**{k: g[k] for k in keys}, "pt": g["pt"], "rmse": pd.Series(out, index=g.index, dtype=float)})
+
+    return rows.groupBy(*keys).applyInPandas(kernel, typed(rows, keys, "pt int, rmse double"))

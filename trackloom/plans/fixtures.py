@@ -38,6 +38,31 @@ def cameras(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CAMERAS, "cam int, c array<double>")
 
 
+def supplier_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pinhole camera for every supplier, placed by its key and balance, that looks at the origin."""
+    s = table(spark, sf_dir, "supplier")
+    at = s.select(F.col("s_suppkey").cast("int").alias("cam"), (12.0 + F.col("s_suppkey") % 9).alias("px"), (-10.0 + F.col("s_suppkey") * 7 % 21).alias("py"), (3.0 + F.col("s_acctbal") / 1777).alias("pz"))
+    n = F.sqrt(F.col("px") ** 2 + F.col("py") ** 2 + F.col("pz") ** 2)
+    ahead = at.select("*", n.alias("n"), *[(-F.col(f"p{k}") / n).alias(f"a{k}") for k in "xyz"])
+    turned = ahead.select("*", F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2).alias("h"))
+    sides = turned.select("*", (F.col("ay") / F.col("h")).alias("sx"), (-F.col("ax") / F.col("h")).alias("sy"))
+    frame = sides.select("*", (-F.col("az") * F.col("sy")).alias("dx"), (F.col("az") * F.col("sx")).alias("dy"), (F.col("ax") * F.col("sy") - F.col("ay") * F.col("sx")).alias("dz"))
+    row = lambda x, y, z: [(FOCAL * v + CENTER * F.col(f"a{k}")) / F.col("n") for v, k in ((x, "x"), (y, "y"), (z, "z"))]
+    # the axes through the camera pass the origin: only the way ahead has an offset
+    c = [*row(F.col("sx"), F.col("sy"), F.lit(0.0)), F.lit(CENTER), *row(F.col("dx"), F.col("dy"), F.col("dz")), F.lit(CENTER), *[F.col(f"a{k}") / F.col("n") for k in "xyz"]]
+    return frame.select("cam", F.array(*c).alias("c"))
+
+
+def calibration_clicks(spark: SparkSession, sf_dir: str, orders: int) -> tuple[DataFrame, DataFrame]:
+    """Points of ``orders`` orders at a time as the calibration object of a rig, and their noisy clicks in its three cameras."""
+    from ..functions.geometry import project
+
+    w = world(spark, sf_dir).select(F.floor(F.col("frame") / orders).cast("int").alias("rig"), (F.col("frame") % orders * 16 + F.col("point")).cast("int").alias("pt"), "x", "y", "z", "e")
+    u, v = project(F.col("c"), F.col("x"), F.col("y"), F.col("z"))
+    seen = w.crossJoin(F.broadcast(cameras(spark)))
+    return w.drop("e"), seen.select("rig", "cam", "pt", (u + F.sin(F.col("e") * F.col("cam")) / 4).alias("u"), (v + F.cos(F.col("e") * F.col("cam")) / 4).alias("v"))
+
+
 def plane_cameras(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PLANES, "cam int, c array<double>")
 
@@ -85,6 +110,10 @@ def sql_project(x: str, y: str, z: str, c: str = "c") -> tuple[str, str]:
 
 U, V = sql_project("x", "y", "z")
 CAMERA_SQL = f"camera(cam, c) AS (VALUES {rows(CAMERAS)})"
+#: ``supplier_cameras`` under the name of the other camera tables.
+RIG_SQL = f"""sp AS (SELECT s_suppkey::INT AS cam, 12.0::DOUBLE + s_suppkey%9 AS px, -10.0::DOUBLE + s_suppkey*7%21 AS py, 3.0::DOUBLE + s_acctbal::DOUBLE/1777 AS pz FROM supplier),
+sn AS (SELECT *, sqrt(px*px+py*py+pz*pz) AS n FROM sp), sa AS (SELECT *, -px/n AS ax, -py/n AS ay, -pz/n AS az FROM sn), sh AS (SELECT *, sqrt(ax*ax+ay*ay) AS h FROM sa), ss AS (SELECT *, ay/h AS sx, -ax/h AS sy FROM sh),
+camera AS (SELECT cam, [({FOCAL}*sx+{CENTER}*ax)/n, ({FOCAL}*sy+{CENTER}*ay)/n, {CENTER}*az/n, {CENTER}, ({FOCAL}*(-az*sy)+{CENTER}*ax)/n, ({FOCAL}*(az*sx)+{CENTER}*ay)/n, ({FOCAL}*(ax*sy-ay*sx)+{CENTER}*az)/n, {CENTER}, ax/n, ay/n, az/n]::DOUBLE[] AS c FROM ss)"""
 PLANE_SQL = f"plane(cam, c) AS (VALUES {rows(PLANES)})"
 LENS_SQL = f"lens(cam, f1, f2, cx, cy, k1, k2, k3, k4, k5) AS (VALUES {rows(LENSES)})"
 WORLD_SQL = "world AS (SELECT 't' AS trial, l_orderkey::INT AS frame, l_linenumber::INT AS point, avg(l_quantity)/10 AS x, avg(l_discount)*50 AS y, avg(l_tax)*50 AS z, avg(l_extendedprice) AS e FROM lineitem GROUP BY ALL)"

@@ -128,20 +128,20 @@ _center = [_det3(*[("(-c[4])", "(-c[8])", "(-1.0)")[i // 3] if i % 3 == k else m
 _dot = lambda i, j: "+".join(f"c[{i + k}]*c[{j + k}]" for k in range(3))
 _turn = [f"(uo*c[{9 + i}]-c[{1 + i}])*d/fu" for i in range(3)] + [f"(vo*c[{9 + i}]-c[{5 + i}])*d/fv" for i in range(3)] + [f"c[{9 + i}]*d" for i in range(3)]
 _T = [f"t{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
-POSE_SQL = f"""WITH {X.CAMERA_SQL}, k AS (SELECT cam, c::DOUBLE[] AS c FROM camera), a AS (SELECT cam, c, {_center[0]} cx, {_center[1]} cy, {_center[2]} cz, 1/({_dot(9, 9)}) d2 FROM k), b AS (SELECT *, ({_dot(1, 9)})*d2 uo, ({_dot(5, 9)})*d2 vo, sqrt(d2) d FROM a), e AS (SELECT *, sqrt(greatest(0.0, d2*({_dot(1, 1)})-uo*uo)) fu, sqrt(greatest(0.0, d2*({_dot(5, 5)})-vo*vo)) fv FROM b), t AS (SELECT cam, cx, cy, cz, uo, vo, fu, fv, {', '.join(f'{x} {n}' for x, n in zip(_turn, _T))} FROM e), s AS (SELECT * REPLACE ({', '.join(f'{n}*CASE WHEN {_det3(*_T)}<0 THEN -1 ELSE 1 END AS {n}' for n in _T)}) FROM t), p AS (SELECT *, degrees(atan2(t21, t11)) yaw, degrees(asin(greatest(-1.0, least(1.0, -t31)))) pitch, degrees(atan2(t32, t33)) roll FROM s) SELECT cam, {', '.join(f'round({n},5)+0.0 AS {n}' for n in ('cx', 'cy', 'cz', 'uo', 'vo', 'fu', 'fv', *_T, 'yaw', 'pitch', 'roll'))} FROM p"""
+POSE_SQL = f"""WITH {X.RIG_SQL}, k AS (SELECT cam, c::DOUBLE[] AS c FROM camera), a AS (SELECT cam, c, {_center[0]} cx, {_center[1]} cy, {_center[2]} cz, 1/({_dot(9, 9)}) d2 FROM k), b AS (SELECT *, ({_dot(1, 9)})*d2 uo, ({_dot(5, 9)})*d2 vo, sqrt(d2) d FROM a), e AS (SELECT *, sqrt(greatest(0.0, d2*({_dot(1, 1)})-uo*uo)) fu, sqrt(greatest(0.0, d2*({_dot(5, 5)})-vo*vo)) fv FROM b), t AS (SELECT cam, cx, cy, cz, uo, vo, fu, fv, {', '.join(f'{x} {n}' for x, n in zip(_turn, _T))} FROM e), s AS (SELECT * REPLACE ({', '.join(f'{n}*CASE WHEN {_det3(*_T)}<0 THEN -1 ELSE 1 END AS {n}' for n in _T)}) FROM t), p AS (SELECT *, degrees(atan2(t21, t11)) yaw, degrees(asin(greatest(-1.0, least(1.0, -t31)))) pitch, degrees(atan2(t32, t33)) roll FROM s) SELECT cam, {', '.join(f'round({n},5)+0.0 AS {n}' for n in ('cx', 'cy', 'cz', 'uo', 'vo', 'fu', 'fv', *_T, 'yaw', 'pitch', 'roll'))} FROM p"""
 
 
 @query(POSE_SQL)
 def camera_poses(spark, sf):
-    pose = solve.camera_pose(X.cameras(spark))
+    pose = solve.camera_pose(X.supplier_cameras(spark, sf))
     return rounded(pose, *[c for c in pose.columns if c != "cam"])
 
 
-@query(f"WITH {X.CAMERA_SQL} SELECT cam, [round(x,5)+0.0 for x in c[1:4]::DOUBLE[] || [1024.0*c[9]-c[5], 1024.0*c[10]-c[6], 1024.0*c[11]-c[7], 1024.0-c[8]] || c[9:11]::DOUBLE[]]::VARCHAR AS c FROM camera")
+@query(f"WITH {X.RIG_SQL}, fl AS (SELECT cam, c[1:4] || [1024.0*c[9]-c[5], 1024.0*c[10]-c[6], 1024.0*c[11]-c[7], 1024.0-c[8]] || c[9:11] AS c FROM camera) SELECT cam, (i-1)::INT AS i, round(c[i],5)+0.0 AS value FROM (SELECT cam, c, unnest(range(1, 12)) AS i FROM fl) q")
 def cameras_flipped(spark, sf):
-    heights = spark.createDataFrame([(i, 1024.0) for i in (1, 2, 3)], "cam int, height double")
-    flipped = solve.flip_vertical(X.cameras(spark), heights)
-    return flipped.select("cam", F.transform("c", lambda x: F.round(x, 5) + 0.0).cast("string").alias("c"))
+    rig = X.supplier_cameras(spark, sf)
+    flipped = solve.flip_vertical(rig, rig.select("cam", F.lit(1024.0).alias("height")))
+    return rounded(flipped.select("cam", F.posexplode("c").alias("i", "value")), "value")
 
 
 # aggregates, filters, joins
@@ -361,9 +361,12 @@ def blocks_scanned(spark, sf):
     return rounded(images.block_scan(images.pixels(X.images(spark, sf), 8), 8, 8, 4, 3), "value", digits=4)
 
 
-@query("SELECT r::INT AS row, c::INT AS col, ((r//4+c//4)%2)::INT AS value FROM range(0,24) a(r), range(0,16) b(c)")
+@query(f"WITH {X.PIXEL_SQL} SELECT id, ((row//2+col//2)%2)::INT AS tile, round(sum(value),5)+0.0 AS total, count(*) AS n FROM px GROUP BY ALL")
 def checkerboards(spark, sf):
-    return images.checkerboard(spark, 4, 3, 2)
+    # every image under a board of 2 x 2 tiles of two pixels: 64 squares
+    board = images.checkerboard(spark, 2, 2, 2).withColumnRenamed("value", "tile")
+    px = images.pixels(X.images(spark, sf), 8).join(F.broadcast(board), ["row", "col"])
+    return px.groupBy("id", "tile").agg(r(F.sum("value")).alias("total"), F.count("*").alias("n"))
 
 
 _line = "({y}-(sy+coalesce((n*sxy-sx*sy)/nullif(n*sxx-sx*sx,0),0)*(n*{x}-sx))/n)"
@@ -400,36 +403,29 @@ def backgrounds(spark, sf):
 
 # kernels: rows only, held against properties in tests
 
-def _object(spark) -> tuple[DataFrame, DataFrame]:
-    """A 3 x 3 x 3 cube and its clicks in the three cameras."""
-    cube = [(i + 1, float(i % 3 - 1), float(i // 3 % 3 - 1), float(i // 9 - 1)) for i in range(27)]
-    obj = spark.createDataFrame(cube, "pt int, x double, y double, z double")
-    u, v = G.project(F.col("c"), F.col("x"), F.col("y"), F.col("z"))
-    return obj, obj.crossJoin(F.broadcast(X.cameras(spark))).select("pt", "cam", u.alias("u"), v.alias("v"))
-
-
 @query()
 def calibrate_space(spark, sf):
-    obj, clicks = _object(spark)
-    return calibrate.calibrate(clicks, obj)
+    obj, clicks = X.calibration_clicks(spark, sf, 512)
+    return calibrate.calibrate(clicks, obj, strict=False)
 
 
 @query()
 def calibrate_modified(spark, sf):
-    obj, clicks = _object(spark)
-    return calibrate.calibrate(clicks, obj, "modified")
+    obj, clicks = X.calibration_clicks(spark, sf, 512)
+    return calibrate.calibrate(clicks, obj, "modified", strict=False)
 
 
 @query()
 def calibrate_plane(spark, sf):
-    obj, _ = _object(spark)
+    obj, _ = X.calibration_clicks(spark, sf, 512)
     u, v = G.project_plane(F.col("c"), F.col("x"), F.col("y"))
-    return calibrate.calibrate(obj.where("z = 0").crossJoin(X.plane_cameras(spark)).select("pt", "cam", u.alias("u"), v.alias("v")), obj, "plane")
+    clicks = obj.crossJoin(F.broadcast(X.plane_cameras(spark))).select("rig", "cam", "pt", F.round(u, 1).alias("u"), F.round(v, 1).alias("v"))
+    return calibrate.calibrate(clicks, obj, "plane", strict=False)
 
 
 @query()
 def calibration_left_out(spark, sf):
-    obj, clicks = _object(spark)
+    obj, clicks = X.calibration_clicks(spark, sf, 6)
     return calibrate.leave_one_out(clicks, obj)
 
 
