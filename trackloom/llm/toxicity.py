@@ -10,9 +10,10 @@ documents.  The plain words' part of a vector has the length of the logarithm
 of the text's words, so that one lexicon term in a long text is far from many
 of them.
 
-The examples form an inverted index in blocks of like examples, with the
-largest weight of every term in every block.  A query sums these to a bound for
-each block, scores the best blocks, and then only those blocks whose bound
+The examples form an inverted index in blocks of like examples.  A query walks
+the short posting lists of its rarer terms, whose sums have a known maximum in
+every block, and adds each block's largest weights of its frequent terms: a
+bound for each block.  It scores the best blocks, and then only those whose bound
 reaches the k-th cosine found, which keeps the search exact.  Votes are weighted
 by distance and mapped to probabilities by isotonic regression on leave-one-out
 votes of the examples.
@@ -31,7 +32,7 @@ from . import words as W
 from .scratch import written
 
 #: Examples of a block, queries scored together, and the most terms that have a dense row.
-BLOCK, TOGETHER, DENSE = 256, 128, 1024
+BLOCK, TOGETHER, DENSE = 256, 128, 384
 #: More than single precision can err on a cosine.
 SLACK = 1e-4
 #: Distance at which a vote weighs a quarter of one at distance 0.
@@ -119,11 +120,6 @@ class BlockMaxIndex:
         order = np.flatnonzero(~own)[np.argsort(terms[~own], kind="stable")]
         self.rows, self.light, sorted_terms = row[order], weight[order], terms[order]
         self.heads = np.searchsorted(sorted_terms, np.arange(size + 1))
-        # a term's largest weight in each block that holds it; rows rise within a term, so its blocks are runs
-        cut = np.flatnonzero(np.r_[True, (np.diff(sorted_terms) != 0) | (np.diff(self.rows // self.block) != 0)]) if len(order) else order
-        self.most = np.maximum.reduceat(self.light, cut) if len(cut) else self.light
-        self.where = self.rows[cut] // self.block
-        self.most_heads = np.searchsorted(cut, self.heads)
         self.vectors, self.ready = None, True  # all is in the parts and lists now
 
     def search(self, queries: Vectors, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -141,14 +137,9 @@ class BlockMaxIndex:
         row, at = np.repeat(np.arange(len(queries)), np.diff(queries.bounds)), self.column[queries.terms]
         heavy[row[at >= 0], at[at >= 0]] = unit[at >= 0]
         single = heavy.astype(np.float32)
-        bound, blocks = single @ self.dense_most, self.dense_most.shape[1]
-        for i in range(len(queries)):
-            own = slice(queries.bounds[i], queries.bounds[i + 1])
-            lo, many = self.most_heads[queries.terms[own]], self.most_heads[queries.terms[own] + 1] - self.most_heads[queries.terms[own]]
-            here = spans(lo, many)
-            bound[i] += np.bincount(self.where[here], self.most[here] * np.repeat(unit[own], many), blocks)
-        best = np.argsort(-bound, axis=1)[:, : -(-(k + 1) // self.block)]
-        order = np.argsort(best[:, 0], kind="stable")  # like queries share their blocks
+        often, blocks = single @ self.dense_most, self.dense_most.shape[1]  # bounds on the frequent terms' part
+        order = np.argsort(np.argmax(often, axis=1), kind="stable")  # like queries share their blocks
+        probes = -(-(k + 1) // self.block)
         for lo in range(0, len(order), TOGETHER):
             some = order[lo : lo + TOGETHER]
             rare, least = np.zeros((len(some), blocks * self.block)), np.zeros(len(some))
@@ -157,11 +148,15 @@ class BlockMaxIndex:
                 first, many = self.heads[queries.terms[own]], self.heads[queries.terms[own] + 1] - self.heads[queries.terms[own]]
                 here = spans(first, many)
                 rare[j] = np.bincount(self.rows[here], self.light[here] * np.repeat(unit[own], many), blocks * self.block)
-                probe = np.concatenate([rare[j, x : x + self.block] + single[i] @ self.dense[:, x : x + self.block] for x in best[i] * self.block])
-                if without is not None and without[i] >= 0 and without[i] // self.block in best[i]:
+            # the largest sum over the rarer terms in every block is known, so only the frequent ones are bounded
+            bound = often[some] + rare.reshape(len(some), blocks, self.block).max(axis=2)
+            best = np.argpartition(-bound, probes - 1, axis=1)[:, :probes] if probes < blocks else np.tile(np.arange(blocks), (len(some), 1))
+            for j, i in enumerate(some):
+                probe = np.concatenate([rare[j, x : x + self.block] + single[i] @ self.dense[:, x : x + self.block] for x in best[j] * self.block])
+                if without is not None and without[i] >= 0 and without[i] // self.block in best[j]:
                     probe[np.argmax(probe)] = 0  # no other is nearer than the example itself
                 least[j] = max(self.kth(probe, k) - SLACK, 1e-12)
-            alive = np.flatnonzero((bound[some] >= least[:, None] - SLACK).any(axis=0))
+            alive = np.flatnonzero((bound >= least[:, None] - SLACK).any(axis=0))
             score = np.zeros(rare.shape, np.float32)
             for run in np.split(alive, np.flatnonzero(np.diff(alive) > 1) + 1):  # neighbouring blocks together, without copies
                 own = slice(run[0] * self.block, (run[-1] + 1) * self.block)
