@@ -17,6 +17,8 @@ that tasks compute on their share of them.
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,8 +31,6 @@ from .scratch import written
 from .toxicity import held_out
 
 END_HASH = np.uint64(0xE4D0E4D0E4D0E4D1)
-#: Key of the words' digests: fixed, as features are drawn from them and scores have to repeat.
-KEY = b"trackloom"
 CLASSES, SKIPS = 64, 16
 END_CLASS = CLASSES - 1
 SMOOTH = 0.1
@@ -80,10 +80,14 @@ def word_classes(found: W.Words) -> np.ndarray:
     return (W.mix(last * np.uint64(257) + before) % np.uint64(END_CLASS)).astype(np.int64)
 
 
-def histories(hashes: np.ndarray, classes: np.ndarray, firsts: np.ndarray, previous_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def buckets_of(hashes: np.ndarray, previous: int) -> np.ndarray:
+    return (hashes % np.uint64(previous - 1)).astype(np.int32)
+
+
+def histories(buckets: np.ndarray, classes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(previous-word bucket, skip bucket) of every token; ``firsts`` are the first tokens of texts."""
-    previous, skip = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-    previous[1:] = 1 + (hashes[:-1] % np.uint64(previous_buckets - 1)).astype(np.int64)
+    previous, skip = np.zeros(len(buckets), np.int64), np.zeros(len(buckets), np.int64)
+    previous[1:] = 1 + buckets[:-1]
     skip[2:] = 1 + classes[:-2] % (SKIPS - 1)
     previous[firsts] = skip[firsts] = 0
     second = firsts + 1
@@ -139,8 +143,9 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
 
     A-Z are lowered; the tokens of a text are its words between ASCII white
     space and one end token.  The model learns from rows whose crc32(doc_id)
-    mod ``modulus`` is not ``remainder``.  Words are told apart as they are
-    within a block and by 128 bits of BLAKE2b between blocks.
+    mod ``modulus`` is not ``remainder``.  Words are told apart by multilinear
+    hashes under a secret that is drawn for the call, 64 bits within a block and
+    80 between blocks; features come from hashes that do not change.
     Returns one row per input row: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
@@ -152,17 +157,17 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shape = Shape.of(volume)
+    shape, secret = Shape.of(volume), secrets.token_bytes(16)
     ranges = ranges or int(256 * max(1.0, (volume / SMALL) ** 0.5))  # a range's group grows with the root of the volume
-    names = ["kind", "block", "range", "doc_id", "held_out", "ids", "hashes", "counts", "classes", "seconds"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+    names = ["kind", "block", "range", "doc_id", "held_out", "ids", "hashes", "counts", "classes", "seconds", "buckets"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int16()), pa.list_(pa.int32())]
 
     def encode(batches):
         block = TaskContext.get().partitionId() << 24
         seen = np.zeros(shape.previous * SKIPS * CLASSES, np.int64)
         for batch in batches:
             for part in W.slices(batch):
-                found = W.words_of(part.column("text"), W.SPACED_LOWER, KEY)
+                found = W.words_of(part.column("text"), W.SPACED_LOWER, secret=secret)
                 n = part.num_rows
                 ends = found.bounds[1:] + np.arange(n)  # where the end tokens go
                 total = len(found.hashes) + n
@@ -174,32 +179,31 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
                 learn = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 training = np.repeat(learn, np.diff(np.r_[-1, ends]))
                 firsts = np.r_[0, ends[:-1] + 1]
-                previous, skip = histories(hashes, classes, firsts, shape.previous)
+                words, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
+                counts, kind = np.bincount(ids, training, len(words)).astype(np.int64), classes[at].astype(np.uint8)
+                # of each different word one place: the rest of its identity, and its bucket as a feature
+                real, own = body[at], (np.cumsum(body) - 1)[at[body[at]]]
+                seconds, plain = np.zeros(len(words), np.uint64), np.full(len(words), END_HASH)
+                seconds[real] = W.hash_secret(found.mapped, found.starts[own], found.ends[own], secret, 1)
+                plain[real] = W.hash_spans(found.mapped, found.starts[own], found.ends[own])
+                seconds, buckets = (seconds >> np.uint64(48)).astype(np.uint16).view(np.int16), buckets_of(plain, shape.previous)
+                previous, skip = histories(buckets[ids], classes, firsts)
                 seen += np.bincount(((previous * SKIPS + skip) * CLASSES + classes)[training], minlength=len(seen))
-                words, seconds = (np.r_[found.digests[:, side], end] for side, end in ((0, END_HASH), (1, END_HASH)))
-                order = np.lexsort((seconds, words))
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                ids = np.full(total, rank[-1])
-                ids[body] = rank[found.codes]
-                words, seconds, kind = words[order], seconds[order], np.empty(len(order), np.uint8)
-                kind[ids] = classes
-                counts = np.bincount(ids, training, len(words)).astype(np.int64)
                 edges = np.r_[0, ends + 1].astype(np.int32)
                 none = lambda i, k: pa.nulls(k, types[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), none(2, n), part.column("doc_id"), part.column("held_out"), bytes_of(ids, edges, len(words)), none(6, n), none(7, n), none(8, n), none(9, n)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), none(2, n), part.column("doc_id"), part.column("held_out"), bytes_of(ids, edges, len(words)), none(6, n), none(7, n), none(8, n), none(9, n), none(10, n)], names)
                 cut = np.searchsorted(words, (np.arange(ranges + 1, dtype=np.float64) * (2.0**64 / ranges)).clip(max=2.0**64 - 2048).astype(np.uint64))
                 cut[-1] = len(words)
                 full = np.flatnonzero(np.diff(cut) > 0)
                 k, edges = len(full), pa.array(np.r_[cut[full], len(words)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, block)), pa.array(full.astype(np.int32)), none(3, k), none(4, k), none(5, k), pa.ListArray.from_arrays(edges, pa.array(words.view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(counts)), pa.array([kind[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(seconds.view(np.int64)))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, block)), pa.array(full.astype(np.int32)), none(3, k), none(4, k), none(5, k), pa.ListArray.from_arrays(edges, pa.array(words.view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(counts)), pa.array([kind[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(seconds)), pa.ListArray.from_arrays(edges, pa.array(buckets))], names)
                 block += 1
         cells = seen.reshape(-1, CLASSES)
         used = np.flatnonzero(cells.sum(axis=1))
         none = lambda i: pa.nulls(len(used), types[i])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), 2, np.int32)), none(1), pa.array(used.astype(np.int32)), none(3), none(4), none(5), none(6), pa.array(list(cells[used]), pa.list_(pa.int64())), none(8), none(9)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), 2, np.int32)), none(1), pa.array(used.astype(np.int32)), none(3), none(4), none(5), none(6), pa.array(list(cells[used]), pa.list_(pa.int64())), none(8), none(9), none(10)], names)
 
-    encoded = written(texts.mapInArrow(encode, "kind int, block long, range int, doc_id long, held_out boolean, ids binary, hashes array<long>, counts array<long>, classes binary, seconds array<long>"), by="kind")
+    encoded = written(texts.mapInArrow(encode, "kind int, block long, range int, doc_id long, held_out boolean, ids binary, hashes array<long>, counts array<long>, classes binary, seconds array<short>, buckets array<int>"), by="kind")
 
     cells = encoded.where("kind = 2").groupBy(F.col("range").alias("history")).agg(*[F.sum(F.col("counts")[c]).cast("double").alias(f"c{c}") for c in range(CLASSES)])
     statistics = written(cells.select("history", F.array(*[f"c{c}" for c in range(CLASSES)]).alias("counts")))
@@ -236,18 +240,18 @@ def score_texts(documents: DataFrame, rounds: int = 25, rate: float = 0.4, range
         kind = table.column("kind").to_numpy()
         pick = lambda k: table.filter(pa.array(kind == k))
         docs, words, sums = pick(0), pick(1).sort_by("range"), pick(3).sort_by("range")
-        hashes = pc.list_flatten(words.column("hashes")).to_numpy().view(np.uint64)
+        buckets = pc.list_flatten(words.column("buckets")).to_numpy()
         classes = np.frombuffer(b"".join(words.column("classes").to_pylist()), np.uint8).astype(np.int64)
         counts = pc.list_flatten(sums.column("counts")).to_numpy().astype(float)
-        ids, sizes = numbers_of(docs.column("ids"), len(hashes))
+        ids, sizes = numbers_of(docs.column("ids"), len(buckets))
         firsts = np.r_[0, np.cumsum(sizes)[:-1]]
         base = np.log10((counts + SMOOTH) / (n_train + SMOOTH * (n_distinct + 1)))
         within = np.log10((counts + SMOOTH) / (by_class[0] + SMOOTH * (by_class[1] + 1))[classes])
-        previous, skip = histories(hashes[ids], classes[ids], firsts, shape.previous)
+        previous, skip = histories(buckets[ids], classes[ids], firsts)
         token = log_class[previous * SKIPS + skip, classes[ids]] + within[ids]
         add = lambda x: np.add.reduceat(x, firsts)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": sizes.astype(np.int64), "n_known": add((counts[ids] > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), n_train), "base_score": add(base[ids]), "score": add(token)})
 
-    parts = encoded.where("kind < 2").select("block", "kind", "range", "doc_id", "held_out", "ids", "hashes", F.lit(None).cast("array<long>").alias("counts"), "classes")
-    back = summed.where("block is not null").select("block", F.lit(3).alias("kind"), "range", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<long>").alias("hashes"), "counts", F.lit(None).cast("binary").alias("classes"))
+    parts = encoded.where("kind < 2").select("block", "kind", "range", "doc_id", "held_out", "ids", "buckets", F.lit(None).cast("array<long>").alias("counts"), "classes")
+    back = summed.where("block is not null").select("block", F.lit(3).alias("kind"), "range", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<int>").alias("buckets"), "counts", F.lit(None).cast("binary").alias("classes"))
     return parts.unionByName(back).groupBy("block").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -5,11 +5,9 @@ of rows at once: a lookup table marks word bytes, and word starts and ends
 follow from it.  A word is hashed eight bytes at a time, each step through a
 non-linear finaliser; words beyond 64 bytes take BLAKE2b.  ``second`` is an
 independent hash of the same words.  Operators whose results rest on which
-words are equal give a ``key``, which may be known: then equal words of a slice
-meet as they are and every different one takes 128 bits of BLAKE2b, which
-``hashes`` and ``second`` halve.  Or they draw a ``secret``: then both are
-multilinear hashes under numbers that come from it, for which two different
-words meet with a chance of 2^-64 each, whoever chose them.  Runs of words are hashed as trees over the hashes of their words.
+words are equal draw a ``secret``: then both are multilinear hashes under numbers
+that come from it, for which two different words meet with a chance of 2^-64
+each, whoever chose them.  Runs of words are hashed as trees over the hashes of their words.
 Texts are never cut; a slice only bounds how many bytes are in memory together.
 """
 
@@ -88,43 +86,16 @@ class Words:
     ends: np.ndarray
     data: np.ndarray
     mapped: np.ndarray
-    #: With a key: the number of each word among the different ones, and two halves of the digest of each of those.
-    codes: np.ndarray | None = None
-    digests: np.ndarray | None = None
     secret: bytes | None = None
 
     @property
     def second(self) -> np.ndarray:
         """An independent hash of every word."""
-        if self.digests is not None:
-            return self.digests[self.codes, 1]
         if self.secret is not None:
             return hash_secret(self.mapped, self.starts, self.ends, self.secret, 1)
         return hash_spans(self.mapped, self.starts, self.ends, 1)
 
 
-#: Digests of words that a worker keeps, under one key at a time.
-KEPT_DIGESTS = 1 << 18
-_kept: dict[bytes, bytes] = {}
-_kept_key: list[bytes] = [b""]
-
-
-def digests_of(words: list[bytes], key: bytes) -> np.ndarray:
-    """Rows of two 64-bit halves of the words' digests."""
-    if _kept_key[0] != key or len(_kept) > KEPT_DIGESTS:
-        _kept.clear()
-        _kept_key[0] = key
-    out = []
-    for word in words:
-        digest = _kept.get(word)
-        if digest is None:
-            digest = hashlib.blake2b(word, digest_size=16, key=key).digest()
-            if len(word) <= STEPPED:
-                _kept[word] = digest
-        out.append(digest)
-    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
-
-
 def hash_secret(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, secret: bytes, side: int) -> np.ndarray:
     """64 bits from two multilinear hashes over 32-bit parts of ``data[starts[i]:ends[i]]`` and its length.
 
@@ -157,8 +128,8 @@ def hash_secret(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, secret:
     return hashes
 
 
-def words_of(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = SPACED, key: bytes | None = None, secret: bytes | None = None) -> Words:
-    """Hash the words of a string column, under ``key`` or ``secret`` if there is one; null is an empty text."""
+def words_of(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = SPACED, secret: bytes | None = None) -> Words:
+    """Hash the words of a string column, under ``secret`` if there is one; null is an empty text."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     first, last = int(offsets[0]) if len(offsets) else 0, int(offsets[-1]) if len(offsets) else 0
@@ -180,12 +151,7 @@ def words_of(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = SPACED, ke
     bounds = np.searchsorted(starts, offsets)
     if secret is not None:
         return Words(hash_secret(data, starts, ends, secret, 0), bounds, starts, ends, raw, data, secret=secret)
-    if key is None:
-        return Words(hash_spans(data, starts, ends), bounds, starts, ends, raw, data)
-    edges = np.r_[0, np.cumsum(ends - starts)]
-    different = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data[inside])]).dictionary_encode()
-    codes, digests = different.indices.to_numpy(), digests_of(different.dictionary.to_pylist(), key)
-    return Words(digests[codes, 0], bounds, starts, ends, raw, data, codes, digests)
+    return Words(hash_spans(data, starts, ends), bounds, starts, ends, raw, data)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
