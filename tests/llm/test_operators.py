@@ -640,3 +640,73 @@ def test_word_numbers_in_few_bytes():
         back, sizes = maxent_lm.numbers_of(pa.chunked_array([packed]), words)
         assert back.tolist() == ids.tolist() and sizes.tolist() == [2, 0, 3]
         assert len(packed[0].as_py()) == 2 * maxent_lm.id_bytes(words)
+
+
+def written_out(texts, learn, rounds, rate=0.4):
+    """(score, n_known) of every text by the model in plain loops: counts, Adagrad on a softmax over classes, a bias a word."""
+    from trackloom.llm import words as W
+
+    shape, classes = maxent_lm.Shape(), maxent_lm.CLASSES
+    mix = lambda x: int(W.mix(np.array([x % (1 << 64)], np.uint64))[0])
+
+    def class_of(word):
+        raw = word.encode()
+        last, before = raw[-1], raw[-2] if len(raw) > 1 else 0
+        return mix(last * 257 + before) % (classes - 1)
+
+    def bucket_of(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(W.hash_spans(raw, np.array([0]), np.array([len(raw)]))[0]) % (shape.previous - 1)
+
+    def tokens(text):
+        words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+        return [*words, None], [*(class_of(w) for w in words), classes - 1], [bucket_of(w) for w in words]
+
+    def history(kinds, buckets, i):
+        previous = 1 + buckets[i - 1] if i else 0
+        skip = 1 + kinds[i - 2] % (maxent_lm.SKIPS - 1) if i > 1 else 0
+        pair = mix(previous * maxent_lm.SKIPS + skip) % shape.joint
+        return [0, 1 + previous, 1 + shape.previous + skip, 1 + shape.previous + maxent_lm.SKIPS + pair]
+
+    read = [tokens(t) for t in texts]
+    seen, word_counts = Counter(), Counter()
+    for (words, kinds, buckets), learns in zip(read, learn):
+        if learns:
+            for i, (word, kind) in enumerate(zip(words, kinds)):
+                seen[tuple(history(kinds, buckets, i)), kind] += 1
+                word_counts[word] += 1
+    weights, squares = np.zeros((shape.size, classes)), np.full((shape.size, classes), 1e-8)
+    chance = lambda rows: (lambda e: e / e.sum())(np.exp((lambda z: z - z.max())(weights[list(rows)].sum(axis=0))))
+    for _ in range(rounds):
+        total, mass = np.zeros_like(weights), np.zeros(shape.size)
+        for rows in {r for r, _ in seen}:
+            counts = np.array([seen[rows, k] for k in range(classes)], float)
+            delta = counts - counts.sum() * chance(rows)
+            for row in rows:
+                total[row] += delta
+                mass[row] += counts.sum()
+        step = (total - maxent_lm.PENALTY * weights) / (mass + 20)[:, None]
+        squares += step * step
+        weights = weights + rate * step / np.sqrt(squares)
+    in_class, kinds_of = Counter(), Counter()
+    for word, n in word_counts.items():
+        kind = classes - 1 if word is None else class_of(word)
+        in_class[kind] += n
+        kinds_of[kind] += 1
+    out = []
+    for words, kinds, buckets in read:
+        score = sum(math.log10(chance(history(kinds, buckets, i))[k]) + math.log10((word_counts[w] + 0.1) / (in_class[k] + 0.1 * (kinds_of[k] + 1))) for i, (w, k) in enumerate(zip(words, kinds)))
+        out.append((score, sum(word_counts[w] > 0 for w in words)))
+    return out
+
+
+def test_language_model_written_out(spark):
+    rng = random.Random(11)
+    words = ["the", "The", "a", "of", "Ünder", "one", "two", "x" * 70, "é", "z"]
+    texts = [None, ""] + [" ".join(rng.choice(words) if rng.random() < 0.9 else f"n{rng.randrange(50)}" for _ in range(rng.randrange(1, 60))) for _ in range(18)]
+    learn = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
+    assert not all(learn)
+    expected = written_out(texts, learn, 6)
+    found = {r.doc_id: r for r in maxent_lm.score_texts(docs(spark, list(enumerate(texts))), rounds=6).collect()}
+    for i, (score, known) in enumerate(expected):
+        assert found[i].score == pytest.approx(score, rel=1e-9) and found[i].n_known == known and found[i].held_out == (not learn[i])
