@@ -222,6 +222,39 @@ def test_text_layouts(spark, tmp_path):
     assert path.endswith("p_project") and files.load_project(spark, path, ["obs"])["obs"].count() == 2
 
 
+def test_calibration_files(spark, tmp_path):
+    rows = [(p, cam, 1.5 * p, -2.25 * cam) for p in range(1, 8) for cam in (1, 2) if (p, cam) != (3, 2)]
+    seen = spark.createDataFrame(rows, "pt int, cam int, u double, v double")
+    files.write_clicks(seen, f"{tmp_path}/cal01_xypts.csv", 7, 2)
+    assert sorted(map(tuple, files.read_clicks(spark, f"{tmp_path}/cal01_xypts.csv", 2).collect())) == rows
+    text = "".join(p.read_text() for p in sorted((tmp_path / "cal01_xypts.csv").glob("part-*")))
+    assert text.splitlines()[0] == "cam1_X,cam1_Y,cam2_X,cam2_Y" and text.splitlines()[3] == "4.500000,-2.250000,NaN,NaN"
+    assert {r.cam: (r.n_points, r.enough) for r in files.can_calibrate(seen.where("pt < 7")).collect()} == {1: (6, True), 2: (5, False)}
+    with pytest.raises(ValueError):
+        files.read_clicks(spark, f"{tmp_path}/cal01_xypts.csv", 3)
+
+
+def test_calibration_images(spark, tmp_path):
+    # the smallest of formats that the JVM writes: a bitmap by hand
+    h, w = 2, 3
+    pixels = np.arange(h * w * 3, dtype=np.uint8).reshape(h, w, 3)  # red, green, blue
+    line = (w * 3 + 3) // 4 * 4
+    body = b"".join(pixels[r, :, ::-1].tobytes().ljust(line, b"\0") for r in reversed(range(h)))
+    (tmp_path / "a.bmp").write_bytes(b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(body), 0, 0, 54, 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body)
+    (tmp_path / "b.txt").write_text("no image")
+    row = files.read_calibration_images(spark, str(tmp_path)).collect()
+    assert len(row) == 1 and (row[0].height, row[0].width) == (h, w) and row[0].pix == pixels[:, :, 0].ravel().astype(float).tolist()
+
+
+def test_several_networks(spark):
+    images = spark.createDataFrame([(f, c, [float(f), float(c)]) for f in range(4) for c in (1, 2)], "frame int, cam int, pix array<double>")
+    chosen = spark.createDataFrame([(f, c, net) for f in range(3) for c in (1, 2) for net in ((1,) if f else (1, 2, 9, 1))], "frame int, cam int, net int")
+    def times(k):
+        return lambda g: g.assign(score=[sum(x) * k for x in g["pix"]])[["frame", "cam", "net", "score"]]
+    found = {(r.frame, r.cam, r.net): r.score for r in kernels.apply_networks(images, chosen, {1: times(1), 2: times(10)}, "frame int, cam int, net int, score double").collect()}
+    assert found == {(f, c, 1): float(f + c) for f in range(3) for c in (1, 2)} | {(0, c, 2): 10.0 * c for c in (1, 2)}
+
+
 def test_raw_video(spark, tmp_path):
     words = [0] * 410
     for name, value in {"first_frame": -3, "n_frames": 2, "header_pad": 1640, "width": 4, "height": 3, "bytes": 12, "frame_rate": 500}.items():

@@ -293,6 +293,23 @@ def apply_network(images: DataFrame, predict, schema: str) -> DataFrame:
     return images.mapInPandas(lambda batches: (predict(g) for g in batches), schema)
 
 
+def apply_networks(images: DataFrame, chosen: DataFrame, networks: dict, schema: str, keys: tuple[str, ...] = ("frame", "cam")) -> DataFrame:
+    """Several networks, each on its own images: ``chosen`` (keys, net) names one for every image, or more.
+
+    ``networks`` (net: function of a pandas batch) are a few models that come
+    with the tasks' code.  Images without a network, and nets that are not there,
+    give no rows.
+    """
+
+    def run(batches):
+        for g in batches:
+            for net, part in g.groupby("net", sort=True):
+                if net in networks:
+                    yield networks[net](part.reset_index(drop=True))
+
+    return images.join(chosen.select(*keys, "net").distinct(), list(keys)).mapInPandas(run, schema)
+
+
 def sampled(index: DataFrame, n: int, seed: int) -> DataFrame:
     """A batch of the training index: without replacement if there are enough rows, else with."""
     total = index.count()

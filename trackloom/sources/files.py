@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,7 @@ LAYOUTS = {
     "offsets": (("cam",), {"offset": "cam{}_offset"}),
     "xyzCI": (("point",), {"x": "pt{}_X+-CI", "y": "pt{}_Y+-CI", "z": "pt{}_Z+-CI"}),
     "xyzFilt": (("point",), {"x": "pt{}filt_X", "y": "pt{}filt_Y", "z": "pt{}filt_Z"}),
+    "clicks": (("cam",), {"u": "cam{}_X", "v": "cam{}_Y"}),
 }
 
 
@@ -108,6 +111,43 @@ def write_flat(obs: DataFrame, path: str, n_frames: int, n_points: int, n_cams:
     write_wide(obs, path, "xypts", n_frames, n_points, n_cams)
 
 
+def write_clicks(cal_obs: DataFrame, path: str, n_points: int, n_cams: int) -> None:
+    """The clicks of a calibration (pt, cam, u, v): a line per point of the object."""
+    write_wide(cal_obs.withColumnRenamed("pt", "frame"), path, "clicks", n_points, 0, n_cams)
+
+
+def read_clicks(spark: SparkSession, path: str, n_cams: int) -> DataFrame:
+    """The clicks of a calibration back: pt, cam, u, v; a click without one of u and v is none."""
+    found = read_wide(spark, path, "clicks", 0, n_cams)
+    return found.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("frame").alias("pt"), "cam", "u", "v")
+
+
+def can_calibrate(cal_obs: DataFrame, planar: bool = False) -> DataFrame:
+    """(cam, n_points, enough): whether a camera has the six clicks (four in a plane) that a calibration needs."""
+    complete = F.col("u").isNotNull() & F.col("v").isNotNull()
+    n = cal_obs.groupBy("cam").agg(F.count(F.when(complete, 1)).cast("int").alias("n_points"))
+    return n.withColumn("enough", F.col("n_points") >= (4 if planar else 6))
+
+
+GRAY = "path string, height int, width int, pix array<double>"
+
+
+def read_calibration_images(spark: SparkSession, path: str) -> DataFrame:
+    """Still images of a calibration as gray ones, their first (red) channel: path, height, width, pix.
+
+    Spark's image source reads them; files that are no images have no row.
+    """
+    found = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def gray(batches):
+        for g in batches:
+            # the source keeps colours as blue, green, red
+            pix = [np.frombuffer(data, np.uint8).reshape(h, w, n)[:, :, 2 if n >= 3 else 0].astype(float).ravel() for h, w, n, data in zip(g["height"], g["width"], g["nChannels"], g["data"])]
+            yield pd.DataFrame({"path": g["origin"], "height": g["height"], "width": g["width"], "pix": pd.Series(pix, dtype=object)})
+
+    return found.mapInPandas(gray, GRAY)
+
+
 def read_sparse(spark: SparkSession, path: str, delimiter: str = "\t") -> DataFrame:
     """Sparse matrix text to (i, j, value): a title, ``rows cols nnz``, then triples; duplicates add up."""
     text = spark.read.option("wholetext", False).text(path)
