@@ -68,6 +68,11 @@ def edited(base: DataFrame, keys: list[str], edits: list[tuple[str, object]]) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def settled(journal: DataFrame) -> DataFrame:
+    """The journal written into the session's checkpoint folder, so that versions are read and not made again; as it is without such a folder."""
+    return journal.checkpoint() if journal.sparkSession.sparkContext.getCheckpointDir() else journal
+
+
 def folded(base: DataFrame, journal: DataFrame, keys: list[str], version: int) -> tuple[DataFrame, DataFrame]:
     """(base, journal) that begin at ``version``: older ones can no longer be asked for."""
     return as_of(base, journal, keys, version), journal.where(F.col("version") > version)

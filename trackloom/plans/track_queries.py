@@ -56,7 +56,7 @@ e3 AS (SELECT * REPLACE (CASE WHEN point>3 THEN point-1 ELSE point END AS point)
 SELECT version, point, cam, count(*) AS n, count(u) AS seen, round(avg(u), 4)+0.0 AS u, round(avg(v), 4)+0.0 AS v FROM al GROUP BY ALL""")
 def edit_versions(spark, sf):
     base = X.observations(spark, sf)
-    log = journal.edited(base, KEYS, SESSION)
+    log = journal.settled(journal.edited(base, KEYS, SESSION))
     log = log.unionByName(journal.undo(log, KEYS, 3, 4))
     tables = [journal.as_of(base, log, KEYS, version).select(F.lit(version).alias("version"), *base.columns) for version in range(5)]
     every = tables[0]
