@@ -203,6 +203,7 @@ DISGUISED = [
     ("ip", "l92.168.O.1"),
 ]
 CLEAN = ["look at the dot product of com", "arrive at home. The dot com boom", "see them at example.com now", "one two three four five", "meet at one dot two", "Ça va à la fête — um 8 Uhr, así", "point at point com", "a​b ＡＢＣ 12", "Привет, мир", "add one plus two dash three"]
+PLAIN = ["à 39.49.44.23 une fois", "un 56.219.220.54", "une, 48.173.242.112", "one 4041894974608795", "4041894974608795 two", "the 2 one 42.1.1.1 two"]
 
 
 @pytest.mark.parametrize("before, behind", [("", ""), ("Write to: ", " today."), ("élan 😀 ", ", thanks"), ("x​y (", ")")])
@@ -214,6 +215,7 @@ def test_disguises_map_back_to_their_source(before, behind):
 
 
 def test_clean_texts_are_left_alone():
+    assert all(base and base == every for base, every in map(personal.spans_of, PLAIN))
     assert [personal.spans_of(t)[1] for t in CLEAN] == [[]] * len(CLEAN)
 
 

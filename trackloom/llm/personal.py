@@ -202,10 +202,13 @@ class Rewritten:
 
 
 def spelled(text: str) -> Iterator[tuple[int, int, str]]:
-    """Edits that turn runs with spelled digits into figures: digits close up, dots and figures stay."""
+    """Edits that turn runs with spelled digits into figures: those close up, dots stay, and so does what parts them from figures.
+
+    A single word beside figures is as likely an article or a count and stays.
+    """
     for run in NUMBER.finditer(text):
         pieces = list(PIECE.finditer(text, *run.span()))
-        if not any(p.group(1) for p in pieces):
+        if sum(p.group(1) is not None for p in pieces) < 2:
             continue
         for p in pieces:
             if p.group(1):
@@ -216,7 +219,7 @@ def spelled(text: str) -> Iterator[tuple[int, int, str]]:
             elif p.group(3):
                 yield *p.span(), "."
             elif p.end() < run.end():
-                literal = text[p.start() - 1].isdecimal() and text[p.end()].isdecimal()
+                literal = text[p.start() - 1].isdecimal() or text[p.end()].isdecimal()
                 yield *p.span(), p.group() if literal else ""
 
 
