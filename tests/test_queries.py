@@ -49,3 +49,19 @@ def test_plan_is_pruned_and_shuffles_once(spark):
     plan = QUERIES["reconstruct_points"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_shipdate" not in plan
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_literal_rows_are_broadcast_without_a_job(spark):
+    from trackloom.operators.sizes import few, most_rows
+    from trackloom.plans import fixtures
+
+    rig = fixtures.cameras(spark)
+    assert most_rows(rig) == 3 and most_rows(rig.where("cam > 1").select("cam")) == 2 and most_rows(rig.agg({"cam": "max"})) == 1
+    many = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert most_rows(many) is None
+    jobs = spark.sparkContext.statusTracker()
+    before = set(jobs.getJobIdsForGroup(None))
+    few(rig)
+    assert set(jobs.getJobIdsForGroup(None)) == before
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(few(rig)) and hinted(few(many, 100_000)) and not hinted(few(many, 100))

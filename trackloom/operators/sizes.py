@@ -1,4 +1,4 @@
-"""Broadcasting behind a check of size."""
+"""Broadcasting behind a proof or a check of size."""
 
 from __future__ import annotations
 
@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 FEW = 10_000
 
 
+def most_rows(df: DataFrame) -> int | None:
+    """How many rows the plan can have at most, where Spark can tell (literal rows, limits, whole-table aggregates)."""
+    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return int(bound.get()) if bound.isDefined() else None
+
+
 def few(df: DataFrame, most: int = FEW) -> DataFrame:
-    """``df`` as a broadcast side if it has at most ``most`` rows, else as it is, for Spark to choose the join."""
+    """``df`` as a broadcast side if it has at most ``most`` rows, else as it is, for Spark to choose the join.
+
+    Only where the plan itself has no bound are rows counted, up to one more than ``most``.
+    """
+    bound = most_rows(df)
+    if bound is not None and bound <= most:
+        return F.broadcast(df)
     return F.broadcast(df) if df.select(F.lit(1)).limit(most + 1).count() <= most else df

@@ -34,8 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Rows that stand in the plan itself, so that Spark knows how few they are."""
+    cell = lambda x: f"array({', '.join(map(cell, x))})" if isinstance(x, list) else f"{x!r}D" if isinstance(x, float) else repr(x)
+    return spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f" AS t({names})")
+
+
 def cameras(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CAMERAS, "cam int, c array<double>")
+    return literal(spark, CAMERAS, "cam, c")
 
 
 def supplier_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +70,11 @@ def calibration_clicks(spark: SparkSession, sf_dir: str, orders: int) -> tuple[D
 
 
 def plane_cameras(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PLANES, "cam int, c array<double>")
+    return literal(spark, PLANES, "cam, c")
 
 
 def lenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LENSES, "cam int, f1 double, f2 double, cx double, cy double, k1 double, k2 double, k3 double, k4 double, k5 double")
+    return literal(spark, LENSES, "cam, f1, f2, cx, cy, k1, k2, k3, k4, k5")
 
 
 def world(spark: SparkSession, sf_dir: str) -> DataFrame:
