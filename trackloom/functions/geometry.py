@@ -107,4 +107,5 @@ def gamma_scale(value: Column, low: Column, high: Column, gamma: float) -> Colum
 
 def clamp_input(value: Column, low: Column, high: Column, before: Column) -> Column:
     """A typed number rounded and clamped; what is no number leaves the value before."""
-    return F.coalesce(F.greatest(low, F.least(high, F.round(value.try_cast("double")))), before)
+    number = F.round(value.try_cast("double"))
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(low, F.least(high, number))).otherwise(before)  # least() passes over NULL
