@@ -310,15 +310,6 @@ def apply_networks(images: DataFrame, chosen: DataFrame, networks: dict, schema:
     return images.join(chosen.select(*keys, "net").distinct(), list(keys)).mapInPandas(run, schema)
 
 
-def sampled(index: DataFrame, n: int, seed: int) -> DataFrame:
-    """A batch of the training index: without replacement if there are enough rows, else with."""
-    total = index.count()
-    if total >= n or not total:
-        return index.orderBy(F.rand(seed)).limit(n)
-    copies = -(-n // total)
-    return index.crossJoin(index.sparkSession.range(copies)).drop("id").orderBy(F.rand(seed)).limit(n)
-
-
 def pick_stores(draws: DataFrame, stores: DataFrame, seed: int) -> DataFrame:
     """One store per draw with probability in proportion to its frames (store, n_frames: few rows, broadcast)."""
     total = F.sum("n_frames").over(Window.partitionBy())
