@@ -88,7 +88,7 @@ def multi_crop_regions(spark, sf):
 
 @query(f"""WITH {REGION_SQL}, pt AS (SELECT unnest(range(3))::INT AS channel),
 de AS (SELECT raw.frame, raw.channel, arg_min((raw.row, raw.col), (-v, raw.col, raw.row)) AS p, max(v) AS q FROM raw JOIN re ON re.frame=raw.frame AND raw.row+1 BETWEEN y0 AND y1 AND raw.col+1 BETWEEN x0 AND x1 WHERE scale=0 AND channel<3 GROUP BY ALL)
-SELECT re.frame, pt.channel, CASE WHEN q>{LEAST} THEN p[2]+2.0 ELSE 0.0 END AS u, CASE WHEN q>{LEAST} THEN p[1]+2.0 ELSE 0.0 END AS v, CASE WHEN q>{LEAST} THEN round(q, 6) ELSE 0.0 END AS quality
+SELECT re.frame, pt.channel, CASE WHEN q>{LEAST} THEN (p[2]+2)::DOUBLE ELSE 0::DOUBLE END AS u, CASE WHEN q>{LEAST} THEN (p[1]+2)::DOUBLE ELSE 0::DOUBLE END AS v, CASE WHEN q>{LEAST} THEN round(q::DOUBLE, 6) ELSE 0::DOUBLE END AS quality
 FROM re CROSS JOIN pt LEFT JOIN de ON de.frame=re.frame AND de.channel=pt.channel""")
 def multi_crop(spark, sf):
     heat = pyramid(spark, sf)
