@@ -210,3 +210,15 @@ def test_an_edit_below_later_ones_is_taken_back_where_they_left_it(spark):
     back = log.unionByName(journal.undo(log, KEYS, 1, 3))
     assert {r.frame: r.u for r in journal.as_of(base, back, KEYS).collect()} == {1: 1.0, 2: 2.0, 3: 3.0, 4: 114.0, 5: 105.0, 6: 106.0}
     assert [(r.frame, r.by) for r in journal.conflicts(log, KEYS, 1).collect()] == [(4, 2)]
+
+
+def test_queries_of_the_journal_read_their_table_once(spark, monkeypatch):
+    from trackloom.plans import track_queries
+
+    noise = F.udf(lambda: random.random(), "double").asNondeterministic()  # as means of rows that arrive in another order
+    base = spark.sql("SELECT 't' AS trial, frame, point, cam FROM (SELECT explode(sequence(1, 200)) AS frame), (SELECT explode(sequence(1, 5)) AS point), (SELECT explode(sequence(1, 2)) AS cam)").select("*", noise().alias("u"), noise().alias("v"))
+    monkeypatch.setattr(track_queries.X, "observations", lambda *a: base)
+    counts = {r.operation: (r.added, r.changed, r.removed) for r in track_queries.edit_history(spark, "").collect()}
+    assert counts == {"nudge": (0, 200, 0), "swap": (0, 404, 0), "delete": (0, 800, 400)}
+    rows = {(r.version, r.point, r.cam): (r.u, r.v) for r in track_queries.edit_versions(spark, "").collect()}
+    assert rows[2, 2, 1] == rows[0, 2, 1] and rows[2, 5, 2] == rows[0, 5, 2] and rows[4, 3, 1] == rows[0, 3, 1]

@@ -1,33 +1,3 @@
 """Cutting lineage through tables in the folder that the cluster shares."""
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is absent, one of our own on a local master, an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Later stages reread the files, so a lost executor costs no recomputation
-    of what came before and nothing lives on one machine only.  ``by`` names a
-    column of few values to split the files by.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trackloom/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..operators.scratch import shared_dir, written  # noqa: F401

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 
 def differ() -> Column:
     return ~F.col("was").eqNullSafe(F.col("now"))
@@ -59,7 +61,12 @@ def conflicts(journal: DataFrame, keys: list[str], version: int) -> DataFrame:
 
 
 def edited(base: DataFrame, keys: list[str], edits: list[tuple[str, object]]) -> DataFrame:
-    """The journal of applying ``edits`` (operation, function of the table) one after the other."""
+    """The journal of applying ``edits`` (operation, function of the table) one after the other.
+
+    ``base`` is read once for every edit and has to give the same values each
+    time: one that is computed, means say, which depend on the order in which
+    their rows arrive, is to be ``settled`` first.
+    """
     table, parts = base, []
     for version, (operation, function) in enumerate(edits, 1):
         after = function(table).select(base.columns)
@@ -68,9 +75,9 @@ def edited(base: DataFrame, keys: list[str], edits: list[tuple[str, object]]) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def settled(journal: DataFrame) -> DataFrame:
-    """The journal written into the session's checkpoint folder, so that versions are read and not made again; as it is without such a folder."""
-    return journal.checkpoint() if journal.sparkSession.sparkContext.getCheckpointDir() else journal
+def settled(table: DataFrame) -> DataFrame:
+    """A journal or the table under it written into the session's checkpoint folder, so that it is read and not made again."""
+    return written(table)
 
 
 def folded(base: DataFrame, journal: DataFrame, keys: list[str], version: int) -> tuple[DataFrame, DataFrame]:

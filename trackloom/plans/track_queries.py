@@ -55,7 +55,7 @@ e3 AS (SELECT * REPLACE (CASE WHEN point>3 THEN point-1 ELSE point END AS point)
 @query(f"""{SESSION_SQL}, al AS ({" UNION ALL ".join(f"SELECT {n} AS version, * FROM e{k}" for n, k in enumerate((0, 1, 2, 3, 2)))})
 SELECT version, point, cam, count(*) AS n, count(u) AS seen, round(avg(u), 4)+0.0 AS u, round(avg(v), 4)+0.0 AS v FROM al GROUP BY ALL""")
 def edit_versions(spark, sf):
-    base = X.observations(spark, sf)
+    base = journal.settled(X.observations(spark, sf))
     log = journal.settled(journal.edited(base, KEYS, SESSION))
     log = log.unionByName(journal.undo(log, KEYS, 3, 4))
     tables = [journal.as_of(base, log, KEYS, version).select(F.lit(version).alias("version"), *base.columns) for version in range(5)]
@@ -69,7 +69,7 @@ def edit_versions(spark, sf):
 @query(f"""{SESSION_SQL}, ch AS ({" UNION ALL ".join(f"SELECT {k} AS version, '{o}' AS operation, b.frame IS NOT NULL AS was, a.frame IS NOT NULL AS now, b.u IS DISTINCT FROM a.u OR b.v IS DISTINCT FROM a.v AS other FROM e{k - 1} b FULL JOIN e{k} a ON a.frame=b.frame AND a.point=b.point AND a.cam=b.cam" for k, (o, _) in enumerate(SESSION, 1))})
 SELECT version, operation, count(*) FILTER (NOT was) AS added, count(*) FILTER (was AND now) AS changed, count(*) FILTER (NOT now) AS removed FROM ch WHERE NOT was OR NOT now OR other GROUP BY ALL""")
 def edit_history(spark, sf):
-    return journal.history(journal.edited(X.observations(spark, sf), KEYS, SESSION))
+    return journal.history(journal.edited(journal.settled(X.observations(spark, sf)), KEYS, SESSION))
 
 
 @query()
