@@ -126,6 +126,22 @@ def test_texts_in_different_groups_meet(spark, block):
     assert others >= {p for ps in expected.values() for p in ps} and all(of[i][1] != of[j][1] for i, j in others)
 
 
+def test_cells_make_fewer_links_than_they_hold_groups(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):  # 50 texts that all resemble each other and ten that share buckets with them only
+        words = [f"n{j}" for j in range(100)] if i < 50 else [f"o{i}{j}" for j in range(100)]
+        words[rng.randrange(10)] = f"y{i}"
+        rows.append((i, " ".join(words)))
+    spots = [(bucket, i, i, 96) for i in range(60) for bucket in (1, 2, 3)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (7, 512):
+        apart = near_dedup.Apart(spark.createDataFrame(spots, "bucket long, class_id long, home long, size long"), texts, 0.8, block)
+        found = [tuple(r) for r in apart.links().collect()]
+        assert {r.node: r.component for r in near_dedup.components(spark.createDataFrame(found, "a long, b long")).collect()} == dict.fromkeys(range(50), 0)
+        assert all(a < 50 and b < 50 for a, b in found) and (block == 7 or len(found) == 49)
+
+
 def test_short_near_copies_all_link(spark):
     rng = random.Random(21)
     rows, links = [], []

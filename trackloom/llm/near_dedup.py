@@ -24,9 +24,12 @@ components of all links.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -133,6 +136,26 @@ def first_parts(classes: DataFrame, threshold: float) -> DataFrame:
     return held.select("class_id", "size", F.explode(F.slice("held.label", F.lit(1), F.greatest(F.lit(0), prefix.cast("int")))).alias("bucket"))
 
 
+def likely(cell: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each text of a cell that asks: its row, the rows of other groups that may reach the threshold with it, and the bounds of these."""
+    homes, sizes, asks = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("home", "size", "asks"))
+    bag = [np.frombuffer(x, "<u4") for x in cell.column("bag").to_pylist()]
+    right = np.flatnonzero(~asks)
+    theirs = np.concatenate([bag[j] for j in right]) if len(right) else np.zeros(0, "<u4")
+    order = np.argsort(theirs, kind="stable")
+    theirs, owner = theirs[order], np.repeat(np.arange(len(right)), [len(bag[j]) for j in right])[order]
+    for i in np.flatnonzero(asks):
+        lo, hi = np.searchsorted(theirs, bag[i]), np.searchsorted(theirs, bag[i], side="right")
+        at = np.arange((hi - lo).sum()) + np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo)
+        # labels of one text that fall on one number count as shared
+        shared = np.bincount(owner[at], minlength=len(right)) + sizes[i] - len(bag[i])
+        close = (np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i])) & (homes[right] != homes[i])
+        near, most = right[close], shared[close]
+        bound = most / np.maximum(1, sizes[i] + sizes[near] - most)
+        fits = np.flatnonzero((bound >= threshold - 1e-6) | (2 * most >= sizes[i] + sizes[near]))
+        yield i, near[fits], bound[fits]
+
+
 class Apart:
     """Texts that share a bucket and are in different groups, compared in blocks without moving their texts again.
 
@@ -141,14 +164,15 @@ class Apart:
     group meet all texts of the bucket; both sides are cut into blocks and
     every two blocks meet in a cell of their own, so no task holds a bucket.
     A cell compares lengths and then the sets of labelled shingles, which bound
-    what two texts can share from above.
+    what two texts can share from above, and aligns what may reach the
+    threshold.  ``best`` and ``others`` list such pairs without aligning them.
     """
 
     def __init__(self, spots: DataFrame, texts: DataFrame, threshold: float, block: int = 512, weight: int = 1 << 20):
         self.threshold, self.block, self.weight = threshold, block, weight
         self.members = written(self.mixed(spots))
         wanted = self.members.select("class_id").distinct()
-        self.bags = written(texts.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id").select("class_id", "text").mapInArrow(self.bag, "class_id long, bag binary"))
+        self.bags = written(texts.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id").select("class_id", "text").mapInArrow(self.bag, "class_id long, bag binary, shingles binary"))
 
     def mixed(self, spots: DataFrame) -> DataFrame:
         """``spots`` of buckets with several groups, with the numbers of blocks and whether a text is outside the largest group."""
@@ -162,45 +186,79 @@ class Apart:
     def bag(batches):
         for batch in batches:
             for part in W.slices(batch, size=W.SMALL_SLICE):
-                _, labels, bounds = labels_of(part.column("text"))
-                short = (labels >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([part.column("class_id"), pa.array([np.unique(short[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])], pa.binary())], ["class_id", "bag"])
+                shingles, bounds = shingles_of(W.words_of(part.column("text")))
+                short = (occurrence_labels(shingles, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))) >> np.uint64(32)).astype("<u4")
+                spans = list(zip(bounds[:-1], bounds[1:]))
+                made = [pa.array([f(lo, hi).tobytes() for lo, hi in spans], pa.binary()) for f in (lambda lo, hi: np.unique(short[lo:hi]), lambda lo, hi: shingles[lo:hi].astype("<u8"))]
+                yield pa.RecordBatch.from_arrays([part.column("class_id"), *made], ["class_id", "bag", "shingles"])
+
+    def cells(self, members: DataFrame, *held: str) -> GroupedData:
+        """Every two blocks of a bucket with ``held`` of their texts; ``asks`` tells the side of the texts outside the largest group."""
+        full = members.join(self.bags, "class_id")
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        part = lambda n: F.pmod(F.xxhash64("class_id"), n)
+        columns = ["class_id", "home", "size", "bag", *held]
+        there = full.select("bucket", F.explode(upto(F.col("narrow"))).alias("u"), part(F.col("wide")).alias("v"), F.lit(False).alias("asks"), *columns)
+        here = full.where("minor").select("bucket", part(F.col("narrow")).alias("u"), F.explode(upto(F.col("wide"))).alias("v"), F.lit(True).alias("asks"), *columns)
+        # a number of partitions is given, as these tasks are slow and not large: Spark is not to merge them
+        dealt = there.unionByName(here).repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "u", "v")
+        return dealt.groupBy("bucket", "u", "v")
+
+    def links(self) -> DataFrame:
+        """Links (a, b) that join the groups as all links between them would.
+
+        A cell aligns the likeliest pairs first and no pair of groups that its
+        own links have joined, so it makes fewer links than it holds groups.
+        A pair is aligned in the least bucket that it shares, once.
+        """
+        buckets = self.members.groupBy("class_id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+        threshold = self.threshold
+
+        def meet(cell: pa.Table) -> pa.Table:
+            ids, homes, minor = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("class_id", "home", "minor"))
+            here, held, shingles = cell.column("bucket")[0].as_py() if len(ids) else None, cell.column("buckets"), cell.column("shingles")
+            joined: dict[int, int] = {}
+
+            def top(home: int) -> int:
+                while (up := joined.get(home, home)) != home:
+                    joined[home] = home = joined.get(up, up)
+                return home
+
+            within = functools.cache(lambda i: frozenset(x for x in held[i].as_py() if x < here))
+            sequence = functools.cache(lambda i: np.frombuffer(shingles[i].as_py(), "<u8").tolist())
+            found = []
+            for i, rows, bounds in likely(cell, threshold):
+                for j in rows[np.argsort(-bounds, kind="stable")].tolist():
+                    # both of a pair outside the largest group ask
+                    if minor[j] and ids[j] > ids[i] or (low := top(int(homes[i]))) == (high := top(int(homes[j]))) or not within(int(i)).isdisjoint(within(j)):
+                        continue
+                    if similarity(sequence(int(i)), sequence(j), threshold) >= threshold:
+                        joined[max(low, high)] = min(low, high)
+                        found.append((ids[i], ids[j]))
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.table({"a": a, "b": b})
+
+        members = self.members.join(buckets, "class_id")
+        return self.cells(members, "minor", "buckets", "shingles").applyInArrow(meet, "a long, b long")
 
     def pairs(self, members: DataFrame, best: bool) -> DataFrame:
         """Pairs (class_id, first) that may reach the threshold; with ``best`` only the most similar one of two groups."""
         threshold = self.threshold
 
         def meet(cell: pa.Table) -> pa.Table:
-            ids, homes, sizes, asks = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("class_id", "home", "size", "asks"))
-            bag = [np.frombuffer(x, "<u4") for x in cell.column("bag").to_pylist()]
-            right, rows = np.flatnonzero(~asks), []
-            theirs = np.concatenate([bag[j] for j in right]) if len(right) else np.zeros(0, "<u4")
-            order = np.argsort(theirs, kind="stable")
-            theirs, owner = theirs[order], np.repeat(np.arange(len(right)), [len(bag[j]) for j in right])[order]
-            for i in np.flatnonzero(asks):
-                lo, hi = np.searchsorted(theirs, bag[i]), np.searchsorted(theirs, bag[i], side="right")
-                at = np.arange((hi - lo).sum()) + np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo)
-                # labels of one text that fall on one number count as shared
-                shared = np.bincount(owner[at], minlength=len(right)) + sizes[i] - len(bag[i])
-                close = (np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i])) & (homes[right] != homes[i])
-                near, most = right[close], shared[close]
-                bound = most / np.maximum(1, sizes[i] + sizes[near] - most)
-                fits = np.flatnonzero((bound >= threshold - 1e-6) | (2 * most >= sizes[i] + sizes[near]))
+            ids, homes = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("class_id", "home"))
+            rows = []
+            for i, fits, bound in likely(cell, threshold):
                 if best:  # the most similar text of each group
-                    fits = fits[np.lexsort((-bound[fits], homes[near[fits]]))]
-                    fits = fits[np.r_[True, np.diff(homes[near[fits]]) != 0]] if len(fits) else fits
-                rows.append(np.stack([np.full(len(fits), ids[i]), ids[near[fits]], np.full(len(fits), homes[i]), homes[near[fits]], (bound[fits] * 1e6).astype(np.int64)]))
+                    order = np.lexsort((-bound, homes[fits]))
+                    fits, bound = fits[order], bound[order]
+                    first = np.r_[True, np.diff(homes[fits]) != 0] if len(fits) else np.zeros(0, bool)
+                    fits, bound = fits[first], bound[first]
+                rows.append(np.stack([np.full(len(fits), ids[i]), ids[fits], np.full(len(fits), homes[i]), homes[fits], (bound * 1e6).astype(np.int64)]))
             found = np.concatenate([np.empty((5, 0), np.int64), *rows], axis=1)
             return pa.table({"class_id": found[:2].max(axis=0), "first": found[:2].min(axis=0), "low": found[2:4].min(axis=0), "high": found[2:4].max(axis=0), "bound": found[4]})
 
-        full = members.join(self.bags, "class_id")
-        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        part = lambda n: F.pmod(F.xxhash64("class_id"), n)
-        there = full.select("bucket", F.explode(upto(F.col("narrow"))).alias("u"), part(F.col("wide")).alias("v"), F.lit(False).alias("asks"), "class_id", "home", "size", "bag")
-        here = full.where("minor").select("bucket", part(F.col("narrow")).alias("u"), F.explode(upto(F.col("wide"))).alias("v"), F.lit(True).alias("asks"), "class_id", "home", "size", "bag")
-        # a number of partitions is given, as these tasks are slow and not large: Spark is not to merge them
-        cells = there.unionByName(here).repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "u", "v")
-        found = cells.groupBy("bucket", "u", "v").applyInArrow(meet, "class_id long, first long, low long, high long, bound long")
+        found = self.cells(members).applyInArrow(meet, "class_id long, first long, low long, high long, bound long")
         if not best:
             return found.select("class_id", "first", "low", "high").distinct()
         return found.groupBy("low", "high").agg(F.max(F.struct("bound", "class_id", "first")).alias("pair")).select("pair.class_id", "pair.first", "low", "high")
@@ -294,10 +352,7 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, sketches: int = 24,
         links = found if links is None else links.unionByName(found)
 
     apart = Apart(homed(spots, links), bodies, threshold)
-    best = written(apart.best())
-    found = verified(best)
-    failed = written(best.join(found.select(F.col("a").alias("class_id"), F.col("b").alias("first")), ["class_id", "first"], "left_anti"))
-    links = links.unionByName(found).unionByName(verified(apart.others(failed)))
+    links = links.unionByName(written(apart.links()))
     groups = components(links)
     named = classes.select("a", "b", "class_id").join(groups, F.col("class_id") == F.col("node"), "left").select("a", "b", "class_id", F.coalesce("component", "class_id").alias("group_id"))
     out = signed.select("doc_id", "a", "b").join(named, ["a", "b"], "left")
