@@ -279,3 +279,20 @@ def test_streaming_predictions(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("predictions").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("predictions").collect()] == [("a", 7, 7.0)]
+
+
+def test_constrained_calibration_steps_to_the_minimum_of_the_simplex():
+    rng = np.random.default_rng(4)
+    for n in (6, 8, 15, 200):
+        p = rng.random((n, 3)) * [5, 5, 4]
+        uv = calibrate.projected(np.array(X.CAMERAS[n % 3][1]), p) + rng.normal(size=(n, 2)) / 4
+        start = calibrate.fit(p, uv)[0]
+        whole = lambda v: np.r_[calibrate.orthogonal_first(v * start[1:]), v * start[1:]]
+        asked = []
+        walked = calibrate.simplex(lambda v: asked.append(1) or calibrate.residual(whole(v), p, uv), np.ones(10))
+        c, rmse = calibrate.fit_modified(p, uv)
+        m1, m2, m3 = c[:3], c[4:7], c[8:]
+        assert rmse <= calibrate.residual(whole(walked), p, uv) + 1e-8 and len(asked) > 500
+        assert abs(np.cross(m1, m3) @ np.cross(m2, m3)) <= 1e-9 * np.linalg.norm(np.cross(m1, m3)) * np.linalg.norm(np.cross(m2, m3))
+        x, rests = calibrate.descend(whole, np.ones(10), p, uv, rounds=60)
+        assert rests and np.allclose(whole(x), c)

@@ -69,12 +69,57 @@ def orthogonal_first(rest: np.ndarray) -> float:
     return float(-(c2 * n[1] + c3 * n[2]) / n[0]) if n[0] else 0.0
 
 
+def gradients(c: np.ndarray, p: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of the projection and their derivatives by the eleven coefficients."""
+    at, one = projected(c, p), np.c_[p, np.ones(len(p))] / (p @ c[8:] + 1)[:, None]
+    zero = np.zeros_like(one)
+    top, low = (np.hstack([*sides, -at[:, [k]] * one[:, :3]]) for k, sides in enumerate(((one, zero), (zero, one))))
+    return (at - uv).T.reshape(-1), np.vstack([top, low])
+
+
+def descend(whole, start: np.ndarray, p: np.ndarray, uv: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, bool]:
+    """Damped Gauss-Newton steps over the free coefficients of ``whole``; whether the steps came to rest."""
+    x, damp, moves = start, 1e-3, np.eye(len(start)) * 1e-6
+    c = whole(x)
+    far, by_c = gradients(c, p, uv)
+    cost = far @ far
+    for _ in range(rounds):
+        # the constrained coefficient by differences, the others are scaled copies of their own
+        turned = np.stack([(whole(x + m) - whole(x - m)) / 2e-6 for m in moves], 1)
+        j = by_c @ turned
+        left, right = j.T @ j, j.T @ far
+        while True:
+            try:
+                step = np.linalg.solve(left + damp * np.diag(np.diag(left)), right)
+            except np.linalg.LinAlgError:
+                return x, False
+            new = whole(x - step)
+            new_far, new_by = gradients(new, p, uv)
+            new_cost = new_far @ new_far
+            if new_cost <= cost:
+                break
+            damp *= 10
+            if not damp < 1e12:
+                return x, bool(np.isfinite(cost) and np.abs(step).max() < 1e-8)
+        rest = cost - new_cost <= 1e-14 * cost
+        x, c, far, by_c, cost, damp = x - step, new, new_far, new_by, new_cost, max(damp / 10, 1e-12)
+        if rest:
+            return x, True
+    return x, False
+
+
 def fit_modified(p: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, float]:
-    """Eleven coefficients under the orthogonality constraint, from the linear solution."""
+    """Eleven coefficients under the orthogonality constraint, from the linear solution.
+
+    A few Gauss-Newton steps reach the minimum; where they do not come to rest
+    the downhill simplex searches on from the best place so far.
+    """
     start = fit(p, uv)[0]
     scale = np.where(start[1:] == 0, 1.0, start[1:])
     whole = lambda v: np.r_[orthogonal_first(v * scale), v * scale]
-    best = whole(simplex(lambda v: residual(whole(v), p, uv), start[1:] / scale))
+    with np.errstate(all="ignore"):
+        found, rests = descend(whole, start[1:] / scale, p, uv)
+    best = whole(found if rests else simplex(lambda v: residual(whole(v), p, uv), found))
     return best, residual(best, p, uv)
 
 
