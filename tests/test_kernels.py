@@ -296,3 +296,23 @@ def test_constrained_calibration_steps_to_the_minimum_of_the_simplex():
         assert abs(np.cross(m1, m3) @ np.cross(m2, m3)) <= 1e-9 * np.linalg.norm(np.cross(m1, m3)) * np.linalg.norm(np.cross(m2, m3))
         x, rests = calibrate.descend(whole, np.ones(10), p, uv, rounds=60)
         assert rests and np.allclose(whole(x), c)
+
+
+def test_points_are_left_out_of_one_decomposition():
+    rng = np.random.default_rng(8)
+    for method, least in (("space", 6), ("plane", 4)):
+        k = 3 if method == "space" else 2
+        for n in (3, least, least + 1, 20):
+            p = rng.random((9, n, k)) * 5
+            uv = np.stack([calibrate.projected(np.array(X.CAMERAS[0][1] if k == 3 else X.PLANES[0][1]), x) for x in p]) + rng.normal(size=(9, n, 2)) / 4
+            if n > least:
+                uv[0, 1], uv[1, 2, 1], p[2, :, 0], p[3, 1:] = np.nan, np.nan, 1.0, p[3, :1] + np.arange(n - 1)[:, None] % 2  # gaps; flat and coinciding objects
+            found = calibrate.residuals_without(p, uv, method, least)
+            for i in range(9):
+                whole = ~np.isnan(np.c_[p[i], uv[i]]).any(axis=1)
+                for j in range(n):
+                    others = whole & (np.arange(n) != j)
+                    if np.isnan(uv[i, j, 0]) or others.sum() < least:
+                        assert np.isnan(found[i, j])
+                    else:
+                        assert np.isclose(found[i, j], calibrate.fit(p[i][others], uv[i][others])[1], rtol=1e-5, atol=1e-7)

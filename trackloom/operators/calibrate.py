@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .sizes import few
 
+#: Numbers of a camera's points without one another in memory together.
+CELLS = 1 << 18
+
 
 def design(p: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linear system of the projection: two rows per point; p has 3 (space) or 2 (plane) columns."""
@@ -162,6 +169,52 @@ def calibrate(cal_obs: DataFrame, cal_object: DataFrame, method: str = "space",
     return rows.dropna(subset=["u", "v", *axes]).groupBy(*keys).applyInPandas(kernel, typed(rows, keys, "c array<double>, rmse double, n_points int"))
 
 
+def residuals_without(p: np.ndarray, uv: np.ndarray, method: str, least: int) -> np.ndarray:
+    """(cameras, points) residuals of the fits without each point; NaN where it was not clicked or too few are left.
+
+    Linear fits of complete cameras follow from one QR decomposition: leaving
+    rows A_i out moves the solution by R^-1 Q_i' (1 - Q_i Q_i')^-1 e_i.  Where
+    that is near singular, and for all others, the fit is done again.
+    """
+    solve = fit_modified if method == "modified" else fit
+    m, n, k = p.shape
+    clicked = ~np.isnan(uv[..., 0])
+    whole = ~np.isnan(np.concatenate([p, uv], axis=2)).any(axis=2)
+    out = np.full((m, n), np.nan)
+    again = clicked & (whole.sum(axis=1, keepdims=True) - whole >= least)
+    sure = np.flatnonzero(whole.all(axis=1)) if method != "modified" and n > least else np.zeros(0, int)
+    if len(sure):
+        x, y = p[sure], uv[sure]
+        one = np.concatenate([x, np.ones((len(sure), n, 1))], axis=2)
+        zero = np.zeros_like(one)
+        a = np.stack([np.concatenate([one, zero, -x * y[..., :1]], axis=2), np.concatenate([zero, one, -x * y[..., 1:]], axis=2)], axis=2).reshape(len(sure), 2 * n, -1)
+        length = np.sqrt((a * a).sum(axis=1, keepdims=True))  # columns of one length: pixels and ones differ by thousands
+        length[length == 0] = 1
+        q, r = np.linalg.qr(a / length)
+        diagonal = np.abs(np.einsum("mii->mi", r))
+        right = np.einsum("mij,mi->mj", q, y.reshape(len(sure), -1))
+        pairs = q.reshape(len(sure), n, 2, -1)
+        off = y - np.einsum("mnij,mj->mni", pairs, right)
+        rest = np.eye(2) - np.einsum("mnij,mnkj->mnik", pairs, pairs)
+        det = rest[..., 0, 0] * rest[..., 1, 1] - rest[..., 0, 1] ** 2
+        firm = (det > 1e-6) & (diagonal.min(axis=1) > 1e-8 * diagonal.max(axis=1))[:, None]
+        kept = np.flatnonzero(firm.any(axis=1))
+        pull = np.stack([rest[..., 1, 1] * off[..., 0] - rest[..., 0, 1] * off[..., 1], rest[..., 0, 0] * off[..., 1] - rest[..., 0, 1] * off[..., 0]], axis=2) / np.where(firm, det, 1.0)[..., None]
+        coordinates = right[:, None, :] - np.einsum("mnij,mni->mnj", pairs, pull)
+        c = np.linalg.solve(r[kept], coordinates[kept].transpose(0, 2, 1)).transpose(0, 2, 1) / length[kept]
+        dot = lambda d: np.einsum("mik,mjk->mij", d, x[kept])
+        below = dot(c[..., 2 * k + 2 :]) + 1
+        far = ((dot(c[..., :k]) + c[..., k : k + 1]) / below - y[kept, None, :, 0]) ** 2 + ((dot(c[..., k + 1 : 2 * k + 1]) + c[..., 2 * k + 1 : 2 * k + 2]) / below - y[kept, None, :, 1]) ** 2
+        far[:, np.arange(n), np.arange(n)] = 0
+        found = np.sqrt(far.sum(axis=2) / (2 * (n - 1)))
+        out[sure[kept]] = np.where(firm[kept], found, np.nan)
+        again[sure[kept]] &= ~firm[kept]
+    for i, j in np.argwhere(again):
+        others = whole[i] & (np.arange(n) != j)
+        out[i, j] = solve(p[i][others], uv[i][others])[1]
+    return out
+
+
 def leave_one_out(cal_obs: DataFrame, cal_object: DataFrame, method: str = "space") -> DataFrame:
     """Residual of each camera's fit without each point; NULL for points that were not clicked, or if too few are left.
 
@@ -170,16 +223,21 @@ def leave_one_out(cal_obs: DataFrame, cal_object: DataFrame, method: str = "spac
     axes = ["x", "y"] if method == "plane" else ["x", "y", "z"]
     least = 4 if method == "plane" else 6
     rows, keys = meeting(cal_obs, cal_object, axes)
-    solve = fit_modified if method == "modified" else fit
-
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pt")
-        p, uv, clicked = g[axes].to_numpy(float), g[["u", "v"]].to_numpy(float), g["u"].notna().to_numpy()
-        whole = clicked & ~np.isnan(np.c_[p, uv]).any(axis=1)
-        out = []
-        for i in range(len(g)):
-            others = whole & (np.arange(len(g)) != i)
-            out.append(solve(p[others], uv[others])[1] if clicked[i] and others.sum() >= least else None)
-        return pd.DataFrame({**{k: g[k] for k in keys}, "pt": g["pt"], "rmse": pd.Series(out, index=g.index, dtype=float)})
-
-    return rows.groupBy(*keys).applyInPandas(kernel, typed(rows, keys, "pt int, rmse double"))
+    held = F.sort_array(F.collect_list(F.struct("pt", *[F.col(c).cast("double").alias(c) for c in ("u", "v", *axes)])))
+    cameras = rows.groupBy(*keys).agg(held.alias("held"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("held")
+            sizes, flat = held.value_lengths().to_numpy(), held.flatten()
+            uv, p = (np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in names], 1).astype(float) for names in (("u", "v"), axes))
+            out = np.full(len(flat), np.nan)
+            first = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes).tolist():
+                at = first[sizes == n][:, None] + np.arange(n)
+                for lo in range(0, len(at), step := max(1, CELLS // (n * (n + 24)))):
+                    out[at[lo : lo + step]] = residuals_without(p[at[lo : lo + step]], uv[at[lo : lo + step]], method, least)
+            own = [batch.column(k).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes))) for k in keys]
+            yield pa.RecordBatch.from_arrays([*own, flat.field("pt").cast(pa.int32()), pa.array(out, mask=np.isnan(out))], [*keys, "pt", "rmse"])
+
+    return cameras.mapInArrow(kernel, typed(rows, keys, "pt int, rmse double"))
