@@ -316,3 +316,23 @@ def test_points_are_left_out_of_one_decomposition():
                         assert np.isnan(found[i, j])
                     else:
                         assert np.isclose(found[i, j], calibrate.fit(p[i][others], uv[i][others])[1], rtol=1e-5, atol=1e-7)
+
+
+def test_replicates_are_triangulated_as_whole_arrays(monkeypatch):
+    rng, points = np.random.default_rng(6), np.array([[1.0, 2.0, 0.5], [3.0, 1.0, 2.0]])
+    for n in (2, 3):
+        c = np.stack([X.CAMERAS[k][1] for k in range(n)])
+        uv = np.stack([calibrate.projected(x, points) for x in c], 1) + rng.normal(size=(2, n, 2))
+        draws, expected = np.random.default_rng(9), []
+        u, v = (uv[:, None, :, k] + draws.standard_normal((2, 40, n)) * np.array([0.5, 2.0])[:, None, None] for k in (0, 1))
+        for p in range(2):
+            found = []
+            for m in range(40):
+                a = np.concatenate([u[p, m][:, None] * c[:, 8:] - c[:, :3], v[p, m][:, None] * c[:, 8:] - c[:, 4:7]])
+                found.append(np.linalg.lstsq(a, np.r_[c[:, 3] - u[p, m], c[:, 7] - v[p, m]], rcond=None)[0])
+            expected.append(np.std(found, axis=0, ddof=1))
+        with monkeypatch.context() as m:
+            m.setattr(np.linalg, "solve", None)  # a small solve a replicate was what took the time
+            m.setattr(np.linalg, "det", None)
+            got = uncertainty.spread(uv[..., 0], uv[..., 1], np.stack([c, c]), np.array([0.5, 2.0]), 40, np.random.default_rng(9))
+        assert np.allclose(got, expected, rtol=1e-7)

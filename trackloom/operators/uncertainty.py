@@ -12,20 +12,34 @@ from .solve import COMPLETE, KEY, sightings, undistorted
 
 #: Replicated coordinates in memory together.
 CELLS = 1 << 20
+#: Rows and columns of the upper half of the normal equations, in the order in which they are kept.
+PLACES = [(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 1, 3), (1, 2, 4), (2, 2, 5)]
 
 
 def spread(u: np.ndarray, v: np.ndarray, c: np.ndarray, noise: np.ndarray, replicates: int, rng: np.random.Generator) -> np.ndarray:
     """(points, 3) sample deviations of triangulations of ``u``, ``v`` (points, cameras) moved by N(0, noise)."""
     shape = (len(u), replicates, u.shape[1])
-    moved = [x[:, None, :] + rng.standard_normal(shape) * noise[:, None, None] for x in (u, v)]
-    rows = [np.stack([m * c[:, None, :, 8 + i] - c[:, None, :, 4 * k + i] for i in range(3)], axis=-1) for k, m in enumerate(moved)]
-    right = [c[:, None, :, 4 * k + 3] - m for k, m in enumerate(moved)]
-    a, b = np.concatenate(rows, axis=2), np.concatenate(right, axis=2)
-    left = np.einsum("prki,prkj->prij", a, a)
-    solvable = np.abs(np.linalg.det(left)) > 0
-    left[~solvable] = np.nan
-    xyz = np.linalg.solve(left, np.einsum("prki,prk->pri", a, b)[..., None])[..., 0]
-    return np.nanstd(xyz, axis=1, ddof=1) if replicates > 1 else np.full((len(u), 3), np.nan)
+    u, v = (x[:, None, :] + rng.standard_normal(shape) * noise[:, None, None] for x in (u, v))
+    c = c[:, None]
+    # the normal equations, summed up camera by camera, and Cramer's rule: whole arrays instead of a small solve a replicate
+    left, right = np.zeros((6, *shape[:2])), np.zeros((3, *shape[:2]))
+    for k in range(shape[2]):
+        for at, x in ((0, u[..., k]), (4, v[..., k])):
+            row = [x * c[..., k, 8 + i] - c[..., k, at + i] for i in range(3)]
+            beside = c[..., k, at + 3] - x
+            for i, j, to in PLACES:
+                left[to] += row[i] * row[j]
+            for i in range(3):
+                right[i] += row[i] * beside
+    xx, xy, xz, yy, yz, zz = left
+    minors = [yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy, xx * zz - xz * xz, xy * xz - xx * yz, xx * yy - xy * xy]
+    det = xx * minors[0] + xy * minors[1] + xz * minors[2]
+    det[det == 0] = np.nan
+    inverse = [[minors[i] for i in row] for row in ((0, 1, 2), (1, 3, 4), (2, 4, 5))]
+    xyz = np.stack([sum(m * r for m, r in zip(row, right)) / det for row in inverse], axis=-1)
+    if replicates < 2:
+        return np.full((len(u), 3), np.nan)
+    return np.nanstd(xyz, axis=1, ddof=1) if np.isnan(xyz).any() else np.std(xyz, axis=1, ddof=1)
 
 
 def bootstrap(obs: DataFrame, camera: DataFrame, lens: DataFrame | None = None, least_error: float = 1.5, replicates: int = 250, seed: int = 1) -> DataFrame:
