@@ -150,3 +150,18 @@ def test_the_stream_gives_the_rows_of_the_batch(spark, tmp_path):
         assert len(batch) == 16 and sorted(spark.table("followed").collect(), key=str) == sorted(batch, key=str)
     finally:
         spark.conf.set(provider, before)
+
+
+def test_pixels_are_made_behind_the_shuffle(spark):
+    from trackloom.plans import image_queries
+
+    images, picture, digitised = image_queries.filmed(spark, "/root/testdata/sf0.001")
+    images, digitised = (t.where("frame < 30 AND trial IN ('1', '2', '3', '4')") for t in (images, digitised))
+    rig, options = spark.createDataFrame(image_queries.SIDES, "cam int, c array<double>"), A.Options(half=4, reach=3, gap=1)
+    made = images.withColumn("pix", picture).select("trial", "frame", "cam", "height", "width", "pix")
+    expected = A.track_points(made, A.multi_starts(digitised), rig, options=options)
+    got = A.track_points(images, A.multi_starts(digitised), rig, options=options, picture=picture)
+    rows = sorted(map(str, got.collect()))
+    assert rows and rows == sorted(map(str, expected.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "EXP(" in plan and "EXP(" not in plan[plan.index("RepartitionByExpression [trial") :]

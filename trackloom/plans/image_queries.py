@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import blocks, detect
@@ -97,19 +97,20 @@ def multi_crop(spark, sf):
     return rounded(found, "quality", digits=6)
 
 
-def filmed(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+def filmed(spark, sf: str) -> tuple[DataFrame, Column, DataFrame]:
     """Every user's events as a recording of two cameras: a spot that moves with the number of the event and is gone where the value is missing.
 
-    Returns images (trial, frame, cam, height, width, pix) and what was digitised
-    by hand (trial, frame, point, cam, u, v): the first two of every fifty frames.
+    Returns images (trial, frame, cam, height, width) with where their spot is,
+    the expression that makes pix of it, and what was digitised by hand (trial,
+    frame, point, cam, u, v): the first two of every fifty frames.
     """
     n = F.col("frame")
     at = X.series(spark, sf).select(F.col("track").alias("trial"), n, F.col("u").isNotNull().alias("lit"), (16 + 7 * F.sin(n / 9)).alias("x"), (16 + 7 * F.cos(n / 11)).alias("y"), (13 + 4 * F.sin(n / 13)).alias("z"))
     seen = at.select("trial", "frame", "lit", F.explode(F.array(*[F.struct(F.lit(k).alias("cam"), F.col(c).alias("u"), F.col("z").alias("v")) for k, c in ((1, "x"), (2, "y"))])).alias("s")).select("trial", "frame", "lit", "s.*")
     spot = lambda i, du, dv, wide: F.exp(-((i % 32 + 1 - F.col("u") - du) ** 2 + (F.floor(i / 32) + 1 - F.col("v") - dv) ** 2) / wide)
     pix = F.transform(F.sequence(F.lit(0), F.lit(24 * 32 - 1)), lambda i: F.when(F.col("lit"), spot(i, 0, 0, 5.0) + 0.4 * spot(i, 2, -1, 3.0)).otherwise(0.0))
-    images = seen.select("trial", "frame", "cam", F.lit(24).alias("height"), F.lit(32).alias("width"), pix.alias("pix"))
-    return images, seen.where("frame % 50 IN (1, 2)").select("trial", "frame", F.lit(1).alias("point"), "cam", "u", "v")
+    images = seen.select("trial", "frame", "cam", F.lit(24).alias("height"), F.lit(32).alias("width"), "lit", "u", "v")
+    return images, pix, seen.where("frame % 50 IN (1, 2)").select("trial", "frame", F.lit(1).alias("point"), "cam", "u", "v")
 
 
 #: Two cameras at a right angle that see x and z, and y and z.
@@ -118,8 +119,8 @@ SIDES = [(k, [float(i in (j, 6)) for i in range(11)]) for k, j in ((1, 0), (2, 1
 
 @query()
 def auto_tracked(spark, sf):
-    images, digitised = filmed(spark, sf)
+    images, picture, digitised = filmed(spark, sf)
     rig = spark.createDataFrame(SIDES, "cam int, c array<double>")
-    found = autotrack.track_points(images, autotrack.multi_starts(digitised), rig, options=autotrack.Options(half=4, reach=3, gap=1))
+    found = autotrack.track_points(images, autotrack.multi_starts(digitised), rig, options=autotrack.Options(half=4, reach=3, gap=1), picture=picture)
     fits = F.transform("sights", lambda s: F.round(s["fit"], 3))
     return rounded(found.select("trial", "frame", "point", fits.alias("fits"), "x", "y", "z", "rmse", "erased", "ended"), "x", "y", "z", "rmse", digits=4)

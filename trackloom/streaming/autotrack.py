@@ -183,12 +183,15 @@ def multi_starts(obs: DataFrame, window: int = 11) -> DataFrame:
     return last.select("trial", "frame", "point", "cam", along("u").alias("us"), along("v").alias("vs"))
 
 
-def as_rows(frames: DataFrame, starts: DataFrame, lanes: int) -> DataFrame:
-    """Images (kind 0) and starts (kind 1) of a frame as rows of one table; every lane of a trial gets its images."""
+def as_rows(frames: DataFrame, starts: DataFrame, lanes: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Images (kind 0) and starts (kind 1) of a frame as rows of one table; every lane of a trial gets its images.
+
+    ``carried`` names the columns of ``frames`` that pixels are made from later.
+    """
     none = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
     lane = F.lit(0) if lanes == 1 else F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
-    images = frames.select(F.col("trial").cast("string").alias("trial"), lane.alias("lane"), F.col("frame").cast("int").alias("frame"), F.lit(0).alias("kind"), F.col("cam").cast("int").alias("cam"), *none(("point", "int"), ("us", "array<double>"), ("vs", "array<double>")), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.col("pix").cast("array<double>").alias("pix"), *[c for c in frames.columns if c == "ts"])
-    begun = starts.select(F.col("trial").cast("string").alias("trial"), F.pmod("point", F.lit(lanes)).cast("int").alias("lane"), F.col("frame").cast("int").alias("frame"), F.lit(1).alias("kind"), F.col("cam").cast("int").alias("cam"), F.col("point").cast("int").alias("point"), "us", "vs", *none(("height", "int"), ("width", "int"), ("pix", "array<double>")), *[c for c in starts.columns if c == "ts"])
+    images = frames.select(F.col("trial").cast("string").alias("trial"), lane.alias("lane"), F.col("frame").cast("int").alias("frame"), F.lit(0).alias("kind"), F.col("cam").cast("int").alias("cam"), *none(("point", "int"), ("us", "array<double>"), ("vs", "array<double>")), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), (F.col("pix") if "pix" in frames.columns else F.lit(None)).cast("array<double>").alias("pix"), *carried, *[c for c in frames.columns if c == "ts"])
+    begun = starts.select(F.col("trial").cast("string").alias("trial"), F.pmod("point", F.lit(lanes)).cast("int").alias("lane"), F.col("frame").cast("int").alias("frame"), F.lit(1).alias("kind"), F.col("cam").cast("int").alias("cam"), F.col("point").cast("int").alias("point"), "us", "vs", *none(("height", "int"), ("width", "int"), ("pix", "array<double>"), *[(c, frames.schema[c].dataType) for c in carried]), *[c for c in starts.columns if c == "ts"])
     return images.unionByName(begun)
 
 
@@ -207,7 +210,7 @@ def image_of(pix, height: int, width: int) -> np.ndarray:
     return np.asarray(pix, float).reshape(int(height), int(width))
 
 
-def track_points(frames: DataFrame, starts: DataFrame, camera: DataFrame, lens: DataFrame | None = None, options: Options | None = None, lanes: int = 1) -> DataFrame:
+def track_points(frames: DataFrame, starts: DataFrame, camera: DataFrame, lens: DataFrame | None = None, options: Options | None = None, lanes: int = 1, picture: Column | None = None) -> DataFrame:
     """Follow ``starts`` (see ``multi_starts``) through synchronised ``frames`` (trial, frame, cam, height, width, pix).
 
     Returns one row per trial, frame behind the start and point: sights (every
@@ -221,6 +224,9 @@ def track_points(frames: DataFrame, starts: DataFrame, camera: DataFrame, lens:
     Frames are taken in order of their number, those without any image are
     passed over; a null image counts as absent.  Starts in frames without an
     image have no template and fail.
+
+    With ``picture``, frames have no pix but the columns that it is made from by
+    this expression, once they are dealt and sorted: pixels are never shuffled.
     """
     o = options or Options()
     if lanes > 1 and o.together:
@@ -253,8 +259,12 @@ def track_points(frames: DataFrame, starts: DataFrame, camera: DataFrame, lens:
         out += step()
         yield from tabled(out)
 
-    rows = as_rows(frames, starts, lanes)
-    return rows.repartition("trial", "lane").sortWithinPartitions("trial", "lane", "frame", "kind", "cam").mapInPandas(scan, OUT)
+    carried = () if picture is None else tuple(c for c in frames.columns if c not in ("trial", "frame", "cam", "height", "width", "pix", "ts"))
+    rows = as_rows(frames, starts, lanes, carried)
+    dealt = rows.repartition("trial", "lane").sortWithinPartitions("trial", "lane", "frame", "kind", "cam")
+    if picture is not None:
+        dealt = dealt.withColumn("pix", F.when(F.col("kind") == 0, picture).cast("array<double>")).drop(*carried)
+    return dealt.mapInPandas(scan, OUT)
 
 
 class FrameByFrame(StatefulProcessor):
