@@ -222,3 +222,30 @@ def test_queries_of_the_journal_read_their_table_once(spark, monkeypatch):
     assert counts == {"nudge": (0, 200, 0), "swap": (0, 404, 0), "delete": (0, 800, 400)}
     rows = {(r.version, r.point, r.cam): (r.u, r.v) for r in track_queries.edit_versions(spark, "").collect()}
     assert rows[2, 2, 1] == rows[0, 2, 1] and rows[2, 5, 2] == rows[0, 5, 2] and rows[4, 3, 1] == rows[0, 3, 1]
+
+
+def test_row_edits_are_followed_in_one_pass(spark):
+    rng = random.Random(5)
+    value = lambda: rng.choice([None, 0.5, 1.0, rng.random()])
+    base = spark.createDataFrame([("t", f, p, c, value(), value()) for f in range(1, 40) for p in range(1, 6) for c in (1, 2) if rng.random() < 0.8], OBS)
+    steps = [("nudge", edits.nudged(F.col("u") > 0.4, "left")), ("swap", edits.swapped(1, 4, 5, 20)), ("delete", edits.deleted(3)), ("again", edits.swapped(1, 2)), ("back", edits.swapped(1, 2))]
+    plain = [(name, lambda t, edit=edit: edit(t)) for name, edit in steps]  # by joins
+    one, joined = journal.edited(base, KEYS, steps), journal.edited(base, KEYS, plain)
+    assert one.dtypes == joined.dtypes and sorted(map(str, one.collect())) == sorted(map(str, joined.collect()))
+    book = journal.versions(base, KEYS, steps)
+    log = spark.createDataFrame(joined.collect(), joined.schema)
+    for k in range(1, 6):
+        back = log.unionByName(journal.undo(log, KEYS, k, 6))
+        tables = [journal.as_of(base, back, KEYS, v).select(F.lit(v).alias("version"), *base.columns) for v in range(7)]
+        expected = sorted(str(tuple(r)) for t in tables for r in t.collect())
+        found = journal.every_version(journal.taken_back(book, ["u", "v"], k, 6), KEYS, ["u", "v"], 6)
+        assert sorted(str(tuple(r)) for r in found.select("version", *base.columns).collect()) == expected
+
+
+@pytest.mark.parametrize("name", ["edit_versions", "edit_history"])
+def test_versions_shuffle_the_input_alone(spark, name):
+    from trackloom.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and "Join" not in plan.replace("BroadcastNestedLoopJoin", "")  # the input by frame, and the few counts

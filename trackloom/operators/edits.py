@@ -6,6 +6,8 @@ and takes them back.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,21 @@ from .solve import KEY, reconstruct
 COLUMNS = ["trial", "frame", "point", "cam", "u", "v"]
 
 
+@dataclass(frozen=True)
+class RowEdit:
+    """An edit that looks at one row at a time: rows that do not ``stay`` are dropped, the others get the columns in ``sets``.
+
+    Called with a table it gives the next one; ``journal`` follows each row
+    through several of them without a join.
+    """
+
+    sets: dict[str, Column] = field(default_factory=dict)
+    stays: Column | None = None
+
+    def __call__(self, table: DataFrame) -> DataFrame:
+        return (table if self.stays is None else table.where(self.stays)).withColumns(self.sets)
+
+
 def inside(first: int | None, last: int | None, length: int | None = None) -> Column:
     """An inclusive frame range, its end clipped to the track's length."""
     low, high = F.lit(first if first is not None else 1), F.lit(last) if last is not None else F.col("frame")
@@ -38,16 +55,23 @@ def retriangulated(points: DataFrame, obs: DataFrame, touched: DataFrame, camera
     return points.join(own, KEY, "left_anti").select(fresh.columns).unionByName(fresh)
 
 
-def nudge(obs: DataFrame, where: Column, direction: str, step: float = 0.5) -> DataFrame:
+def nudged(where: Column, direction: str, step: float = 0.5) -> RowEdit:
     """Move the chosen observations half a pixel; up is smaller v."""
     du, dv = {"left": (-step, 0.0), "right": (step, 0.0), "up": (0.0, -step), "down": (0.0, step)}[direction]
-    moved = lambda c, d: F.when(where, F.col(c) + d).otherwise(F.col(c)).alias(c)
-    return obs.select("trial", "frame", "point", "cam", moved("u", du), moved("v", dv))
+    return RowEdit({c: F.when(where, F.col(c) + d).otherwise(F.col(c)) for c, d in (("u", du), ("v", dv))})
 
 
-def delete_point(obs: DataFrame, point: int) -> DataFrame:
+def nudge(obs: DataFrame, where: Column, direction: str, step: float = 0.5) -> DataFrame:
+    return nudged(where, direction, step)(obs).select(COLUMNS)
+
+
+def deleted(point: int) -> RowEdit:
     """Drop a point and renumber the ones above it."""
-    return obs.where(F.col("point") != point).select("trial", "frame", (F.col("point") - (F.col("point") > point).cast("int")).alias("point"), "cam", "u", "v")
+    return RowEdit({"point": F.col("point") - (F.col("point") > point).cast("int")}, F.col("point") != point)
+
+
+def delete_point(obs: DataFrame, point: int) -> DataFrame:
+    return deleted(point)(obs).select(COLUMNS)
 
 
 def join_points(obs: DataFrame, a: int, b: int) -> DataFrame:
@@ -58,10 +82,14 @@ def join_points(obs: DataFrame, a: int, b: int) -> DataFrame:
     return delete_point(obs.where(~F.col("point").isin(a, b)).select(COLUMNS).unionByName(merged), high)
 
 
-def swap_points(obs: DataFrame, a: int, b: int, first: int | None = None, last: int | None = None) -> DataFrame:
+def swapped(a: int, b: int, first: int | None = None, last: int | None = None) -> RowEdit:
     """Exchange two tracks within an inclusive frame range (all frames without one)."""
     other = F.when(F.col("point") == a, b).when(F.col("point") == b, a).otherwise(F.col("point"))
-    return obs.select("trial", "frame", F.when(inside(first, last), other).otherwise(F.col("point")).alias("point"), "cam", "u", "v")
+    return RowEdit({"point": F.when(inside(first, last), other).otherwise(F.col("point"))})
+
+
+def swap_points(obs: DataFrame, a: int, b: int, first: int | None = None, last: int | None = None) -> DataFrame:
+    return swapped(a, b, first, last)(obs).select(COLUMNS)
 
 
 def split_point(obs: DataFrame, point: int, cam: int, first: int, last: int, n_points: int, length: int | None = None) -> DataFrame:

@@ -77,16 +77,18 @@ def lenses(spark: SparkSession) -> DataFrame:
     return literal(spark, LENSES, "cam, f1, f2, cx, cy, k1, k2, k3, k4, k5")
 
 
-def world(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("int").alias("frame"), F.col("l_linenumber").cast("int").alias("point"))
+def world(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """Points, dealt to tasks by the column ``by`` (frame or point) alone if it is given: what keeps it needs no other shuffle."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("int").alias("frame"), F.col("l_linenumber").cast("int").alias("point"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    g = (lines.repartition(by) if by else lines).groupBy("frame", "point")
     return g.agg((F.avg("l_quantity") / 10).alias("x"), (F.avg("l_discount") * 50).alias("y"), (F.avg("l_tax") * 50).alias("z"), F.avg("l_extendedprice").alias("e")).withColumn("trial", F.lit("t"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
     """Projections with bounded noise; about a fifth of them is missing."""
     from ..functions.geometry import project
 
-    w = world(spark, sf_dir).crossJoin(F.broadcast(cameras(spark)))
+    w = world(spark, sf_dir, by).crossJoin(F.broadcast(cameras(spark)))
     u, v = project(F.col("c"), F.col("x"), F.col("y"), F.col("z"))
     seen = F.pmod(F.col("frame") + F.col("cam") + F.col("point"), F.lit(5)) != 0
     return w.select("trial", "frame", "point", "cam", F.when(seen, u + F.sin(F.col("e") * F.col("cam"))).alias("u"), F.when(seen, v + F.cos(F.col("e") * F.col("cam"))).alias("v"))
