@@ -126,3 +126,24 @@ def test_no_samples(spark):
     empty = spark.createDataFrame([("a", 1, None)], SERIES)
     assert R.kalman_along(empty).count() == 0 and R.double_exponential_along(empty).count() == 0 and R.best_alpha(empty).count() == 0
     assert R.carry_poses(empty).first().pose is None
+
+
+def test_tracks_are_predicted_side_by_side(spark):
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 4, 12, 36):
+        values = rng.random((20, n)) * 90
+        if n > 3:
+            values[3, 2], values[4] = np.nan, 5.0
+        np.testing.assert_allclose(kernels.double_exponentials(values), [kernels.double_exponential(v)[0] for v in values], rtol=1e-9)
+    rows = [(f"t{k}", i, float(x)) for k in range(60) for i, x in enumerate(rng.random(2 + k) * 90)] + [("gap", 1, 5.0), ("gap", 2, None), ("gap", 3, 6.0)]
+    for method, window, alone in (("double", 36, lambda v: kernels.double_exponential(v)[0]), ("kalman", 11, kernels.kalman_next)):
+        found = kernels.predict_next(spark.createDataFrame(rows, SERIES).repartition(7), method, window)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan  # no call a track
+        got = {r.track: (r.frame, r.predicted) for r in found.collect()}
+        assert len(got) == 61
+        for t, (frame, predicted) in got.items():
+            own = [(i, u) for k, i, u in rows if k == t]
+            want = np.round(alone(np.array([u for _, u in own], float)[-window:]))
+            assert frame == own[-1][0] + 1 and (predicted is None) == bool(np.isnan(want)) and (predicted is None or predicted == want)
+    assert "FlatMapGroups" not in R.carry_poses(spark.createDataFrame(rows, SERIES))._jdf.queryExecution().executedPlan().toString()

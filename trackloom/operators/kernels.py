@@ -6,9 +6,11 @@ A group is one track, camera or image pair, so its size is that of a recording.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ def by_track(series: DataFrame, kernel, schema: str) -> DataFrame:
     return series.select("track", "frame", "u").groupBy("track").applyInPandas(lambda g: kernel(g.sort_values("frame", kind="stable").reset_index(drop=True)), schema)
 
 
+def sliced(batch: pa.RecordBatch, most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The rows of an Arrow batch, ``most`` at a time, so that what a task makes of them stays small."""
+    for first in range(0, batch.num_rows, most):
+        yield batch.slice(first, most)
+
+
 # interpolation
 
 def cubic_coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -135,18 +143,63 @@ def double_exponential(values: np.ndarray, alpha: float | None = None) -> tuple[
     return float(run(alpha)[0]), float(alpha)
 
 
+def double_exponentials(values: np.ndarray) -> np.ndarray:
+    """Next values of many tracks of equally many samples, one a row: ``double_exponential``, each with its own alpha, side by side."""
+    count, n = values.shape
+    if n < 3:
+        return np.full(count, np.nan)
+    columns = np.ascontiguousarray(values.T)
+
+    def run(a):
+        rest, odds = 1 - a, a / (1 - a)
+        two, one = 2 + odds, 1 + odds
+        s, b, error = columns[0], columns[1], np.empty((*a.shape, max(0, n - 3)))
+        for i in range(2, n):
+            s = a * columns[i] + rest * s
+            b = a * s + rest * b
+            p = two * s - one * b
+            if i + 1 < n:
+                error[..., i - 2] = np.square(p - columns[i + 1])
+        return p, error.mean(axis=-1) if n > 3 else np.zeros(a.shape)
+
+    lo, hi, golden = np.full(count, 0.01), np.full(count, 0.99), (5**0.5 - 1) / 2
+    for _ in range(40):
+        a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
+        first, second = run(np.stack([a, b]))[1]
+        left = first <= second
+        lo, hi = np.where(left, lo, a), np.where(left, b, hi)
+    return np.where(np.isnan(values).any(axis=1), np.nan, run((lo + hi) / 2)[0])
+
+
+def next_values(rows: list[np.ndarray], method: str) -> np.ndarray:
+    """The prediction behind each row's samples."""
+    if method == "kalman":
+        return np.array([kalman_next(r) for r in rows])
+    out, sizes = np.full(len(rows), np.nan), np.array([len(r) for r in rows])
+    for n in np.unique(sizes):
+        same = np.flatnonzero(sizes == n)
+        out[same] = double_exponentials(np.stack([rows[i] for i in same]))
+    return out
+
+
 def predict_next(series: DataFrame, method: str = "kalman", window: int = 11) -> DataFrame:
     """Rounded prediction behind the last ``window`` samples of each track."""
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        values = g["u"].to_numpy(float)[-window:]
-        p = kalman_next(values) if method == "kalman" else double_exponential(values)[0]
-        return pd.DataFrame({"track": [g["track"].iloc[0]], "frame": [int(g["frame"].iloc[-1]) + 1], "predicted": [np.round(p)]})
+    def kernel(batches):
+        for batch in batches:
+            for whole in sliced(batch):
+                lists = whole.column("s")
+                sizes = lists.value_lengths().to_numpy()
+                values = lists.flatten().field("u").to_numpy(zero_copy_only=False).astype(float)
+                predicted = next_values(np.split(values, np.cumsum(sizes)[:-1]), method)
+                yield pa.RecordBatch.from_arrays([whole.column("track").cast(pa.string()), pa.array(whole.column("last").to_numpy() + 1, pa.int32()), pa.array(np.round(predicted), from_pandas=True)], ["track", "frame", "predicted"])
 
     # no task needs more of a track than its last samples, and Spark drops the others before the shuffle
     last = F.row_number().over(Window.partitionBy("track").orderBy(F.col("frame").desc()))
     recent = series.select("track", "frame", "u").withColumn("_n", last).where(F.col("_n") <= window)
-    return by_track(recent, kernel, "track string, frame int, predicted double")
+    # many tracks in a batch, a row each
+    tracks = recent.groupBy("track").agg(F.max("frame").cast("int").alias("last"), F.array_sort(F.collect_list(F.struct("frame", "_n", F.col("u").cast("double").alias("u")))).alias("s"))
+    return tracks.mapInArrow(kernel, "track string, frame int, predicted double")
 
 
 # image kernels
