@@ -13,13 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .kernels import double_exponential
+from .kernels import double_exponentials, sliced
 
 #: Frames of a segment.
 SEGMENT = 256
@@ -269,20 +268,35 @@ def carry_poses(series: DataFrame, window: int = 36) -> DataFrame:
     near = pieces.where("x IS NOT NULL").alias("p").join(last.alias("l"), F.expr(f"p.track = l.track AND p.piece = l.to - 1 AND p.frame >= l.first - {window}")).select("p.track", F.col("l.to").alias("piece"), "p.frame", "p.u", "p.x", F.lit(False).alias("own"))
     sent = pieces.where("gaps = 1").select("track", "piece", "frame", "u", "x", F.lit(True).alias("own")).unionByName(near)
 
-    def fill(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("frame", kind="stable").reset_index(drop=True)
-        frames, x = g["frame"].to_numpy(), g["x"].to_numpy(float).copy()
-        for i in np.flatnonzero(np.isnan(x)):
-            if frames[i] > window:
-                held = x[max(0, i - window) : i]
-                x[i] = double_exponential(held)[0] if len(held) == window and frames[i] - frames[i - window] == window else np.nan
-            elif i and frames[i] - frames[i - 1] == 1:
-                x[i] = x[i - 1]
-        g["pose"] = x
-        return g.loc[g["own"], ["track", "frame", "u", "pose"]]
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                lists = part.column("s")
+                sizes, flat = lists.value_lengths().to_numpy(), lists.flatten()
+                ends = np.cumsum(sizes)
+                frames, x = flat.field("frame").to_numpy(), flat.field("x").to_numpy(zero_copy_only=False).astype(float)
+                own, starts = flat.field("own").to_numpy(zero_copy_only=False), ends - sizes
+                wanted = [[int(i) for i in np.flatnonzero(np.isnan(x[a:b])) + a] for a, b in zip(starts, ends)]
+                # the missing ones of a piece need each other in order; pieces go side by side
+                for turn in range(max(map(len, wanted), default=0)):
+                    look = []
+                    for a, missing in zip(starts, wanted):
+                        if turn < len(missing):
+                            i = missing[turn]
+                            if frames[i] > window:
+                                if i - a >= window and frames[i] - frames[i - window] == window:
+                                    look.append(i)
+                            elif i > a and frames[i] - frames[i - 1] == 1:
+                                x[i] = x[i - 1]
+                    if look:
+                        at = np.array(look)
+                        x[at] = double_exponentials(x[at[:, None] + np.arange(-window, 0)])
+                rows = np.repeat(np.arange(len(sizes)), sizes)[own]
+                yield pa.RecordBatch.from_arrays([part.column("track").take(pa.array(rows)), flat.field("frame").filter(pa.array(own)), flat.field("u").filter(pa.array(own)), pa.array(x[own])], ["track", "frame", "u", "pose"])
 
     kind = series.schema["track"].dataType.simpleString()
-    filled = sent.groupBy("track", "piece").applyInPandas(fill, f"track {kind}, frame int, u double, pose double")
+    each = sent.groupBy("track", "piece").agg(F.array_sort(F.collect_list(F.struct("frame", F.col("u").cast("double").alias("u"), "x", "own"))).alias("s"))
+    filled = each.select("track", "s").mapInArrow(fill, f"track {kind}, frame int, u double, pose double")
     whole = pieces.where("gaps = 0").select("track", "frame", F.col("u").cast("double").alias("u"), F.col("x").alias("pose"))
     return whole.unionByName(filled.select("track", "frame", "u", none_for_nan("pose").alias("pose")))
 
