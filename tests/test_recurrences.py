@@ -147,3 +147,23 @@ def test_tracks_are_predicted_side_by_side(spark):
             want = np.round(alone(np.array([u for _, u in own], float)[-window:]))
             assert frame == own[-1][0] + 1 and (predicted is None) == bool(np.isnan(want)) and (predicted is None or predicted == want)
     assert "FlatMapGroups" not in R.carry_poses(spark.createDataFrame(rows, SERIES))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["alphas", "splines"])
+def test_tasks_hold_a_part_of_a_batch_at_a_time(spark, monkeypatch, name):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from trackloom.operators import splines
+
+    calls, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **k: calls.append((self, f)) or plain(self, f, *a, **k))
+    df = spark.range(1500).selectExpr("cast(id as string) AS track", "explode(sequence(1, 8)) AS frame").selectExpr("*", "rand(3) * 90 AS u", "1.0D AS weight", "500.0D AS tol")
+    if name == "alphas":
+        R.double_exponential_along(df)
+    else:
+        splines.smoothing_splines(df)
+    given, f = calls[0]
+    batch = given.toArrow().combine_chunks().to_batches()[0]
+    made = list(f(iter([batch])))
+    assert batch.num_rows == 1500 and sum(b.num_rows for b in made) == 1500
+    assert max(b.num_rows for b in made) <= (1024 if name == "alphas" else splines.HELD)

@@ -143,7 +143,7 @@ def along(samples: DataFrame, recurrence: Recurrence, size: int = SEGMENT) -> Da
         return whole, add, frames, values, sizes, out
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for given in batches for part in sliced(given)):
             whole, add, _, values, sizes, _ = runs(batch, None)
             heads = [row[: min(n, recurrence.head)].tolist() for row, n in zip(values, sizes)]
             rows = [pa.array(list(x.reshape(len(x), -1)), pa.list_(pa.float64())) for x in (whole, add)]
@@ -164,7 +164,7 @@ def along(samples: DataFrame, recurrence: Recurrence, size: int = SEGMENT) -> Da
                 state = whole @ state + add
             waiting = []
 
-        for batch in batches:
+        for batch in (part for given in batches for part in sliced(given)):
             table = batch.to_pydict()
             for row in range(batch.num_rows):
                 now = tuple(table[c][row] for c in keys)
@@ -193,9 +193,7 @@ def along(samples: DataFrame, recurrence: Recurrence, size: int = SEGMENT) -> Da
             yield pa.RecordBatch.from_arrays([*columns, pa.array([r[-1] for r in rows], pa.list_(pa.float64()))], [*keys, "seg", "state"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for given in batches for part in sliced(given)):
             state = np.stack(batch.column("state").to_numpy(zero_copy_only=False))
             _, _, frames, values, sizes, out = runs(batch, state)
             held = np.arange(values.shape[1]) < sizes[:, None]
