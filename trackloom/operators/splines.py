@@ -22,9 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .kernels import sliced
+
 #: Unknowns of a chunk, lambdas tried at once, rounds of trying, and the powers of ten (of the samples' own scale) between which lambda is.
 CHUNK, TRIED, ROUNDS, POWERS = 48, 17, 4, (-6.0, 13.0)
 TIES = 3
+#: Chunks that a task holds as Python values at once: each has some 1,600 numbers.
+HELD = 128
 GAUSS = np.polynomial.legendre.leggauss(3)
 
 
@@ -256,7 +260,7 @@ def smoothing_splines(series: DataFrame, order: int = 0, least: int = 6, size: i
     arrow = to_arrow_type(chunks.schema["track"].dataType)
 
     def reduce_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, HELD)):
             out = []
             for row in batch.to_pylist():
                 powers = np.linspace(row["lo"], row["hi"], TRIED) if row["hi"] > row["lo"] else np.array([min(row["lo"], POWERS[1])])
@@ -271,7 +275,7 @@ def smoothing_splines(series: DataFrame, order: int = 0, least: int = 6, size: i
 
     def whole_tracks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         held: list[dict] = []
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, HELD)):
             for row in batch.to_pylist():
                 if held and held[0]["track"] != row["track"]:
                     yield held
@@ -318,7 +322,7 @@ def smoothing_splines(series: DataFrame, order: int = 0, least: int = 6, size: i
             yield pa.RecordBatch.from_arrays([pa.array([r["track"] for r in held], arrow), pa.array([r["chunk"] for r in held], pa.int32()), pa.array(lams), pa.array([t[0].tolist() for t in ties], pa.list_(pa.float64()))], ["track", "chunk", "lam", "ties"])
 
     def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, HELD)):
             out = []
             for row in batch.to_pylist():
                 if row["lam"] == np.inf:
