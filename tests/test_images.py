@@ -215,3 +215,20 @@ def test_rotate():
 def test_empty_images(spark):
     empty = spark.createDataFrame([(1, 0, 0, 1, []), (2, 3, 3, 1, None)], "image int, height int, width int, channels int, pix array<double>")
     assert blocks.apply_blocks(blocks.cut(empty, 4), 4, lambda b: b).count() == 0
+
+
+def test_a_task_holds_a_handful_of_tiles(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from trackloom.operators import blocks, detect
+
+    calls, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **k: calls.append((self, f)) or plain(self, f, *a, **k))
+    heat = spark.range(700).selectExpr("id AS frame", "0 AS scale", *[f"{n} AS {c}" for c, n in zip(blocks.PLACE, (0, 0, 8, 8, 8, 8, 2))], "transform(sequence(1, 128), x -> (x + id) % 7 / 7.0D) AS pix")
+    detect.regions(heat, 0.5, 4)
+    for given, f in calls[:1]:  # the gate
+        batch = given.toArrow().combine_chunks().to_batches()[0]
+        made = list(f(iter([batch])))
+        assert sum(b.num_rows for b in made) == batch.num_rows == 700 and max(b.num_rows for b in made) <= 256
+    big = batch.select(["pix"])
+    assert [b.num_rows for b in blocks.handfuls(iter([big]), 256, 1)] == [1] * 700  # large tiles: one by one

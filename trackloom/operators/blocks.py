@@ -30,6 +30,14 @@ def schema_of(df: DataFrame, keys: list[str], rest: str) -> str:
     return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + rest
 
 
+def handfuls(batches: Iterator[pa.RecordBatch], most: int = 256, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most ``most`` tiles and about ``size`` bytes (a tile at least), which is what a task holds as arrays."""
+    for batch in batches:
+        rows = max(1, min(most, size * batch.num_rows // max(1, batch.nbytes)))
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def arrays(batch: pa.RecordBatch) -> Iterator[tuple[int, dict, np.ndarray]]:
     """(number, place, pixels) of every tile in a batch."""
     places = {c: batch.column(c).to_pylist() for c in PLACE}
@@ -58,7 +66,7 @@ def cut(images: DataFrame, size: int) -> DataFrame:
     keys = keys_of(images)
 
     def split(batches):
-        for batch in batches:
+        for batch in handfuls(batches):
             heights, widths, channels = (batch.column(c).to_pylist() for c in ("height", "width", "channels"))
             named = batch.select(keys)
             for i, pix in enumerate(batch.column("pix")):
@@ -85,7 +93,7 @@ def with_halo(tiles: DataFrame, size: int, border: int, each: Callable[[dict, np
     keys = keys_of(tiles)
 
     def send(batches):
-        for batch in batches:
+        for batch in handfuls(batches):
             named = batch.select(keys)
             rows, places, parts, cells = [], [], [], {"cell_row": [], "cell_col": []}
             for i, p, pix in arrays(batch):

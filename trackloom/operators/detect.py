@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PLACE, TILE, arrays, around, centers, keys_of, placed, schema_of
+from .blocks import PLACE, TILE, arrays, around, centers, handfuls, keys_of, placed, schema_of
 from .resample import resize
 
 
@@ -25,7 +25,7 @@ def gate(heat: DataFrame, least: float, share: float = 0.02) -> DataFrame:
     keys = keys_of(heat)
 
     def kept(batches):
-        for batch in batches:
+        for batch in handfuls(batches):
             rows, places, parts = [], [], []
             for i, p, pix in arrays(batch):
                 d = int(share * max(p["height"], p["width"]) + 0.5)
@@ -42,7 +42,7 @@ def best_scales(gated: DataFrame) -> DataFrame:
     """(frame, best, pick): the scale of the largest sum of channel peaks (the mask aside), and each channel's own best; ties go to the smaller."""
 
     def peaks(batches):
-        for batch in batches:
+        for batch in handfuls(batches):
             found = [(i, k, float(x)) for i, _, pix in arrays(batch) for k, x in enumerate(pix.max(axis=(0, 1)))]
             last = {i: p["channels"] - 1 for i, p, _ in arrays(batch)}
             named = batch.select(["frame", "scale"]).take(pa.array([x[0] for x in found], pa.int64()))
@@ -61,7 +61,7 @@ def mosaic_hits(gated: DataFrame, scales: DataFrame, least: float) -> DataFrame:
     """(frame, hits): pixels where the channels, each from its best scale, add up to more than ``least``."""
 
     def parts(batches):
-        for batch in batches:
+        for batch in handfuls(batches):
             rows, places, out = [], [], []
             scale, pick = batch.column("scale").to_pylist(), batch.column("pick").to_pylist()
             for i, p, pix in arrays(batch):
@@ -102,7 +102,7 @@ def votes(gated: DataFrame, scales: DataFrame, least: float, block: int, stride:
     """(frame, row, col, channels): how many channels of the best scale have heat in the block around each center that sees any."""
 
     def look(batches):
-        for batch in batches:
+        for batch in handfuls(batches):
             found = []
             for i, p, pix in arrays(batch):
                 half = int(max(around(block)))
@@ -173,7 +173,7 @@ def detections(images: DataFrame, crops: DataFrame, predict: Callable[[np.ndarra
     here = crops.where("x0 IS NOT NULL").select("frame", "x0", "x1", "y0", "y1")
 
     def inside(batches):
-        for batch in batches:
+        for batch in handfuls(batches):
             spans = [batch.column(c).to_pylist() for c in ("x0", "x1", "y0", "y1")]
             rows, places, parts = [], [], []
             for i, p, pix in arrays(batch):
