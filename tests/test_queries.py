@@ -1,6 +1,8 @@
 """Every query with SQL against DuckDB on the smallest tables; the others give rows."""
 
 import math
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -45,6 +47,12 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_queries_are_read_without_a_session():
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.split()[-2:] == [str(len(__spark_entry__.queries())), str(len(__spark_entry__.oracle_sql()))]
+
+
 def test_plan_is_pruned_and_shuffles_once(spark):
     plan = QUERIES["reconstruct_points"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_shipdate" not in plan

@@ -40,31 +40,35 @@ def smoothing_alphas(spark, sf):
 
 
 KEYS = ["trial", "frame", "point", "cam"]
-#: A short session of editing: half a pixel up, two tracks exchanged, a point deleted.
-SESSION = [
-    ("nudge", edits.nudged((F.col("point") == 1) & (F.col("cam") == 2), "up")),
-    ("swap", edits.swapped(1, 4, 100, 5000)),
-    ("delete", edits.deleted(3)),
-]
+OPERATIONS = ["nudge", "swap", "delete"]
 SESSION_SQL = f"""{X.TRACKS_SQL}, e0 AS (SELECT trial, frame, point, cam, u, v FROM obs),
 e1 AS (SELECT * REPLACE (CASE WHEN point=1 AND cam=2 THEN v-0.5 ELSE v END AS v) FROM e0),
 e2 AS (SELECT * REPLACE (CASE WHEN frame BETWEEN 100 AND 5000 AND point IN (1, 4) THEN 5-point ELSE point END AS point) FROM e1),
 e3 AS (SELECT * REPLACE (CASE WHEN point>3 THEN point-1 ELSE point END AS point) FROM e2 WHERE point<>3)"""
 
 
+def session() -> list[tuple[str, edits.RowEdit]]:
+    """A short session of editing: half a pixel up, two tracks exchanged, a point deleted.
+
+    Made in the call: columns need a Spark session, and this module is imported without one.
+    """
+    made = edits.nudged((F.col("point") == 1) & (F.col("cam") == 2), "up"), edits.swapped(1, 4, 100, 5000), edits.deleted(3)
+    return list(zip(OPERATIONS, made, strict=True))
+
+
 @query(f"""{SESSION_SQL}, al AS ({" UNION ALL ".join(f"SELECT {n} AS version, * FROM e{k}" for n, k in enumerate((0, 1, 2, 3, 2)))})
 SELECT version, point, cam, count(*) AS n, count(u) AS seen, round(avg(u), 4)+0.0 AS u, round(avg(v), 4)+0.0 AS v FROM al GROUP BY ALL""")
 def edit_versions(spark, sf):
-    book = journal.versions(X.observations(spark, sf, "frame"), KEYS, SESSION)
+    book = journal.versions(X.observations(spark, sf, "frame"), KEYS, session())
     every = journal.every_version(journal.taken_back(book, ["u", "v"], 3, 4), KEYS, ["u", "v"], 4)
     found = every.groupBy("version", "point", "cam").agg(F.count("*").alias("n"), F.count("u").alias("seen"), F.avg("u").alias("u"), F.avg("v").alias("v"))
     return rounded(found, "u", "v", digits=4)
 
 
-@query(f"""{SESSION_SQL}, ch AS ({" UNION ALL ".join(f"SELECT {k} AS version, '{o}' AS operation, b.frame IS NOT NULL AS was, a.frame IS NOT NULL AS now, b.u IS DISTINCT FROM a.u OR b.v IS DISTINCT FROM a.v AS other FROM e{k - 1} b FULL JOIN e{k} a ON a.frame=b.frame AND a.point=b.point AND a.cam=b.cam" for k, (o, _) in enumerate(SESSION, 1))})
+@query(f"""{SESSION_SQL}, ch AS ({" UNION ALL ".join(f"SELECT {k} AS version, '{o}' AS operation, b.frame IS NOT NULL AS was, a.frame IS NOT NULL AS now, b.u IS DISTINCT FROM a.u OR b.v IS DISTINCT FROM a.v AS other FROM e{k - 1} b FULL JOIN e{k} a ON a.frame=b.frame AND a.point=b.point AND a.cam=b.cam" for k, o in enumerate(OPERATIONS, 1))})
 SELECT version, operation, count(*) FILTER (NOT was) AS added, count(*) FILTER (was AND now) AS changed, count(*) FILTER (NOT now) AS removed FROM ch WHERE NOT was OR NOT now OR other GROUP BY ALL""")
 def edit_history(spark, sf):
-    return journal.history(journal.edited(X.observations(spark, sf, "frame"), KEYS, SESSION))
+    return journal.history(journal.edited(X.observations(spark, sf, "frame"), KEYS, session()))
 
 
 @query()
