@@ -69,6 +69,68 @@ def test_triangulation_edges(spark):
     assert all(r.rmse < 1e-6 for r in solve.reprojection_rmse(obs, plain, X.cameras(spark)).collect())
 
 
+def test_points_are_solved_among_their_sorted_rows(spark):
+    """Against least squares point by point; null coordinates count for nothing, and nothing is collected or joined by point."""
+    rng, cameras = np.random.default_rng(4), dict(X.CAMERAS)
+    rows = []
+    for trial in ("a", None):
+        for f in range(1, 40):
+            for p in (1, 2):
+                for cam in rng.permutation([1, 2, 3, 4])[: rng.integers(1, 5)].tolist():  # camera 4 has no coefficients
+                    u, v = calibrate.projected(np.array(cameras.get(cam, cameras[1])), np.array([(0.1 * p, 0.01 * f, 0.3)]))[0] + rng.normal(size=2)
+                    rows.append((trial, f, p, cam, float(u), None if rng.random() < 0.1 else float(v)))
+    obs = spark.createDataFrame(rows, edits_schema()).repartition(5)
+    expected = {}
+    for key in {r[:3] for r in rows}:
+        mine = sorted(r[3:] for r in rows if r[:3] == key and r[3] in cameras and r[5] is not None)
+        if len(mine) < 2:
+            continue
+        a, b = [], []
+        for cam, u, v in mine:
+            c = np.array(cameras[cam])
+            a += [u * c[8:11] - c[:3], v * c[8:11] - c[4:7]]
+            b += [c[3] - u, c[7] - v]
+        x = np.linalg.lstsq(np.array(a), np.array(b), rcond=None)[0]
+        off = [calibrate.projected(np.array(cameras[cam]), x[None])[0] - (u, v) for cam, u, v in mine]
+        expected[key] = (*x, math.sqrt(np.sum(np.square(off)) / (2 * len(mine) - 3))), mine
+    found = solve.sightings(obs, X.cameras(spark))  # nulls stay in, as a lens may leave them
+    for got in (solve.reconstruct(obs, X.cameras(spark)), found):
+        got = {(r.trial, r.frame, r.point): r for r in got.collect()}
+        assert set(got) == set(expected)
+        for key, (values, mine) in expected.items():
+            r = got[key]
+            assert np.allclose((r.x, r.y, r.z, r.rmse), values, rtol=1e-6, atol=1e-6) and r.n_cams == len(mine)
+            assert "seen" not in r or [tuple(s) for s in r.seen] == mine  # by camera
+    for df in (found, solve.reconstruct(obs, X.cameras(spark))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and not [line for line in plan.splitlines() if "ObjectHashAggregate(keys=[" in line and "keys=[]" not in line]
+
+
+def test_a_point_that_a_camera_can_not_see_again_has_no_residual(spark):
+    rig = spark.createDataFrame([(1, X.CAMERAS[0][1]), (2, [*X.CAMERAS[1][1][:3], None, *X.CAMERAS[1][1][4:]]), (3, X.CAMERAS[2][1])], "cam int, c array<double>")
+    rows = [("t", 1, 1, cam, *calibrate.projected(np.array(c), np.array([(0.1, 0.2, 0.3)]))[0].tolist()) for cam, c in X.CAMERAS]
+    r = solve.reconstruct(spark.createDataFrame(rows, edits_schema()), rig).first()
+    assert r.n_cams == 3 and r.rmse is None and r.x is not None
+
+
+def test_touched_points_are_named_by_rows_or_by_a_condition(spark):
+    rows = [("t", f, p if p < 3 else None, cam, *calibrate.projected(np.array(c), np.array([(0.1 * p, 0.01 * f, 0.3)]))[0].tolist()) for f in range(1, 9) for p in (1, 2, 3) for cam, c in X.CAMERAS]
+    obs, camera = spark.createDataFrame(rows, edits_schema()), X.cameras(spark)
+    moved = edits.nudge(obs, (F.col("point") == 1) & (F.col("cam") == 2), "up", 7.0)
+    gone = moved.where("NOT (frame = 4 AND point <=> 1 AND cam > 1)")  # is cleared
+    points = solve.reconstruct(obs, camera)
+    near = lambda df: sorted((str(tuple(r[:3])), r.n_cams, *[round(x, 6) for x in (r.x, r.y, r.z, r.rmse)]) for r in df.collect())
+    named = edits.retriangulated(points, gone, obs.where("point = 1"), camera)
+    asked = edits.retriangulated(points, gone, F.col("point") == 1, camera)
+    assert asked.columns == named.columns == points.columns and near(asked) == near(named) == near(solve.reconstruct(gone, camera))
+    assert len(near(asked)) == 23
+
+
+def test_a_nudge_is_computed_without_joining_points(spark):
+    plan = queries.nudge_recomputed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("FileScan") == plan.count("Exchange hashpartitioning") == 2
+
+
 def test_camera_pose_and_flip(spark):
     for r in solve.camera_pose(X.supplier_cameras(spark, "/root/testdata/sf0.001")).collect():
         assert r.cx == pytest.approx(12 + r.cam % 9) and r.cy == pytest.approx(-10 + r.cam * 7 % 21) and r.fv == pytest.approx(X.FOCAL)

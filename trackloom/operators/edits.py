@@ -44,15 +44,20 @@ def set_points(obs: DataFrame, clicks: DataFrame) -> DataFrame:
     return kept.unionByName(clicks.select(COLUMNS).where("u IS NOT NULL AND v IS NOT NULL"))
 
 
-def retriangulated(points: DataFrame, obs: DataFrame, touched: DataFrame, camera: DataFrame, lens: DataFrame | None = None) -> DataFrame:
+def retriangulated(points: DataFrame, obs: DataFrame, touched: DataFrame | Column, camera: DataFrame, lens: DataFrame | None = None) -> DataFrame:
     """``points`` (trial, frame, point, x, y, z, n_cams, rmse) after an edit of ``obs``: only what ``touched`` names is computed again.
 
-    ``touched`` has trial, frame, point.  A touched point that fewer than two
-    cameras see is cleared.
+    ``touched`` has trial, frame, point, or is a condition on these, which needs
+    no join; where it is NULL nothing is touched.  A touched point that fewer
+    than two cameras see is cleared.
     """
-    own = touched.select(KEY).distinct()
-    fresh = reconstruct(obs.join(own, KEY, "left_semi").select(COLUMNS), camera, lens)
-    return points.join(own, KEY, "left_anti").select(fresh.columns).unionByName(fresh)
+    if isinstance(touched, Column):
+        own = F.coalesce(touched, F.lit(False))
+        fresh, kept = reconstruct(obs.where(own).select(COLUMNS), camera, lens), points.where(~own)
+    else:
+        own = touched.select(KEY).distinct()
+        fresh, kept = reconstruct(obs.join(own, KEY, "left_semi").select(COLUMNS), camera, lens), points.join(own, KEY, "left_anti")
+    return kept.select(fresh.columns).unionByName(fresh)
 
 
 def nudged(where: Column, direction: str, step: float = 0.5) -> RowEdit:

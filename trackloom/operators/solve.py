@@ -7,7 +7,7 @@ solves them.  Cameras are a few rows and are always broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geometry import lens_terms, project, ratio
@@ -81,36 +81,61 @@ def reprojection_rmse(obs: DataFrame, xyz: DataFrame, camera: DataFrame, compat:
     return out.withColumn("rmse", F.coalesce(rmse, F.lit(0.0)) if compat else rmse).drop("ss", "n")
 
 
-def sightings(obs: DataFrame, camera: DataFrame) -> DataFrame:
-    """Triangulation with the observations next to the point: trial, frame, point, seen (cam, u, v), x, y, z, n_cams, rmse.
+def located(obs: DataFrame, camera: DataFrame) -> DataFrame:
+    """The observations, which have to be complete, with the point that they give: trial, frame, point, cam, u, v, x, y, z, n_cams, miss.
 
-    One shuffle of (cam, u, v) and partial sums; the few cameras are looked up
-    in a broadcast map for the reprojection residual, which thus needs no second
-    pass over ``obs``, which has to be complete.
+    ``miss`` is the squared distance from the reprojected point; points that
+    fewer than two cameras see are left out.  One sort by point, in which its
+    rows get their sums: nothing is collected, so no aggregate falls back to
+    sorting rows and buffers with lists in them.  The few cameras are looked up
+    in a broadcast map for the residual.
     """
     usable = camera.where(F.size("c") == 11)
     good = obs.join(few(usable), "cam")
     c, u, v = F.col("c"), F.col("u"), F.col("v")
     one, two = [u * c[8 + i] - c[i] for i in range(3)], [v * c[8 + i] - c[4 + i] for i in range(3)]
     b1, b2 = c[3] - u, c[7] - v
-    sums = [F.sum(one[i] * one[j] + two[i] * two[j]).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)]
-    sums += [F.sum(one[i] * b1 + two[i] * b2).alias(f"r{i}") for i in range(3)]
-    g = good.groupBy(*KEY).agg(*sums, F.collect_list(F.when(u.isNotNull() & v.isNotNull(), F.struct("cam", "u", "v"))).alias("seen")).where(F.size("seen") >= 2)
+    products = [(one[i] * one[j] + two[i] * two[j]).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)]
+    products += [(one[i] * b1 + two[i] * b2).alias(f"r{i}") for i in range(3)]
+    rows = good.select(*KEY, "cam", "u", "v", *products)
+    sums = [F.sum(n).over(of_point()).alias(n) for n in rows.columns[6:]]
+    n = F.count(F.when(u.isNotNull() & v.isNotNull(), 1)).over(of_point()).cast("int")
+    g = rows.select(*KEY, "cam", "u", "v", *sums, n.alias("n_cams")).where("n_cams >= 2")
     s = lambda i, j: F.col(f"s{min(i, j)}{max(i, j)}")
-    g = g.select(*KEY, "seen", *[p.alias(n) for p, n in zip(cramer3([[s(i, j) for j in range(3)] for i in range(3)], [F.col(f"r{i}") for i in range(3)]), "xyz")])
+    xyz = cramer3([[s(i, j) for j in range(3)] for i in range(3)], [F.col(f"r{i}") for i in range(3)])
+    g = g.select(*KEY, "cam", "u", "v", "n_cams", *[p.alias(k) for p, k in zip(xyz, "xyz")])
     known = usable.agg(F.map_from_entries(F.collect_list(F.struct("cam", "c"))).alias("cams"))  # one row
+    back = g.crossJoin(few(known)).select(*g.columns, F.element_at("cams", F.col("cam")).alias("c"))
+    pu, pv = project(c, F.col("x"), F.col("y"), F.col("z"))
+    miss = (pu - u) * (pu - u) + (pv - v) * (pv - v)
+    return back.select(*KEY, "cam", "u", "v", "x", "y", "z", "n_cams", miss.alias("miss"))
+
+
+def of_point() -> WindowSpec:
+    """All rows of a point by camera; frames, which differ most, are compared first."""
+    return Window.partitionBy("frame", "point", "trial").orderBy("cam").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    def error(acc, o):
-        pu, pv = project(F.element_at("cams", o["cam"]), F.col("x"), F.col("y"), F.col("z"))
-        return acc + (pu - o["u"]) * (pu - o["u"]) + (pv - o["v"]) * (pv - o["v"])
 
-    n = F.size("seen")
-    return g.crossJoin(few(known)).select(*KEY, "seen", "x", "y", "z", n.alias("n_cams"), F.sqrt(F.aggregate("seen", F.lit(0.0), error) / (2 * n - 3)).alias("rmse"))
+def residual(miss: Column, known: Column) -> Column:
+    """The residual of a point from its sum and count of ``miss``; NULL where an observation has none."""
+    n = F.col("n_cams")
+    return F.when(known == n, F.sqrt(miss / (2 * n - 3)))
+
+
+def sightings(obs: DataFrame, camera: DataFrame) -> DataFrame:
+    """Triangulation with the observations next to the point: trial, frame, point, seen (cam, u, v) by camera, x, y, z, n_cams, rmse."""
+    rows = located(obs, camera)
+    seen = F.collect_list(F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.struct("cam", "u", "v")))
+    once = F.row_number().over(Window.partitionBy("frame", "point", "trial").orderBy("cam"))
+    all_ = rows.select("*", seen.over(of_point()).alias("seen"), F.sum("miss").over(of_point()).alias("ss"), F.count("miss").over(of_point()).alias("known"), once.alias("once"))
+    return all_.where("once = 1").select(*KEY, "seen", "x", "y", "z", "n_cams", residual(F.col("ss"), F.col("known")).alias("rmse"))
 
 
 def reconstruct(obs: DataFrame, camera: DataFrame, lens: DataFrame | None = None) -> DataFrame:
     """Triangulation with reprojection residual in one shuffle: trial, frame, point, x, y, z, n_cams, rmse."""
-    return sightings(undistorted(obs.where(COMPLETE), lens), camera).drop("seen")
+    rows = located(undistorted(obs.where(COMPLETE), lens), camera)
+    g = rows.groupBy(*KEY).agg(*[F.first(k).alias(k) for k in ("x", "y", "z", "n_cams")], F.sum("miss").alias("ss"), F.count("miss").alias("known"))
+    return g.select(*KEY, "x", "y", "z", "n_cams", residual(F.col("ss"), F.col("known")).alias("rmse"))
 
 
 def reconstruct_plane(obs: DataFrame, camera: DataFrame) -> DataFrame:

@@ -277,7 +277,7 @@ MOVED = "moved AS (SELECT trial, frame, point, cam, u, CASE WHEN point=1 AND cam
 def nudge_recomputed(spark, sf):
     obs, camera = X.observations(spark, sf), X.cameras(spark)
     moved = edits.nudge(obs, (F.col("point") == 1) & (F.col("cam") == 2), "up")
-    return rounded(edits.retriangulated(solve.reconstruct(obs, camera), moved, obs.where("point = 1"), camera), "x", "y", "z", "rmse")
+    return rounded(edits.retriangulated(solve.reconstruct(obs, camera), moved, F.col("point") == 1, camera), "x", "y", "z", "rmse")
 
 
 # time series
