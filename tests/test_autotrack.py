@@ -165,3 +165,28 @@ def test_pixels_are_made_behind_the_shuffle(spark):
     assert rows and rows == sorted(map(str, expected.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "EXP(" in plan and "EXP(" not in plan[plan.index("RepartitionByExpression [trial") :]
+
+
+def test_trials_go_side_by_side_and_images_may_be_profiles(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    shown = [(f"t{t}", f, cam, 64, 72, np.exp(-((np.r_[1:65, 1:73] - np.repeat([v, u], [64, 72])) ** 2) / 6).tolist()) for t in range(12) for f in range(1, 9) for cam in (1, 2, 3) for u, v in [pixel(cam, place(1, f)) + rng.normal(size=2)]]
+    starts = [(f"t{t}", *s[1:]) for t in range(12) for s in begin(points=(1,))]
+    profiles = spark.createDataFrame([(*r[:5], [r[5]] if r[1] < 7 else []) for r in shown], FRAMES.replace("array<double>", "array<array<double>>"))
+    pixels = spark.createDataFrame([(*r[:5], (np.outer(r[5][:64], r[5][64:]) * (r[1] < 7)).ravel().tolist()) for r in shown], FRAMES)
+    follow = lambda frames, rows=starts: A.track_points(frames, spark.createDataFrame(rows, STARTS), spark.createDataFrame(RIG, "cam int, c array<double>"), options=A.Options(half=6, reach=5, gap=1))
+    together = {(r.trial, r.frame): r for r in follow(pixels.coalesce(1)).collect()}
+    assert len(together) == 12 * 7 and all(r.x is None for (_, f), r in together.items() if f > 6)
+    # nobody's result depends on who is beside it, on how many images are held or on how they are given
+    assert {(r.trial, r.frame): r for r in follow(pixels.where("trial = 't3'"), starts[9:12]).collect()}.items() <= together.items()
+    for frames in (profiles, pixels):
+        monkeypatch.setattr(A, "PIXELS", 1)
+        assert {(r.trial, r.frame): r for r in follow(frames).collect()} == together
+    # a frame of many trials is matched in one call
+    calls, own = [], A.correlations
+    monkeypatch.setattr(A, "correlations", lambda *a: calls.append(len(a[0])) or own(*a))
+    trackers = [A.Tracker() for _ in range(12)]
+    images = [{cam: np.outer(p[:64], p[64:]) for t, f, cam, _, _, p in shown if t == f"t{n}" and f == 2} for n in range(12)]
+    for tracker, held in zip(trackers, images):
+        tracker.begin(1, [(1, cam, [30.0], [30.0]) for cam in (1, 2, 3)], held, A.Options(half=6, reach=5))
+    A.advance([(f"t{n}", 2, tracker, held) for n, (tracker, held) in enumerate(zip(trackers, images))], dict(RIG), {}, A.Options(half=6, reach=5))
+    assert calls == [36]

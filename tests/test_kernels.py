@@ -398,3 +398,33 @@ def test_replicates_are_triangulated_as_whole_arrays(monkeypatch):
             m.setattr(np.linalg, "det", None)
             got = uncertainty.spread(uv[..., 0], uv[..., 1], np.stack([c, c]), np.array([0.5, 2.0]), 40, np.random.default_rng(9))
         assert np.allclose(got, expected, rtol=1e-7)
+
+
+def test_peaks_and_filters_of_many_rows_are_those_of_each():
+    rng = np.random.default_rng(4)
+    patches = rng.random((200, 5, 5))
+    patches[:100] += 3 * np.exp(-((np.arange(5)[:, None] - 2.2) ** 2 + (np.arange(5) - 1.7) ** 2) / 3)  # hills, and rough ones whose peak may be anywhere
+    at, weights, _ = kernels.fine_spline(2, 100)
+    whole = (weights @ patches @ weights.T).reshape(200, -1).argmax(axis=1)
+    down, across = kernels.sub_pixels(patches)
+    assert (down == at[whole // 401]).all() and (across == at[whole % 401]).all()
+    values = rng.random((300, 11)).cumsum(axis=1)
+    values[rng.random(values.shape) < 0.3] = np.nan
+    values[:4] = np.array([[np.nan], [7.5], [np.nan], [2.5]])
+    values[2, 3:5] = 1.0, 2.0
+
+    def slowly(v):
+        ok = np.flatnonzero(~np.isnan(v))
+        if len(ok) < 4:
+            return v[ok[-1]] if len(ok) else np.nan
+        z, gaps = v[ok[0] : ok[-1] + 1].copy(), np.isnan(v[ok[0] : ok[-1] + 1])
+        z[gaps] = kernels.spline_at(ok - ok[0], v[ok], np.flatnonzero(gaps).astype(float)) if gaps.any() else []
+        step, state, cov = np.array([[1.0, 0, 2], [0, 1, 1], [0, 0, 1]]), np.array([z[0], z[1] - z[0], z[2] - 2 * z[1] + z[0]]), 0.01 * np.eye(3)
+        for x in z:
+            state, cov = step @ state, step @ cov @ step.T + np.eye(3)
+            gain = cov[:, 0] / (cov[0, 0] + 0.1)
+            state, cov = state + gain * (x - state[0]), cov - np.outer(gain, cov[0])
+        return (step @ state)[0]
+
+    got = kernels.kalman_nexts(values)
+    assert np.allclose(got, [slowly(v) for v in values], rtol=1e-10, equal_nan=True) and got[1] == 7.5 and got[3] == 2.5

@@ -6,6 +6,7 @@ A group is one track, camera or image pair, so its size is that of a recording.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,25 +99,45 @@ def fill_spline(series: DataFrame, method: str = "spline", least: int = 5, extra
 
 # predictors
 
-def kalman_next(values: np.ndarray) -> float:
-    """Next value by a constant-acceleration filter; gaps are splined, fewer than four samples repeat the last."""
-    ok = np.flatnonzero(~np.isnan(values))
-    if not len(ok):
-        return float("nan")
-    if len(ok) < 4:
-        return float(values[ok[-1]])
-    z = values[ok[0] : ok[-1] + 1].copy()
-    gaps = np.isnan(z)
-    if gaps.any():
-        z[gaps] = spline_at(ok - ok[0], values[ok], np.flatnonzero(gaps).astype(float))
+@functools.lru_cache(1024)
+def kalman_weights(known: bytes) -> np.ndarray:
+    """What each known sample weighs in the filter's next value, which is linear in them: its answers to unit samples.
+
+    ``known`` has a byte a sample from the first known one to the last.
+    """
+    ok = np.frombuffer(known, bool)
+    at, z = np.flatnonzero(ok), np.zeros((len(ok), np.count_nonzero(ok)))
+    z[at] = np.eye(len(at))
+    if not ok.all():
+        gaps = np.flatnonzero(~ok)
+        z[gaps] = np.array([spline_at(at, unit, gaps.astype(float)) for unit in np.eye(len(at))]).T
     # position takes twice the acceleration and no velocity: a fixed value: the model matrix to be matched
     step = np.array([[1.0, 0, 2], [0, 1, 1], [0, 0, 1]])
     state, cov = np.array([z[0], z[1] - z[0], z[2] - 2 * z[1] + z[0]]), 0.01 * np.eye(3)
     for x in z:
         state, cov = step @ state, step @ cov @ step.T + np.eye(3)
         gain = cov[:, 0] / (cov[0, 0] + 0.1)
-        state, cov = state + gain * (x - state[0]), cov - np.outer(gain, cov[0])
-    return float((step @ state)[0])
+        state, cov = state + np.outer(gain, x - state[0]), cov - np.outer(gain, cov[0])
+    return (step @ state)[0]
+
+
+def kalman_nexts(values: np.ndarray) -> np.ndarray:
+    """Next value behind each row by a constant-acceleration filter; gaps are splined, fewer than four samples repeat the last."""
+    known, out, alike = ~np.isnan(values), np.full(len(values), np.nan), {}
+    for i, k in enumerate(known):
+        alike.setdefault(k.tobytes(), []).append(i)
+    for rows in alike.values():
+        ok = known[rows[0]].nonzero()[0]
+        if len(ok):
+            z = values[np.ix_(rows, ok)]
+            # from the last sample on, so that what does not move is predicted where it is
+            out[rows] = z[:, -1] if len(ok) < 4 else z[:, -1] + ((z - z[:, -1:]) * kalman_weights(known[rows[0], ok[0] : ok[-1] + 1].tobytes())).sum(axis=1)
+    return out
+
+
+def kalman_next(values: np.ndarray) -> float:
+    """``kalman_nexts`` of one row."""
+    return float(kalman_nexts(values[None])[0])
 
 
 def double_exponential(values: np.ndarray, alpha: float | None = None) -> tuple[float, float]:
@@ -173,12 +194,10 @@ def double_exponentials(values: np.ndarray) -> np.ndarray:
 
 def next_values(rows: list[np.ndarray], method: str) -> np.ndarray:
     """The prediction behind each row's samples."""
-    if method == "kalman":
-        return np.array([kalman_next(r) for r in rows])
     out, sizes = np.full(len(rows), np.nan), np.array([len(r) for r in rows])
     for n in np.unique(sizes):
         same = np.flatnonzero(sizes == n)
-        out[same] = double_exponentials(np.stack([rows[i] for i in same]))
+        out[same] = (kalman_nexts if method == "kalman" else double_exponentials)(np.stack([rows[i] for i in same]))
     return out
 
 
@@ -204,58 +223,114 @@ def predict_next(series: DataFrame, method: str = "kalman", window: int = 11) ->
 
 # image kernels
 
+@functools.lru_cache(256)
+def ramp(n: int) -> tuple[np.ndarray, float]:
+    """``n`` places around zero and the sum of their squares."""
+    x = np.arange(n) - (n - 1) / 2
+    return x, max((x * x).sum(), 1e-12)
+
+
 def flat(image: np.ndarray) -> np.ndarray:
-    """Remove the least-squares line of each column, then of each row."""
-    for axis in (0, 1):
-        a = image if axis == 0 else image.T
-        x = np.arange(len(a)) - (len(a) - 1) / 2
-        slope = (x @ a) / max((x * x).sum(), 1e-12)
-        a = a - a.mean(axis=0) - np.outer(x, slope)
-        image = a if axis == 0 else a.T
+    """Remove the least-squares line of each column, then of each row; of one image or of many."""
+    for _ in range(2):
+        x, squares = ramp(image.shape[-2])
+        slope = (x @ image) / squares
+        image = image - (np.add.reduce(image, axis=-2) / len(x))[..., None, :] - x[:, None] * slope[..., None, :]
+        image = image.swapaxes(-1, -2)
     return image
 
 
 def stretch(image: np.ndarray, gamma: float = 1.0) -> np.ndarray:
-    image = image - image.min()
-    return (image / image.max()) ** gamma if image.max() > 0 else image
+    """Between 0 and 1, to the power of ``gamma``; of one image or of many."""
+    image = image - image.min(axis=(-2, -1), keepdims=True)
+    most = image.max(axis=(-2, -1), keepdims=True)
+    scaled = image / np.where(most > 0, most, 1)
+    return scaled if gamma == 1 else np.where(most > 0, scaled**gamma, image)
+
+
+def smooth_length(n: int) -> int:
+    """The least product of 2, 3 and 5 that is not below ``n``: what Fourier transforms take quickly."""
+    while True:
+        left = n
+        for p in (2, 3, 5):
+            while left % p == 0:
+                left //= p
+        if left == 1:
+            return n
+        n += 1
+
+
+def correlations(templates: np.ndarray, scenes: np.ndarray, gamma: float = 1.0) -> list[tuple[float, float, float]]:
+    """(row, column, fit) of each template's center in its scene: FFT correlation of flattened patches.
+
+    ``templates`` (n, height, width) are stretched and flattened, ``scenes`` are
+    not.  fit is the peak over the mean magnitude; a flat scene gives -1.
+    """
+    s = flat(stretch(scenes, gamma))
+    (th, tw), (sh, sw) = templates.shape[1:], s.shape[1:]
+    shape = [smooth_length(th + sh - 1), smooth_length(tw + sw - 1)]
+    full = np.fft.irfft2(np.fft.rfft2(s, shape) * np.fft.rfft2(templates[:, ::-1, ::-1], shape), shape)
+    top, left = th - 1 - (th - 1) // 2, tw - 1 - (tw - 1) // 2
+    same = full[:, top : top + sh, left : left + sw]
+    mean = np.abs(same).mean(axis=(1, 2))
+    cols, rows = np.divmod(same.swapaxes(1, 2).reshape(len(same), -1).argmax(axis=1), sh)  # first along columns
+    fits, r, c = same[np.arange(len(same)), rows, cols] / (mean + 0.001), rows.astype(float), cols.astype(float)
+    seen = np.isfinite(mean) & (mean >= 1e-12)
+    inner = (seen & (rows >= REACH) & (cols >= REACH) & (rows + REACH < sh) & (cols + REACH < sw)).nonzero()[0]  # the integer peak near an edge
+    if len(inner):
+        around = np.arange(-REACH, REACH + 1)
+        down, across = sub_pixels(same[inner[:, None, None], (rows[inner, None] + around)[:, :, None], (cols[inner, None] + around)[:, None, :]])
+        r[inner], c[inner] = r[inner] + down, c[inner] + across
+    return list(zip(r.tolist(), c.tolist(), np.where(seen, fits, -1.0).tolist()))
 
 
 def correlate(template: np.ndarray, scene: np.ndarray, gamma: float = 1.0) -> tuple[float, float, float]:
-    """(row, column, fit) of the template's center in the scene: FFT correlation of flattened patches.
+    """``correlations`` of one template, as it was cut, with one scene."""
+    return correlations(flat(stretch(template.astype(float), gamma))[None], scene.astype(float)[None], gamma)[0]
 
-    fit is the peak over the mean magnitude; a flat scene gives -1.
-    """
-    t, s = flat(stretch(template.astype(float), gamma)), flat(stretch(scene.astype(float), gamma))
-    shape = [a + b - 1 for a, b in zip(t.shape, s.shape)]
-    full = np.fft.irfft2(np.fft.rfft2(s, shape) * np.fft.rfft2(t[::-1, ::-1], shape), shape)
-    top, left = (t.shape[0] - 1) // 2, (t.shape[1] - 1) // 2
-    same = full[t.shape[0] - 1 - top :, t.shape[1] - 1 - left :][: s.shape[0], : s.shape[1]]
-    flat_index = int(np.argmax(same.T))  # first along columns
-    col, row = divmod(flat_index, same.shape[0])
-    mean = np.abs(same).mean()
-    if not np.isfinite(mean) or mean < 1e-12:
-        return float(row), float(col), -1.0
-    fit = float(same[row, col] / (mean + 0.001))
-    r, c = sub_pixel(same, row, col)
-    return r, c, fit
+
+#: Samples on each side of a peak, lines of the fine grid between them, and every which line is looked at first.
+REACH, FINE, COARSE = 2, 100, 10
 
 
 @functools.lru_cache(8)
-def fine_spline(reach: int, fine: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places between -reach and reach, and the weights of the samples at whole numbers in the spline there."""
+def fine_spline(reach: int, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places between -reach and reach, the weights of the samples at whole numbers in the spline there, and those in its second derivative at whole numbers."""
     x, at = np.arange(-reach, reach + 1.0), np.linspace(-reach, reach, 2 * reach * fine + 1)
-    return at, np.array([spline_at(x, unit, at) for unit in np.eye(len(x))]).T
-
-
-def sub_pixel(surface: np.ndarray, row: int, col: int, reach: int = 2, fine: int = 100) -> tuple[float, float]:
-    """Peak of a separable spline through the 5 x 5 around an integer peak; the integer peak near an edge."""
-    if row < reach or col < reach or row + reach >= surface.shape[0] or col + reach >= surface.shape[1]:
-        return float(row), float(col)
-    patch = surface[row - reach : row + reach + 1, col - reach : col + reach + 1]
-    at, weights = fine_spline(reach, fine)
-    best = weights @ patch @ weights.T
-    i, j = np.unravel_index(int(np.argmax(best)), best.shape)
-    return row + float(at[i]), col + float(at[j])
+    units = np.eye(len(x))
+    return at, np.array([spline_at(x, unit, at) for unit in units]).T, np.array([cubic_coefficients(x, unit) for unit in units]).T
+
+
+def sub_pixels(patches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the separable spline through each patch (n, 5, 5) is largest on the fine grid, from its middle.
+
+    Only around those places of the coarse lines that come near enough to the
+    largest of them: between the lines the spline exceeds them by no more than
+    its curvature allows.
+    """
+    at, weights, bends = fine_spline(REACH, FINE)
+    lines = weights[::COARSE]
+    rough = lines @ patches @ lines.T
+    # second derivatives are linear between whole numbers; across, weights are bounded by their largest sum
+    bent = (np.abs(bends @ patches).max(axis=(1, 2)) + np.abs(patches @ bends.T).max(axis=(1, 2))) * np.abs(weights).sum(axis=1).max()
+    least = rough.max(axis=(1, 2)) - bent * (COARSE / FINE) ** 2 / 8 - 1e-9 * np.abs(patches).max(axis=(1, 2))
+    near = rough >= least[:, None, None]
+    spans = []
+    for hit in (near.any(axis=2), near.any(axis=1)):
+        first = np.maximum(hit.argmax(axis=1) - 1, 0)
+        last = np.minimum(hit.shape[1] - hit[:, ::-1].argmax(axis=1), hit.shape[1] - 1)  # one line behind the last
+        spans.append((first * COARSE, last * COARSE))
+    (top, bottom), (left, right) = spans
+    out = np.zeros((2, len(patches)), int)
+    order = np.argsort((bottom - top) * (right - left), kind="stable")
+    for lo in range(0, len(order), 32):  # those of a like size together
+        some = order[lo : lo + 32]
+        tall, wide = (bottom - top)[some].max() + 1, (right - left)[some].max() + 1
+        i, j = np.minimum(top[some], len(at) - tall), np.minimum(left[some], len(at) - wide)
+        best = weights[i[:, None] + np.arange(tall)] @ patches[some] @ weights[j[:, None] + np.arange(wide)].swapaxes(1, 2)
+        r, c = np.divmod(best.reshape(len(some), -1).argmax(axis=1), wide)
+        out[:, some] = i + r, j + c
+    return at[out[0]], at[out[1]]
 
 
 def match_patches(pairs: DataFrame, gamma: float = 1.0) -> DataFrame:

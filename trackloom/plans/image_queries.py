@@ -101,14 +101,16 @@ def filmed(spark, sf: str) -> tuple[DataFrame, Column, DataFrame]:
     """Every user's events as a recording of two cameras: a spot that moves with the number of the event and is gone where the value is missing.
 
     Returns images (trial, frame, cam, height, width) with where their spot is,
-    the expression that makes pix of it, and what was digitised by hand (trial,
+    the expression that makes pix of it (profiles, none where it is dark), and what was digitised by hand (trial,
     frame, point, cam, u, v): the first two of every fifty frames.
     """
     n = F.col("frame")
     at = X.series(spark, sf).select(F.col("track").alias("trial"), n, F.col("u").isNotNull().alias("lit"), (16 + 7 * F.sin(n / 9)).alias("x"), (16 + 7 * F.cos(n / 11)).alias("y"), (13 + 4 * F.sin(n / 13)).alias("z"))
     seen = at.select("trial", "frame", "lit", F.explode(F.array(*[F.struct(F.lit(k).alias("cam"), F.col(c).alias("u"), F.col("z").alias("v")) for k, c in ((1, "x"), (2, "y"))])).alias("s")).select("trial", "frame", "lit", "s.*")
-    spot = lambda i, du, dv, wide: F.exp(-((i % 32 + 1 - F.col("u") - du) ** 2 + (F.floor(i / 32) + 1 - F.col("v") - dv) ** 2) / wide)
-    pix = F.transform(F.sequence(F.lit(0), F.lit(24 * 32 - 1)), lambda i: F.when(F.col("lit"), spot(i, 0, 0, 5.0) + 0.4 * spot(i, 2, -1, 3.0)).otherwise(0.0))
+    # a spot is a product of what it is down and across the image: 56 values instead of 768
+    along = lambda c, n, d, wide, light: F.transform(F.array(*[F.lit(i + 1.0) for i in range(n)]), lambda i: light * F.exp(-((i - (F.col(c) + d)) ** 2) / wide))
+    spot = lambda du, dv, wide, light: F.concat(along("v", 24, dv, wide, light), along("u", 32, du, wide, 1.0))
+    pix = F.when(F.col("lit"), F.array(spot(0, 0, 5.0, 1.0), spot(2, -1, 3.0, 0.4))).otherwise(F.array().cast("array<array<double>>"))
     images = seen.select("trial", "frame", "cam", F.lit(24).alias("height"), F.lit(32).alias("width"), "lit", "u", "v")
     return images, pix, seen.where("frame % 50 IN (1, 2)").select("trial", "frame", F.lit(1).alias("point"), "cam", "u", "v")
 
