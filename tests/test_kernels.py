@@ -428,3 +428,37 @@ def test_peaks_and_filters_of_many_rows_are_those_of_each():
 
     got = kernels.kalman_nexts(values)
     assert np.allclose(got, [slowly(v) for v in values], rtol=1e-10, equal_nan=True) and got[1] == 7.5 and got[3] == 2.5
+
+
+def test_intervals_of_one_track_are_spread_over_tasks(spark):
+    cameras = dict(X.CAMERAS)
+    at = lambda cam, f: calibrate.projected(np.array(cameras[cam]), np.array([(0.1 + f / 400, 0.2, 0.3)]))[0]
+    rows = [(trial, f, 1, cam, *(at(cam, f) + [0.0, 9.0 * (cam == 1 and f % 7 == 0)]).tolist()) for trial in ("t", None) for f in range(200) for cam in ((1, 2, 3) if f % 2 else (1, 2))]
+    obs = spark.createDataFrame(rows, "trial string, frame int, point int, cam int, u double, v double")
+    found = uncertainty.bootstrap(obs, X.cameras(spark)).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 2 * 200 * 3 and all(r.sd > 0 and r.ci == r.sd * 1.96 for r in found)
+    assert len({r.task for r in found}) > 4  # one a track before
+    again = uncertainty.bootstrap(obs.repartition(3, "frame"), X.cameras(spark)).collect()
+    assert {(r.trial, r.frame, r.axis): r.sd for r in again} == pytest.approx({(r.trial, r.frame, r.axis): r.sd for r in found})
+    # both tracks, that without a name too, take the mean of their points of two cameras
+    rmse = {r.frame: max(r.rmse, 1.5) for r in solve.reconstruct(obs.where("trial = 't'"), X.cameras(spark)).collect()}
+    mean = np.mean([rmse[f] for f in range(0, 200, 2)])
+    assert mean > 1.6
+    u, v = np.array([[at(cam, 50) for cam in (1, 2)]]).transpose(2, 0, 1)
+    expected = uncertainty.spread(u, v, np.array([[cameras[1], cameras[2]]]), np.array([mean * 2**0.5 / 2]), 4000, np.random.default_rng(1))[0]
+    for trial in ("t", None):
+        got = np.array([[r.sd for r in sorted(found, key=lambda r: r.axis) if r.trial == trial and r.frame == f] for f in (48, 50, 52)]).mean(axis=0)
+        assert np.allclose(got, expected, rtol=0.15)
+
+
+def test_blocks_of_replicates_are_solved_alike_and_without_a_solution_are_missing():
+    rng, n = np.random.default_rng(8), 3
+    c = np.stack([np.stack([X.CAMERAS[k][1] for k in range(n)])] * 70)
+    uv = np.stack([calibrate.projected(c[0, k], rng.random((70, 3))) for k in range(n)], 1)
+    sd = uncertainty.spread(uv[..., 0], uv[..., 1], c, np.full(70, 1.0), 2000, np.random.default_rng(1))
+    for p in (0, uncertainty.BLOCK, 69):  # in the first, the second and the last, shorter block
+        assert np.allclose(sd[p], uncertainty.spread(uv[p : p + 1, :, 0], uv[p : p + 1, :, 1], c[p : p + 1], np.ones(1), 2000, np.random.default_rng(p))[0], rtol=0.1)
+    c[5] = 0
+    with np.errstate(all="ignore"):
+        gone = np.isnan(uncertainty.spread(uv[..., 0], uv[..., 1], c, np.full(70, 1.0), 20, np.random.default_rng(1)))
+    assert gone[5].all() and gone.sum() == 3

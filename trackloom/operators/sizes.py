@@ -1,8 +1,8 @@
-"""Broadcasting behind a proof or a check of size."""
+"""Broadcasting behind a proof or a check of size, and how many tasks work on small rows gets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that fit every task's memory; cameras, lenses and clusters are far fewer.
@@ -24,3 +24,8 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
     if bound is not None and bound <= most:
         return F.broadcast(df)
     return F.broadcast(df) if df.select(F.lit(1)).limit(most + 1).count() <= most else df
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks for rows whose work is not to be seen from their size: four a core, so that none is left to run alone, or as many as shuffles have."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
